@@ -81,7 +81,8 @@ def test_mixing_comes_near_its_targets(spark, sf):
         largest[source] = max(largest[source], r["size"])
     assert len(rows) == len(docs)
     for source, t in target.items():
-        assert abs(taken[source] - t) <= 0.03 * t + 0.25 * largest[source]
+        # The closing document is the nearest one, so half of the largest bounds what is missing.
+        assert abs(taken[source] - t) <= 0.5 * largest[source] + 1
     assert sorted(rows) == sorted(queries.op4_mixing(spark, sf).collect())
 
 
