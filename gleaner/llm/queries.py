@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, rules, sharding
-from gleaner.llm.common import keep, table
+from gleaner.llm import decontamination, language, mixing, quality, rules, sharding, toxicity
+from gleaner.llm.common import fold, keep, table
 
 SHARDS = 40
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir), keep_text=False)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Fitted on the labels outside of the held-out third."""
+    return quality.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keep(mixing.measured(table(spark, sf_dir, "documents")))
     mixed = mixing.with_copies(rows, mixing.mix_plan(rows))
@@ -24,6 +35,13 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*base, failed.alias("base_failed"), (~failed & rules.passes("v1")).alias("kept"), "fail_bits")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    items = F.array_sort(F.array_distinct("items"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", sharding.text_bytes().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
@@ -31,10 +49,26 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1))
+    return toxicity.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "expected_severity", "grade")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(fold("doc_id", 5) != 0))
+    return language.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op4_mixing": op4_mixing,
     "op5_rules": op5_rules,
+    "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 #: DuckDB SQL of those that SQL can express in reasonable time.
 ORACLES: dict[str, str] = {}

@@ -71,6 +71,17 @@ class Slice:
             out[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return mix64(out)
 
+    def prefix_hashes(self, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each size, in ascending order: the words that are longer, and hashes of their first bytes."""
+        live, value = np.arange(len(self.starts)), np.zeros(len(self.starts), np.uint64)
+        for k in range(max(sizes)):
+            inside = self.lengths[live] > k
+            live, value = live[inside], value[inside]
+            value = value * _STEP + _BYTE_CODES[self.data[self.starts[live] + k]]
+            if k + 1 in sizes:
+                longer = self.lengths[live] > k + 1
+                yield live[longer], mix64(value[longer] + np.uint64(k + 1))
+
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.bounds))
 
