@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, language, mixing, quality, rules, sharding, toxicity
+from gleaner.llm import decontamination, language, mixing, ngram_join, quality, rules, sharding, toxicity
 from gleaner.llm.common import fold, keep, table
 
 SHARDS = 40
@@ -42,6 +42,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", sharding.text_bytes().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_rules": op5_rules,
     "op6_decontamination": op6_decontamination,
+    "op7_ngram_join": op7_ngram_join,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
