@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, language, mixing, ngram_join, quality, rules, sharding, toxicity
+from gleaner.llm import chat, decontamination, html_text, language, mixing, ngram_join, quality, rules, sharding, toxicity
 from gleaner.llm.common import fold, keep, table
 
 SHARDS = 40
@@ -22,6 +24,22 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.
     return quality.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.with_length(html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+#: A conversation whose texts are control strings of a common template.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    record = F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"})
+    added = json.dumps({"messages": [{"role": role, "content": CONTROL_TEXT} for role in ("user", "assistant")]})
+    records = rows.select("conv_id", record.alias("record")).unionByName(spark.range(1).select(F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.lit(added).alias("record")))
+    return chat.read_back(chat.format_turns(chat.canonical_turns(records)))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keep(mixing.measured(table(spark, sf_dir, "documents")))
     mixed = mixing.with_copies(rows, mixing.mix_plan(rows))
@@ -68,6 +86,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_html_text": op2_html_text,
+    "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_rules": op5_rules,
     "op6_decontamination": op6_decontamination,
