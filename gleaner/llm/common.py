@@ -16,15 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder of the session.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
-    The folder named in ``spark.checkpoint.dir`` is used as it stands; only a session without one
-    (a local test) gets a folder of its own.
+    It is what ``spark.checkpoint.dir`` names; only a session without one (a local test) gets a
+    folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
+    return context.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the shared checkpoint folder of the session."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
