@@ -1,4 +1,575 @@
 """All registered queries and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gleaner.functions import scoring, text
+from gleaner.operators import cache, classify, context, merge, plan, quality, report, retrieval, segments, targets
+from gleaner.plans import standins as s
+from gleaner.plans.standins import table
+from gleaner.sources import firmware, knowledge, portscan, web
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Severity, rules and classification
+
+
+@query(f"""SELECT event_id, CASE WHEN value < 5 THEN NULL WHEN value / 50 >= 9 THEN 'critical' WHEN value / 50 >= 7 THEN 'high' WHEN value / 50 >= 4 THEN 'medium' ELSE 'low' END AS severity,
+  CAST({s.RANK.format("CASE WHEN value < 5 THEN NULL WHEN value / 50 >= 9 THEN 'critical' WHEN value / 50 >= 7 THEN 'high' WHEN value / 50 >= 4 THEN 'medium' ELSE 'low' END")} AS INTEGER) AS severity_rank,
+  CASE WHEN value >= 5 THEN round(CAST(regexp_extract(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' (HIGH)', '^\\s*(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE), 6) END AS parsed FROM events""")
+def severity_from_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = scoring.score_to_severity(F.when(F.col("value") >= 5, F.col("value") / 50))
+    shown = F.when(F.col("value") >= 5, F.concat(F.floor("value").cast("string"), F.lit(" (HIGH)"))).otherwise("N/A")
+    return table(spark, sf_dir, "events").select("event_id", level.alias("severity"), scoring.level_rank(level).cast("int").alias("severity_rank"), F.round(scoring.parse_score(shown), 6).alias("parsed"))
+
+
+@query(f"WITH {s.FINDINGS}, {s.RULES} SELECT finding_id, rr AS risk, coalesce(rc, '') AS cra, rs IS NOT NULL AS found FROM findings LEFT JOIN rules ON lower(trim(service)) = rs")
+def rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classify.with_rule(s.findings(spark, sf_dir))
+    return rows.select("finding_id", F.col("rule_risk").alias("risk"), F.coalesce("rule_cra", F.lit("")).alias("cra"), F.col("rule_service").isNotNull().alias("found"))
+
+
+@query(f"WITH {s.CLASSIFIED} SELECT finding_id, status, method, risk_level, cra_reference, iec_reference, known_list FROM classified")
+def classify_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(s.findings(spark, sf_dir)).select("finding_id", "status", "method", "risk_level", "cra_reference", "iec_reference", "known_list")
+
+
+@query(f"""WITH {s.FINDINGS} SELECT finding_id, CASE WHEN severity IN ('critical', 'high', 'medium', 'low') THEN severity WHEN alert_risk IN ('critical', 'high', 'medium', 'low', 'info') THEN alert_risk ELSE 'info' END AS risk FROM findings""")
+def fallback_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.findings(spark, sf_dir).select("finding_id", scoring.fallback_risk(F.col("severity"), F.col("alert_risk")).alias("risk"))
+
+
+@query(f"""WITH {s.FINDINGS} SELECT finding_id, CASE WHEN category = 'network' THEN service || ' service' || CASE WHEN finding_id % 2 = 0 THEN ' p' || finding_id % 5 ELSE '' END || ' 1.' || finding_id % 4 ELSE title END AS query FROM findings""")
+def rag_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("finding_id")
+    product = F.when(n % 2 == 0, F.concat(F.lit("p"), (n % 5).cast("string"))).otherwise("")
+    return s.findings(spark, sf_dir).select("finding_id", classify.retrieval_text(F.col("category"), F.col("service"), F.col("title"), product, F.concat(F.lit("1."), (n % 4).cast("string"))).alias("query"))
+
+
+# Merging, ranking, grouping
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_returnflag AS status, CASE WHEN l_quantity >= 40 THEN 'critical' WHEN l_quantity >= 20 THEN 'low' END AS risk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC, l_shipdate DESC) AS r FROM lineitem)
+  SELECT o_orderkey AS finding_id, coalesce(status, 'no_match') AS status, coalesce(risk, 'info') AS risk_level FROM orders LEFT JOIN b ON o_orderkey = l_orderkey AND r = 1""")
+def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    risk = F.when(F.col("l_quantity") >= 40, "critical").when(F.col("l_quantity") >= 20, "low")
+    analysis = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.struct("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate").alias("seq"), F.col("l_returnflag").alias("status"), risk.alias("risk_level"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"))
+    return merge.merge(orders, analysis).select("finding_id", "status", "risk_level")
+
+
+RANKED = f"""{s.CLASSIFIED}, firsts AS (SELECT target, min(({s.RANK.format("risk_level")}) * 1000000000::BIGINT + seq) AS first_at FROM classified GROUP BY target),
+  grouped AS (SELECT target, row_number() OVER (ORDER BY first_at) AS group_rank FROM firsts)"""
+
+
+@query(f"""WITH {RANKED} SELECT finding_id, c.target, status, risk_level, CAST(group_rank AS INTEGER) AS group_rank,
+  CAST(row_number() OVER (PARTITION BY c.target ORDER BY {s.RANK.format("risk_level")}, seq) AS INTEGER) AS item_rank FROM classified c JOIN grouped g ON c.target = g.target""")
+def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: findings classified, merged with their analysis, ranked by risk and grouped by target."""
+    found = s.findings(spark, sf_dir)
+    analysis = classify.classify(found).select("finding_id", "seq", "status", "risk_level")
+    merged = merge.merge(found.select("finding_id", "seq", "target"), analysis)
+    return merge.target_ranks(merged).select("finding_id", "target", "status", "risk_level", "group_rank", "item_rank")
+
+
+@query(f"WITH {RANKED} SELECT c.target, CAST(group_rank AS INTEGER) AS group_rank, count(*) AS n, min({s.RANK.format('risk_level')}) AS worst FROM classified c JOIN grouped g ON c.target = g.target GROUP BY ALL")
+def group_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge.target_ranks(classify.classify(s.findings(spark, sf_dir)))
+    return rows.groupBy("target", "group_rank").agg(F.count(F.lit(1)).alias("n"), F.min(scoring.level_rank(F.col("risk_level"))).alias("worst"))
+
+
+@query("""SELECT coalesce(string_agg(DISTINCT c_name, ', ' ORDER BY c_name) FILTER (k = 0), '') AS network, coalesce(string_agg(DISTINCT c_name, ', ' ORDER BY c_name) FILTER (k = 1), '') AS firmware, '' AS webapp
+  FROM (SELECT n_name AS c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 2 END AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+def infer_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "network").when(F.col("c_mktsegment") == "MACHINERY", "firmware").otherwise("pentest")
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return merge.scope(rows.select(kind.alias("category"), F.col("n_name").alias("target")))
+
+
+PROCESS = f"""{s.FINDINGS}, kinds AS (SELECT target, category, min(seq) AS first_at FROM findings GROUP BY ALL),
+  titles AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY first_at) AS r FROM (SELECT target, title, min(seq) AS first_at FROM findings GROUP BY ALL)) WHERE r <= 15),
+  process AS (SELECT target, string_agg(piece, ' ' ORDER BY part, first_at) AS query FROM (SELECT target, 0 AS part, first_at, CASE category WHEN 'network' THEN '{merge.CATEGORY_PHRASES["network"]}' WHEN 'firmware' THEN '{merge.CATEGORY_PHRASES["firmware"]}' ELSE '{merge.CATEGORY_PHRASES["webapp"]}' END AS piece FROM kinds
+    UNION ALL SELECT target, 1, first_at, title FROM titles) GROUP BY target)"""
+
+
+@query(f"WITH {PROCESS} SELECT target, query FROM process")
+def process_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.process_query(s.findings(spark, sf_dir), "target")
+
+
+@query("""SELECT 'event' AS source, CAST(0 AS INTEGER) AS ord, event_id AS id FROM events WHERE event_type = 'error' UNION ALL SELECT 'order', 1, o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT 'page', 2, page_id FROM pages""")
+def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.lit("event").alias("source"), F.lit(0).alias("ord"), F.col("event_id").alias("id")),
+        table(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%'").select(F.lit("order").alias("source"), F.lit(1).alias("ord"), F.col("o_orderkey").alias("id")),
+        table(spark, sf_dir, "pages").select(F.lit("page").alias("source"), F.lit(2).alias("ord"), F.col("page_id").alias("id")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Retrieval
+
+TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = retrieval.postings(s.documents_as_kb(spark, sf_dir).withColumn("kb", F.lit("all")))
+    return posted.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+
+
+def bm25_sql(docs: str, queries: str) -> str:
+    """Okapi BM25 over (kb, pos, text) and (query_id, query); a negative idf becomes a quarter of the mean."""
+    return f"""docs AS ({docs}), queries AS ({queries}),
+      tokens AS (SELECT kb, pos, unnest({TOKENS}) AS term FROM docs), lens AS (SELECT kb, pos, len({TOKENS}) AS dl FROM docs),
+      stats AS (SELECT kb, count(*) AS n, avg(dl) AS avgdl FROM lens GROUP BY kb), tfs AS (SELECT kb, pos, term, count(*) AS tf FROM tokens GROUP BY ALL),
+      raw AS (SELECT kb, term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT kb, term, count(*) AS df FROM tfs GROUP BY ALL) JOIN stats USING (kb)),
+      idfs AS (SELECT kb, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY kb) ELSE raw END AS idf FROM raw),
+      asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM queries) GROUP BY ALL),
+      scored AS (SELECT query_id, kb, pos, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN tfs USING (term) JOIN idfs USING (kb, term) JOIN lens USING (kb, pos) JOIN stats USING (kb) GROUP BY ALL),
+      filled AS (SELECT q.query_id, d.kb, d.pos, coalesce(x.score, 0) AS score FROM (SELECT DISTINCT query_id FROM queries) q CROSS JOIN docs d LEFT JOIN scored x ON x.query_id = q.query_id AND x.kb = d.kb AND x.pos = d.pos),
+      sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kb ORDER BY round(score, 9) DESC, pos) AS sparse_rank FROM filled) WHERE sparse_rank <= 10)"""
+
+
+SPARSE = bm25_sql("SELECT lang AS kb, doc_id AS pos, text FROM documents", "SELECT item_id AS query_id, text AS query FROM benchmark")
+
+
+@query(f"WITH {SPARSE} SELECT kb, term, df, round(idf, 6) AS idf FROM idfs JOIN raw USING (kb, term)")
+def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = s.documents_as_kb(spark, sf_dir)
+    weights = retrieval.term_weights(retrieval.postings(docs), retrieval.corpus_stats(docs))
+    return weights.select("kb", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {SPARSE} SELECT query_id, kb, pos, round(score, 6) AS score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.bm25_topk(s.benchmark_queries(spark, sf_dir), s.documents_as_kb(spark, sf_dir))
+    return rows.select("query_id", "kb", "pos", F.round("score", 6).alias("score"), "sparse_rank")
+
+
+@query("SELECT * FROM (SELECT CAST(query_id AS BIGINT) AS query_id, lang AS kb, doc_id AS pos, CAST(row_number() OVER (PARTITION BY query_id, lang ORDER BY doc_id) AS INTEGER) AS sparse_rank FROM documents CROSS JOIN (SELECT unnest([1, 2]) AS query_id)) WHERE sparse_rank <= 10")
+def bm25_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = spark.createDataFrame([(1, ""), (2, "?!")], "query_id long, query string")
+    return retrieval.bm25_topk(empty, s.documents_as_kb(spark, sf_dir)).select("query_id", "kb", "pos", "sparse_rank")
+
+
+DENSE = """dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS pos, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, v.vec_id) AS dense_rank
+  FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 10 = 0) WHERE dense_rank <= 10)"""
+
+
+def dense_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_topk(asked, vectors.select(F.col("vec_id").alias("pos"), "embedding"))
+
+
+@query(f"WITH {DENSE} SELECT query_id, pos, round(score, 6) AS score, CAST(dense_rank AS INTEGER) AS dense_rank FROM dense")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_candidates(spark, sf_dir).select("query_id", "pos", F.round("score", 6).alias("score"), "dense_rank")
+
+
+@query(f"WITH {DENSE} SELECT query_id, pos, CASE WHEN score IS NULL THEN NULL WHEN score >= 0.8 THEN '高' WHEN score >= 0.6 THEN '中' ELSE '低' END AS label FROM dense")
+def confidence_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_candidates(spark, sf_dir).select("query_id", "pos", scoring.confidence_label(F.col("score")).alias("label"))
+
+
+@query("""WITH lists AS (SELECT o_custkey AS q, o_orderkey % 40 AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders
+  UNION ALL SELECT o_custkey, o_orderkey % 40, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) FROM orders)
+  SELECT q, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM lists GROUP BY ALL""")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q"), (F.col("o_orderkey") % 40).alias("key"), "o_orderkey", "o_totalprice", "o_orderdate")
+    ranked = [orders.select("q", "key", F.row_number().over(Window.partitionBy("q").orderBy(*by)).alias("rank")) for by in ((F.desc("o_totalprice"), "o_orderkey"), ("o_orderdate", "o_orderkey"))]
+    return retrieval.fuse(ranked[0].unionByName(ranked[1]), ["q", "key"]).select("q", "key", F.round("rrf", 9).alias("rrf"))
+
+
+HYBRID_SPARSE = bm25_sql("SELECT 'all' AS kb, doc_id AS pos, text FROM documents", "SELECT doc_id AS query_id, left(text, 80) AS query FROM documents WHERE doc_id % 10 = 0")
+
+
+def hybrid_sql(mode: str) -> str:
+    d, x = ("dense" if mode != "sparse" else "(SELECT * FROM dense LIMIT 0)"), ("sparse" if mode != "dense" else "(SELECT * FROM sparse LIMIT 0)")
+    return f"""WITH {HYBRID_SPARSE}, {DENSE}, fused AS (SELECT coalesce(d.query_id, x.query_id) AS query_id, coalesce(d.pos, x.pos) AS pos, d.score AS dense_score, dense_rank, sparse_rank,
+      coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) AS rrf FROM {d} d FULL JOIN {x} x ON d.query_id = x.query_id AND d.pos = x.pos)
+      SELECT query_id, pos, round(dense_score, 6) AS score, round(rrf, 9) AS rrf, CASE WHEN dense_rank IS NULL THEN 'sparse' WHEN sparse_rank IS NULL THEN 'dense' ELSE 'dense,sparse' END AS matched_by, CAST(rank AS INTEGER) AS rank
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, coalesce(dense_rank, 1000000 + sparse_rank)) AS rank FROM fused) WHERE rank <= 5"""
+
+
+def hybrid(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    docs = s.documents_as_kb(spark, sf_dir).withColumn("kb", F.lit("all"))
+    asked = docs.filter("pos % 10 = 0").select(F.col("pos").alias("query_id"), F.left("text", F.lit(80)).alias("query"))
+    rows = retrieval.hybrid(dense_candidates(spark, sf_dir), retrieval.bm25_topk(asked, docs), ["query_id"], 5, mode=mode)
+    return rows.select("query_id", "pos", F.round("dense_score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), F.array_join("matched_by", ",").alias("matched_by"), "rank")
+
+
+@query(hybrid_sql("both"))
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir, "both")
+
+
+@query(hybrid_sql("dense"))
+def hybrid_dense_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir, "dense")
+
+
+@query(hybrid_sql("sparse"))
+def hybrid_sparse_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir, "sparse")
+
+
+@query(f"WITH {SPARSE} SELECT query_id, max(pos) FILTER (kb = 'de') AS de, max(pos) FILTER (kb = 'en') AS en, max(pos) FILTER (kb = 'es') AS es, max(pos) FILTER (kb = 'fr') AS fr FROM sparse WHERE sparse_rank = 1 GROUP BY query_id")
+def candidates_per_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best entry of each knowledge base for each query."""
+    rows = retrieval.bm25_topk(s.benchmark_queries(spark, sf_dir), s.documents_as_kb(spark, sf_dir), k=1)
+    return rows.groupBy("query_id").pivot("kb", ["de", "en", "es", "fr"]).agg(F.max("pos"))
+
+
+PROCESS_SPARSE = bm25_sql("SELECT 'process' AS kb, doc_id AS pos, text FROM documents", "SELECT CAST(target AS BIGINT) AS query_id, query FROM process")
+
+
+@query(f"WITH {PROCESS}, {PROCESS_SPARSE} SELECT query_id, pos, round(score, 6) AS score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse WHERE sparse_rank <= 8 AND query_id % 20 = 0")
+def process_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best process entries for every twentieth target's query text."""
+    asked = process_query(spark, sf_dir).select(F.col("target").cast("long").alias("query_id"), "query").filter("query_id % 20 = 0")
+    rows = retrieval.bm25_topk(asked, s.documents_as_kb(spark, sf_dir).withColumn("kb", F.lit("process")), k=8)
+    return rows.select("query_id", "pos", F.round("score", 6).alias("score"), "sparse_rank")
+
+
+# Context and citations
+
+TRUNCATED = rf"CASE WHEN length(own) > 1500 THEN regexp_replace(left(own, 1500), '\s+$', '') || '{text.TRUNCATION_MARK}' ELSE own END"
+
+
+@query(rf"SELECT doc_id, {TRUNCATED} AS text FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS own FROM documents)")
+def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text")).alias("text"))
+
+
+PACK = rf"""WITH RECURSIVE b AS (SELECT doc_id // 20 AS g, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS i, '[CRA Article ' || doc_id || ' — ' || source || '（' || lang || '）]' || chr(10) || {TRUNCATED} AS block
+  FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS own FROM documents)),
+  f AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS total, CAST('' AS VARCHAR) AS text, CAST(0 AS INTEGER) AS n, CAST(0 AS INTEGER) AS d FROM b GROUP BY g
+    UNION ALL SELECT f.g, b.i, CASE WHEN total + length(block) > 12000 AND n > 0 THEN total ELSE total + length(block) + 7 END, CASE WHEN total + length(block) > 12000 AND n > 0 THEN text WHEN n = 0 THEN block ELSE text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || block END,
+      CASE WHEN total + length(block) > 12000 AND n > 0 THEN n ELSE n + 1 END, CASE WHEN total + length(block) > 12000 AND n > 0 THEN d + 1 ELSE d END FROM f JOIN b ON b.g = f.g AND b.i = f.i + 1)
+  SELECT g, CASE WHEN d > 0 THEN text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '{context.DROPPED_NOTE[0]}' || d || '{context.DROPPED_NOTE[1]}' ELSE text END AS text, n AS n_kept, d AS n_dropped FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY i DESC) = 1"""
+
+
+@query(PACK)
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty documents at a time as the candidates of one context."""
+    block = context.clause_entry(F.concat(F.lit("Article "), F.col("doc_id").cast("string")), F.col("source"), F.col("lang"), F.col("text"), "CRA ")
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") / 20).cast("long").alias("g"), "doc_id", block.alias("block"))
+    return context.pack_groups(rows, "g", "doc_id", "block")
+
+
+@query(f"WITH {s.CITED} SELECT doc_id, array_to_string({s.CITATION_LIST}, '|') AS found FROM cited")
+def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.cited_texts(spark, sf_dir).select("doc_id", F.array_join(text.citations(F.col("answer")), "|").alias("found"))
+
+
+COVER = "({0} = {1} OR ({1} <> '' AND starts_with({0}, {1}) AND NOT regexp_matches(substr({0}, length({1}) + 1, 1), '[\\p{{L}}\\p{{N}}]')))"
+_BARE = ("regexp_replace(c, '^iec\\s*62443-\\d-\\d\\s+', '')", "regexp_replace(a, '^iec\\s*62443-\\d-\\d\\s+', '')")
+
+
+@query(f"""WITH {s.CITED}, each AS (SELECT doc_id, allowed, unnest({s.CITATION_LIST}) AS cite, generate_subscripts({s.CITATION_LIST}, 1) AS i FROM cited),
+  norm AS (SELECT DISTINCT doc_id, i, cite, trim(lower(regexp_replace(cite, '\\s+', ' ', 'g'))) AS c, lower(unnest(allowed)) AS a FROM each),
+  hits AS (SELECT doc_id, i, cite, bool_or({COVER.format("c", "a")} OR {COVER.format("a", "c")} OR {COVER.format(*_BARE)} OR {COVER.format(*_BARE[::-1])}) AS ok FROM norm GROUP BY ALL),
+  firsts AS (SELECT doc_id, cite, min(i) AS i FROM hits WHERE NOT ok GROUP BY ALL)
+  SELECT d.doc_id, coalesce(string_agg(cite, '|' ORDER BY i), '') AS unsupported FROM documents d LEFT JOIN firsts f ON d.doc_id = f.doc_id GROUP BY d.doc_id""")
+def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.cited_texts(spark, sf_dir).select("doc_id", F.array_join(text.unsupported_citations(F.col("answer"), F.col("allowed")), "|").alias("unsupported"))
+
+
+@query("""SELECT doc_id, 'annex i part i(' || doc_id % 9 || ')(a)' AS key, 'CRA  Annex I' || chr(160) || 'Part I (' || doc_id % 9 || ') (a)' AS id, 'n' || doc_id % 4 AS note, CASE WHEN doc_id % 3 = 0 THEN 'annex' WHEN doc_id % 3 = 1 THEN 'standard' ELSE 'article' END AS kind FROM documents""")
+def clause_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    ref = F.concat(F.lit("CRA  Annex I\u00a0Part I ("), (n % 9).cast("string"), F.lit(") (a) — n"), (n % 4).cast("string"))
+    kind = text.entry_kind(F.when(n % 3 == 0, " ANNEX I").when(n % 3 == 1, "IEC 62443-4-2 CR 1.1").otherwise("Article 1"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.clause_key(text.reference_id(ref)).alias("key"), text.reference_id(ref).alias("id"), text.reference_note(ref).alias("note"), kind.alias("kind"))
+
+
+@query(r"""WITH kb AS (SELECT 'article ' || doc_id % 50 AS k, arg_max(regexp_replace(text, '^\s+|\s+$', '', 'g'), doc_id) AS body FROM documents WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> '' GROUP BY 1)
+  SELECT event_id, CASE WHEN length(body) > 4000 THEN regexp_replace(left(body, 4000), '\s+$', '') || '……' ELSE coalesce(body, '') END AS clause_text FROM events LEFT JOIN kb ON 'article ' || event_id % 60 = k""")
+def clause_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each finding's clause; a later entry of the same number wins."""
+    kb = table(spark, sf_dir, "documents").select(text.clause_key(F.concat(F.lit("CRA Article "), (F.col("doc_id") % 50).cast("string"))).alias("key"), F.col("doc_id").alias("ord"), text.strip(F.col("text")).alias("body")).filter("body <> ''")
+    index = kb.groupBy("key").agg(F.max_by("body", "ord").alias("body"))
+    rows = table(spark, sf_dir, "events").select("event_id", text.clause_key(F.concat(F.lit("Article  "), (F.col("event_id") % 60).cast("string"))).alias("key"))
+    return rows.join(index, "key", "left").select("event_id", text.truncate(F.col("body"), text.CLAUSE_CHARS, text.CLAUSE_MARK).alias("clause_text"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN 'n' || turn END AS weakness_name, CASE WHEN turn % 3 <> 0 THEN 'second' END AS weakness_reason, CASE WHEN turn % 3 <> 0 THEN 'fix it' END AS remediation FROM conversations""")
+def summary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, reason, remedy = (f"【{label}】" for label in text.SUMMARY_LABELS)
+    answer = F.concat(F.lit(f"x {reason} first {remedy}\n fix it \n{name}n"), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.lit(f"{reason}second")))
+    answer = F.when(F.col("turn") % 3 == 0, F.replace(answer, F.lit(name), F.lit(""))).otherwise(answer)
+    found = text.summary(answer)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("f")).select("conv_id", "turn", "f.*")
+
+
+# Segmentation
+
+
+@query(f"WITH {s.LINES} SELECT doc_id, n, line FROM body")
+def line_noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.body_lines(s.standard_lines(spark, sf_dir)).select("doc_id", "n", "line")
+
+
+CLAUSE_ROWS = rf"""{s.LINES}, marked AS (SELECT *, regexp_matches(line, '^\d+\s+FR\s+\d+\s*[–—-]\s*.+$') AS g, regexp_matches(line, '^\d+\.1 CR ') AS c, regexp_matches(line, '^\d+\.1 Security levels$') AS x FROM body),
+  islands AS (SELECT *, sum(CAST(c AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS clause, last_value(CASE WHEN g THEN regexp_replace(regexp_replace(line, '^\d+\s+', ''), '\s+', ' ', 'g') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM marked),
+  parts AS (SELECT *, first_value(CASE WHEN c THEN regexp_extract(line, '(CR \d+\.\d+)', 1) END IGNORE NULLS) OVER w AS clause_id, first_value(CASE WHEN c THEN coalesce(grp, '') END IGNORE NULLS) OVER w AS clause_group, coalesce(last_value(CASE WHEN x THEN 'security_levels' END IGNORE NULLS) OVER w, 'requirement') AS field
+    FROM islands WHERE clause > 0 AND NOT g WINDOW w AS (PARTITION BY doc_id, clause ORDER BY n))"""
+
+
+@query(f"WITH {CLAUSE_ROWS} SELECT doc_id, clause, clause_id, clause_group AS \"group\", field, n, line FROM parts WHERE NOT c AND NOT x")
+def clause_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.clause_lines(segments.body_lines(s.standard_lines(spark, sf_dir)))
+    return rows.select("doc_id", "clause", "clause_id", "group", "field", "n", "line")
+
+
+@query(rf"""WITH RECURSIVE {s.LINES}, l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, line FROM body),
+  f AS (SELECT doc_id, i, line AS text FROM l WHERE i = 1 UNION ALL SELECT f.doc_id, l.i, CASE WHEN regexp_matches(line, '^(\(\d+\)|[a-z]\)|\d+\)|[•●▪◦‣]|NOTE\b|EXAMPLE\b|SL-C\b)') THEN text || chr(10) || line WHEN text LIKE '%-' THEN left(text, length(text) - 1) || line ELSE text || ' ' || line END
+    FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+  SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1""")
+def dewrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.body_lines(s.standard_lines(spark, sf_dir))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    return rows.groupBy("doc_id").agg(ordered.alias("lines")).select("doc_id", segments.dewrap(F.col("lines")).alias("text"))
+
+
+# Knowledge-base checks and parsing
+
+
+@query("SELECT source AS kb, CAST(doc_id % 3 AS BIGINT) AS key, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_keys(table(spark, sf_dir, "documents").select(F.col("source").alias("kb"), (F.col("doc_id") % 3).alias("key")), "kb", "key")
+
+
+@query("SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 620 ELSE 128 END AS expected, abs(count(*) - CASE lang WHEN 'en' THEN 620 ELSE 128 END) <= 5 AS ok FROM documents GROUP BY lang")
+def count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.count_check(table(spark, sf_dir, "documents"), "lang", F.when(F.col("lang") == "en", 620).otherwise(128), 5)
+
+
+@query("""SELECT lang, count(*) FILTER (trim(own) = '') AS n_empty, count(*) FILTER (regexp_matches(own, '(?i)licence agreement|copyright of IEC|Customer:\\s|Order No\\.:')) AS n_leaks, count(*) AS n
+  FROM (SELECT lang, CASE WHEN doc_id % 50 = 0 THEN ' ' WHEN doc_id % 70 = 1 THEN text || ' Licence Agreement' ELSE coalesce(text, '') END AS own FROM documents) GROUP BY lang""")
+def text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("doc_id") % 50 == 0, " ").when(F.col("doc_id") % 70 == 1, F.concat("text", F.lit(" Licence Agreement"))).otherwise(F.col("text"))
+    return quality.text_check(table(spark, sf_dir, "documents").select("lang", own.alias("text")), "lang")
+
+
+@query("""SELECT page_id, 'Article ' || page_id % 70 AS article_no, 'T' || page_id AS title, 'one' || chr(10) || 'two' || chr(10) || 'sub 2' AS text FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id, 'Article 99', '', 'tail ' || page_id FROM pages WHERE page_id % 2 = 0""")
+def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of made-up regulation pages; text in an annex does not belong to the last article."""
+    n = F.col("page_id").cast("string")
+    page = F.concat(F.lit("<body><p class='oj-normal'>before</p><p class='oj-ti-art'>Article "), (F.col("page_id") % 70).cast("string"), F.lit("</p><p class='oj-sti-art'>T"), n, F.lit("</p><p class='oj-normal'>one</p><div><p class='oj-normal'> two </p></div><p class='oj-sti-art'>sub 2</p><p class='oj-ti-art'>no number</p><p class='oj-ti-art'>Article 99</p><p class=oj-normal>tail "), n, F.lit("</p><div id='anx_I'><p class='oj-normal'>annex</p></div></body>"))
+    pages = table(spark, sf_dir, "pages").filter("page_id % 2 = 0").select("page_id", page.alias("page"))
+    return knowledge.articles(pages, "page_id", "page")
+
+
+@query("""SELECT page_id, 'Annex I Part I (1)' AS article_no, 'Part I Demands' AS title, 'A' || page_id AS text FROM pages UNION ALL SELECT page_id, 'Annex I Part I (1)(a)', 'Part I Demands', 'deep ' || page_id % 5 FROM pages
+  UNION ALL SELECT page_id, 'Annex I Part II 1', 'Part II Process', 'plain text' FROM pages UNION ALL SELECT page_id, 'Annex IV (3)', '', 'item ' || page_id FROM pages""")
+def annex_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, m = F.col("page_id").cast("string"), (F.col("page_id") % 5).cast("string")
+    nested = F.concat(F.lit("<table><tr><td>(a)</td><td><p class='oj-normal'>deep "), m, F.lit("</p></td></tr></table>"))
+    page = F.concat(F.lit("<div id='anx_I'><p class='oj-ti-grseq-1'>Part I Demands</p><table><tr><td></td><td><p>(1)</p></td><td><span>A"), n, F.lit("</span>"), nested, F.lit("</td></tr><tr><td>(9)</td><td><span>second row</span></td></tr></table><p class='oj-ti-grseq-1'>Part II Process</p><table><tr><td>plain</td><td>text</td></tr></table></div><div id='anx_IV'><div class='oj-enumeration-spacing'><p>3.</p><p><span>item "), n, F.lit("</span></p></div></div>"))
+    return knowledge.annexes(table(spark, sf_dir, "pages").select("page_id", page.alias("page")), "page_id", "page").select("page_id", "article_no", "title", "text")
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS n, 'Article ' || (doc_id + i) AS article_no, 'Article ' || (doc_id + i) || ' says ' || i AS text FROM documents CROSS JOIN (SELECT unnest([1, 2, 3]) AS i)""")
+def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    body = F.concat(F.lit("preamble "), *[F.concat(F.lit("Article "), (n + i).cast("string"), F.lit(f" says {i}\n ")) for i in (1, 2, 3)])
+    return knowledge.split_articles(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), "doc_id", "body")
+
+
+@query("SELECT event_id, 'CWE-' || event_id AS key, 'N' || event_type AS title, 'a b' AS text, CASE WHEN event_id % 2 = 0 THEN 'm1' ELSE '' END AS mitigations, 'N' || event_type || chr(10) || 'a b' || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'm1' ELSE '' END AS embedding_text FROM events WHERE event_id % 5 <> 0")
+def weakness_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    fix = F.when(n % 2 == 0, "<w:Potential_Mitigations><w:Mitigation><w:Phase>x</w:Phase><w:Description>m1</w:Description></w:Mitigation></w:Potential_Mitigations>").otherwise("")
+    xml = F.concat(F.lit("<w:List xmlns:w='urn:w'><w:Weaknesses><w:Weakness ID='"), n.cast("string"), F.lit("' Name='N"), F.col("event_type"), F.lit("' Status='"), F.when(n % 5 == 0, "Deprecated").otherwise("Draft"), F.lit("'><w:Description>a <w:p> b </w:p></w:Description>"), fix, F.lit("</w:Weakness></w:Weaknesses></w:List>"))
+    rows = knowledge.weaknesses(table(spark, sf_dir, "events").select(xml.alias("xml")))
+    return rows.select(F.substring_index("key", "-", -1).cast("long").alias("event_id"), "key", "title", "text", F.array_join("mitigations", "|").alias("mitigations"), "embedding_text")
+
+
+# Scan outputs
+
+
+@query("""SELECT page_id, name, CASE WHEN regexp_matches(name, '^id_(rsa|dsa|ecdsa|ed25519)$') THEN 'high' WHEN regexp_matches(name, '(?i)^.*\\.(pem|key|p12|pfx)$') THEN 'high' WHEN name = 'shadow' THEN 'high' WHEN name = 'passwd' THEN 'medium' WHEN has THEN 'high' END AS severity
+  FROM (SELECT page_id, ['id_rsa', 'x.PEM', 'shadow', 'passwd', 'hostname', 'backup.dat'][CAST(page_id % 6 AS INTEGER) + 1] AS name, page_id % 12 = 5 AS has FROM pages)""")
+def filename_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("id_rsa", "x.PEM", "shadow", "passwd", "hostname", "backup.dat")]), (n % 6 + 1).cast("int"))
+    content = F.when(n % 12 == 5, F.concat(F.lit("zz-----BEGIN EC PRIVATE KEY-----"), F.col("url"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("name"), firmware.file_severity(name, F.length(content), content).alias("severity"))
+
+
+KEYWORD_LIST = "', '".join(firmware.KEYWORDS)
+
+
+@query(f"""SELECT doc_id, doc_id * 16 AS offset_decimal, '0x' || lower(to_hex(doc_id * 16)) AS offset_hex, title, list_filter(['{KEYWORD_LIST}'], lambda k: contains(lower(title), k))[1] AS matched_keyword,
+  CASE WHEN list_filter(['{KEYWORD_LIST}'], lambda k: contains(lower(title), k))[1] IS NULL THEN 'info' ELSE 'high' END AS severity
+  FROM (SELECT doc_id, ['Squashfs filesystem with passwd', 'gzip compressed data', 'RSA Private Key', 'Certificate in DER'][CAST(doc_id % 4 AS INTEGER) + 1] || ' ' || lang AS title FROM documents WHERE doc_id % 7 <> 0)""")
+def signature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    found = F.element_at(F.array(*[F.lit(x) for x in ("Squashfs filesystem with passwd", "gzip compressed data", "RSA Private Key", "Certificate in DER")]), (n % 4 + 1).cast("int"))
+    line = F.when(n % 7 == 0, "DECIMAL  HEXADECIMAL  DESCRIPTION").otherwise(F.concat(F.lit("  "), (n * 16).cast("string"), F.lit("     0x"), F.lower(F.hex(n * 16)), F.lit("   "), found, F.lit(" "), F.col("lang"), F.lit(" \t")))
+    return firmware.signatures(table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))).select("doc_id", "offset_decimal", "offset_hex", "title", "matched_keyword", "severity")
+
+
+@query("""SELECT event_id, target, protocol, port, service, CASE WHEN event_id % 3 = 0 THEN 'P' ELSE '' END AS product, CASE WHEN event_id % 2 = 0 THEN '1.' || event_id % 4 ELSE '' END AS version,
+    trim('tcp/' || port || ' ' || service) || CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN ' (P 1.' || event_id % 4 || ')' WHEN event_id % 3 = 0 THEN ' (P)' WHEN event_id % 2 = 0 THEN ' (1.' || event_id % 4 || ')' ELSE '' END AS title
+  FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS target, 'tcp' AS protocol, CAST(event_id % 1000 AS VARCHAR) AS port, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS service FROM events) WHERE event_id % 5 <> 0""")
+def portscan_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts with one open and one closed port; every fifth has no address."""
+    n = F.col("event_id")
+    name = F.when(F.col("event_type") == "view", "").otherwise(F.concat(F.lit(" name='"), F.col("event_type"), F.lit("'")))
+    service = F.concat(F.lit("<service"), name, F.when(n % 3 == 0, " product='P'").otherwise(""), F.when(n % 2 == 0, F.concat(F.lit(" version='1."), (n % 4).cast("string"), F.lit("'"))).otherwise(""), F.lit("/>"))
+    address = F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("<address addr='"), F.col("user_id").cast("string"), F.lit("'/><address addr='mac'/>")))
+    xml = F.concat(F.lit("<host>"), address, F.lit("<ports><port protocol='tcp' portid='9'><state state='closed'/></port><port protocol='tcp' portid='"), (n % 1000).cast("string"), F.lit("'><state state='open'/>"), service, F.lit("</port></ports></host>"))
+    hosts = portscan.parse_hosts(table(spark, sf_dir, "events").select("event_id", xml.alias("xml")), "xml")
+    return portscan.open_ports(hosts).select("event_id", "target", "protocol", "port", "service", "product", "version", "title")
+
+
+@query("""SELECT event_id, 'tcp/443' AS port, 's' AS script_id, CASE WHEN event_id % 4 = 0 THEN 'CVE-2014-' || (1000 + event_id % 9000) ELSE '' END AS numbers, CAST(CASE WHEN event_id % 3 = 0 THEN 9.8 WHEN event_id % 3 = 1 THEN NULL ELSE 5.0 END AS DOUBLE) AS score,
+  CASE WHEN event_id % 3 = 0 THEN 'critical' WHEN event_id % 3 = 2 THEN 'medium' WHEN event_type = 'click' THEN 'low' WHEN event_type = 'view' THEN 'critical' ELSE 'medium' END AS severity,
+  CASE WHEN event_id % 2 = 0 THEN 'T' ELSE 's' END || '（tcp/443）' AS title FROM events WHERE event_type <> 'error'""")
+def portscan_vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts with a vulnerable table nested in another, and one that is not vulnerable."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    state = F.when(kind == "error", "NOT VULNERABLE").when(kind == "view", "VULNERABLE (Exploitable)").otherwise("LIKELY VULNERABLE")
+    key = F.when(n % 4 == 0, F.concat(F.lit(" key='CVE-2014-"), (1000 + n % 9000).cast("string"), F.lit("'"))).otherwise("")
+    scores = F.when(n % 3 == 0, "<table key='scores'><elem key='CVSSv2'>7.5 (HIGH)</elem><elem key='CVSSv3'>9.8</elem><elem>N/A</elem></table>").when(n % 3 == 2, "<table key='scores'><elem>5.0</elem></table>").otherwise("")
+    factor = F.when(kind == "click", "<elem key='risk_factor'> LOW </elem>").otherwise("")
+    title = F.when(n % 2 == 0, "<elem key='title'> T </elem>").otherwise("")
+    xml = F.concat(F.lit("<host><address addr='"), n.cast("string"), F.lit("'/><ports><port protocol='tcp' portid='443'><state state='closed'/><script id='s'><table><table"), key, F.lit("><elem key='state'>"), state, F.lit("</elem>"), title, factor, scores, F.lit("</table></table></script></port></ports></host>"))
+    rows = portscan.script_findings(table(spark, sf_dir, "events").select("event_id", xml.alias("xml")), "xml")
+    return rows.select("event_id", "port", "script_id", F.array_join("cve_ids", ",").alias("numbers"), F.col("cvss_score").alias("score"), "severity", "title")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'http://h' || user_id END AS target, CASE WHEN event_id % 3 = 0 THEN 'N' ELSE event_type END AS title, 'info' AS severity, left(repeat('d' || event_id, 60), 200) AS description, CASE event_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'info' END AS alert_risk FROM events""")
+def web_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    risk = F.when(n % 5 == 0, "High").when(n % 5 == 1, "Medium").when(n % 5 == 2, "Low").when(n % 5 == 3, "Unheard of")
+    body = F.to_json(F.struct(F.when(n % 4 != 0, F.concat(F.lit("http://h"), F.col("user_id").cast("string"))).alias("url"), F.when(n % 3 != 0, F.col("event_type")).alias("alert"), F.lit("N").alias("name"), risk.alias("risk"), F.repeat(F.concat(F.lit("d"), n.cast("string")), 60).alias("description")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json(body, web.ALERT_SCHEMA).alias("a")).select("event_id", "a.*")
+    return web.alerts(rows).select("event_id", "target", "title", "severity", "description", "alert_risk")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR conv_id % 5 = 0 THEN 'inconclusive' WHEN turn % 2 = 0 THEN 'confirmed' ELSE 'not_confirmed' END AS outcome, CASE WHEN NOT (turn % 4 = 3 OR conv_id % 5 = 0) AND turn % 2 = 0 THEN 'high' ELSE 'info' END AS severity,
+  CASE WHEN turn % 4 = 3 THEN 'broken {"outcome": 1' ELSE 'sum ' || turn END AS summary FROM (SELECT conv_id, turn FROM conversations)""")
+def agent_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn")
+    block = F.to_json(F.struct(F.when(turn % 2 == 0, "confirmed").otherwise("not_confirmed").alias("outcome"), F.lit("high").alias("severity"), F.concat(F.lit(" sum "), turn.cast("string")).alias("summary")))
+    answer = F.when(turn % 4 == 3, 'broken {"outcome": 1').otherwise(F.concat(F.lit('first ```json\n{"outcome": "confirmed", "severity": "low"}\n``` then ```json\n'), block, F.lit("\n``` end")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("result"), (F.col("conv_id") % 5 == 0).alias("is_error"))
+    return web.agent_findings(rows).select("conv_id", "turn", "outcome", "severity", "summary")
+
+
+# Caches and generated texts
+
+SIGNED = f"""{s.FINDINGS}, keyed AS (SELECT *, category || '|' || source || '|' || title AS signature FROM findings), cached AS (SELECT DISTINCT signature, 'a' AS answer FROM keyed WHERE finding_id % 7 = 0)"""
+
+
+@query(f"WITH {SIGNED} SELECT signature, 'IEC 1|CRA 2|' || left(sha1('why|' || category), 8) || '::' || signature AS rule_key, count(*) AS n FROM keyed GROUP BY ALL")
+def signature_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = s.findings(spark, sf_dir).withColumn("signature", cache.signature(s.findings(spark, sf_dir)))
+    key = cache.rule_key(F.lit("IEC 1"), F.lit("CRA 2"), F.lit("why"), F.col("category"), F.col("signature"))
+    return rows.groupBy("signature", key.alias("rule_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = s.findings(spark, sf_dir)
+    rows = rows.withColumn("cache_key", cache.signature(rows)).withColumn("prompt", F.col("title")).withColumn("allowed", F.array(F.lit("CWE-1")))
+    return rows, rows.filter("finding_id % 7 = 0").select("cache_key", F.lit("a").alias("answer")).distinct()
+
+
+@query(f"WITH {SIGNED} SELECT finding_id, answer FROM keyed LEFT JOIN cached USING (signature)")
+def cache_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.hits(*cached(spark, sf_dir)).select("finding_id", "answer")
+
+
+@query(f"WITH {SIGNED} SELECT DISTINCT signature AS cache_key FROM keyed WHERE signature NOT IN (SELECT signature FROM cached)")
+def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.misses(*cached(spark, sf_dir)).select("cache_key")
+
+
+def _answer(prompt: str) -> str | None:
+    """Stands in for a language model: no answer, one with a made-up citation, or a good one."""
+    kind = sum(map(ord, prompt)) % 3
+    return [None, f"{prompt}: see CWE-2", f"{prompt}: see CWE-1"][kind]
+
+
+@query(f"""WITH {SIGNED}, missing AS (SELECT DISTINCT signature, title FROM keyed WHERE signature NOT IN (SELECT signature FROM cached))
+  SELECT signature AS cache_key, answer FROM cached UNION ALL SELECT signature, title || ': see CWE-1' FROM missing WHERE list_sum(list_transform(string_split(title, ''), lambda c: ascii(c))) % 3 = 2""")
+def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after the missing texts were asked for; an answer that cites what it may not is not kept."""
+    return cache.fill(*cached(spark, sf_dir), _answer)
+
+
+# Plans, targets, jobs and reports
+
+
+@query(f"""WITH {s.CLASSIFIED}, p AS (SELECT *, CASE WHEN status = 'matched' THEN cra_reference WHEN finding_id % 2 = 0 THEN 'IEC 62443-4-2 CR 1.' || finding_id % 9 END AS requirement_id FROM classified WHERE category IN ('network', 'webapp')),
+  o AS (SELECT *, 'With authorisation, verify whether ' || service || ' on ' || target || ' can be exploited' || CASE WHEN requirement_id IS NULL THEN '' ELSE ' (requirement ' || requirement_id || ')' END AS objective FROM p)
+  SELECT finding_id, CASE WHEN status = 'matched' THEN 'rule' WHEN requirement_id IS NOT NULL THEN 'iec' END AS requirement_source, requirement_id, objective, 'python3 -m live_check ' || target || ' --objective ''' || objective || ''' --i-am-authorized' AS command FROM o""")
+def test_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("finding_id")
+    candidate = F.struct(F.concat(F.lit("IEC 62443-4-2 CR 1."), (n % 9).cast("string")).alias("key"), F.lit("t").alias("title"), F.lit("").alias("text"), F.lit(None).cast("string").alias("text_zh"))
+    none = F.array().cast("array<struct<key:string,title:string,text:string,text_zh:string>>")
+    merged = classify.classify(s.findings(spark, sf_dir)).withColumns({"clauses": F.when(n % 2 == 0, F.array(candidate)).otherwise(none), "articles": none})
+    return plan.test_plan(merged).select("finding_id", F.col("requirement.source").alias("requirement_source"), F.col("requirement.id").alias("requirement_id"), "objective", "command")
+
+
+@query("""SELECT event_id, CAST(i AS INTEGER) AS item_no, CASE i WHEN 0 THEN '10.' || event_id % 300 || '.0.1' WHEN 1 THEN '192.168.' || event_id % 256 || '.77/' || event_id % 40 ELSE 'host' || event_id END AS item,
+    CASE i WHEN 0 THEN event_id % 300 <= 255 WHEN 1 THEN event_id % 40 <= 32 ELSE false END AS valid,
+    CASE WHEN i = 0 AND event_id % 300 <= 255 THEN 1 WHEN i = 1 AND event_id % 40 <= 32 THEN CAST(pow(2, 32 - event_id % 40) AS BIGINT) END AS size,
+    coalesce(CASE WHEN i = 1 AND event_id % 40 <= 32 THEN 32 - event_id % 40 > 8 END, false) AS large,
+    CASE WHEN i = 0 AND event_id % 300 <= 255 THEN '10.' || event_id % 300 || '.0.1' WHEN i = 1 AND event_id % 40 <= 32 THEN
+      (b >> 24) || '.' || ((b >> 16) & 255) || '.' || ((b >> 8) & 255) || '.' || (b & 255) || '/' || event_id % 40 END AS normalised
+  FROM (SELECT event_id, i, ((192::BIGINT << 24) + (168::BIGINT << 16) + ((event_id % 256) << 8) + 77) - ((192::BIGINT << 24) + (168::BIGINT << 16) + ((event_id % 256) << 8) + 77) % CAST(pow(2, greatest(32 - event_id % 40, 0)) AS BIGINT) AS b FROM events CROSS JOIN (SELECT unnest([0, 1, 2]) AS i))""")
+def target_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    s_ = lambda c: c.cast("string")
+    listed = F.concat(F.lit("10."), s_(n % 300), F.lit(".0.1, 192.168."), s_(n % 256), F.lit(".77/"), s_(n % 40), F.lit(" ,host"), s_(n), F.lit(","))
+    rows = targets.explode_targets(table(spark, sf_dir, "events").select("event_id", listed.alias("targets")), "targets")
+    return rows.select("event_id", "item_no", "item", "valid", "size", "large", "normalised")
+
+
+@query("""SELECT page_id, regexp_matches(own, '^https?://[^/?#]+') AS valid FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN substr(url, 5) ELSE url END AS own FROM pages)""")
+def url_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("page_id") % 3 == 0, F.col("url").substr(5, 1000)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", targets.valid_url(own).alias("valid"))
+
+
+@query("""SELECT event_id AS job_id, stage, CASE WHEN st = 'pending' AND event_id % 11 = 0 THEN 'error' ELSE st END AS status FROM (SELECT event_id, stage, CASE stage WHEN 'ports' THEN CASE WHEN event_id % 2 = 0 THEN 'pending' ELSE 'skipped' END WHEN 'firmware' THEN CASE WHEN event_id % 3 = 0 THEN 'pending' ELSE 'skipped' END
+  WHEN 'web' THEN 'skipped' WHEN 'analysis' THEN 'pending' ELSE CASE WHEN event_id % 5 = 0 THEN 'pending' ELSE 'skipped' END END AS st FROM events CROSS JOIN (SELECT unnest(['ports', 'firmware', 'web', 'analysis', 'report']) AS stage))""")
+def stage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    jobs = table(spark, sf_dir, "events").select(n.alias("job_id"), F.when(n % 2 == 0, "10.0.0.1").alias("ip"), F.when(n % 3 == 0, "f.bin").otherwise("").alias("firmware"), F.lit(None).cast("string").alias("url"), (n % 5 == 0).alias("report"))
+    rows = report.initial_stages(jobs)
+    return rows.select("job_id", "stage", F.when(F.col("job_id") % 11 == 0, report.after_failure(F.col("status"))).otherwise(F.col("status")).alias("status"))
+
+
+@query(f"""WITH {s.CLASSIFIED} SELECT target, CAST(CASE status WHEN 'matched' THEN 1 ELSE 2 END AS INTEGER) AS section, ({s.RANK.format("risk_level")}) * 1099511627776 + seq AS ord,
+  '### ' || title || chr(10) || '- risk: ' || risk_level || CASE WHEN cra_reference IS NULL THEN '' ELSE chr(10) || '- CRA: ' || cra_reference || chr(10) || '- IEC: ' || iec_reference END AS text,
+  CASE risk_level WHEN 'critical' THEN 'risk-critical' WHEN 'high' THEN 'risk-high' WHEN 'medium' THEN 'risk-medium' WHEN 'low' THEN 'risk-low' ELSE 'risk-info' END AS badge FROM classified""")
+def report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classify.classify(s.findings(spark, sf_dir))
+    blocks = report.finding_blocks(rows)
+    return blocks.withColumn("badge", report.badge(F.regexp_extract("text", r"- risk: (\w+)", 1)))
