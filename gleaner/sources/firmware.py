@@ -50,14 +50,25 @@ def file_severity(name: Column, length: Column, content: Column) -> Column:
     return F.coalesce(name_severity(name), F.when((length <= CONTENT_BYTES) & has_key(content), F.lit("high")))
 
 
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, content) of files without a byte, which Spark's file sources leave out."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed, paths = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            paths.append((status.getPath().toString(), 0, b""))
+    return spark.createDataFrame(paths, "path string, length long, content binary")
+
+
 def extracted_files(spark: SparkSession, root: str, most: int = MAX_FILES) -> DataFrame:
     """Files under a folder that are worth a finding. At most ``most`` files are examined, by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    first = files.select("path", "length").orderBy("path").limit(most)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content").unionByName(empty_files(spark, root))
+    first = files.select("path").orderBy("path").limit(most)
     name = F.element_at(F.split("path", "/"), -1)
-    content = F.when(F.col("length") <= CONTENT_BYTES, F.col("content").cast("binary"))
     header = F.lit(False)
     for kind in KEY_HEADERS:
-        header = header | F.contains(content, F.lit(f"-----BEGIN {kind}PRIVATE KEY-----".encode()))
-    rows = files.join(first.select("path"), "path", "left_semi").withColumn("severity", F.coalesce(name_severity(name), F.when(header, F.lit("high"))))
+        header = header | F.contains("content", F.lit(f"-----BEGIN {kind}PRIVATE KEY-----".encode()))
+    by_content = F.when((F.col("length") <= CONTENT_BYTES) & header, F.lit("high"))
+    rows = files.join(first, "path", "left_semi").withColumn("severity", F.coalesce(name_severity(name), by_content))
     return rows.filter("severity IS NOT NULL").select("path", name.alias("name"), F.col("length").alias("size_bytes"), "severity")

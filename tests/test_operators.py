@@ -1,0 +1,273 @@
+"""Unit vectors of the operators, without the driver's tables."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.functions import scoring, text
+from gleaner.operators import cache, classify, context, merge, plan, quality, report, retrieval, segments, targets
+from gleaner.sources import firmware, knowledge, portscan, web
+from gleaner.streaming import findings as stream
+
+
+def column(spark, value, make, kind="string"):
+    return spark.createDataFrame([(value,)], f"v {kind}").select(make(F.col("v")).alias("r")).first().r
+
+
+@pytest.mark.parametrize(("score", "level"), [(9.8, "critical"), (9.0, "critical"), (8.9, "high"), (7.0, "high"), (6.9, "medium"), (4.0, "medium"), (3.9, "low"), (None, None)])
+def test_score_to_severity(spark, score, level):
+    assert column(spark, score, scoring.score_to_severity, "double") == level
+
+
+@pytest.mark.parametrize(("shown", "score"), [("10.0 (HIGH) (AV:N)", 10.0), ("9.8", 9.8), ("10", 10.0), ("N/A", None), ("", None), (None, None)])
+def test_parse_score(spark, shown, score):
+    assert column(spark, shown, scoring.parse_score) == score
+
+
+@pytest.mark.parametrize(("state", "ok"), [("VULNERABLE", True), ("LIKELY VULNERABLE", True), ("VULNERABLE (DoS)", True), ("NOT VULNERABLE", False), ("UNKNOWN", False), ("vulnerable", False), (None, False)])
+def test_vulnerable_state(spark, state, ok):
+    assert column(spark, state, scoring.is_vulnerable_state) is ok
+
+
+@pytest.mark.parametrize(("score", "label"), [(0.8, "高"), (0.79999, "中"), (0.6, "中"), (0.59, "低"), (None, None)])
+def test_confidence(spark, score, label):
+    assert column(spark, score, scoring.confidence_label, "double") == label
+
+
+@pytest.mark.parametrize(("severity", "risk", "want"), [("critical", None, "critical"), ("info", "high", "high"), (None, None, "info"), ("info", "odd", "info"), (None, "info", "info")])
+def test_fallback(spark, severity, risk, want):
+    row = spark.createDataFrame([(severity, risk)], "s string, r string").select(scoring.fallback_risk(F.col("s"), F.col("r")).alias("x")).first()
+    assert row.x == want
+
+
+def test_risk_sort_is_stable_and_unknown_last(spark):
+    rows = [(1, "odd"), (2, "low"), (3, "critical"), (4, None), (5, "low"), (6, "critical"), (7, "info")]
+    df = spark.createDataFrame(rows, "seq long, risk_level string")
+    assert [r.seq for r in merge.by_risk(df).collect()] == [3, 6, 2, 5, 7, 1, 4]
+
+
+def test_merge_keeps_left_duplicates_and_takes_the_last_analysis(spark):
+    found = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "finding_id string, seq long")
+    analysis = spark.createDataFrame([("a", 1, "matched", "low"), ("a", 2, "matched", "high"), ("c", 3, "matched", "low")], "finding_id string, seq long, status string, risk_level string")
+    got = sorted((r.finding_id, r.seq, r.status, r.risk_level) for r in merge.merge(found, analysis).collect())
+    assert got == [("a", 1, "matched", "high"), ("a", 2, "matched", "high"), ("b", 3, "no_match", "info")]
+
+
+def test_groups_come_by_their_first_row(spark):
+    df = spark.createDataFrame([(1, "10.0.0.2", "high"), (2, "10.0.0.2", "info"), (3, "10.0.0.1", "critical")], "seq long, target string, risk_level string")
+    got = {(r.target, r.seq): (r.group_rank, r.item_rank) for r in merge.target_ranks(df).collect()}
+    assert got == {("10.0.0.1", 3): (1, 1), ("10.0.0.2", 1): (2, 1), ("10.0.0.2", 2): (2, 2)}
+
+
+def test_scope_has_all_categories_and_no_others(spark):
+    df = spark.createDataFrame([("network", "b"), ("network", "a"), ("network", "a"), ("pentest", "z")], "category string, target string")
+    assert tuple(merge.scope(df).first()) == ("a, b", "", "")
+    assert tuple(merge.scope(df.limit(0)).first()) == ("", "", "")
+
+
+def test_process_query_caps_titles_at_fifteen(spark):
+    rows = [(1, k, ["network", "other"][k % 2], f" t{k % 20} ") for k in range(40)]
+    got = merge.process_query(spark.createDataFrame(rows, "run long, seq long, category string, title string"), "run").first().query
+    assert got == merge.CATEGORY_PHRASES["network"] + " other " + " ".join(f"t{k}" for k in range(15))
+
+
+def test_known_vulnerability_without_severity_is_medium(spark):
+    schema = "service string, cve_ids array<string>, severity string, alert_risk string"
+    rows = [("ssh", ["CVE-1", "CVE-2"], "info", None), (" TELNET ", ["CVE-1"], "low", None), ("ssh", [], None, "high"), (None, None, None, None)]
+    got = [(r.status, r.method, r.risk_level, r.known_list) for r in classify.classify(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got, key=str) == sorted([("matched", "known", "medium", "CVE-1、CVE-2"), ("matched", "rule", "high", None), ("needs_review", "review", "high", None), ("needs_review", "review", "info", None)], key=str)
+
+
+CITED = [
+    ("Article 1", ["Article 13"], ["Article 1"]),
+    ("Article 13", ["Article 1"], ["Article 13"]),
+    ("CR 1.1", ["IEC 62443-4-2 CR 1.11"], ["CR 1.1"]),
+    ("CR 1.7 RE(1)", ["IEC 62443-4-2 CR 1.7"], []),
+    ("IEC 62443-4-2 CR 1.7", ["CR 1.7"], []),
+    ("Annex I Part I", ["Annex I Part I (2)(a)"], []),
+    ("Annex I Part I (2)", ["Annex I Part I (2)"], []),
+    ("CWE-79, CWE-79 and CWE-80", ["CWE-80", None, ""], ["CWE-79"]),
+    ("SVV-3 then Article 9", [], ["Article 9", "SVV-3"]),
+    ("nothing", [], []),
+    (None, ["CWE-1"], []),
+]
+
+
+@pytest.mark.parametrize(("answer", "allowed", "want"), CITED)
+def test_citations(spark, answer, allowed, want):
+    row = spark.createDataFrame([(answer, allowed)], "t string, a array<string>").select(text.unsupported_citations(F.col("t"), F.col("a")).alias("r")).first()
+    assert row.r == want
+
+
+def test_text_functions(spark):
+    assert column(spark, "CRA Annex I Part I (2) (a)", text.clause_key) == "annex i part i(2)(a)"
+    assert column(spark, "a — b — c", text.reference_id) == "a" and column(spark, "a — b — c", text.reference_note) == "b — c"
+    assert column(spark, None, text.reference_id) == "" and column(spark, "only", text.reference_note) == ""
+    assert column(spark, "x" * 1500, text.truncate) == "x" * 1500
+    assert column(spark, "x" * 1499 + "  y", text.truncate) == "x" * 1499 + text.TRUNCATION_MARK
+    assert column(spark, "a'b c", text.shell_quote) == "'a'\"'\"'b c'" and column(spark, "10.0.0.1", text.shell_quote) == "10.0.0.1" and column(spark, "", text.shell_quote) == "''"
+
+
+def test_summary_takes_the_last_of_a_label(spark):
+    name, reason, remedy = (f"【{x}】" for x in text.SUMMARY_LABELS)
+    whole = f"{reason}r1{name} n {reason}r2{remedy}do\nit"
+    assert tuple(column(spark, whole, text.summary)) == ("n", "r2", "do\nit")
+    assert column(spark, f"{name}n{reason}r", text.summary) is None and column(spark, None, text.summary) is None
+
+
+def packed(spark, blocks, budget):
+    return spark.createDataFrame([(blocks,)], "b array<string>").select(context.pack(F.col("b"), budget).alias("p")).first().p
+
+
+def test_packing_skips_what_does_not_fit(spark):
+    got = packed(spark, ["a" * 10, "b" * 100, "c" * 5], 30)
+    assert got.n_kept == 2 and got.n_dropped == 1 and got.text.startswith("a" * 10 + context.SEPARATOR + "c" * 5 + context.SEPARATOR + context.DROPPED_NOTE[0] + "1")
+    assert packed(spark, ["a" * 100], 30).n_kept == 1 and packed(spark, [], 30).text == ""
+    assert packed(spark, ["a" * 10, "b" * 13], 30).n_kept == 2 and packed(spark, ["a" * 10, "b" * 14], 30).n_kept == 1
+
+
+def test_entry_formats(spark):
+    row = spark.range(1).select(
+        context.clause_entry(F.lit("Article 1"), F.lit("Article 1"), F.lit(None).cast("string"), F.lit(" t "), "CRA ").alias("a"),
+        context.clause_entry(F.lit("IEC 62443-4-2 CR 1.1"), F.lit("T"), F.lit("FR 1"), F.lit("t")).alias("b"),
+        context.weakness_entry(F.lit("CWE-1"), F.lit("N"), F.lit("d"), F.array(F.lit("m"))).alias("c"),
+        context.weakness_entry(F.lit("CWE-1"), F.lit(""), F.lit(""), F.lit(None).cast("array<string>")).alias("d"),
+    ).first()
+    assert tuple(row) == ("[CRA Article 1]\nt", "[IEC 62443-4-2 CR 1.1 — T（FR 1）]\nt", f"[CWE-1 — N]\nd\n{context.MITIGATIONS}\n- m", "[CWE-1]")
+
+
+def test_fusion_ties_go_to_the_dense_list(spark):
+    dense = spark.createDataFrame([(1, 7, 0.9, 1), (1, 8, 0.8, 2)], "q long, pos long, score double, dense_rank int")
+    sparse = spark.createDataFrame([(1, 9, 1), (1, 8, 3)], "q long, pos long, sparse_rank int")
+    got = {r.pos: (r.rank, r.matched_by, r.dense_score) for r in retrieval.hybrid(dense, sparse, ["q"], 3).collect()}
+    assert got == {8: (1, ["dense", "sparse"], 0.8), 7: (2, ["dense"], 0.9), 9: (3, ["sparse"], None)}
+    assert [r.pos for r in retrieval.hybrid(dense, sparse, ["q"], 1, mode="sparse").collect()] == [9]
+    assert [r.pos for r in retrieval.hybrid(dense, sparse, ["q"], 1, mode="dense").collect()] == [7]
+    assert retrieval.hybrid(dense.limit(0), sparse.limit(0), ["q"], 1).count() == 0
+
+
+def test_bm25_fills_up_with_entries_that_match_nothing(spark):
+    entries = spark.createDataFrame([("k", 1, "a b"), ("k", 2, "c"), ("k", 3, "a a"), ("k", 4, ""), ("k", 5, "d"), ("k", 6, "e")], "kb string, pos long, text string")
+    asked = spark.createDataFrame([(1, "a"), (2, "zzz")], "query_id long, query string")
+    got = sorted((r.query_id, r.sparse_rank, r.pos) for r in retrieval.bm25_topk(asked, entries, k=3).collect())
+    assert got == [(1, 1, 3), (1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 2, 2), (2, 3, 3)]
+
+
+def test_dense_blocks_and_blank_vectors(spark):
+    entries = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(40)] + [(90, None), (91, [0.0, 0.0])], "pos long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(7)] + [(9, None)], "query_id long, embedding array<float>")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    one, many = key(retrieval.dense_topk(asked, entries, k=4)), key(retrieval.dense_topk(asked, entries, k=4, block=2))
+    assert one == many and len(one) == 28 and [r[1] for r in one if r[0] == 0] == [4, 9, 14, 19]
+    assert retrieval.dense_topk(asked.limit(0), entries).count() == 0
+
+
+def test_clauses_and_paragraphs(spark):
+    lines = ["title page", "1 Scope", "5 FR 1 – Access  control", "5.1 CR 1.1 – Login", "5.1.1 Requirement", "The component shall pass-", "word check.", "NOTE this", "6 FR 2 – Use", "still the note", "5.1.2 Security levels", "SL-C 1", "6.1 CR 2.1 – Next", "text", "IEC 62443-4-2:2019 © IEC 2019 – 3 –", "Order No.: 1", "AVANT-PROPOS", "lost"]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "doc_id long, n long, line string")
+    got = {r.clause_id: r for r in segments.clauses(segments.body_lines(df)).collect()}
+    assert got["CR 1.1"].requirement == "The component shall password check.\nNOTE this still the note"
+    assert got["CR 1.1"].security_levels == "SL-C 1" and got["CR 1.1"].group == "FR 1 – Access control"
+    assert got["CR 2.1"].requirement == "text" and got["CR 2.1"].group == "FR 2 – Use" and got["CR 2.1"].title == "Next"
+
+
+def test_kb_checks(spark):
+    df = spark.createDataFrame([("a", 1, " "), ("a", 1, "licence AGREEMENT"), ("b", 1, None)], "kb string, key long, text string")
+    assert [tuple(r) for r in quality.duplicate_keys(df, "kb", "key").collect()] == [("a", 1, 2)]
+    assert {r.kb: (r.n_empty, r.n_leaks) for r in quality.text_check(df, "kb").collect()} == {"a": (1, 1), "b": (1, 0)}
+    assert {r.kb: r.ok for r in quality.count_check(df, "kb", F.lit(4), 2).collect()} == {"a": True, "b": False}
+
+
+def test_cache_asks_once_and_keeps_good_answers(spark):
+    rows = spark.createDataFrame([("k1", "p1", ["CWE-1"]), ("k1", "p1", ["CWE-1"]), ("k2", "p2", ["CWE-1"]), ("k3", "p3", []), ("k4", "p4", [])], "cache_key string, prompt string, allowed array<string>")
+    known = spark.createDataFrame([("k4", "old")], "cache_key string, answer string")
+    assert sorted(r.cache_key for r in cache.misses(rows, known).collect()) == ["k1", "k2", "k3"]
+    answers = {"p1": "see CWE-1", "p2": "see CWE-2", "p3": None}
+    got = {r.cache_key: r.answer for r in cache.fill(rows, known, answers.get).collect()}
+    assert got == {"k1": "see CWE-1", "k4": "old"}
+
+
+def test_plan_rows(spark):
+    kind = "array<struct<key:string,title:string,text:string,text_zh:string>>"
+    rows = [("1", "network", "10.0.0.1", "t", "ssh", "matched", "CRA x", [], []), ("2", "webapp", "u", "t", None, "needs_review", None, [("i", "T", "E", "Z")], [("c", "T", "E", "Z")]), ("3", "webapp", "u", "t", None, "needs_review", None, [], [("c", "T", "", None)]), ("4", "webapp", "u", "t", None, "needs_review", None, [], []), ("5", "firmware", "f", "t", None, "matched", "x", [], []), ("6", "network", "", "t", None, "matched", "x", [], [])]
+    df = spark.createDataFrame(rows, f"finding_id string, category string, target string, title string, service string, status string, cra_reference string, clauses {kind}, articles {kind}")
+    made = spark.createDataFrame([("4", "do this")], "finding_id string, objective string")
+    got = {r.finding_id: r for r in plan.test_plan(df, made).collect()}
+    assert {k: r.requirement and tuple(r.requirement) for k, r in got.items()} == {"1": ("rule", "CRA x", ""), "2": ("iec", "i", "Z"), "3": ("cra", "c", "T"), "4": None}
+    assert got["4"].objective == "do this" and got["4"].objective_from_llm and not got["1"].objective_from_llm
+    assert got["4"].command == "python3 -m live_check u --objective 'do this' --i-am-authorized"
+
+
+def test_targets(spark):
+    df = spark.createDataFrame([("10.0.0.1, 10.0.0.77/24,256.1.1.1,,1.2.3.4/33, 0.0.0.0/0",)], "t string")
+    got = [(r.item, r.valid, r.normalised, r["size"], r.large) for r in targets.explode_targets(df, "t").orderBy("item_no").collect()]
+    assert got == [("10.0.0.1", True, "10.0.0.1", 1, False), ("10.0.0.77/24", True, "10.0.0.0/24", 256, False), ("256.1.1.1", False, None, None, False), ("1.2.3.4/33", False, None, None, False), ("0.0.0.0/0", True, "0.0.0.0/0", 2**32, True)]
+    assert [column(spark, u, targets.valid_url) for u in ("http://a", "HTTPS://a/b", "ftp://a", "http://", None)] == [True, True, False, False, False]
+
+
+def test_extracted_files(spark, tmp_path):
+    (tmp_path / "etc").mkdir()
+    for name, body in {"etc/id_rsa": b"x", "etc/shadow": b"", "etc/passwd": b"a", "wpa_supplicant.conf": b"", "backup.dat": b"..-----BEGIN RSA PRIVATE KEY-----", "hostname": b"box", "cert.PEM": b""}.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.name: r.severity for r in firmware.extracted_files(spark, str(tmp_path)).collect()}
+    assert got == {"id_rsa": "high", "shadow": "high", "passwd": "medium", "wpa_supplicant.conf": "medium", "backup.dat": "high", "cert.PEM": "high"}
+    assert firmware.extracted_files(spark, str(tmp_path), most=2).count() == 2
+
+
+XML = """<run><prescript><script id="p"><table><elem key="state">VULNERABLE</elem></table></script></prescript>
+<host><address addr="10.0.0.1" addrtype="ipv4"/><address addr="aa:bb"/><hostscript><script id="smb"><table key="CVE-2017-0143"><elem key="title">Remote</elem><elem key="state">VULNERABLE</elem><elem key="risk_factor">HIGH</elem><table key="ids"><elem>CVE:CVE-2017-0144</elem></table></table></script></hostscript>
+<ports><port protocol="tcp" portid="443"><state state="open"/><service name="https" product="nginx"/><script id="ssl"><table><table key="x"><elem key="state">LIKELY VULNERABLE</elem><elem>CVE:CVE-2014-3566</elem><table key="scores"><elem>7.5</elem><elem>10.0 (HIGH)</elem></table></table></table></script></port>
+<port protocol="tcp" portid="21"><state state="closed"/><script id="ftp"><table><elem key="state">NOT VULNERABLE</elem></table><table><elem key="state">VULNERABLE (DoS)</elem></table></script></port></ports></host>
+<host><ports><port protocol="tcp" portid="1"><state state="open"/></port></ports></host></run>"""
+
+
+def test_port_scan_file(spark, tmp_path):
+    (tmp_path / "scan.xml").write_text(XML)
+    rows = portscan.open_ports(portscan.read_hosts(spark, str(tmp_path / "scan.xml"))).collect()
+    assert [(r.target, r.port, r.title) for r in rows] == [("10.0.0.1", "443", "tcp/443 https (nginx)")]
+
+
+def test_script_tables(spark):
+    host = XML[XML.index("<host>") : XML.index("</host>") + 7]
+    rows = portscan.script_findings(spark.createDataFrame([(1, host), (2, "<host/>"), (3, None), (4, "<broken")], "id long, xml string"), "xml").orderBy("n").collect()
+    assert [(r.port, r.severity, r.cve_ids, r.cvss_score, r.title) for r in rows] == [
+        (None, "high", ["CVE-2017-0143", "CVE-2017-0144"], None, "Remote"),
+        ("tcp/443", "critical", ["CVE-2014-3566"], 10.0, "CVE-2014-3566（tcp/443）"),
+        ("tcp/21", "high", [], None, "ftp（tcp/21）"),
+    ]
+
+
+def test_agent_results(spark):
+    block = lambda **x: f"```json\n{json.dumps(x)}\n```"
+    rows = [(1, block(outcome="not_confirmed", severity="high") + block(outcome="confirmed", severity="high", summary=" s "), False), (2, block(outcome="not_confirmed", severity="high"), False), (3, block(outcome="confirmed", severity="high"), True), (4, "plain", None), (5, block(outcome="odd", severity="high"), False), (6, block(outcome="confirmed", severity="odd"), False), (7, None, None)]
+    got = {r.k: (r.outcome, r.severity) for r in web.agent_findings(spark.createDataFrame(rows, "k long, result string, is_error boolean")).collect()}
+    assert got == {1: ("confirmed", "high"), 2: ("not_confirmed", "info"), 3: ("inconclusive", "info"), 4: ("inconclusive", "info"), 5: ("inconclusive", "info"), 6: ("confirmed", "info"), 7: ("inconclusive", "info")}
+
+
+def test_regulation_falls_back_without_markup(spark):
+    pages = spark.createDataFrame([(1, "<p class='oj-ti-art'>Article 5</p><p class='oj-normal'>x</p>", "unused Article 9"), (2, "<p>none</p>", "intro Article 1 a Article 2 b")], "doc long, page string, plain string")
+    got = sorted((r.doc, r.article_no, r.text) for r in knowledge.regulation(pages, "doc", "page", "plain").collect())
+    assert got == [(1, "Article 5", "x"), (2, "Article 1", "Article 1 a"), (2, "Article 2", "Article 2 b")]
+
+
+def test_entry_store(spark, tmp_path):
+    entries = spark.createDataFrame([("cwe", 1, "a"), ("iec", 2, "b")], "kb string, pos long, text string")
+    knowledge.write_entries(entries, str(tmp_path / "kb"))
+    assert spark.read.parquet(str(tmp_path / "kb")).filter("kb = 'iec'").first().text == "b"
+
+
+def test_report_stages_and_badges(spark):
+    jobs = spark.createDataFrame([(1, "10.0.0.1", None, "", True)], "job_id long, ip string, firmware string, url string, report boolean")
+    assert [r.status for r in report.initial_stages(jobs).orderBy("ord").collect()] == ["pending", "skipped", "skipped", "pending", "pending"]
+    assert [column(spark, c, report.badge) for c in ("high", " MED ", "高", "other")] == ["risk-high", "risk-medium", "risk-high", None]
+    assert report.metadata(spark, "2024-01-01 00:00:00").first().operator == "unknown"
+
+
+def test_findings_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"finding_id": "1", "service": "telnet"}\n{"finding_id": "2", "cve_ids": ["CVE-1"], "severity": "high"}\n')
+    for _ in range(2):
+        stream.write(stream.classified(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    got = {r.finding_id: (r.method, r.risk_level) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"1": ("rule", "high"), "2": ("known", "high")}
