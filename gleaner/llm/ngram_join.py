@@ -8,10 +8,13 @@ bound and which are not connected to it yet. Pairs below the overlap that their
 discarded. So a block yields the links of a spanning forest and not all pairs of a group of copies.
 
 Which rows can have a link: with a threshold t, a row and its partner share at least t times its
-size, so they share one of its first n - ceil(t n) + 1 n-grams in any order that all rows use. That
-order is by commonness, rarest first, then by hash, so that passages which many documents share come
-last. Commonness is kept in a table of fixed size (``CELLS`` bytes), filled from the n-grams that
-repeat within a batch. It decides how much work there is, never which links are found.
+size. So a row more than n - ceil(t n) of whose n-grams are in no other row has no partner. That is
+tested on the n-grams with small hashes (``SAMPLE`` of all), which are counted exactly: those of them
+that are in one row only must not be that many. A row that may have a partner shares one of its first
+n - ceil(t n) + 1 n-grams with it in any order that all rows use. That order is by commonness, rarest
+first, then by hash, so that passages which many documents share come last. Commonness is kept in a
+table of fixed size (``CELLS`` bytes), filled from the n-grams that repeat within a batch. Sample and
+order decide how much work there is, never which links are found.
 
 Rows connected over such first n-grams form families. A family with more than ``BLOCK_ENTRIES``
 entries is split into blocks by hash, and every pair of its blocks is multiplied.
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleaner.llm import textscan
 from gleaner.llm.common import free_name, keep
@@ -43,6 +47,8 @@ CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 #: Times that an n-gram must occur in a batch for its cell to count it.
 REPEATS = 3
+#: Share of the hashes that are counted exactly.
+SAMPLE = 0.3
 BLOCK_ENTRIES = 2_000_000
 
 
@@ -98,9 +104,11 @@ def commonness(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """id, text_key, n, class and prefix of each document.
+    """id, text_key, n, class, grams and sampled of each document.
 
-    A batch gives the prefix of a class once; further copies in it have an empty one.
+    ``grams`` are the first n-grams in the common order, at least the prefix; the first ``sampled`` of
+    them are all rare ones with small hashes. A batch gives them once for a class; further copies in
+    it have none.
     """
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(commonness(rows.select("text"), words))
@@ -108,34 +116,37 @@ def signatures(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
-            sizes, classes, firsts, lengths = [], [], [], []
+            sizes, classes, firsts, lengths, samples = [], [], [], [], []
             seen: set[int] = set()
             for part in textscan.slices(batch.column(2), lower=True):
                 row, gram = slice_sets(part, words)
                 count = part.hi - part.lo
                 size, cls = fingerprints(row, gram, count)
-                order = np.lexsort((gram, table[gram >> np.uint64(64 - CELL_BITS)], row))
+                level = table[gram >> np.uint64(64 - CELL_BITS)]
+                order = np.lexsort((gram, level, row))
                 start = np.concatenate([[0], np.cumsum(size)])[:-1]
-                length = prefix_length(size, threshold)
+                sampled = np.bincount(row[(level == 0) & (gram < np.uint64(int(SAMPLE * 2**64)))], minlength=count)
+                length = np.maximum(prefix_length(size, threshold), sampled)
                 for k, c in enumerate(cls.tolist()):
                     if c in seen:
-                        length[k] = 0
+                        length[k] = sampled[k] = 0
                     seen.add(c)
                 at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
                 sizes.append(size)
                 classes.append(cls)
                 firsts.append(gram[order[at]])
                 lengths.append(length)
+                samples.append(sampled)
             if not sizes:
                 continue
             n, length = np.concatenate(sizes), np.concatenate(lengths)
             offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts).view(np.int64)))
+            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts).view(np.int64)))
             cls = pa.array(np.concatenate(classes).view(np.int64), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), cls, prefix], ["id", "text_key", "n", "class", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), cls, grams, pa.array(np.concatenate(samples))], ["id", "text_key", "n", "class", "grams", "sampled"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, text_key long, n long, class long, prefix array<long>")
+    return rows.mapInArrow(run, f"id {id_type}, text_key long, n long, class long, grams array<long>, sampled long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,11 +166,27 @@ def components(edges: DataFrame) -> DataFrame:
         labels = following.select("node", "root")
 
 
+def candidates(signed: DataFrame, threshold: int) -> DataFrame:
+    """(class, n, row) of the classes that may have a partner; row is one document of each.
+
+    A class counts its sampled n-grams that other classes have too. Where copies of it in several
+    batches gave them several times, the count is that many times too high.
+    """
+    entries = signed.filter("sampled > 0").select("class", F.explode(F.slice("grams", F.lit(1), F.col("sampled").cast("int"))).alias("gram"))
+    of_gram = Window.partitionBy("gram")
+    shared = entries.withColumn("other", F.min("class").over(of_gram) != F.max("class").over(of_gram)).filter("other").groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
+    given = F.count_if(F.col("sampled") > 0)
+    classes = signed.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("sampled").alias("sampled"), given.alias("times"), F.min(F.struct("text_key", "id")).alias("row"))
+    alone = F.col("sampled") - F.coalesce(F.col("shared") / F.col("times"), F.lit(0))
+    allowed = F.col("n") - F.ceil(F.col("n") * threshold / 100)
+    return classes.join(shared, "class", "left").filter(alone <= allowed).select("class", "n", "row")
+
+
 def families(entries: DataFrame) -> DataFrame:
     """(class, family) of the classes that share a first n-gram with another one."""
     lead = entries.groupBy("gram").agg(F.min("class").alias("lead"), F.max("class").alias("last")).filter("lead <> last").select("gram", "lead")
     edges = entries.join(lead, "gram").filter("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
-    return components(keep(edges)).select(F.col("node").alias("class"), F.col("root").alias("family"))
+    return components(edges).select(F.col("node").alias("class"), F.col("root").alias("family"))
 
 
 def spanning_links(sizes: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
@@ -213,11 +240,10 @@ def spanning_links(sizes: np.ndarray, sets: list[np.ndarray], threshold: int) ->
 
 def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(a, b): links between classes that connect all classes which are connected at all."""
-    chosen = signed.filter("n > 0").groupBy("class").agg(F.max_by("prefix", F.size("prefix")).alias("prefix"))
-    entries = chosen.select("class", F.explode("prefix").alias("gram"))
-    family = keep(families(entries))
-    least = F.struct("text_key", "id")
-    rows = signed.filter("n > 0").join(family, "class").groupBy("class", "family").agg(F.min(least).alias("row"), F.max("n").alias("n"))
+    chosen = keep(candidates(signed, threshold))
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    entries = signed.select("class", "grams").join(chosen.select("class", "n"), "class").select("class", F.explode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("gram"))
+    rows = keep(chosen.join(families(entries), "class"))
     blocks = rows.groupBy("family").agg(F.ceil(F.sum("n") / block_entries).cast("int").alias("blocks"))
     members = keep(rows.join(blocks, "family").select("class", "family", "blocks", F.col("row.text_key").alias("text_key"), F.col("row.id").alias("id")))
 
