@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder of the session."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` by a table in the shared checkpoint folder of the session.
+
+    Unlike a checkpoint, a table carries nothing of the old plan along, so loops stay cheap on the
+    driver, and it is compressed and read by column. It goes when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(column: str, parts: int, seed: str = "") -> F.Column:
