@@ -25,6 +25,7 @@ from gleaner.llm.common import WORD_PATTERN, keep
 
 #: Cells of the Pareto order in which words are summed, for each source.
 CELLS = 65536
+GROUP = 256
 
 
 def word_count(column: str = "text") -> F.Column:
@@ -82,9 +83,12 @@ def pareto_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
     drawn = drawn.alias("d").join(rates.filter("chance > 0").alias("r"), F.expr("d.source <=> r.source")).select("d.source", "d.draw", "d.size", "r.rest", odds("d.draw", "r.chance").alias("odds"))
     drawn = drawn.withColumn("cell", cell("odds"))
 
+    # First among groups of cells, then among the cells of one group: no source sends more than GROUP rows to a task.
     cells = drawn.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    border = cells.withColumn("upto", upto).filter("upto > rest").groupBy("source").agg(F.min(F.struct("cell", (F.col("upto") - F.col("words")).alias("taken"))).alias("b")).select("source", F.col("b.cell").alias("border"), F.col("b.taken").alias("taken"))
+    groups = cells.groupBy("source", (F.col("cell") / GROUP).cast("int").alias("group")).agg(F.sum("words").alias("words"), F.first("rest").alias("rest"))
+    in_group = _border(groups.withColumn("taken", F.lit(0)), "group")
+    fine = cells.alias("c").join(in_group.alias("g"), F.expr(f"c.source <=> g.source AND int(c.cell / {GROUP}) = g.border")).select("c.source", "c.cell", "c.words", "c.rest", "g.taken")
+    border = _border(fine, "cell")
 
     inside = drawn.alias("d").join(border.alias("b"), F.expr("d.source <=> b.source AND d.cell = b.border")).select("d.source", "d.odds", "d.draw", "d.size", "d.rest", "b.taken")
     upto = F.col("taken") + F.sum("size").over(Window.partitionBy("source").orderBy("odds", "draw").rowsBetween(Window.unboundedPreceding, 0))
@@ -98,6 +102,14 @@ def pareto_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.select("r.source", "r.source_size", "r.target", "r.whole", "r.chance", "e.border", "e.last", "c.closing")
 
 
+def _border(sums: DataFrame, place: str) -> DataFrame:
+    """(source, border, taken): the place at which each source's words pass its rest, and the words before it."""
+    upto = F.col("taken") + F.sum("words").over(Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    passed = sums.withColumn("upto", upto).filter("upto > rest")
+    first = passed.groupBy("source").agg(F.min(F.struct(place, (F.col("upto") - F.col("words")).alias("taken"))).alias("b"))
+    return first.select("source", F.col(f"b.{place}").alias("border"), F.col("b.taken").alias("taken"))
+
+
 def odds(drawn: str, chance: str) -> F.Column:
     u, p = uniform(F.col(drawn)), F.col(chance)
     return (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))
