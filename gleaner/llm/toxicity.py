@@ -7,8 +7,8 @@ together as the expected severity, and the chance of any toxicity.
 
 Fitting takes a bounded sample of at most ``FIT_ROWS`` labelled documents, chosen by a hash of their
 ids, and the ``FEATURES`` features whose presence says most about the label. Where the labels say only
-toxic or not, ``grades`` makes severities of them: a toxic document is severe if more of its words
-are toxic markers than in the median toxic document.
+toxic or not, ``grades`` makes severities of them: a toxic document is severe if it has more toxic
+markers than the median toxic document.
 
 Defined cases: null and empty texts have no features; with no labels, or no toxic one, the expected
 severity is near 0 for every text; equal texts get equal grades; an empty table gives no rows.
@@ -28,7 +28,7 @@ from gleaner.llm import textscan
 
 FIT_ROWS, FIT_BYTES = 4000, 32_768
 FEATURES, LEAST_DOCS = 1000, 4
-STEPS, RATE, PENALTY = 400, 0.05, 2e-3
+STEPS, RATE, PENALTY = 400, 0.05, 2e-5
 PREFIXES = (4, 5, 6, 7, 8)
 WORD_BYTES = textscan.ALPHANUMERIC
 
@@ -87,9 +87,12 @@ def select_words(texts: pa.Array, toxic: np.ndarray, features: int = FEATURES, l
     return words[best], marks & (gain[best] > 12)
 
 
-def grades(rows: np.ndarray, places: np.ndarray, counts: np.ndarray, marks: np.ndarray, n_words: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """0 for clean documents, 1 and 2 for toxic ones with fewer and more marker words in proportion."""
-    own = np.bincount(rows, weights=counts * marks[places] if len(places) else None, minlength=len(toxic)) / np.maximum(n_words, 1)
+def grades(rows: np.ndarray, places: np.ndarray, counts: np.ndarray, marks: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for clean documents, 1 and 2 for toxic ones with fewer and with more markers.
+
+    The count is not set against the length, since neither are the features.
+    """
+    own = np.bincount(rows, weights=counts * marks[places] if len(places) else None, minlength=len(toxic))
     middle = np.median(own[toxic]) if toxic.any() else 0.0
     return np.where(toxic, np.where(own > middle, 2, 1), 0)
 
@@ -115,7 +118,7 @@ def train(rows: np.ndarray, places: np.ndarray, counts: np.ndarray, n_words: int
         slope_theta = np.zeros(levels - 1)
         for k in range(levels - 1):
             slope_theta[k] = (-up[grade == k].sum() + low[grade == k + 1].sum()) / len(grade)
-        slope = np.concatenate([np.bincount(places, weights=value * slope_s[rows], minlength=n_words) + PENALTY / 10 * weights, [slope_theta.sum()], [slope_theta[j + 1 :].sum() * np.exp(packed[n_words + 1 + j]) for j in range(levels - 2)]])
+        slope = np.concatenate([np.bincount(places, weights=value * slope_s[rows], minlength=n_words) + PENALTY * weights, [slope_theta.sum()], [slope_theta[j + 1 :].sum() * np.exp(packed[n_words + 1 + j]) for j in range(levels - 2)]])
         m += 0.1 * (slope - m)
         v += 0.01 * (slope * slope - v)
         packed = packed - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -143,10 +146,7 @@ def fit_texts(texts: pa.Array, given: np.ndarray) -> Model:
     words, marks = select_words(texts, toxic)
     counts = batch_counts(texts, words)
     if given.max() == 1:
-        n_words = np.zeros(len(texts))
-        for part in textscan.slices(texts, WORD_BYTES):
-            n_words[part.lo : part.hi] = np.diff(part.bounds)
-        given = grades(*counts, marks, n_words, toxic)
+        given = grades(*counts, marks, toxic)
     return Model(words, *train(*counts, len(words), given, int(max(given.max(), 1)) + 1))
 
 
