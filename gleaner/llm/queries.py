@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontamination, html_text, language, mixing, ngram_join, quality, rules, sharding, toxicity
+from gleaner.llm import chat, decontamination, html_text, language, mixing, ngram_join, oracles, quality, rules, sharding, toxicity
 from gleaner.llm.common import fold, keep, table
 
 SHARDS = 40
@@ -97,4 +97,4 @@ QUERIES = {
     "op10_language": op10_language,
 }
 #: DuckDB SQL of those that SQL can express in reasonable time.
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_chat": oracles.CHAT, "op5_rules": oracles.RULES, "op6_decontamination": oracles.DECONTAMINATION, "op7_ngram_join": oracles.NGRAM_JOIN}
