@@ -203,6 +203,9 @@ def test_targets(spark):
     df = spark.createDataFrame([("10.0.0.1, 10.0.0.77/24,256.1.1.1,,1.2.3.4/33, 0.0.0.0/0",)], "t string")
     got = [(r.item, r.valid, r.normalised, r["size"], r.large) for r in targets.explode_targets(df, "t").orderBy("item_no").collect()]
     assert got == [("10.0.0.1", True, "10.0.0.1", 1, False), ("10.0.0.77/24", True, "10.0.0.0/24", 256, False), ("256.1.1.1", False, None, None, False), ("1.2.3.4/33", False, None, None, False), ("0.0.0.0/0", True, "0.0.0.0/0", 2**32, True)]
+    six = spark.createDataFrame([("::1,2001:DB8::77/120,fe80::/10,1:2,2001::/121",)], "t string")
+    got = [(r.valid, r.normalised, r.is_range, r["size"], r.large) for r in targets.explode_targets(six, "t").orderBy("item_no").collect()]
+    assert got == [(True, "::1", False, 1, False), (True, "2001:db8::/120", True, 256, False), (True, "fe80::/10", True, 2**62, True), (False, None, False, None, False), (True, "2001::/121", True, 128, False)]
     assert [column(spark, u, targets.valid_url) for u in ("http://a", "HTTPS://a/b", "ftp://a", "http://", None)] == [True, True, False, False, False]
 
 
