@@ -15,6 +15,9 @@ CATEGORY_PHRASES = {
 PROCESS_TITLES = 15
 SCOPE_CATEGORIES = ("network", "firmware", "webapp")
 
+#: Cells in which rows of a level are counted for their numbers.
+RANK_CELLS = 1024
+
 
 def last_analysis(analysis: DataFrame, key: str = "finding_id", order: str = "seq") -> DataFrame:
     """Of several analyses of a finding, the last. An aggregate, so that hot keys combine before the shuffle."""
@@ -34,14 +37,29 @@ def by_risk(merged: DataFrame, order: str = "seq") -> DataFrame:
     return merged.orderBy(level_rank(F.col("risk_level")), order)
 
 
-def target_ranks(merged: DataFrame, order: str = "seq") -> DataFrame:
-    """Adds the place of each target, by its first row in risk order, and of each row in its target.
+def numbered(rows: DataFrame, level: str, order: str, name: str) -> DataFrame:
+    """``rows`` numbered from 1 by level, then by a whole-number order, without one task seeing all.
 
-    Only one row a target is ranked over all; rows are ranked within their target.
+    Rows are counted in cells of equal width; the cells' starts are sums over at most RANK_CELLS rows
+    a level, and rows are numbered within their cell.
     """
-    place = F.struct(level_rank(F.col("risk_level")).alias("rank"), F.col(order).alias("seq"))
-    first = merged.groupBy("target").agg(F.min(place).alias("first"))
-    ranked = first.withColumn("group_rank", F.row_number().over(Window.orderBy("first"))).select("target", "group_rank")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return rows.withColumn(name, F.lit(0))
+    width = max(1, -(-(high - low + 1) // RANK_CELLS))
+    celled = rows.withColumn("cell", F.expr(f"(`{order}` - {low}) div {width}"))
+    counts = celled.groupBy(level, "cell").agg(F.count(F.lit(1)).alias("in_cell"))
+    before = F.sum("in_cell").over(Window.orderBy(level, "cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_cell")
+    starts = counts.select(level, "cell", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy(level, "cell").orderBy(order))
+    return celled.join(starts, [level, "cell"]).withColumn(name, (F.col("before") + within).cast("int")).drop("before", "cell")
+
+
+def target_ranks(merged: DataFrame, order: str = "seq") -> DataFrame:
+    """Adds the place of each target, by its first row in risk order, and of each row in its target."""
+    place = F.struct(level_rank(F.col("risk_level")).alias("level"), F.col(order).alias("at"))
+    first = merged.groupBy("target").agg(F.min(place).alias("first")).select("target", "first.*")
+    ranked = numbered(first, "level", "at", "group_rank").select("target", "group_rank")
     within = F.row_number().over(Window.partitionBy("target").orderBy(level_rank(F.col("risk_level")), order))
     return merged.withColumn("item_rank", within).join(ranked, "target")
 

@@ -60,6 +60,13 @@ def test_groups_come_by_their_first_row(spark):
     assert got == {("10.0.0.1", 3): (1, 1), ("10.0.0.2", 1): (2, 1), ("10.0.0.2", 2): (2, 2)}
 
 
+def test_numbers_do_not_depend_on_cells(spark):
+    rows = [(k % 3, (k * 37) % 5003) for k in range(4000)]
+    got = {(r.level, r.at): r.n for r in merge.numbered(spark.createDataFrame(rows, "level int, at long"), "level", "at", "n").collect()}
+    assert got == {r: k for k, r in enumerate(sorted(rows), 1)}
+    assert merge.numbered(spark.createDataFrame([], "level int, at long"), "level", "at", "n").count() == 0
+
+
 def test_scope_has_all_categories_and_no_others(spark):
     df = spark.createDataFrame([("network", "b"), ("network", "a"), ("network", "a"), ("pentest", "z")], "category string, target string")
     assert tuple(merge.scope(df).first()) == ("a, b", "", "")
