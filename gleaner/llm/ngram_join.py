@@ -50,6 +50,7 @@ REPEATS = 3
 #: Share of the hashes that are counted exactly.
 SAMPLE = 0.3
 BLOCK_ENTRIES = 2_000_000
+SIEVE_BITS = 24
 
 
 def slice_sets(part: textscan.Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +239,31 @@ def spanning_links(sizes: np.ndarray, sets: list[np.ndarray], threshold: int) ->
     return links
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among the wanted ones, by a bitmap of fixed size.
+
+    It saves shuffling texts that the join behind it would drop. The bitmap has 2 ** SIEVE_BITS bits
+    whatever the input; the fuller it is, the more rows pass.
+    """
+    bucket = 1 << 15  # bits of one bitmap aggregate
+    cell = F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS))
+    maps = wanted.select(cell.alias("cell")).groupBy(F.expr(f"cell div {bucket}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("cell") % bucket).alias("bits")).collect()
+    bits = np.zeros((1 << SIEVE_BITS) // 8, np.uint8)
+    for row in maps:
+        bits[row.bucket * bucket // 8 :][: bucket // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            at = batch.column(len(columns)).to_numpy()
+            chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays(chosen.columns[:-1], columns)
+
+    return rows.withColumn("cell", cell).mapInArrow(run, rows.schema)
+
+
 def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(a, b): links between classes that connect all classes which are connected at all."""
     chosen = keep(candidates(signed, threshold))
@@ -248,7 +274,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_
     members = keep(rows.join(blocks, "family").select("class", "family", "blocks", F.col("row.text_key").alias("text_key"), F.col("row.id").alias("id")))
 
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = texts.alias("t").join(members.alias("m"), F.expr("t.text_key = m.text_key AND t.id <=> m.id")).select("m.class", "m.family", "m.blocks", "t.text").dropDuplicates(["class"])
+    found = sifted(texts, members, "text_key").alias("t").join(members.alias("m"), F.expr("t.text_key = m.text_key AND t.id <=> m.id")).select("m.class", "m.family", "m.blocks", "t.text").dropDuplicates(["class"])
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own))
     placed = found.withColumn("own", own).withColumn("other", F.explode(other)).select("family", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "class", "text")
