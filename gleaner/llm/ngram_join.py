@@ -239,11 +239,11 @@ def spanning_links(sizes: np.ndarray, sets: list[np.ndarray], threshold: int) ->
     return links
 
 
-def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be among the wanted ones, by a bitmap of fixed size.
+def sifted(rows: DataFrame, wanted: DataFrame, key: str, among: bool = True) -> DataFrame:
+    """Rows whose key may be among the wanted ones, or those whose key is surely not, by a bitmap of fixed size.
 
-    It saves shuffling texts that the join behind it would drop. The bitmap has 2 ** SIEVE_BITS bits
-    whatever the input; the fuller it is, the more rows pass.
+    It saves shuffling texts that the join behind it would not touch. The bitmap has 2 ** SIEVE_BITS
+    bits whatever the input; the fuller it is, the more rows may be among the wanted ones.
     """
     bucket = 1 << 15  # bits of one bitmap aggregate
     cell = F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS))
@@ -258,17 +258,18 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
         bits = held.value
         for batch in batches:
             at = batch.column(len(columns)).to_numpy()
-            chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            chosen = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) == among))
             yield pa.RecordBatch.from_arrays(chosen.columns[:-1], columns)
 
-    return rows.withColumn("cell", cell).mapInArrow(run, rows.schema)
+    return rows.withColumn(*free_name(rows, "cell"), cell).mapInArrow(run, rows.schema)
 
 
 def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(a, b): links between classes that connect all classes which are connected at all."""
     chosen = keep(candidates(signed, threshold))
     prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    entries = signed.select("class", "grams").join(chosen.select("class", "n"), "class").select("class", F.explode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("gram"))
+    own = sifted(signed.select("class", "grams").filter(F.size("grams") > 0), chosen, "class")
+    entries = own.join(chosen.select("class", "n"), "class").select("class", F.explode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("gram"))
     rows = keep(chosen.join(families(entries), "class"))
     blocks = rows.groupBy("family").agg(F.ceil(F.sum("n") / block_entries).cast("int").alias("blocks"))
     members = keep(rows.join(blocks, "family").select("class", "family", "blocks", F.col("row.text_key").alias("text_key"), F.col("row.id").alias("id")))
