@@ -275,7 +275,11 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_
     members = keep(rows.join(blocks, "family").select("class", "family", "blocks", F.col("row.text_key").alias("text_key"), F.col("row.id").alias("id")))
 
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = sifted(texts, members, "text_key").alias("t").join(members.alias("m"), F.expr("t.text_key = m.text_key AND t.id <=> m.id")).select("m.class", "m.family", "m.blocks", "t.text").dropDuplicates(["class"])
+    # One key of both columns, so that the join's partitioning also serves the removal of repeated rows.
+    pair = F.xxhash64("text_key", "id")
+    asked = members.withColumn("pair", pair).alias("m")
+    found = sifted(texts, members, "text_key").withColumn("pair", pair).alias("t").join(asked, F.expr("t.pair = m.pair AND t.text_key = m.text_key AND t.id <=> m.id"))
+    found = found.select("t.pair", "m.class", "m.family", "m.blocks", "t.text").dropDuplicates(["pair", "class"])
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own))
     placed = found.withColumn("own", own).withColumn("other", F.explode(other)).select("family", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "class", "text")
@@ -311,10 +315,16 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, block_
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each component, and all documents with the empty set."""
-    key, ident, empty = free_name(docs, "text_key", "id", "n")
-    kept = join(docs, words, threshold).filter("n = 0 OR first").select(F.col("id").alias(ident), F.col("text_key").alias(key), F.col("n").alias(empty)).distinct()
-    rows = docs.withColumn(key, F.xxhash64("text")).alias("d").join(kept.alias("k"), F.expr(f"d.`{key}` = k.`{key}` AND d.doc_id <=> k.`{ident}`")).select("d.*", f"k.{empty}")
-    # Repeated rows of a document that stays are one document. Those of the empty set have no links.
-    once = rows.filter(F.col(empty) > 0).dropDuplicates(["doc_id", key])
-    return once.unionByName(rows.filter(F.col(empty) == 0)).select(*docs.columns)
+    """One document of each component, and all documents with the empty set.
+
+    Documents that go, and those that the table repeats, are few: only rows that may be of them are
+    shuffled, and all others pass. Of a repeated document that stays, one row does.
+    """
+    key, ident, first = free_name(docs, "text_key", "id", "first")
+    states = join(docs, words, threshold).filter("n > 0").groupBy("id", "text_key").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("rows"))
+    special = keep(states.filter("NOT first OR rows > 1").select(F.col("id").alias(ident), F.col("text_key").alias(key), F.col("first").alias(first)))
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    joined = sifted(rows, special, key).alias("d").join(special.alias("s"), F.expr(f"d.`{key}` = s.`{key}` AND d.doc_id <=> s.`{ident}`"), "left").select("d.*", f"s.{first}")
+    once = joined.filter(F.col(first)).dropDuplicates(["doc_id", key])
+    parts = [sifted(rows, special, key, among=False), joined.filter(F.col(first).isNull()), once]
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))
