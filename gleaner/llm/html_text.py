@@ -6,7 +6,9 @@ inside a container of boilerplate (menu, footer, form, comments and so on, by ta
 id), and inside an article. A decision tree, trained on the labelled table below, keeps or drops it.
 
 Defined cases: a null or empty page, and one without text, gives the empty text; broken markup
-(unclosed or stray tags, a tag cut off at the end) is read as far as it goes; equal pages give equal
+(unclosed or stray tags, a tag cut off at the end) is read as far as it goes: only an unclosed script,
+style or comment reaches to the end of the page, '/>' closes an unseen element, and a head ends where
+something stands that a head cannot hold; equal pages give equal
 texts; other columns do not matter; an empty table gives no rows.
 """
 
@@ -104,8 +106,12 @@ LABELLED = """
     16 0.75 50 0.00  6 1.00 0 0 0
 """
 
-#: Tags whose content is never text of the page.
-UNSEEN = ("script", "style", "head", "noscript", "template", "iframe", "svg", "math", "object", "select", "textarea", "button", "canvas", "audio", "video", "datalist")
+#: Tags whose content is code, up to their closing tag or the end of the page.
+RAW = ("script", "style")
+#: Tags that a head may hold; any other tag or text ends a head that was not closed.
+HEAD_TAGS = frozenset("base basefont bgsound html link meta title".split()) | {*RAW}
+#: Tags whose content is never text of the page. One that is never closed is no more than its opening tag.
+UNSEEN = ("noscript", "template", "iframe", "svg", "math", "object", "select", "textarea", "button", "canvas", "audio", "video", "datalist")
 #: Tags that end a block.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
 #: Tags within a block that part words.
@@ -122,7 +128,12 @@ BOILERPLATE_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<unseen>%s)\b[^>]*>.*?(?:</(?P=unseen)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)""" % "|".join(UNSEEN), re.I | re.S)
+# Attributes; a quote that is never closed counts as none.
+_REST = r"""(?:"[^"]*"|'[^']*'|[^'">])*+(?=>|\Z)|[^>]*"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>{_REST})(?:>|\Z)", re.I | re.S)
+#: Opening and closing tags of unseen elements; a longer name, such as <svg-icon>, is another element.
+_UNSEEN_TAG = re.compile(rf"<(?P<close>/?)(?P<tag>{'|'.join(UNSEEN)})(?=[\s/>])(?P<rest>{_REST})(?:>|\Z)", re.I | re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -153,6 +164,20 @@ def _marks(tag: str, rest: str, boilerplate: bool, article: bool) -> tuple[bool,
     return (boilerplate and tag != "main") or bad, article or good
 
 
+def _unseen_ends(page: str) -> dict[int, int]:
+    """Where unseen elements begin and end. A closing tag belongs to the last open one of its name."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in UNSEEN}
+    for token in _UNSEEN_TAG.finditer(page):
+        tag = token["tag"].lower()
+        if not token["close"]:
+            if not token["rest"].endswith("/"):
+                opened[tag].append(token.start())
+        elif opened[tag]:
+            ends[opened[tag].pop()] = token.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; those without text are left out."""
     found: list[Block] = []
@@ -171,14 +196,31 @@ def blocks(page: str) -> list[Block]:
                 found.append(Block(text, words, min(1.0, linked / words), own[1] if own else boilerplate, own[2] if own else article))
             pieces.clear()
 
-    at = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            pieces.append((page[at : token.start()], link))
+    at, ends, head, title = 0, _unseen_ends(page), False, False
+    while token := _TOKEN.search(page, at):
+        if token.start() > at and (not head or not title):
+            between = page[at : token.start()]
+            head = head and not between.strip()
+            if not head:
+                pieces.append((between, link))
         at = token.end()
         if not (tag := token["tag"]):
             continue
         tag = tag.lower()
+        if tag in RAW and not token["close"]:
+            if not token["rest"].endswith("/"):
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            continue
+        if tag in UNSEEN:
+            at = ends.get(token.start(), at)
+            continue
+        if tag == "head":
+            head, title = not token["close"], False
+            flush()
+            continue
+        title = tag == "title" and not token["close"]
+        head = head and tag in HEAD_TAGS
         if tag == "a":
             link = not token["close"]
         elif tag in SPACE_TAGS:
@@ -198,7 +240,7 @@ def blocks(page: str) -> list[Block]:
                             break
             elif not token["close"] and tag not in VOID and token["rest"]:
                 own = (tag, *_marks(tag, token["rest"], boilerplate, article))
-    if at < len(page):
+    if at < len(page) and not (head and title):
         pieces.append((page[at:], link))
     flush()
     return found

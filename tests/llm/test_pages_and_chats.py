@@ -44,6 +44,29 @@ def test_main_text(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<head><title>t</title><body><article><p>{A}</p><p>{B}</p></article>", f"{A}\n{B}"),
+        (f"<html><head><meta charset=utf-8><title>t</title><style>p{{}}</style><p>{A}</p><p>{B}</p>", f"{A}\n{B}"),
+        (f"<head><title>t</title><noscript><p>no</p></noscript>{A}<p>{B}", f"{A}\n{B}"),
+        (f"<head><title>t</title><noscript><img src=x></noscript><script>'</head>'</script></head><body><p>{A}</p></body>", A),
+        (f"<nav><svg class=i/></nav><article><p>{A}</p></article><p>{B}</p>", f"{A}\n{B}"),
+        (f"<nav><svg class=i/></nav><article><p>{A}</p></article><div><svg><text>no</text></svg></div>", A),
+        (f"<article><p>{A} <svg><g><svg><text>no</text></svg></g><text>no</text></svg></p><p>{B}</p></article>", f"{A}\n{B}"),
+        *[(f"<nav><{tag} class=x></nav><article><p>{A}</p><p>{B}</p></article>", f"{A}\n{B}") for tag in html_text.UNSEEN],
+        *[(f"<nav><{tag} class=x></nav><article><p>{A}</p><{tag}>no</{tag}><p>{B}</p></article>", f"{A}\n{B}") for tag in html_text.UNSEEN],
+        *[(f"<article><p>{A}</p><{tag} title='a>b'>no <!-- </{tag}><p>{B}</p></article>", f"{A}\n{B}") for tag in html_text.UNSEEN],
+        *[(f"<article><{tag}></{tag}><p>{A}</p><{tag} a=b><p>{B}</p></article>", f"{A}\n{B}") for tag in ("svg-icon", "video-js", "button-group", "style-guide", "head-line")],
+        (f'<article><p>{A}</p><iframe src="x>no</iframe><p>{B}</p></article>', f"{A}\n{B}"),
+        (f"<article><p>{A}</p><script src=x /><p>{B}</p></article>", f"{A}\n{B}"),
+        (f"<article><p>{A}</p><style>p {{}} <p>{B}</p></article>", A),
+    ],
+)
+def test_unseen_elements_end_where_they_end(page, want):
+    assert text(page) == want
+
+
 def test_long_and_broken_pages_take_linear_time():
     began = time.time()
     assert text("<article>" + f"<p>{A}</p>" * 20_000).count("\n") == 19_999
@@ -74,6 +97,12 @@ def test_extract_keeps_other_columns(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_many_unclosed_elements_take_linear_time():
+    began = time.time()
+    assert text("<button>" * 50_000 + f"<p>{A}</p><p>{B}</p>" + "<svg>" * 50_000) == f"{A}\n{B}"
+    assert time.time() - began < 20
+
+
 def digest(turns):
     loss = "".join(t for r, t in turns if r == "assistant")
     whole = "".join(f"{r}\n{t}\n" for r, t in turns)
