@@ -126,6 +126,8 @@ BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinf
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay paging pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: Those that can as well be a topic: inside an article they mark nothing.
+TOPIC_WORDS = frozenset(["discussion", "related"])
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
 
 # Attributes; a quote that is never closed counts as none.
@@ -135,6 +137,8 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<ta
 _UNSEEN_TAG = re.compile(rf"<(?P<close>/?)(?P<tag>{'|'.join(UNSEEN)})(?=[\s/>])(?P<rest>{_REST})(?:>|\Z)", re.I | re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: What an element has around or beside it, or lacks, such as no-sidebar: it is not what the element is.
+_ABSENT = re.compile(r"(?<![a-z])(?:no|with|without|has)[-_]\S*")
 _SPACE = re.compile(r"\s+")
 
 
@@ -147,21 +151,77 @@ class Block:
     article: bool
 
 
-def _marks(tag: str, rest: str, boilerplate: bool, article: bool) -> tuple[bool, bool]:
-    """What an opening container adds to the marks of its surroundings."""
-    bad, good = tag in BOILERPLATE_TAGS or (tag == "header" and not article), tag in ARTICLE_TAGS
+def _marks(tag: str, rest: str, article: bool, inner: bool) -> tuple[bool, bool, bool]:
+    """Of an opening container: whether its tag, role or style marks boilerplate, whether its class or id does, and whether anything marks an article."""
+    bad, named, good = tag in BOILERPLATE_TAGS or (tag == "header" and not article), False, tag in ARTICLE_TAGS
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            bad |= bool(words & BOILERPLATE_WORDS) and tag not in ARTICLE_TAGS and tag != "body"
+            words = set(re.split(r"[^a-z]+", _ABSENT.sub(" ", value)))
+            named |= bool(words & (BOILERPLATE_WORDS - TOPIC_WORDS if inner else BOILERPLATE_WORDS)) and tag not in ARTICLE_TAGS and tag != "body"
             good |= bool(words & ARTICLE_WORDS)
         elif name == "role":
             bad, good = bad or value in BOILERPLATE_ROLES, good or value in ("main", "article")
         else:
             bad |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value) is not None)
-    # A main element is never part of a menu; if it seems to be, the menu was left open.
-    return (boilerplate and tag != "main") or bad, article or good
+    return bad, named, good
+
+
+@dataclass
+class Mark:
+    """A container marked by its class or id, or an article element in one; ``outer`` is the mark around it.
+
+    ``depth`` is the number of marks around the text, itself included, and ``words`` those inside.
+    """
+
+    outer: Mark | None
+    kind: str  # "named", "mixed" (its class or id also has a word of articles) or "article"
+    depth: int
+    words: int = 0
+    undone: bool = False
+    marks: bool = False
+
+
+@dataclass
+class Place:
+    """Surroundings of a text: boilerplate by tag, role or style; inside an article; inside an article that is no body element; the innermost mark."""
+
+    bad: bool = False
+    article: bool = False
+    inner: bool = False
+    mark: Mark | None = None
+
+
+def _settle(found: list[Block], places: list[Place], marks: list[Mark]) -> None:
+    """Decides which marks by class or id are only the layout around the page's own article.
+
+    A mark is undone for article elements inside it if no article element has fewer marks, and on an
+    element that also has a word of articles if most words of the page are inside. In either case,
+    running text outside of marks lets them stand, if it is in an article or longer than the text inside.
+    """
+    if not marks:
+        return
+    total = sum(b.words for b, p in zip(found, places, strict=True) if not p.bad)
+    running = [(b, p) for b, p in zip(found, places, strict=True) if b.words >= 10 and b.links < 0.5 and not p.bad and (p.mark is None or p.mark.depth == 0)]
+    outside, own = sum(b.words for b, _ in running), any(p.inner for _, p in running)
+    for block, place in zip(found, places, strict=True):
+        if not place.bad and place.mark:
+            place.mark.words += block.words
+    for mark in reversed(marks):  # inner marks come later
+        if mark.outer:
+            mark.outer.words += mark.words
+    articles = [m for m in marks if m.kind == "article" and m.words]
+    least = min((m.depth for m in articles), default=0)
+    if least and not own and sum(m.words for m in articles if m.depth == least) > outside:
+        for mark in articles:
+            mark.undone = mark.depth == least
+    for mark in marks:
+        if mark.kind == "mixed":
+            mark.undone = not own and 2 * mark.words > total
+        around = mark.outer is not None and mark.outer.marks
+        mark.marks = around and not mark.undone if mark.kind == "article" else around or not mark.undone
+    for block, place in zip(found, places, strict=True):
+        block.boilerplate = place.bad or (place.mark is not None and place.mark.marks)
 
 
 def _unseen_ends(page: str) -> dict[int, int]:
@@ -181,11 +241,26 @@ def _unseen_ends(page: str) -> dict[int, int]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; those without text are left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    places: list[Place] = []
+    marks: list[Mark] = []
+    stack: list[tuple[str, Place]] = []
     pieces: list[tuple[str, bool]] = []
     link = False
-    boilerplate = article = False
-    own: tuple[str, bool, bool] | None = None  # a marked block that holds no blocks, such as <p class=ad>
+    place = Place()
+    own: Place | None = None  # a marked block that holds no blocks, such as <p class=ad>
+
+    def inside(tag: str, rest: str) -> Place:
+        bad, named, good = _marks(tag, rest, place.article, place.inner)
+        # A main element is never part of a menu; if it seems to be, the menu was left open.
+        outer = None if tag == "main" else place.mark
+        mark, depth = outer, outer.depth if outer else 0
+        if named:
+            mark = Mark(outer, "mixed" if good else "named", depth + 1)
+        elif tag == "article" or (tag == "main" and not bad):
+            mark = Mark(outer, "article", depth)
+        if mark is not outer:
+            marks.append(mark)
+        return Place((place.bad and tag != "main") or bad, place.article or good, place.inner or (good and tag != "body"), mark)
 
     def flush() -> None:
         if pieces:
@@ -193,7 +268,8 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(html.unescape(p).split()) for p, is_link in pieces if is_link)
                 words = len(text.split(" "))
-                found.append(Block(text, words, min(1.0, linked / words), own[1] if own else boilerplate, own[2] if own else article))
+                places.append(own or place)
+                found.append(Block(text, words, min(1.0, linked / words), places[-1].bad, places[-1].article))
             pieces.clear()
 
     at, ends, head, title = 0, _unseen_ends(page), False, False
@@ -231,18 +307,19 @@ def blocks(page: str) -> list[Block]:
             if tag in CONTAINERS:
                 if not token["close"]:
                     if not token["rest"].endswith("/"):
-                        stack.append((tag, boilerplate, article))
-                        boilerplate, article = _marks(tag, token["rest"], boilerplate, article)
-                elif any(t == tag for t, _, _ in stack):
+                        stack.append((tag, place))
+                        place = inside(tag, token["rest"])
+                elif any(t == tag for t, _ in stack):
                     while True:
-                        t, boilerplate, article = stack.pop()
+                        t, place = stack.pop()
                         if t == tag:
                             break
             elif not token["close"] and tag not in VOID and token["rest"]:
-                own = (tag, *_marks(tag, token["rest"], boilerplate, article))
+                own = inside(tag, token["rest"])
     if at < len(page) and not (head and title):
         pieces.append((page[at:], link))
     flush()
+    _settle(found, places, marks)
     return found
 
 

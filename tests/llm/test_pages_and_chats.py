@@ -67,6 +67,26 @@ def test_unseen_elements_end_where_they_end(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *[(f"<nav><a href=/>Home</a></nav><div class='{c}'><article><h1>Title</h1><p>{A}</p></article></div>", f"Title\n{A}") for c in ("layout with-sidebar", "content no-sidebar", "has-ads", "has-left-sidebar", "entry-with-comments", "layout sidebar-right", "page widgets", "social")],
+        *[(f"<div class='{c}'><p>{A}</p><p>{B}</p></div>", f"{A}\n{B}") for c in ("content no-sidebar", "entry-with-comments", "content sidebar-right", "story ads")],
+        (f"<div class='ads'><div class='widgets'><article><p>{A}</p><div class=comments><article><p>{B}</p></article></div></article></div></div>", A),
+        *[(f"<article><h1>Title</h1><p>{A}</p><section {c}><h2>Part</h2><p>{B}</p></section></article>", f"Title\n{A}\nPart\n{B}") for c in ("id=discussion", "class='related-work'")],
+        # What is beside the article stays boilerplate, whatever its words.
+        (f"<article><p>{A}</p></article><section id=comments><article class=comment><p>{B}</p><p>{B}</p></article></section>", A),
+        (f"<div class=content><p>{A}</p></div><div class=related><article><p>{B}</p><p>{B}</p></article></div>", A),
+        (f"<article><p>{A}</p></article><div class=comment-content><p>{B}</p><p>{B}</p></div>", A),
+        (f"<article><p>{A}</p></article><section id=discussion><p>{B}</p></section>", A),
+        (f"<article><p>{A}</p></article><div hidden class='layout sidebar'><article><p>{B}</p></article></div>", A),
+        (f"<div hidden><article><p>{B}</p></article></div>", ""),
+    ],
+)
+def test_layout_around_an_article_is_no_boilerplate(page, want):
+    assert text(page) == want
+
+
 def test_long_and_broken_pages_take_linear_time():
     began = time.time()
     assert text("<article>" + f"<p>{A}</p>" * 20_000).count("\n") == 19_999
