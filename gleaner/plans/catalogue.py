@@ -213,7 +213,7 @@ def hybrid_sql(mode: str) -> str:
 
 def hybrid(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     docs = s.documents_as_kb(spark, sf_dir).withColumn("kb", F.lit("all"))
-    asked = docs.filter("pos % 10 = 0").select(F.col("pos").alias("query_id"), F.left("text", F.lit(80)).alias("query"))
+    asked = docs.filter("pos % 10 = 0").select(F.col("pos").alias("query_id"), F.col("text").alias("query"))
     rows = retrieval.hybrid(dense_candidates(spark, sf_dir), retrieval.bm25_topk(asked, docs), ["query_id"], 5, mode=mode)
     return rows.select("query_id", "pos", F.round("dense_score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), F.array_join("matched_by", ",").alias("matched_by"), "rank")
 
