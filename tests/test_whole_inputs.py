@@ -37,3 +37,9 @@ def test_hybrid_asks_with_whole_texts(spark, tmp_path):
     assert got == {(q, i): pos for q, keys in want.items() for i, pos in enumerate(keys, 1)}
     both = {(r.query_id, r.pos) for r in catalogue.hybrid_topk(spark, path).collect() if "sparse" in r.matched_by}
     assert {(q, keys[0]) for q, keys in want.items()} <= both
+
+
+def test_every_page_gives_its_articles(spark, tmp_path):
+    path = write(spark, tmp_path, pages=([(n, "u", "h") for n in range(7)], "page_id long, url string, html string"))
+    got = sorted((r.page_id, r.article_no, r.title, r.text) for r in catalogue.html_articles(spark, path).collect())
+    assert got == sorted(x for n in range(7) for x in [(n, f"Article {n}", f"T{n}", "one\ntwo\nsub 2"), (n, "Article 99", "", f"tail {n}")])
