@@ -85,22 +85,27 @@ CITATION_LIST = r"""regexp_extract_all(answer, '(?i)CWE-\d+') || regexp_extract_
 
 
 def standard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a made-up standard, one a document, grouped by a hundred documents."""
-    i, words = F.col("doc_id") % 100, F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")
-    s = lambda c: c.cast("string")
-    line = (
-        F.when(i == 3, F.lit("1 Scope"))
-        .when(i == 90, F.lit("SOMMAIRE"))
-        .when(i % 20 == 5, F.concat(s(i), F.lit(" FR "), s(i / 20 + 1).cast("string").substr(1, 1), F.lit(" – Some  control")))
-        .when(i % 10 == 6, F.concat(s(i), F.lit(".1 CR "), s(i % 7), F.lit("."), s(i), F.lit(" – Title of it")))
-        .when(i % 10 == 8, F.concat(s(i), F.lit(".1 Security levels")))
-        .when(i % 13 == 1, F.lit("IEC 62443-4-2:2019 © IEC 2019 – 3 –"))
-        .when(i % 11 == 2, F.lit("Requirement ...... 12"))
-        .when(i % 9 == 4, F.concat(F.lit("NOTE "), words))
-        .when(i % 7 == 2, F.concat(words, F.lit("-")))
-        .otherwise(words)
-    )
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") / 100).cast("long").alias("doc_id"), i.alias("n"), line.alias("line"))
+    """Each document as a made-up standard: all lines of its text as the body, headers and page furniture between them.
+
+    A contents page stands before the body and a second language after it. ``LINES`` has less: a line
+    of six words for each document.
+    """
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "own"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("size"))
+    i, own = F.col("i").cast("long"), F.col("own")
+    s = lambda c: F.floor(c).cast("string")
+    parts = [
+        F.when(i == 0, F.lit("CONTENTS")),
+        F.when(i == 0, F.lit("1 Scope")),
+        F.when(i % 20 == 0, F.concat(s(i / 10 + 2), F.lit(" FR "), s(i / 20 + 1), F.lit(" – Some  control"))),
+        F.when(i % 10 == 0, F.concat(s(i / 10 + 2), F.lit(".1 CR "), s(i % 7), F.lit("."), s(i), F.lit(" – Title of it"))),
+        F.when(i % 10 == 5, F.concat(s(i / 10 + 2), F.lit(".1 Security levels"))),
+        F.when(i % 13 == 1, F.lit("IEC 62443-4-2:2019 © IEC 2019 – 3 –")),
+        F.when(i % 11 == 2, F.lit("Requirement ...... 12")),
+        F.when(i % 9 == 4, F.concat(F.lit("NOTE "), own)).when(i % 7 == 2, F.concat(own, F.lit("-"))).otherwise(own),
+        F.when(i == F.col("size") - 1, F.lit("SOMMAIRE")),
+        F.when(i == F.col("size") - 1, F.lit("Une autre langue")),
+    ]
+    return lines.select("doc_id", i.alias("i"), F.posexplode(F.array(*parts)).alias("part", "line")).filter("line IS NOT NULL").select("doc_id", (F.col("i") * len(parts) + F.col("part")).alias("n"), "line")
 
 
 LINES = r"""lines AS (SELECT doc_id // 100 AS doc_id, doc_id % 100 AS n, CASE WHEN i = 3 THEN '1 Scope' WHEN i = 90 THEN 'SOMMAIRE'

@@ -43,3 +43,22 @@ def test_every_page_gives_its_articles(spark, tmp_path):
     path = write(spark, tmp_path, pages=([(n, "u", "h") for n in range(7)], "page_id long, url string, html string"))
     got = sorted((r.page_id, r.article_no, r.title, r.text) for r in catalogue.html_articles(spark, path).collect())
     assert got == sorted(x for n in range(7) for x in [(n, f"Article {n}", f"T{n}", "one\ntwo\nsub 2"), (n, "Article 99", "", f"tail {n}")])
+
+
+def test_segments_take_all_lines_of_a_text(spark, tmp_path):
+    texts = {n: "\n".join(" ".join(f"d{n}l{i}w{w}" for w in range(9 + i % 4)) for i in range(size)) for n, size in ((7, 1), (8, 25), (108, 120))} | {9: "", 10: None}
+    path = write(spark, tmp_path, documents=([(n, text) for n, text in texts.items()], "doc_id long, text string"))
+    shown = {n: [f"NOTE {x}" if i % 9 == 4 else f"{x}-" if i % 7 == 2 else x for i, x in enumerate(text.split("\n"))] for n, text in texts.items() if text}
+    header = r"1 Scope|\d+ FR \d+ – Some  control|\d+\.1 (CR \d+\.\d+ – Title of it|Security levels)"
+    body, clauses = {}, {}
+    for r in sorted(catalogue.line_noise_filter(spark, path).collect(), key=lambda r: (r.doc_id, r.n)):
+        body.setdefault(r.doc_id, []).append(r.line)
+    assert {n: [x for x in lines if not re.fullmatch(header, x)] for n, lines in body.items()} == shown | {9: [], 10: []}
+    for r in sorted(catalogue.clause_segment(spark, path).collect(), key=lambda r: (r.doc_id, r.n)):
+        clauses.setdefault(r.doc_id, []).append((r.clause, r.field, r.line))
+    assert clauses == {n: [(i // 10 + 1, "security_levels" if i % 10 >= 5 else "requirement", x) for i, x in enumerate(lines)] for n, lines in shown.items()}
+    for r in catalogue.dewrap_lines(spark, path).collect():
+        want = ""
+        for line in body[r.doc_id]:
+            want = line if not want else f"{want}\n{line}" if line.startswith("NOTE") else want[:-1] + line if want.endswith("-") else f"{want} {line}"
+        assert r.text == want
