@@ -8,10 +8,13 @@ Turns are formatted one by one with a template that marks them; control strings
 role are broken by an escape that can be undone. A conversation's formatted text is that of its turns
 in order, so one of any length is read and checked as a stream.
 
-Defined cases: a record that is no JSON object or has no known fingerprint gives one row with the
-layout null and no role or text, so that nothing is lost silently; null roles and texts are empty;
-equal turns of a conversation are kept and come in order of turn, role and text; rows with a null id
-are one conversation; an empty table gives no rows.
+Defined cases: a record that is no JSON object, is nested too deeply to be read, has no known
+fingerprint (a list of bare values where turns should be has another than a list of turns), or has a
+turn number that is none or a text that is no Unicode gives one row with the layout null and no role
+or text, so that nothing is lost silently; null roles and texts are empty; equal turns of a
+conversation are kept and come in order of turn and formatted turn; rows with a null id are one
+conversation; very long texts and conversations are taken whole; an empty table gives no rows; input
+columns named segment or learned are kept, and the added ones get underscores before their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names of roles in the wild and the canonical ones.
+from gleaner.llm.common import free_name
+
+#: Names of roles in foreign layouts and the canonical ones.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 
@@ -36,7 +41,7 @@ class Layout:
 
     ``each`` names a list whose items are turns with the fields ``role`` and ``text``; otherwise
     ``turns`` lists (role, fields joined by a blank line) of the record itself, and ``role``, if
-    given, makes the record one turn. ``optional`` fields may lack.
+    given, makes the record one turn. ``optional`` fields may lack. ``roles`` renames roles.
     """
 
     name: str
@@ -47,12 +52,13 @@ class Layout:
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     turn: str = ""
     optional: tuple[str, ...] = field(default=())
+    roles: dict[str, str] = field(default_factory=dict)
 
 
 LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), each="messages", role="role", text="content", optional=("id",)),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), each="conversations", role="from", text="value", optional=("id", "system")),
-    Layout("dialogue", ("dialogue[].speaker", "dialogue[].utterance"), each="dialogue", role="speaker", text="utterance", optional=("id",)),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), each="conversations", role="from", text="value", optional=("id", "system"), roles=ROLES),
+    Layout("dialogue", ("dialogue[].speaker", "dialogue[].utterance"), each="dialogue", role="speaker", text="utterance", optional=("id",), roles=ROLES),
     Layout("instruction", ("instruction", "output"), turns=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("input", "system", "id")),
     Layout("prompt", ("prompt", "response"), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=("system", "id")),
     Layout("completion", ("prompt", "completion"), turns=(("user", ("prompt",)), ("assistant", ("completion",))), optional=("id",)),
@@ -61,13 +67,23 @@ LAYOUTS = (
 )
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """Paths of all fields that hold no further fields."""
-    if isinstance(value, dict) and value:
-        return set().union(*[paths(v, f"{at}.{k}" if at else k) for k, v in value.items()])
-    if isinstance(value, list):
-        return set().union({f"{at}[]"} if not value else set(), *[paths(v, f"{at}[]") for v in value])
-    return {at}
+def paths(value: object) -> set[str]:
+    """Paths of all fields that hold no further fields.
+
+    An empty object or list is told from a bare value, and dots and brackets in a field's name from
+    those of a path.
+    """
+    found, waiting = set(), [(value, None)]
+    while waiting:
+        item, at = waiting.pop()
+        if isinstance(item, dict) and item:
+            names = [(v, re.sub(r"[.\\\[\]{}]", r"\\\g<0>", k)) for k, v in item.items()]
+            waiting += [(v, k if at is None else f"{at}.{k}") for v, k in names]
+        elif isinstance(item, list) and item:
+            waiting += [(v, f"{at or ''}[]") for v in item]
+        else:
+            found.add((at or "") + ("{}" if isinstance(item, dict) else "[0]" if isinstance(item, list) else ""))
+    return found
 
 
 def fingerprint(found: set[str] | tuple[str, ...]) -> str:
@@ -82,7 +98,7 @@ def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
             extra = {f for k, f in enumerate(layout.optional) if bits >> k & 1}
             out.setdefault(fingerprint({*layout.fields, *extra}), layout)
         if layout.each:
-            out.setdefault(fingerprint({f"{layout.each}[]"}), layout)
+            out.setdefault(fingerprint({f"{layout.each}[0]"}), layout)
     return out
 
 
@@ -91,18 +107,25 @@ def _text(value: object) -> str:
 
 
 def turns_of(record: str | None, known: dict[str, Layout]) -> list[tuple[int | None, str, str, str]] | None:
-    """(turn, role, text, layout) of a record; None if its layout is not known."""
+    """(turn, role, text, layout) of a record; None if its layout is not known or it holds what a table cannot."""
     try:
         value = json.loads(record or "")
-    except ValueError:
+        layout = known.get(fingerprint(paths(value))) if isinstance(value, dict) else None
+        found = None if layout is None else _mapped(value, layout)
+        for turn, role, text, _ in found or []:
+            if not (turn is None or (type(turn) is int and -(1 << 63) <= turn < 1 << 63)):
+                return None
+            (role + text).encode()
+    except (ValueError, RecursionError):  # no JSON, lone surrogates, or nested too deeply
         return None
-    layout = known.get(fingerprint(paths(value))) if isinstance(value, dict) else None
-    if layout is None:
-        return None
-    role_of = lambda role: ROLES.get(_text(role), _text(role))
+    return found
+
+
+def _mapped(value: dict, layout: Layout) -> list[tuple[object, str, str, str]]:
+    role_of = lambda role: layout.roles.get(_text(role), _text(role))
     if layout.each:
-        items = [{"role": "system", "text": value["system"]}] if value.get("system") is not None else []
-        pairs = [(i["role"], i["text"]) for i in items] + [(i.get(layout.role), i.get(layout.text)) for i in value[layout.each]]
+        pairs = [("system", value["system"])] if value.get("system") is not None else []
+        pairs += [(i.get(layout.role), i.get(layout.text)) for i in value[layout.each]]
         return [(k, role_of(r), _text(t), layout.name) for k, (r, t) in enumerate(pairs)]
     if layout.turns:
         pairs = [(role, "\n\n".join(_text(value[f]) for f in fields if value.get(f) not in (None, ""))) for role, fields in layout.turns if role != "system" or value.get(fields[0]) not in (None, "")]
@@ -160,10 +183,11 @@ def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame
     """``turns`` with ``segment``, the formatted turn, and ``learned``, whether its text is under the loss mask."""
     role = F.replace(template.escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("\\n"))
     segment = F.concat(F.lit(template.begin), role, F.lit(template.middle), template.escape(F.coalesce("text", F.lit(""))), F.lit(template.end))
-    return turns.withColumn("segment", segment).withColumn("learned", F.coalesce(F.col("role").isin(*template.learn), F.lit(False)))
+    names = free_name(turns, "segment", "learned")
+    return turns.withColumn(names[0], segment).withColumn(names[1], F.coalesce(F.col("role").isin(*template.learn), F.lit(False)))
 
 
-def read_back(formatted: DataFrame, id_column: str = "conv_id", template: Template = Template()) -> DataFrame:  # noqa: B008
+def read_back(formatted: DataFrame, id_column: str = "conv_id", template: Template = Template(), segment_column: str = "segment") -> DataFrame:  # noqa: B008
     """Counts and digests of each conversation, from its formatted turns alone.
 
     Rows of a conversation come to one task in order and are taken one after the other, so a
@@ -195,8 +219,8 @@ def read_back(formatted: DataFrame, id_column: str = "conv_id", template: Templa
         if open_:
             yield _batch([(current, n[0], turns.hexdigest(), n[1], loss.hexdigest(), n[2])], schema, names)
 
-    rows = formatted.select(F.col(id_column).alias("id"), "segment", "turn", "role", "text")
-    rows = rows.repartition("id").sortWithinPartitions("id", "turn", "role", "text").select("id", "segment")
+    rows = formatted.select(F.col(id_column).alias("id"), F.col(segment_column).alias("segment"), "turn")
+    rows = rows.repartition("id").sortWithinPartitions("id", "turn", "segment").select("id", "segment")
     schema = f"id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 

@@ -187,3 +187,35 @@ def test_chat_odd_rows(spark):
     assert chat.read_back(chat.format_turns(chat.canonical_turns(df.limit(0)))).count() == 0
     clash = df.withColumn("segment", F.lit(1)).withColumn("id", F.lit(2))
     assert chat.canonical_turns(clash).count() == len(got)
+
+
+@pytest.mark.parametrize(
+    "record",
+    [
+        '{"messages": ["abc"]}',
+        '{"conversations": [5]}',
+        '{"messages": [{"role": "user", "content": "q"}, "abc"]}',
+        '{"messages": ' + "[" * 100_000 + "]" * 100_000 + "}",
+        '{"turn": "x", "role": "user", "text": "q"}',
+        '{"turn": 99999999999999999999, "role": "user", "text": "q"}',
+        '{"turn": true, "role": "user", "text": "q"}',
+        '{"prompt": "\\ud800", "response": "a"}',
+        '{"messages[].role": 1, "messages[].content": 2}',
+        '{"": {"turn": 1, "role": "user", "text": "q"}}',
+        '{"messages": {}}',
+        "null",
+    ],
+)
+def test_malformed_records_have_no_layout(record):
+    assert chat.turns_of(record, chat.registry()) is None
+
+
+def test_malformed_and_clashing_rows(spark):
+    long = "word " * 200_000
+    df = spark.createDataFrame([(1, '{"messages": ["abc"]}'), (2, json.dumps({"turn": 0, "role": "bot", "text": long})), (2, json.dumps({"turn": 0, "role": "bot", "text": long}))], "conv_id long, record string")
+    turns = chat.canonical_turns(df).withColumn("segment", F.lit("own")).withColumn("learned", F.lit(1))
+    formatted = chat.format_turns(turns)
+    assert formatted.columns == [*turns.columns, "_segment", "_learned"] and formatted.filter("segment = 'own' AND learned = 1").count() == 3
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(formatted, segment_column="_segment").collect()}
+    # Roles of rows that are turns already stay as they are.
+    assert got == {1: digest([("", "")]), 2: digest([("bot", long)] * 2)}
