@@ -116,7 +116,18 @@ def test_shuffle_keeps_odd_rows(spark):
     assert sharding.external_shuffle(docs.limit(0), 4).count() == 0
     clash = docs.withColumn("shard", F.lit("x")).withColumn("bucket", F.lit("y")).withColumn("at", F.lit(1)).withColumn("cell", F.lit(1))
     got = sharding.external_shuffle(clash, 4)
-    assert got.columns == [*docs.columns, "bucket", "at", "cell", "shard", "slot"] and got.count() == docs.count()
+    assert got.columns == [*clash.columns, "_shard", "slot"] and got.count() == docs.count()
+    assert got.filter("shard = 'x'").count() == docs.count()
+
+
+def test_copies_of_a_row_are_dealt_to_all_buckets(spark):
+    docs = spark.range(101_000).selectExpr("if(id < 100000, -1, id) AS doc_id", "if(id < 100000, 'the same text', concat('text ', id)) AS text")
+    got = sharding.external_shuffle(docs, 20, bucket_bytes=1 << 18)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 101_000 and max(sizes) <= 2 * 101_000 / 20
+    counts = [r["count"] for r in got.groupBy("shard").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).filter("slots = count AND last = count - 1").collect()]
+    assert len(counts) == 20 and max(counts) - min(counts) <= 1
+    assert got.groupBy("doc_id", "text").count().exceptAll(docs.groupBy("doc_id", "text").count()).isEmpty()
 
 
 def test_shuffle_moves_rows(spark):
