@@ -5,32 +5,34 @@ scores the mean log frequency of its longest known n-grams: of all of its 5-gram
 else of its 4-grams, and so on down to single characters; the word's edges count as characters. The
 language with the largest sum wins.
 
-The model is fitted on at most ``PER_LANGUAGE`` labelled documents of each language, chosen by a hash
-of their ids, and holds at most ``VOCABULARY`` words of each; both are parameters. Scoring covers
-every text as a whole.
+The model is fitted on about ``PER_LANGUAGE`` labelled documents of each language, chosen by a hash of
+their ids; that bound is a parameter. All words of these documents count, of any length, and all
+n-grams of the words; Spark counts both. Scoring covers every text as a whole.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; if nothing was
-learned, all are; ties go to the first language by name; equal texts get equal results; an empty
-table gives no rows.
+learned, all are; ties go to the first language by name; equal texts, repeated rows too, get equal
+results; a very long text or word is taken whole, a slice of texts at a time; an empty table gives no
+rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleaner.llm import textscan
+from gleaner.llm.common import keep
 
 PER_LANGUAGE = 2000
-VOCABULARY = 30_000
 LONGEST = 5
+#: Added to each count of a word or n-gram.
+SMOOTH = 0.5
 #: Bytes of a word: ASCII small letters and whatever isn't ASCII. Texts are lower-cased before.
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -47,9 +49,14 @@ class Model:
     gram_scores: list[np.ndarray]
 
 
-def _log_share(counts: list[Counter], keys: list, smooth: float = 0.5) -> np.ndarray:
-    table = np.array([[c.get(k, 0) for c in counts] for k in keys], float).reshape(len(keys), len(counts))
-    return np.log((table + smooth) / (table.sum(0) + smooth * (len(keys) + 1)))
+def _tally(counted: DataFrame, key: str, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The keys of (lang, key, n) rows and the log share that each has in each language, smoothed."""
+    found = counted.toPandas()
+    row, keys = pd.factorize(found[key], sort=True)
+    place = found["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy(np.int64)
+    table = np.zeros((len(keys), len(languages)))
+    np.add.at(table, (row, place), found["n"].to_numpy(float))
+    return list(keys), np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * (len(keys) + 1)))
 
 
 def _gram_hashes(chars: np.ndarray, n: int) -> np.ndarray:
@@ -59,8 +66,8 @@ def _gram_hashes(chars: np.ndarray, n: int) -> np.ndarray:
     return textscan.mix64(total + np.uint64(n << 58))
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: int = VOCABULARY, seed: int = 0) -> Model:
-    """``rows`` has doc_id, text and lang. Words are counted by Spark; what comes back is the vocabulary."""
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 0) -> Model:
+    """``rows`` has doc_id, text and lang. Words and n-grams are counted by Spark; what comes back are the counts of the sample."""
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
@@ -68,32 +75,24 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: int = VOC
         return Model([], np.zeros(0, np.uint64), np.zeros((1, 0)), [], [])
     part = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))]), F.col("lang"))
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < part * 1_000_000)
-    each = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("word")).filter("length(word) <= 40")
-    tally = each.groupBy("lang", "word").count()
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    kept = tally.withColumn("place", top).filter(F.col("place") <= vocabulary).select("lang", "word", "count").toPandas()
-    words = [Counter(dict(zip(p["word"], p["count"], strict=True))) for p in (kept[kept["lang"] == k] for k in languages)]
+    each = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("word"))
+    tally = keep(each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     # A word seen once says little about whole words; its n-grams still count.
-    known = sorted(set().union(*[{w for w, n in c.items() if n > 1} for c in words]))
+    often = tally.groupBy("word").agg(F.max("n").alias("most")).filter("most > 1")
+    known, scores = _tally(tally.join(often, "word").select("lang", "word", "n"), "word", languages)
     hashes = _word_hashes(known)
     order = np.argsort(hashes)
-    scores = _log_share(words, known)[order]
     grams, gram_scores = [], []
     for n in range(1, LONGEST + 1):
-        tallies = []
-        for c in words:
-            tally_n: Counter = Counter()
-            for word, times in c.items():
-                edged = f" {word} "
-                for i in range(len(edged) - n + 1):
-                    tally_n[edged[i : i + n]] += times
-            tallies.append(tally_n)
-        keys = sorted(set().union(*tallies) - {" "})
-        codes = [_gram_hashes(np.array([ord(x) for x in k], np.uint64), n)[0] for k in keys]
-        place = np.argsort(np.array(codes, np.uint64))
-        grams.append(np.array(codes, np.uint64)[place])
-        gram_scores.append(_log_share(tallies, keys)[place])
-    return Model(languages, hashes[order], np.vstack([scores, np.zeros((1, len(languages)))]), grams, gram_scores)
+        starts = f"sequence(1, length(word) + 3 - {n})"
+        pieces = tally.filter(F.length("word") + 3 > n).select("lang", "n", F.explode(F.expr(f"transform({starts}, i -> substring(concat(' ', word, ' '), i, {n}))")).alias("gram"))
+        keys, shares = _tally(pieces.filter("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", languages)
+        chars = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)
+        codes = _gram_hashes(chars, n)[::n] if keys else np.zeros(0, np.uint64)
+        place = np.argsort(codes)
+        grams.append(codes[place])
+        gram_scores.append(shares[place])
+    return Model(languages, hashes[order], np.vstack([scores[order], np.zeros((1, len(languages)))]), grams, gram_scores)
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:

@@ -11,7 +11,8 @@ Scoring covers all bytes of all texts, in slices of a few MB.
 
 Defined cases: null and empty texts are a chunk of zero bytes and get the score of that; with no
 labels, or labels of one kind only, every score is the smoothed share of good ones; equal texts get
-equal scores; an empty table gives no rows.
+equal scores, repeated rows too; an empty table gives no rows; other columns pass, and if one is named
+like the score, the added column gets underscores before its name.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import textscan
+from gleaner.llm.common import free_name
 
 FILTERS, WIDTH = 8, 6
 #: Bytes of a block; a chunk is CHUNK blocks and the next one starts STRIDE blocks later.
@@ -150,14 +152,14 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 0) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, seed: int = 0) -> Model:
-    """``labels`` has doc_id and quality (0 or 1); of several for a document the least counts.
+    """``labels`` has doc_id and quality (0 or 1); of several for a document, and of several texts of an id, the least counts.
 
     The ids are chosen on the labels alone, and at most ``fit_rows`` of them are sent to the documents.
     """
     ids = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_rows)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= fit_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.encode("text", "utf-8").alias("text")).dropDuplicates(["doc_id"]).toPandas()
+    rows = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= fit_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.encode(F.min("text"), "utf-8").alias("text")).toPandas()
     rows = rows.sort_values("doc_id")
     return train([bytes(t) for t in rows["text"]], rows["quality"].to_numpy() > 0, seed)
 
@@ -193,7 +195,8 @@ def _long(data: np.ndarray, tables: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", name: str = "score", keep_text: bool = True) -> DataFrame:
-    """``docs`` with each text's probability of being good."""
+    """``docs`` with each text's probability of being good in a last column."""
+    (name,) = free_name(docs, name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     outputs = [c for c in docs.columns if keep_text or c != text_column]
     inputs = docs.columns

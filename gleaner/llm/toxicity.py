@@ -5,13 +5,14 @@ x holds log(1 + count) of the features in the model, which are whole words and w
 ``PREFIXES`` bytes (insults come in many inflected forms). The outputs are the probability of each grade, put
 together as the expected severity, and the chance of any toxicity.
 
-Fitting takes a bounded sample of at most ``FIT_ROWS`` labelled documents, chosen by a hash of their
-ids, and the ``FEATURES`` features whose presence says most about the label. Where the labels say only
+Fitting takes a bounded sample: at most ``FIT_ROWS`` labelled documents are drawn by a hash of their
+ids, and those of them of at most ``FIT_BYTES`` bytes are used; it takes the ``FEATURES`` features whose presence says most about the label. Where the labels say only
 toxic or not, ``grades`` makes severities of them: a toxic document is severe if it has more toxic
 markers than the median toxic document.
 
 Defined cases: null and empty texts have no features; with no labels, or no toxic one, the expected
-severity is near 0 for every text; equal texts get equal grades; an empty table gives no rows.
+severity is near 0 for every text; equal texts, repeated rows too, get equal grades; very long texts
+are scored whole, a slice of texts at a time; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -130,10 +131,10 @@ def _thresholds(packed: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, seed: int = 0) -> Model:
-    """``labels`` has doc_id and toxic (0 or 1, or a higher grade); of several for a document the highest counts."""
+    """``labels`` has doc_id and toxic (0 or 1, or a higher grade); of several for a document the highest counts, of several texts of an id the least."""
     ids = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= fit_bytes).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= fit_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     texts, given = pa.array(rows["text"].tolist(), pa.string()), rows["toxic"].to_numpy(np.int64)
     return fit_texts(texts, given)
 

@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,60 @@ def test_hits_on_few_words(spark, seed):
     check_hits(spark, texts, items, block_words=[20, 10**6][seed % 2])
 
 
+def brute_longest(texts, items, window=10):
+    """Words of the longest match of a window at least, or of a whole shorter item."""
+    out = []
+    for text in texts:
+        words, best = item_words(text), 0
+        for _, item in items:
+            own = item_words(item)
+            least = min(window, len(own)) or 1
+            for i in range(len(words)):
+                for j in range(len(own)):
+                    if j and len(own) - j < window:
+                        break
+                    n = 0
+                    while i + n < len(words) and j + n < len(own) and words[i + n] == own[j + n]:
+                        n += 1
+                    best = max(best, n if n >= least else 0)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_match_of_each_document(spark, seed):
+    rng = np.random.default_rng(seed)
+    some = lambda n: " ".join(rng.choice(["a", "b", "c"], n))
+    items = [(i, some(int(rng.choice([1, 3, 10, 12, 30])))) for i in range(6)]
+    texts = [some(int(n)) for n in rng.integers(0, 60, 20)] + [items[k][1] for k in range(6)] + [f"x {items[5][1]} y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (10**6, 30):
+        got = {r.doc_id: r.longest for r in decontamination.scan(docs, bench, block_words=block_words).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_longest(texts, items)
+
+
+def test_repetitive_texts_take_near_linear_time():
+    text = " ".join(["one", "two", "three", "four"] * 5000)
+    own = [part.hashes() for part in textscan.slices(pa.array([text]), textscan.ALPHANUMERIC, lower=True)]
+    began = time.time()
+    block = decontamination.Block.of(["a"], own, 10)
+    tracemalloc.start()
+    n_words, n_hit, longest, spans, items = decontamination.hits(pa.array([text, f"x {text}", "one two"]), block, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_hit.to_pylist() == [20_000, 20_000, 0] and longest.to_pylist() == [20_000, 20_000, 0] and items.to_pylist() == [["a"], ["a"], []]
+    assert time.time() - began < 2 and peak < 200 << 20
+
+
+def test_scan_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", [1])], "doc_id long, text string, n_hit string, items array<int>")
+    got = decontamination.scan(docs, spark.createDataFrame([(1, "b")], "item_id long, text string"))
+    assert got.columns == [*docs.columns, "n_words", "_n_hit", "longest", "spans", "_items"]
+    row = got.first()
+    assert (row["n_hit"], row["_n_hit"], row["_items"], row["longest"]) == ("x", 1, ["1"], 1)
+
+
 def test_empty_benchmark_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", [1]), (None, None, None, None)], "doc_id long, text string, n_hit string, items array<int>")
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -146,6 +203,16 @@ def test_quality_covers_all_bytes_at_any_slicing(monkeypatch):
         assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
 
+def test_fits_do_not_depend_on_the_order_of_repeated_ids(spark):
+    rows = [(i, f"text {i % 7} {'bad' * (i % 2)} number {k}") for i in range(60) for k in range(2)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    models = [(quality.fit(docs, labels), toxicity.fit(docs, labels)) for docs in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[::-1], "doc_id long, text string"))]
+    assert all(np.array_equal(a, b) for a, b in zip((models[0][0].filters, models[0][1].weights), (models[1][0].filters, models[1][1].weights), strict=True))
+    docs = spark.createDataFrame([(1, "a", 5)], "doc_id long, text string, score int")
+    got = quality.score(docs, models[0][0])
+    assert got.columns == ["doc_id", "text", "score", "_score"] and got.first().score == 5
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", None, None, 1), (None, None, None, None, None)], SCHEMA)
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -159,6 +226,60 @@ def test_language_on_held_out_texts(spark):
     assert rate(queries.op10_language(spark, SF1).collect(), truth, "lang_pred")[0] > 0.97
 
 
+def brute_model(rows):
+    """Words seen twice in a language, and n-grams of all words, with their log shares."""
+    languages = sorted({lang for _, lang in rows})
+    words = {k: Counter(w for t, lang in rows if lang == k for w in re.findall(r"[a-z\x80-\U0010FFFF]+", t.lower())) for k in languages}
+
+    def shares(counts):
+        keys = sorted(set().union(*counts.values()))
+        total = {k: sum(counts[k].values()) + 0.5 * (len(keys) + 1) for k in languages}
+        return {key: [np.log((counts[k][key] + 0.5) / total[k]) for k in languages] for key in keys}
+
+    known = {w for c in words.values() for w, n in c.items() if n > 1}
+    grams = []
+    for n in range(1, 6):
+        own = {k: Counter() for k in languages}
+        for k in languages:
+            for w, times in words[k].items():
+                for i in range(len(w) + 3 - n):
+                    own[k][f" {w} "[i : i + n]] += times
+            own[k].pop(" ", None)
+        grams.append(shares(own))
+    return languages, shares({k: Counter({w: c for w, c in words[k].items() if w in known}) for k in languages}), grams
+
+
+def brute_language(text, model):
+    languages, known, grams = model
+    total = np.zeros(len(languages))
+    for word in re.findall(r"[a-z\x80-\U0010FFFF]+", text.lower()):
+        if word in known:
+            total += known[word]
+            continue
+        for n in range(5, 0, -1):
+            found = [g for i in range(len(word) + 3 - n) if (g := f" {word} "[i : i + n]) in grams[n - 1]]
+            if found:
+                total += np.mean([grams[n - 1][g] for g in found], axis=0)
+                break
+    return languages[int(total.argmax())], total
+
+
+def test_language_query_matches_a_plain_model(spark, sf):
+    """All words count, of any length, and all of their n-grams."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    long = "z" * 41 + "é" * 30
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + [(10**6, f"{long} {long} q", "xx")]
+    model = brute_model([(t, lang) for _, t, lang in rows if t is not None and lang is not None])
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language.fit(frame)
+    assert len(fitted.words) == len(model[1]) and [len(g) for g in fitted.grams] == [len(g) for g in model[2]]
+    texts = [(t or "").lower()[:3000] for _, t, _ in rows] + [long, "z" * 50, f"{long}x", "ééé"]
+    got = language.score_batch(pa.array(texts), fitted)
+    for text, own in zip(texts, got, strict=True):
+        assert own == pytest.approx(brute_language(text, model)[1], rel=1e-9, abs=1e-6)
+    assert brute_language(f"{long}x", model)[0] == "xx"
+
+
 def test_language_odd_texts(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", "en", None, 1), (2, "le chat et le chien", "fr", None, 1), (3, "the the and", "en", None, 1)], SCHEMA)
     model = language.fit(docs)
@@ -171,8 +292,6 @@ def test_language_odd_texts(spark):
 
 
 def test_language_backs_off_to_shorter_grams():
-    from collections import Counter
-
     known = Counter({"abcdef": 3, "xy": 2})
     other = Counter({"zzz": 3})
     keys = {n: sorted({f" {w} "[i : i + n] for w in (*known, *other) for i in range(len(w) + 3 - n)} - {" "}) for n in range(1, 6)}
