@@ -21,15 +21,18 @@ RULES = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 DECONTAMINATION = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS ws FROM documents),
-  items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS ws FROM benchmark),
-  wins AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),
+  items AS (SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS ws FROM benchmark),
+  each AS (SELECT k, item, i AS j, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),
+  wins AS (SELECT DISTINCT item, n, gram FROM each),
   sizes AS (SELECT DISTINCT n FROM wins),
   own AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d CROSS JOIN sizes)),
   hits AS (SELECT r, n, i, item FROM own JOIN wins USING (n, gram)),
   covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, n, i FROM hits) CROSS JOIN (SELECT unnest(range(10)) AS k) WHERE k < n GROUP BY r),
+  runs AS (SELECT r, count(*) + 9 AS n FROM (SELECT r, k, i - j AS d, i - row_number() OVER (PARTITION BY r, k, i - j ORDER BY i) AS run FROM own JOIN each USING (n, gram) WHERE n = 10) GROUP BY r, k, d, run),
+  most AS (SELECT r, max(n) AS longest FROM (SELECT r, n FROM runs UNION ALL SELECT r, n FROM hits WHERE n < 10) GROUP BY r),
   named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY r)
-  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-  FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+  FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r) LEFT JOIN most USING (r)"""
 
 NGRAM_JOIN = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
   sets AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS gram, len(ws) < 5 AS short FROM (SELECT *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),

@@ -57,7 +57,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     items = F.array_sort(F.array_distinct("items"))
-    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
