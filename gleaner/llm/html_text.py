@@ -7,9 +7,11 @@ id), and inside an article. A decision tree, trained on the labelled table below
 
 Defined cases: a null or empty page, and one without text, gives the empty text; broken markup
 (unclosed or stray tags, a tag cut off at the end) is read as far as it goes: only an unclosed script,
-style or comment reaches to the end of the page, '/>' closes an unseen element, and a head ends where
-something stands that a head cannot hold; equal pages give equal
-texts; other columns do not matter; an empty table gives no rows.
+style or comment reaches to the end of the page, '/>' closes an unseen element, a head ends where
+something stands that a head cannot hold, and a link that is not closed ends with its block; equal
+pages, repeated rows too, give equal texts; very long pages are read whole, in time in proportion;
+other columns pass, and if one is named like the text, the added column gets underscores before its
+name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import free_name
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boilerplate", "article")
 
 #: The labelled table: the features of a block, then 1 if it is main text.
@@ -111,7 +115,7 @@ RAW = ("script", "style")
 #: Tags that a head may hold; any other tag or text ends a head that was not closed.
 HEAD_TAGS = frozenset("base basefont bgsound html link meta title".split()) | {*RAW}
 #: Tags whose content is never text of the page. One that is never closed is no more than its opening tag.
-UNSEEN = ("noscript", "template", "iframe", "svg", "math", "object", "select", "textarea", "button", "canvas", "audio", "video", "datalist")
+UNSEEN = ("noscript", "template", "iframe", "svg", "object", "select", "textarea", "button", "canvas", "audio", "video", "datalist")
 #: Tags that end a block.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
 #: Tags within a block that part words.
@@ -126,8 +130,12 @@ BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinf
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay paging pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
-#: Those that can as well be a topic: inside an article they mark nothing.
-TOPIC_WORDS = frozenset(["discussion", "related"])
+#: Those that can as well be a topic: in an article they mark only a few words, or links.
+TOPIC_WORDS = frozenset(["discussion", "recommended", "related", "share", "sharing", "social", "tags"])
+#: Words of a topic's container from which on it is part of its article.
+TOPIC_LEAST = 12
+#: What quotes or shows something is part of its article, whatever it is called.
+QUOTES = frozenset(["blockquote", "figure", "pre", "table"])
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
 
 # Attributes; a quote that is never closed counts as none.
@@ -135,6 +143,8 @@ _REST = r"""(?:"[^"]*"|'[^']*'|[^'">])*+(?=>|\Z)|[^>]*"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>{_REST})(?:>|\Z)", re.I | re.S)
 #: Opening and closing tags of unseen elements; a longer name, such as <svg-icon>, is another element.
 _UNSEEN_TAG = re.compile(rf"<(?P<close>/?)(?P<tag>{'|'.join(UNSEEN)})(?=[\s/>])(?P<rest>{_REST})(?:>|\Z)", re.I | re.S)
+_LINK_TAG = re.compile(rf"<(?P<close>/?)a(?=[\s/>])(?P<rest>{_REST})(?:>|\Z)", re.I | re.S)
+_HREF = re.compile(r"(?<![\w-])href(?![\w-])", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: What an element has around or beside it, or lacks, such as no-sidebar: it is not what the element is.
@@ -151,20 +161,23 @@ class Block:
     article: bool
 
 
-def _marks(tag: str, rest: str, article: bool, inner: bool) -> tuple[bool, bool, bool]:
-    """Of an opening container: whether its tag, role or style marks boilerplate, whether its class or id does, and whether anything marks an article."""
-    bad, named, good = tag in BOILERPLATE_TAGS or (tag == "header" and not article), False, tag in ARTICLE_TAGS
+def _marks(tag: str, rest: str, article: bool, inner: bool) -> tuple[bool, str, bool]:
+    """Of an opening container: whether its tag, role or style marks boilerplate, what its class or id does ("named", "topic" or nothing), and whether anything marks an article."""
+    bad, words_of, good = tag in BOILERPLATE_TAGS or (tag == "header" and not article), set(), tag in ARTICLE_TAGS
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", _ABSENT.sub(" ", value)))
-            named |= bool(words & (BOILERPLATE_WORDS - TOPIC_WORDS if inner else BOILERPLATE_WORDS)) and tag not in ARTICLE_TAGS and tag != "body"
-            good |= bool(words & ARTICLE_WORDS)
+            words_of |= set(re.split(r"[^a-z]+", _ABSENT.sub(" ", value)))
         elif name == "role":
             bad, good = bad or value in BOILERPLATE_ROLES, good or value in ("main", "article")
         else:
             bad |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value) is not None)
-    return bad, named, good
+    found = words_of & BOILERPLATE_WORDS
+    if not found or tag in ARTICLE_TAGS or tag == "body" or (inner and tag in QUOTES):
+        named = ""
+    else:
+        named = "topic" if found <= TOPIC_WORDS else "named"
+    return bad, named, good or bool(words_of & ARTICLE_WORDS)
 
 
 @dataclass
@@ -175,9 +188,10 @@ class Mark:
     """
 
     outer: Mark | None
-    kind: str  # "named", "mixed" (its class or id also has a word of articles) or "article"
+    kind: str  # "named", "mixed" (its class or id also has a word of articles, or only of topics), "topic" (in an article) or "article"
     depth: int
     words: int = 0
+    linked: float = 0.0
     undone: bool = False
     marks: bool = False
 
@@ -198,6 +212,7 @@ def _settle(found: list[Block], places: list[Place], marks: list[Mark]) -> None:
     A mark is undone for article elements inside it if no article element has fewer marks, and on an
     element that also has a word of articles if most words of the page are inside. In either case,
     running text outside of marks lets them stand, if it is in an article or longer than the text inside.
+    A mark of a topic in an article is undone where it holds TOPIC_LEAST words, most of them no links.
     """
     if not marks:
         return
@@ -207,9 +222,11 @@ def _settle(found: list[Block], places: list[Place], marks: list[Mark]) -> None:
     for block, place in zip(found, places, strict=True):
         if not place.bad and place.mark:
             place.mark.words += block.words
+            place.mark.linked += block.words * block.links
     for mark in reversed(marks):  # inner marks come later
         if mark.outer:
             mark.outer.words += mark.words
+            mark.outer.linked += mark.linked
     articles = [m for m in marks if m.kind == "article" and m.words]
     least = min((m.depth for m in articles), default=0)
     if least and not own and sum(m.words for m in articles if m.depth == least) > outside:
@@ -218,6 +235,8 @@ def _settle(found: list[Block], places: list[Place], marks: list[Mark]) -> None:
     for mark in marks:
         if mark.kind == "mixed":
             mark.undone = not own and 2 * mark.words > total
+        elif mark.kind == "topic":
+            mark.undone = mark.words >= TOPIC_LEAST and 2 * mark.linked < mark.words
         around = mark.outer is not None and mark.outer.marks
         mark.marks = around and not mark.undone if mark.kind == "article" else around or not mark.undone
     for block, place in zip(found, places, strict=True):
@@ -238,6 +257,18 @@ def _unseen_ends(page: str) -> dict[int, int]:
     return ends
 
 
+def _closed_links(page: str) -> set[int]:
+    """Where the links begin that are closed before another one begins; they hold whatever is between."""
+    closed, opened = set(), None
+    for token in _LINK_TAG.finditer(page):
+        if not token["close"]:
+            opened = token.start()
+        elif opened is not None:
+            closed.add(opened)
+            opened = None
+    return closed
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; those without text are left out."""
     found: list[Block] = []
@@ -245,7 +276,7 @@ def blocks(page: str) -> list[Block]:
     marks: list[Mark] = []
     stack: list[tuple[str, Place]] = []
     pieces: list[tuple[str, bool]] = []
-    link = False
+    link = wide = False  # in a link; in one that is closed, which goes on over block tags
     place = Place()
     own: Place | None = None  # a marked block that holds no blocks, such as <p class=ad>
 
@@ -255,7 +286,8 @@ def blocks(page: str) -> list[Block]:
         outer = None if tag == "main" else place.mark
         mark, depth = outer, outer.depth if outer else 0
         if named:
-            mark = Mark(outer, "mixed" if good else "named", depth + 1)
+            kind = "topic" if named == "topic" and place.inner else "mixed" if good or named == "topic" else "named"
+            mark = Mark(outer, kind, depth + 1)
         elif tag == "article" or (tag == "main" and not bad):
             mark = Mark(outer, "article", depth)
         if mark is not outer:
@@ -272,7 +304,7 @@ def blocks(page: str) -> list[Block]:
                 found.append(Block(text, words, min(1.0, linked / words), places[-1].bad, places[-1].article))
             pieces.clear()
 
-    at, ends, head, title = 0, _unseen_ends(page), False, False
+    at, ends, closed, head, title = 0, _unseen_ends(page), _closed_links(page), False, False
     while token := _TOKEN.search(page, at):
         if token.start() > at and (not head or not title):
             between = page[at : token.start()]
@@ -298,12 +330,14 @@ def blocks(page: str) -> list[Block]:
         title = tag == "title" and not token["close"]
         head = head and tag in HEAD_TAGS
         if tag == "a":
-            link = not token["close"]
+            # An anchor that only names a place is no link.
+            link = not token["close"] and (_HREF.search(token["rest"]) is not None or not token["rest"].strip())
+            wide = link and token.start() in closed
         elif tag in SPACE_TAGS:
             pieces.append((" ", link))
         elif tag in BLOCK_TAGS:
             flush()
-            own, link = None, False
+            own, link = None, link and wide
             if tag in CONTAINERS:
                 if not token["close"]:
                     if not token["rest"].endswith("/"):
@@ -392,7 +426,8 @@ def main_text(page: str | None, tree: Tree) -> str:
 def extract(pages: DataFrame, html_column: str = "html", name: str = "text") -> DataFrame:
     """``pages`` with the main text in place of the page."""
     tree = train(*labelled_table())
-    inputs, outputs = pages.columns, [c for c in pages.columns if c not in (html_column, name)]
+    inputs, outputs = pages.columns, [c for c in pages.columns if c != html_column]
+    (name,) = free_name(pages.select(*[f"`{c}`" for c in outputs]), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
