@@ -16,8 +16,17 @@ first, then by hash, so that passages which many documents share come last. Comm
 table of fixed size (``CELLS`` bytes), filled from the n-grams that repeat within a batch. Sample and
 order decide how much work there is, never which links are found.
 
-Rows connected over such first n-grams form families. A family with more than ``BLOCK_ENTRIES``
-entries is split into blocks by hash, and every pair of its blocks is multiplied.
+The product is computed twice. First each row comes once, to the block of the least of its shared
+first n-grams; near copies meet there, and the links found make components. What is left are first
+n-grams that rows of several components have. Where at most ``PAIR_ROWS`` rows have one, its pairs of
+rows of different components are counted, and a pair stays if the first n-grams that it shares,
+together with the rest of the larger set, can reach the overlap that the two sizes demand. A commoner
+one's rows are a block of their own. The second product finds the links between components in these.
+
+A block of more than ``BLOCK_ENTRIES`` entries is split by hash: in the first product every part gets
+one common row, so that the copies of it stay connected; in the second each pair of parts is
+multiplied. That pairing alone can grow faster than its rows, and only a first n-gram that so many
+rows of several components have comes to it.
 
 Words are runs of anything but ASCII white space, with A to Z lower-cased. N-grams are 64-bit hashes,
 and so are classes.
@@ -50,7 +59,12 @@ REPEATS = 3
 #: Share of the hashes that are counted exactly.
 SAMPLE = 0.3
 BLOCK_ENTRIES = 2_000_000
-SIEVE_BITS = 24
+#: Rows of a first n-gram whose pairs are counted; more rows are a block.
+PAIR_ROWS = 32
+#: Keys under which a component of several documents is looked up.
+SALTS = 8
+#: A sieve's bitmap has 2 to the power of these bits, least and most, by the number of wanted keys.
+SIEVE_BITS = (16, 27)
 
 
 def slice_sets(part: textscan.Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,25 +167,36 @@ def signatures(docs: DataFrame, words: int, threshold: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): the least node that it is connected to.
 
-    Labels go to neighbours and are then replaced by their own labels, until nothing changes.
+    In each round a node goes to that one of itself and its neighbours which a hash of the round puts
+    first, and only the edges between different ones go on. So edges shrink from round to round, on
+    long paths and hubs as well, and the number of rounds grows with the logarithm of the nodes. At
+    the end the rounds' choices are followed back.
     """
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    labels = keep(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("o")), "other").groupBy("node").agg(F.min("o").alias("o"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "o").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        following = keep(lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")))
-        if following.filter("root <> was").isEmpty():
-            return following.select("node", "root")
-        labels = following.select("node", "root")
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct()
+    left, rounds = keep(both), []
+    while not left.isEmpty():
+        of = lambda c, k=len(rounds): F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("root"))
+        near = left.groupBy("node").agg(F.min(of("other")).alias("near"))
+        went = keep(near.select("node", F.least("near", of("node"))["root"].alias("root")))
+        rounds.append(went)
+        ours = left.filter("node <> other").join(went, "node").select(F.col("root").alias("a"), F.col("other").alias("node")).distinct()
+        left = keep(ours.join(went, "node").filter("a <> root").select(F.col("a").alias("node"), F.col("root").alias("other")).distinct())
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = rounds.pop()
+    for went in reversed(rounds):
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        found = keep(went.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return found.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def candidates(signed: DataFrame, threshold: int) -> DataFrame:
     """(class, n, row) of the classes that may have a partner; row is one document of each.
 
     A class counts its sampled n-grams that other classes have too. Where copies of it in several
-    batches gave them several times, the count is that many times too high.
+    batches gave them several times, the count is that many times too high. A sampled n-gram is rare:
+    no batch has it REPEATS times, so what meets in one window grows with the batches only.
     """
     entries = signed.filter("sampled > 0").select("class", F.explode(F.slice("grams", F.lit(1), F.col("sampled").cast("int"))).alias("gram"))
     of_gram = Window.partitionBy("gram")
@@ -183,13 +208,6 @@ def candidates(signed: DataFrame, threshold: int) -> DataFrame:
     return classes.join(shared, "class", "left").filter(alone <= allowed).select("class", "n", "row")
 
 
-def families(entries: DataFrame) -> DataFrame:
-    """(class, family) of the classes that share a first n-gram with another one."""
-    lead = entries.groupBy("gram").agg(F.min("class").alias("lead"), F.max("class").alias("last")).filter("lead <> last").select("gram", "lead")
-    edges = entries.join(lead, "gram").filter("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
-    return components(edges).select(F.col("node").alias("class"), F.col("root").alias("family"))
-
-
 def spanning_links(sizes: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of a block's rows, breadth first.
 
@@ -240,49 +258,53 @@ def spanning_links(sizes: np.ndarray, sets: list[np.ndarray], threshold: int) ->
 
 
 def sifted(rows: DataFrame, wanted: DataFrame, key: str, among: bool = True) -> DataFrame:
-    """Rows whose key may be among the wanted ones, or those whose key is surely not, by a bitmap of fixed size.
+    """Rows whose key may be among the wanted ones, or those whose key is surely not, by a bitmap.
 
-    It saves shuffling texts that the join behind it would not touch. The bitmap has 2 ** SIEVE_BITS
-    bits whatever the input; the fuller it is, the more rows may be among the wanted ones.
+    Keys are 64-bit hashes. It saves shuffling texts that the join behind it would not touch. Bits
+    follow the number of wanted keys up to a bound; beyond it ever more rows may be among them.
     """
+    bits = min(max((8 * wanted.count()).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
     bucket = 1 << 15  # bits of one bitmap aggregate
-    cell = F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS))
+    cell = F.pmod(key, F.lit(1 << bits))
     maps = wanted.select(cell.alias("cell")).groupBy(F.expr(f"cell div {bucket}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("cell") % bucket).alias("bits")).collect()
-    bits = np.zeros((1 << SIEVE_BITS) // 8, np.uint8)
+    found = np.zeros((1 << bits) // 8, np.uint8)
     for row in maps:
-        bits[row.bucket * bucket // 8 :][: bucket // 8] = np.frombuffer(bytes(row.bits), np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(bits)
-    columns = rows.columns
+        found[row.bucket * bucket // 8 :][: bucket // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(found)
+    place = rows.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
+        found = held.value
         for batch in batches:
-            at = batch.column(len(columns)).to_numpy()
-            chosen = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) == among))
-            yield pa.RecordBatch.from_arrays(chosen.columns[:-1], columns)
+            at = batch.column(place).to_numpy() & ((1 << bits) - 1)
+            yield batch.filter(pa.array(((found[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) == among))
 
-    return rows.withColumn(*free_name(rows, "cell"), cell).mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
-def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """(a, b): links between classes that connect all classes which are connected at all."""
-    chosen = keep(candidates(signed, threshold))
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    own = sifted(signed.select("class", "grams").filter(F.size("grams") > 0), chosen, "class")
-    entries = own.join(chosen.select("class", "n"), "class").select("class", F.explode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("gram"))
-    rows = keep(chosen.join(families(entries), "class"))
-    blocks = rows.groupBy("family").agg(F.ceil(F.sum("n") / block_entries).cast("int").alias("blocks"))
-    members = keep(rows.join(blocks, "family").select("class", "family", "blocks", F.col("row.text_key").alias("text_key"), F.col("row.id").alias("id")))
+def product(docs: DataFrame, placed: DataFrame, words: int, threshold: int, block_entries: int, pairs: bool) -> DataFrame:
+    """(a, b): links that connect all rows of a block which its links connect.
+
+    ``placed`` has class, n, row and block. Small blocks are put together until they have about an
+    eighth of ``block_entries``. A larger one is split; its parts get the block's least class each, or
+    are multiplied pair by pair (``pairs``).
+    """
+    blocks = placed.groupBy("block").agg(F.sum("n").alias("entries"), F.min("class").alias("lead")).withColumn("parts", F.ceil(F.col("entries") / block_entries).cast("int"))
+    blocks = keep(blocks)
+    heaps = max(1, -(-8 * (blocks.agg(F.sum("entries")).first()[0] or 0) // block_entries))
+    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(every, lambda p: p != own) if pairs else F.when(F.col("class") == F.col("lead"), every).otherwise(F.array(own)))
+    group = F.when(F.col("parts") == 1, F.pmod("block", F.lit(heaps))).otherwise(F.col("block"))
+    each = placed.join(blocks, "block").withColumn("own", own).withColumn("other", F.explode(others))
+    each = each.select("class", "row", F.struct(group.alias("block"), (F.least("own", "other") if pairs else F.col("other")).alias("part_a"), (F.greatest("own", "other") if pairs else F.col("other")).alias("part_b")).alias("at"))
+    asked = keep(each.groupBy("class", F.col("row.text_key").alias("text_key"), F.col("row.id").alias("id")).agg(F.collect_set("at").alias("at")))
 
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     # One key of both columns, so that the join's partitioning also serves the removal of repeated rows.
     pair = F.xxhash64("text_key", "id")
-    asked = members.withColumn("pair", pair).alias("m")
-    found = sifted(texts, members, "text_key").withColumn("pair", pair).alias("t").join(asked, F.expr("t.pair = m.pair AND t.text_key = m.text_key AND t.id <=> m.id"))
-    found = found.select("t.pair", "m.class", "m.family", "m.blocks", "t.text").dropDuplicates(["pair", "class"])
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own))
-    placed = found.withColumn("own", own).withColumn("other", F.explode(other)).select("family", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "class", "text")
+    found = sifted(texts, asked, "text_key").withColumn("pair", pair).alias("t").join(asked.withColumn("pair", pair).alias("m"), F.expr("t.pair = m.pair AND t.text_key = m.text_key AND t.id <=> m.id"))
+    found = found.select("t.pair", "m.class", "m.at", "t.text").dropDuplicates(["pair", "class"]).select("class", "text", F.explode("at").alias("at"))
 
     def multiply(table: pa.Table) -> pa.Table:
         sets: list[np.ndarray] = []
@@ -294,7 +316,65 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_
         got = spanning_links(sizes, sets, threshold) if len(sets) > 1 else []
         return pa.table({"a": pa.array([int(cls[i]) for i, _ in got], pa.int64()), "b": pa.array([int(cls[j]) for _, j in got], pa.int64())})
 
-    return placed.groupBy("family", "block_a", "block_b").applyInArrow(multiply, "a long, b long")
+    return found.select("class", "text", "at.*").groupBy("block", "part_a", "part_b").applyInArrow(multiply, "a long, b long")
+
+
+def prefix_entries(signed: DataFrame, chosen: DataFrame, threshold: int) -> DataFrame:
+    """(class, n, gram): the first n-grams of the chosen classes, as far as several classes have them."""
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    given = signed.filter(F.size("grams") > 0).select("class", "n", F.slice("grams", F.lit(1), prefix.cast("int")).alias("grams"))
+    # Copies in several batches give a class's n-grams several times.
+    once = sifted(given, chosen, "class").join(chosen.select("class"), "class").dropDuplicates(["class"])
+    entries = keep(once.select("class", "n", F.explode("grams").alias("gram")))
+    held = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    return keep(entries.join(held, "gram").select("class", "n", "gram"))
+
+
+def between(entries: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """(class, block): rows of different components that may have a link.
+
+    ``entries`` are those of ``prefix_entries`` and ``roots`` the (node, root) of the links so far.
+    """
+    rooted = entries.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = keep(rooted)
+    mixed = rooted.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    rows = keep(rooted.join(mixed.select("gram", "classes"), "gram"))
+    # At most PAIR_ROWS rows an n-gram come together here.
+    few = rows.filter(F.col("classes") <= PAIR_ROWS).groupBy("gram").agg(F.collect_list(F.struct("class", "root", "n")).alias("own"))
+    each = few.select(F.explode("own").alias("x"), "own").select("x", F.explode("own").alias("y"))
+    near = F.expr(f"x.class < y.class AND x.root <> y.root AND 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)")
+    counted = each.filter(near).groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
+    # Behind the first n-grams of the larger set there are ceil(t n) - 1 more.
+    reach = F.col("shared") + F.ceil(F.greatest("na", "nb") * threshold / 100) - 1
+    pairs = counted.filter((100 + threshold) * reach >= threshold * (F.col("na") + F.col("nb")))
+    pairs = keep(pairs.select("a", "b"))
+    many = rows.filter(F.col("classes") > PAIR_ROWS).select("class", F.col("gram").alias("block"))
+    return pairs.select(F.col("a").alias("class"), F.col("a").alias("block")).union(pairs.select(F.col("b").alias("class"), F.col("a").alias("block"))).union(many).distinct()
+
+
+def joined_components(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after further links between the components of ``roots``."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
+    ends = keep(ends)
+    met = keep(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+    alone = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    every = roots.unionByName(alone)
+    return every.join(met.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+
+
+def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_entries: int = BLOCK_ENTRIES) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between classes that connect all classes which are connected at all, and their components (node, root)."""
+    chosen = keep(candidates(signed, threshold))
+    entries = prefix_entries(signed, chosen, threshold)
+    homes = entries.groupBy("class").agg(F.min("gram").alias("block")).join(chosen, "class")
+    first = keep(product(docs, keep(homes), words, threshold, block_entries, False))
+    roots = keep(components(first))
+    left = keep(between(entries, roots, threshold))
+    if left.isEmpty():
+        return first, roots
+    second = keep(product(docs, keep(left.join(chosen, "class")), words, threshold, block_entries, True))
+    return first.unionByName(second), keep(joined_components(roots, second))
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
@@ -305,13 +385,16 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, block_
     texts under it (or of null ids) the one with the least key.
     """
     signed = keep(signatures(docs, words, threshold))
-    found = keep(links(docs, signed, words, threshold, block_entries))
-    roots = components(found).select(F.col("node").alias("class"), "root")
-    rows = signed.select("id", "text_key", "n", "class").join(roots, "class", "left").withColumn("component", F.coalesce("root", "class"))
+    _, roots = links(docs, signed, words, threshold, block_entries)
+    rows = signed.select("id", "text_key", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("root", "class"))
     rows = keep(rows.select("id", "text_key", "n", "class", "component"))
-    heads = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("head"))
-    joined = rows.join(heads, "component", "left")
-    return joined.select("id", "text_key", "n", "class", "component", "least", (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_key") == F.col("head.text_key"))).alias("first"))
+    heads = rows.filter("component IS NOT NULL").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("head"))
+    # Only components of several rows are looked up, each under SALTS keys, so that a large one is dealt to several tasks.
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    several = heads.filter("rows > 1").select("component", "least", "head", salt)
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "text_key"), F.lit(SALTS)).cast("int")).join(several, ["component", "salt"], "left")
+    first = F.col("head").isNull() | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_key") == F.col("head.text_key")))
+    return joined.select("id", "text_key", "n", "class", "component", F.coalesce("least", F.when(F.col("component").isNotNull(), F.col("id"))).alias("least"), (F.col("component").isNotNull() & first).alias("first"))
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -325,6 +408,7 @@ def deduplicate(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     special = keep(states.filter("NOT first OR rows > 1").select(F.col("id").alias(ident), F.col("text_key").alias(key), F.col("first").alias(first)))
     rows = docs.withColumn(key, F.xxhash64("text"))
     joined = sifted(rows, special, key).alias("d").join(special.alias("s"), F.expr(f"d.`{key}` = s.`{key}` AND d.doc_id <=> s.`{ident}`"), "left").select("d.*", f"s.{first}")
-    once = joined.filter(F.col(first)).dropDuplicates(["doc_id", key])
+    # Rows that differ in other columns only: the least by a hash of all of them, the same in every run.
+    once = joined.filter(F.col(first)).groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("row")).select("row.*")
     parts = [sifted(rows, special, key, among=False), joined.filter(F.col(first).isNull()), once]
     return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))
