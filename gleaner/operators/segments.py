@@ -1,12 +1,21 @@
 """Segmentation of numbered texts: line noise, clauses with sections, and paragraphs."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # The line patterns of the two standards and their page furniture.
-CLAUSE = r"^(\d+(?:\.\d+)+)\s+((?:CR|EDR|HDR|NDR|SAR)\s+\d+\.\d+|(?:SM|SR|SD|SI|SVV|DM|SUM|SG)-\d+)\s*[–—:：-]\s*(.+)$"
-GROUP = r"^\d+\s+(FR\s+\d+\s*[–—-]\s*.+|(?:Software application|Embedded device|Host device|Network device)\s+requirements|Practice\s+\d+\s*[–—-]\s*.+)$"
+CLAUSE = {
+    "4-2": r"^(\d+(?:\.\d+)+)\s+((?:CR|EDR|HDR|NDR|SAR)\s+\d+\.\d+)\s*[–—-]\s*(.+)$",
+    "4-1": r"^(\d+(?:\.\d+)+)\s+((?:SM|SR|SD|SI|SVV|DM|SUM|SG)-\d+)\s*[:：]\s*(.+)$",
+}
+GROUP = {
+    "4-2": r"^\d+\s+(FR\s+\d+\s*[–—-]\s*.+|(?:Software application|Embedded device|Host device|Network device)\s+requirements)$",
+    "4-1": r"^\d+\s+(Practice\s+\d+\s*[–—-]\s*.+)$",
+}
+STANDARDS = {"4-2": "IEC 62443-4-2", "4-1": "IEC 62443-4-1"}
 SECTION = r"(?i)^\d+(?:\.\d+)+\s+(Requirement enhancements|Requirements enhancements|Rationale and supplemental guidance|Security levels|Requirement)\s*$"
 SECTION_FIELDS = {"requirement": "requirement", "rationale and supplemental guidance": "rationale", "requirement enhancements": "enhancements", "requirements enhancements": "enhancements", "security levels": "security_levels"}
 NOISE = (r"^(–\s*\d+\s*–\s*)?IEC\s+62443-\d-\d:\d{4}.*?(–\s*\d+\s*–)?$", r"\.{4,}\s*\d+\s*$", r"(?i)^Customer:\s", r"(?i)^Order No\.:", r"(?i)licence agreement", r"(?i)copyright of IEC", r"^\s*$")
@@ -23,6 +32,13 @@ def is_noise(line: Column) -> Column:
     return found
 
 
+def upright_lines(glyphs: DataFrame, doc: str = "doc_id", n: str = "n", text: str = "text", upright: str = "upright") -> DataFrame:
+    """Lines put together from runs of glyphs in order, without those that stand askew, such as watermarks."""
+    kept = glyphs.filter(F.coalesce(F.col(upright), F.lit(True)))
+    runs = F.array_sort(F.collect_list(F.struct("run", text)))
+    return kept.groupBy(doc, n).agg(F.array_join(F.transform(runs, lambda r: r[text]), "").alias("line"))
+
+
 def body_lines(lines: DataFrame, doc: str = "doc_id", n: str = "n", line: str = "line") -> DataFrame:
     """A document's lines before a second language and from its body's start on, without noise.
 
@@ -35,24 +51,43 @@ def body_lines(lines: DataFrame, doc: str = "doc_id", n: str = "n", line: str =
     return kept.filter(~is_noise(F.col(line))).drop("start", "stop")
 
 
-def clause_lines(lines: DataFrame, doc: str = "doc_id", n: str = "n", line: str = "line") -> DataFrame:
+def of_part(part: Column, value: Callable[[str], Column]) -> Column:
+    """``value`` of the standard that a row's part names; null for any other part."""
+    cases = F.lit(None)
+    for name in STANDARDS:
+        cases = F.when(part == name, value(name)).otherwise(cases)
+    return cases
+
+
+def detect_part(name: Column) -> Column:
+    """The part of the standard that a file's name tells, or null."""
+    own = F.replace(F.lower(F.regexp_extract(name, r"([^/\\\\]*)$", 1)), F.lit("_"), F.lit("-"))
+    return F.coalesce(*[F.when(own.contains(f"62443-{part}"), part) for part in STANDARDS])
+
+
+def clause_lines(lines: DataFrame, doc: str = "doc_id", n: str = "n", line: str = "line", part: Column | str = "4-2") -> DataFrame:
     """Each line of a clause with the clause's number in the document, its header parts, group and field.
 
+    ``part`` is a standard's part or a column of it; each part has headers of its own.
+
     A group header names the group of later clauses and does not end the one it stands in. Lines
     before the first clause, and headers, are dropped.
     """
     in_order = Window.partitionBy(doc).orderBy(n)
     own = F.col(line)
-    is_group = own.rlike(GROUP)
-    is_clause = ~is_group & own.rlike(CLAUSE)
+    part = F.lit(part) if isinstance(part, str) else part
+    found = lambda patterns: F.coalesce(of_part(part, lambda k: own.rlike(patterns[k])), F.lit(False))
+    piece = lambda patterns, i: of_part(part, lambda k: F.regexp_extract(own, patterns[k], i))
+    is_group = found(GROUP)
+    is_clause = ~is_group & found(CLAUSE)
     is_section = ~is_group & ~is_clause & own.rlike(SECTION)
     squash = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     field = F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTION_FIELDS.items() for x in kv]), F.lower(F.regexp_extract(own, SECTION, 1)))
     marked = lines.withColumns({"is_group": is_group, "is_clause": is_clause, "is_section": is_section})
-    marked = marked.withColumn("group", F.last(F.when(is_group, squash(F.regexp_extract(own, GROUP, 1))), ignorenulls=True).over(in_order))
+    marked = marked.withColumn("group", F.last(F.when(is_group, squash(piece(GROUP, 1))), ignorenulls=True).over(in_order))
     marked = marked.withColumn("clause", F.sum(F.col("is_clause").cast("int")).over(in_order)).filter("clause > 0 AND NOT is_group")
     within = Window.partitionBy(doc, "clause").orderBy(n)
-    head = F.when(F.col("is_clause"), F.struct(F.regexp_extract(own, CLAUSE, 1).alias("clause_no"), squash(F.regexp_extract(own, CLAUSE, 2)).alias("clause_id"), F.trim(F.regexp_extract(own, CLAUSE, 3)).alias("title"), F.coalesce("group", F.lit("")).alias("group")))
+    head = F.when(F.col("is_clause"), F.struct(piece(CLAUSE, 1).alias("clause_no"), squash(piece(CLAUSE, 2)).alias("clause_id"), F.trim(piece(CLAUSE, 3)).alias("title"), F.coalesce("group", F.lit("")).alias("group")))
     marked = marked.withColumn("head", F.first(head, ignorenulls=True).over(within)).withColumn("field", F.coalesce(F.last(F.when(F.col("is_section"), field), ignorenulls=True).over(within), F.lit("requirement")))
     return marked.filter("NOT is_clause AND NOT is_section").select(doc, "clause", "head.clause_no", "head.clause_id", "head.title", "head.group", "field", n, line)
 
@@ -60,18 +95,37 @@ def clause_lines(lines: DataFrame, doc: str = "doc_id", n: str = "n", line: str
 def dewrap(lines: Column) -> Column:
     """Lines as paragraphs: a block start begins a new line, a final hyphen is removed and joined, else a space joins."""
 
-    def add(out: Column, line: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        rest = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
-        joined = F.when(F.endswith(last, F.lit("-")), F.concat(F.left(last, F.length(last) - 1), line)).otherwise(F.concat(last, F.lit(" "), line))
-        return F.when((F.size(out) == 0) | line.rlike(BLOCK_START), F.array_append(out, line)).otherwise(F.array_append(rest, joined))
+    def piece(line: Column, i: Column) -> Column:
+        last, following = F.try_element_at(lines, i), F.try_element_at(lines, i + 2)  # positions count from 1
+        starts = line.rlike(BLOCK_START)
+        before = F.when(i == 0, "").when(starts, "\n").when(F.endswith(last, F.lit("-")), "").otherwise(" ")
+        joins = F.endswith(line, F.lit("-")) & F.coalesce(~following.rlike(BLOCK_START), F.lit(False))
+        return F.concat(before, F.when(joins, F.left(line, F.length(line) - 1)).otherwise(line))
 
-    return F.regexp_replace(F.array_join(F.aggregate(lines, F.array().cast("array<string>"), add), "\n"), r"(?U)^\s+|\s+$", "")
+    # Position 0 is no place of an array, so the first line has none before it.
+    return F.regexp_replace(F.array_join(F.transform(lines, lambda line, i: piece(line, F.when(i > 0, i).otherwise(0))), ""), r"(?U)^\s+|\s+$", "")
 
 
-def clauses(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+def clauses(lines: DataFrame, doc: str = "doc_id", part: Column | str = "4-2") -> DataFrame:
     """One row a clause with its four fields dewrapped. A clause is a few pages at most."""
-    each = clause_lines(lines, doc)
+    each = clause_lines(lines, doc, part=part)
     own = lambda name: dewrap(F.transform(F.filter(F.col("all"), lambda x: x["field"] == name), lambda x: x["line"])).alias(name)
     grouped = each.groupBy(doc, "clause", "clause_no", "clause_id", "title", "group").agg(F.array_sort(F.collect_list(F.struct("n", "field", "line"))).alias("all"))
     return grouped.select(doc, "clause", "clause_no", "clause_id", "title", "group", *[own(f) for f in ("requirement", "rationale", "enhancements", "security_levels")])
+
+
+def clause_records(found: DataFrame, part: Column | str = "4-2") -> DataFrame:
+    """Clauses as knowledge-base entries: key, title, labelled text, group, levels and the text to embed."""
+    part = F.lit(part) if isinstance(part, str) else part
+    standard = of_part(part, lambda k: F.lit(STANDARDS[k]))
+    bodies = (("Requirement", "requirement"), ("Rationale and supplemental guidance", "rationale"), ("Requirement enhancements", "enhancements"))
+    text = F.array_join(F.array_compact(F.array(*[F.when(F.trim(name) != "", F.concat(F.lit(f"{label}:\n"), F.col(name))) for label, name in bodies])), "\n\n")
+    key = F.concat(standard, F.lit(" "), "clause_id")
+    # The levels are alike everywhere and would only drown what tells clauses apart.
+    embedded = joined_parts(F.concat(key, F.lit(" – "), "title"), "group", *[name for _, name in bodies])
+    return found.select(key.alias("key"), "clause_id", "clause_no", standard.alias("standard"), "title", "group", text.alias("text"), "security_levels", embedded.alias("embedding_text"))
+
+
+def joined_parts(*parts: Column | str) -> Column:
+    """The parts that are not empty, a line each."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), "\n")

@@ -154,7 +154,7 @@ SPARSE = bm25_sql("SELECT lang AS kb, doc_id AS pos, text FROM documents", "SELE
 @query(f"WITH {SPARSE} SELECT kb, term, df, round(idf, 6) AS idf FROM idfs JOIN raw USING (kb, term)")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = s.documents_as_kb(spark, sf_dir)
-    weights = retrieval.term_weights(retrieval.postings(docs), retrieval.corpus_stats(docs))
+    weights = retrieval.term_weights(retrieval.entry_counts(docs), retrieval.corpus_stats(docs))
     return weights.select("kb", "term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -200,7 +200,7 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse(ranked[0].unionByName(ranked[1]), ["q", "key"]).select("q", "key", F.round("rrf", 9).alias("rrf"))
 
 
-HYBRID_SPARSE = bm25_sql("SELECT 'all' AS kb, doc_id AS pos, text FROM documents", "SELECT doc_id AS query_id, left(text, 80) AS query FROM documents WHERE doc_id % 10 = 0")
+HYBRID_SPARSE = bm25_sql("SELECT 'all' AS kb, doc_id AS pos, text FROM documents", "SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 10 = 0")
 
 
 def hybrid_sql(mode: str) -> str:
@@ -243,10 +243,10 @@ def candidates_per_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROCESS_SPARSE = bm25_sql("SELECT 'process' AS kb, doc_id AS pos, text FROM documents", "SELECT CAST(target AS BIGINT) AS query_id, query FROM process")
 
 
-@query(f"WITH {PROCESS}, {PROCESS_SPARSE} SELECT query_id, pos, round(score, 6) AS score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse WHERE sparse_rank <= 8 AND query_id % 20 = 0")
+@query(f"WITH {PROCESS}, {PROCESS_SPARSE} SELECT query_id, pos, round(score, 6) AS score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse WHERE sparse_rank <= 8")
 def process_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight best process entries for every twentieth target's query text."""
-    asked = process_query(spark, sf_dir).select(F.col("target").cast("long").alias("query_id"), "query").filter("query_id % 20 = 0")
+    """The eight best process entries for every target's query text."""
+    asked = process_query(spark, sf_dir).select(F.col("target").cast("long").alias("query_id"), "query")
     rows = retrieval.bm25_topk(asked, s.documents_as_kb(spark, sf_dir).withColumn("kb", F.lit("process")), k=8)
     return rows.select("query_id", "pos", F.round("score", 6).alias("score"), "sparse_rank")
 
@@ -342,10 +342,9 @@ def clause_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "clause", "clause_id", "group", "field", "n", "line")
 
 
-@query(rf"""WITH RECURSIVE {s.LINES}, l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, line FROM body),
-  f AS (SELECT doc_id, i, line AS text FROM l WHERE i = 1 UNION ALL SELECT f.doc_id, l.i, CASE WHEN regexp_matches(line, '^(\(\d+\)|[a-z]\)|\d+\)|[•●▪◦‣]|NOTE\b|EXAMPLE\b|SL-C\b)') THEN text || chr(10) || line WHEN text LIKE '%-' THEN left(text, length(text) - 1) || line ELSE text || ' ' || line END
-    FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
-  SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1""")
+@query(rf"""WITH {s.LINES}, l AS (SELECT *, regexp_matches(line, '^(\(\d+\)|[a-z]\)|\d+\)|[•●▪◦‣]|NOTE\b|EXAMPLE\b|SL-C\b)') AS starts FROM body),
+  p AS (SELECT *, lag(line) OVER w AS last, lead(starts) OVER w AS following FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n))
+  SELECT doc_id, regexp_replace(string_agg(CASE WHEN last IS NULL THEN '' WHEN starts THEN chr(10) WHEN last LIKE '%-' THEN '' ELSE ' ' END || CASE WHEN line LIKE '%-' AND NOT coalesce(following, true) THEN left(line, length(line) - 1) ELSE line END, '' ORDER BY n), '^\s+|\s+$', '', 'g') AS text FROM p GROUP BY doc_id""")
 def dewrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments.body_lines(s.standard_lines(spark, sf_dir))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
@@ -372,8 +371,8 @@ def text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_check(table(spark, sf_dir, "documents").select("lang", own.alias("text")), "lang")
 
 
-@query("""SELECT page_id, 'Article ' || page_id % 70 AS article_no, 'T' || page_id AS title, 'one' || chr(10) || 'two' || chr(10) || 'sub 2' AS text FROM pages WHERE page_id % 2 = 0
-  UNION ALL SELECT page_id, 'Article 99', '', 'tail ' || page_id FROM pages WHERE page_id % 2 = 0""")
+@query("""SELECT page_id, 'Article ' || page_id % 70 AS article_no, 'T' || page_id AS title, 'one' || chr(10) || 'two' || chr(10) || 'sub 2' AS text FROM pages
+  UNION ALL SELECT page_id, 'Article 99', '', 'tail ' || page_id FROM pages""")
 def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of made-up regulation pages; text in an annex does not belong to the last article."""
     n = F.col("page_id").cast("string")

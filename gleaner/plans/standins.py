@@ -87,8 +87,7 @@ CITATION_LIST = r"""regexp_extract_all(answer, '(?i)CWE-\d+') || regexp_extract_
 def standard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a made-up standard: all lines of its text as the body, headers and page furniture between them.
 
-    A contents page stands before the body and a second language after it. ``LINES`` has less: a line
-    of six words for each document.
+    A contents page stands before the body and a second language after it.
     """
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "own"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("size"))
     i, own = F.col("i").cast("long"), F.col("own")
@@ -108,12 +107,17 @@ def standard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", i.alias("i"), F.posexplode(F.array(*parts)).alias("part", "line")).filter("line IS NOT NULL").select("doc_id", (F.col("i") * len(parts) + F.col("part")).alias("n"), "line")
 
 
-LINES = r"""lines AS (SELECT doc_id // 100 AS doc_id, doc_id % 100 AS n, CASE WHEN i = 3 THEN '1 Scope' WHEN i = 90 THEN 'SOMMAIRE'
-    WHEN i % 20 = 5 THEN i || ' FR ' || (i // 20 + 1) || ' – Some  control' WHEN i % 10 = 6 THEN i || '.1 CR ' || i % 7 || '.' || i || ' – Title of it'
-    WHEN i % 10 = 8 THEN i || '.1 Security levels' WHEN i % 13 = 1 THEN 'IEC 62443-4-2:2019 © IEC 2019 – 3 –' WHEN i % 11 = 2 THEN 'Requirement ...... 12'
-    WHEN i % 9 = 4 THEN 'NOTE ' || words WHEN i % 7 = 2 THEN words || '-' ELSE words END AS line
-  FROM (SELECT doc_id, doc_id % 100 AS i, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 6), ' ') AS words FROM documents)),
+LINES = r"""lines AS (SELECT doc_id, i * 10 + part AS n, line FROM (SELECT doc_id, i, unnest(range(10)) AS part, unnest([
+      CASE WHEN i = 0 THEN 'CONTENTS' END, CASE WHEN i = 0 THEN '1 Scope' END,
+      CASE WHEN i % 20 = 0 THEN (i // 10 + 2) || ' FR ' || (i // 20 + 1) || ' – Some  control' END,
+      CASE WHEN i % 10 = 0 THEN (i // 10 + 2) || '.1 CR ' || i % 7 || '.' || i || ' – Title of it' END,
+      CASE WHEN i % 10 = 5 THEN (i // 10 + 2) || '.1 Security levels' END,
+      CASE WHEN i % 13 = 1 THEN 'IEC 62443-4-2:2019 © IEC 2019 – 3 –' END,
+      CASE WHEN i % 11 = 2 THEN 'Requirement ...... 12' END,
+      CASE WHEN i % 9 = 4 THEN 'NOTE ' || own WHEN i % 7 = 2 THEN own || '-' ELSE own END,
+      CASE WHEN i = size - 1 THEN 'SOMMAIRE' END, CASE WHEN i = size - 1 THEN 'Une autre langue' END]) AS line
+    FROM (SELECT doc_id, i, ls[i + 1] AS own, len(ls) AS size FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))) WHERE line IS NOT NULL),
   limits AS (SELECT doc_id, min(n) FILTER (line IN ('SOMMAIRE', 'AVANT-PROPOS')) AS stop, min(n) FILTER (regexp_matches(line, '^1\s+Scope\s*$')) AS start FROM lines GROUP BY doc_id),
-  body AS (SELECT l.* FROM lines l JOIN limits USING (doc_id) WHERE (stop IS NULL OR n < stop) AND (start IS NULL OR start > coalesce(stop, 1000) OR n >= start)
+  body AS (SELECT l.* FROM lines l JOIN limits USING (doc_id) WHERE (stop IS NULL OR n < stop) AND (start IS NULL OR coalesce(start > stop, false) OR n >= start)
     AND NOT (regexp_matches(line, '^(–\s*\d+\s*–\s*)?IEC\s+62443-\d-\d:\d{4}.*?(–\s*\d+\s*–)?$') OR regexp_matches(line, '\.{4,}\s*\d+\s*$') OR regexp_matches(line, '(?i)^Customer:\s')
       OR regexp_matches(line, '(?i)^Order No\.:') OR regexp_matches(line, '(?i)licence agreement') OR regexp_matches(line, '(?i)copyright of IEC') OR regexp_matches(line, '^\s*$')))"""
