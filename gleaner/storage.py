@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
@@ -17,21 +22,55 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        one_machine = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if named is None and not one_machine:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-"))
     return context.getCheckpointDir()
 
 
-def keep(df: DataFrame) -> DataFrame:
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder, store = _folder(spark, path)
+    store.delete(folder, True)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the session ends."""
+    folder, store = _folder(spark, path)
+    store.deleteOnExit(folder)
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that ``keep`` writes inside go when the block ends, but for those that outlive it."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in scopes.pop():
+            remove(spark, path)
+
+
+def keep(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` by a table in the shared folder.
 
     Unlike a checkpoint, a table carries nothing of the old plan along, so loops stay cheap on the
-    driver, and it is compressed and read by column. It goes when the session ends.
+    driver, and it is compressed and read by column. It goes when the session ends, or when the
+    ``temporary`` block around it does; with ``outlive`` the block around that one counts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    scopes = _open.__dict__.get("scopes", [])
+    scopes = scopes[:-1] if outlive else scopes
+    if scopes:
+        scopes[-1].append((spark, path))
+    else:
+        remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
