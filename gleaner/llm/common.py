@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.storage import keep, shared_dir, temporary
+
+__all__ = ["WORD_PATTERN", "fold", "free_name", "keep", "shared_dir", "table", "temporary"]
+
 #: Word of the size, rule and shingle contracts: a run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -17,32 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share.
-
-    It is what ``spark.checkpoint.dir`` names; only a session without one (a local test) gets a
-    folder of its own.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
-    return context.getCheckpointDir()
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a table in the shared checkpoint folder of the session.
-
-    Unlike a checkpoint, a table carries nothing of the old plan along, so loops stay cheap on the
-    driver, and it is compressed and read by column. It goes when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(column: str, parts: int, seed: str = "") -> F.Column:
     """crc32 of an id as text modulo ``parts``; a null id counts as the empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -11,8 +11,9 @@ The border is found without sorting a source: words are summed in fixed cells of
 of the border is found on those sums, and only that cell is sorted.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, last
-in order; rows alike in id, text and source share one draw and are taken together; an empty table
-gives no rows.
+in order; rows alike in id, text and source share one draw and are taken together; ties in the order
+go by the draw; a very long text counts whole, and a target that it would overshoot ends with the
+nearest closing document; an empty table gives no rows; other columns, whatever their names, pass.
 """
 
 from __future__ import annotations

@@ -32,8 +32,10 @@ Words are runs of anything but ASCII white space, with A to Z lower-cased. N-gra
 and so are classes.
 
 Defined cases: null texts and texts without words have the empty set and no links; a text of fewer
-words than n is one n-gram, its whole sequence; equal texts are linked; rows with a null id count in
-components like any other, and a component of null ids only has the id null; other columns pass.
+words than n is one n-gram, its whole sequence; very long texts are taken whole; equal texts are
+linked; rows with a null id count in components like any other, and a component of null ids only has
+the id null; of repeated rows of a document that stays, the one with the least hash of all columns
+stays; an empty table gives no rows; other columns, whatever their names, pass.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.llm import textscan
-from gleaner.llm.common import free_name, keep
+from gleaner.llm.common import free_name, keep, temporary
 
 WORDS = 5
 #: The similarity, in hundredths.
@@ -384,10 +386,11 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, block_
     true for the rows of the one document that stands for the component: that id's, and of several
     texts under it (or of null ids) the one with the least key.
     """
-    signed = keep(signatures(docs, words, threshold))
-    _, roots = links(docs, signed, words, threshold, block_entries)
-    rows = signed.select("id", "text_key", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("root", "class"))
-    rows = keep(rows.select("id", "text_key", "n", "class", "component"))
+    with temporary():
+        signed = keep(signatures(docs, words, threshold))
+        _, roots = links(docs, signed, words, threshold, block_entries)
+        rows = signed.select("id", "text_key", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("root", "class"))
+        rows = keep(rows.select("id", "text_key", "n", "class", "component"), outlive=True)
     heads = rows.filter("component IS NOT NULL").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("head"))
     # Only components of several rows are looked up, each under SALTS keys, so that a large one is dealt to several tasks.
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

@@ -5,7 +5,8 @@ failed rule. A policy is a set of rules under a version name, that is, a mask: a
 version or asking what each rule alone removes needs the ledger only, not the texts.
 
 Defined cases: null and empty texts have no words and fail ``few_words``; an empty table gives an
-empty ledger; other columns do not matter; equal rows get equal ledger rows.
+empty ledger; other columns do not matter; equal rows, repeated ones too, get equal ledger rows; very
+long texts are measured whole, a slice of texts at a time.
 """
 
 from __future__ import annotations

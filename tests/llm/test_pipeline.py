@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_models_and_benchmark import brute_hits
 from tests.llm.test_ngram_join import brute
@@ -38,3 +40,28 @@ def test_every_stage_against_plain_python(spark, tmp_path):
             assert {(r.shard, r.slot) for r in after} == {(s, i) for s, n in counts.items() for i in range(n)}
         before = after
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in before)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    some = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    good = some[3][1] or some[4][1]
+    odd = [(None, None, None, None, None), (None, good, "en", None, 1), (1, "", "en", "a", 0), (2, None, None, "a", None), (3, "word " * 60_000, "en", "b", 1), (4, "x" * 300_000, "en", None, 1)]
+    rows = some + odd + [some[5]] * 3 + [(some[5][0], some[5][1], "zz", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "n_hit", "items", "class", "id", "text_key", "component", "draw", "size", "copies", "bucket", "shard", "slot", "first", "cell"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    first = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        after = spark.read.parquet(str(tmp_path / str(k)))
+        assert after.columns == docs.columns + ["_shard", "_slot"] * (k == 4), name
+        assert after.select(*docs.columns).exceptAll(docs).isEmpty() or k == 3, name
+        assert after.select(*docs.columns).subtract(docs).isEmpty(), name
+        assert stage(spark, first.limit(0), SF).isEmpty(), name
+        docs = after
+    assert docs.count() > 10 and docs.filter("slot = 'own slot'").count() == docs.count()
+
+
+def test_reruns_agree(spark):
+    runs = [sorted(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()), key=str) for _ in range(2)]
+    assert runs[0] == runs[1]
