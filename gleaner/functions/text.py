@@ -117,3 +117,18 @@ def summary(text: Column) -> Column:
     name, reason, remedy = (summary_section(text, label) for label in SUMMARY_LABELS)
     whole = name.isNotNull() & reason.isNotNull() & remedy.isNotNull()
     return F.when(whole, F.struct(name.alias("weakness_name"), reason.alias("weakness_reason"), remedy.alias("remediation")))
+
+
+def joined_lines(*parts: Column | str) -> Column:
+    """The parts that are not empty, a line each."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), "\n")
+
+
+def detail_lines(detail: Column) -> Column:
+    """``- name: value`` for each field of a JSON object that is not null or empty, in its order.
+
+    Lists and objects are shown as JSON. What is no object has no lines.
+    """
+    fields = F.map_entries(F.from_json(detail, "map<string,string>"))
+    shown = F.filter(fields, lambda f: f["value"].isNotNull() & ~f["value"].isin("", "[]", "{}"))
+    return F.coalesce(F.array_join(F.transform(shown, lambda f: F.concat(F.lit("- "), f["key"], F.lit(": "), f["value"])), "\n"), F.lit(""))

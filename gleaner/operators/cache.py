@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import finding_signature, unsupported_citations
+from gleaner.storage import keep
 
 
 def signature_key(*parts: Column) -> Column:
@@ -26,29 +29,57 @@ def hits(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame
 
 
 def misses(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
-    """One row for each key that the cache lacks. Rows are reduced to distinct keys before they move."""
-    once = rows.groupBy(key).agg(F.first("prompt").alias("prompt"), F.first("allowed").alias("allowed"))
+    """One row for each key that the cache lacks. Rows are reduced to distinct keys before they move; of several prompts the least is asked."""
+    once = rows.groupBy(key).agg(F.min(F.struct("prompt", "allowed")).alias("one")).select(key, "one.*")
     return once.join(cache.select(key), key, "left_anti")
 
 
 def generate(missing: DataFrame, ask: Callable[[str], str | None], key: str = "cache_key") -> DataFrame:
-    """(key, answer) of the prompts, by an injected function. What it can't answer is not cached."""
+    """(key, allowed, answer) of the prompts, by an injected function. What it can't answer is not cached."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "answer": [ask(p) for p in batch["prompt"]]})
+            yield pd.DataFrame({key: batch[key], "allowed": batch["allowed"], "answer": [ask(p) for p in batch["prompt"]]})
 
     kind = missing.schema[key].dataType.simpleString()
-    return missing.select(key, "prompt").mapInPandas(run, f"{key} {kind}, answer string").filter("answer IS NOT NULL")
+    return missing.select(key, "prompt", "allowed").mapInPandas(run, f"{key} {kind}, allowed array<string>, answer string").filter("answer IS NOT NULL")
 
 
 def fill(rows: DataFrame, cache: DataFrame, ask: Callable[[str], str | None], key: str = "cache_key") -> DataFrame:
-    """The cache with answers for the rows' missing keys; those that cite other than allowed sources are discarded."""
-    missing = misses(rows, cache, key)
-    checked = generate(missing, ask, key).join(missing.select(key, "allowed"), key)
-    good = checked.filter(F.size(unsupported_citations(F.col("answer"), F.col("allowed"))) == 0)
+    """The cache with answers for the rows' missing keys; those that cite other than allowed sources are discarded.
+
+    The answers are written once, so later actions and retries don't ask again.
+    """
+    answers = keep(generate(misses(rows, cache, key), ask, key))
+    good = answers.filter(F.size(unsupported_citations(F.col("answer"), F.col("allowed"))) == 0)
     return cache.select(key, "answer").unionByName(good.select(key, "answer"))
 
 
+def load(spark: SparkSession, path: str, key: str = "cache_key") -> DataFrame:
+    """A cache from its folder; one that is missing or cannot be read is empty."""
+    try:
+        found = spark.read.parquet(path).select(F.col(key).cast("string"), F.col("answer").cast("string"))
+        found.limit(1).collect()
+    except (AnalysisException, Py4JJavaError):
+        return spark.createDataFrame([], f"{key} string, answer string")
+    return found
+
+
+def save(cache: DataFrame, path: str, key: str = "cache_key") -> None:
+    """Write a cache, one answer a key, also where the rows were read from the same folder."""
+    once = keep(cache.groupBy(key).agg(F.min("answer").alias("answer")))
+    once.write.mode("overwrite").parquet(path)
+
+
 def signature(rows: DataFrame) -> Column:
     return finding_signature(F.col("category"), F.col("source"), F.col("title"))
+
+
+def clause_key_of(reference: Column, signature: Column) -> Column:
+    """Key of a remediation: what it refers to, and the kind of finding."""
+    return signature_key(reference, signature)
+
+
+def summary_key(signature: Column, weakness: Column, clause: Column, article: Column) -> Column:
+    """Key of a summary: the kind of finding and its three candidates; an absent one counts as blank."""
+    return signature_key(signature, weakness, clause, article)

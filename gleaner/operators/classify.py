@@ -16,9 +16,23 @@ RULES = (
 )
 KNOWN_CRA, KNOWN_IEC = "CRA Annex I Part II(1)", "IEC 62443-4-2 CR 3.10"
 
+#: Why each service of the rule table is a weakness, and what to do; this project's own wording.
+RULE_TEXTS = {
+    "telnet": ("Telnet sends passwords and commands in the clear, so anyone on the path can read them.", "Turn Telnet off and administer the device over SSH."),
+    "ftp": ("FTP sends passwords and files in the clear, so they can be read or changed on the way.", "Turn FTP off and move files over SFTP or FTPS."),
+    "http": ("Plain HTTP protects neither the secrecy nor the integrity of logins and content.", "Serve the pages over HTTPS only and redirect or close the plain port."),
+    "snmp": ("SNMP up to version 2c is guarded by a community string, which is often the factory one, and is not encrypted.", "Turn SNMP off or use version 3 with authentication and encryption."),
+    "rtsp": ("RTSP streams are often open to whoever can reach the port.", "Require a login for the stream and check who may reach it."),
+    "upnp": ("UPnP lets devices open ports to the outside without anyone's review.", "Turn UPnP off where it is not needed, and never offer it to the outside."),
+}
+#: What is said of known vulnerabilities, before and behind their numbers.
+KNOWN_REASON = ("The running version has published vulnerabilities: ", ".")
+KNOWN_ADVICE = ("Update to a version without ", ", or apply the vendor's mitigation, and check what was affected.")
+
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RULES), "rule_service string, rule_risk string, rule_cra string, rule_iec string")
+    rows = [(*rule, *RULE_TEXTS[rule[0]]) for rule in RULES]
+    return spark.createDataFrame(rows, "rule_service string, rule_risk string, rule_cra string, rule_iec string, rule_reason string, rule_advice string")
 
 
 def with_rule(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -28,7 +42,7 @@ def with_rule(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def classify(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Adds status, method, risk_level and the clauses.
+    """Adds status, method, risk_level, reason, recommendation and the clauses.
 
     ``findings`` has service, cve_ids, severity and alert_risk. A rule decides first, then known
     vulnerabilities; what is left needs review and has a fallback risk.
@@ -40,6 +54,7 @@ def classify(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         return F.when(ruled, by_rule if isinstance(by_rule, Column) else F.col(by_rule)).when(known, by_known).otherwise(otherwise)
 
     none = F.lit(None).cast("string")
+    around = lambda ends: F.concat(F.lit(ends[0]), F.array_join("cve_ids", "、"), F.lit(ends[1]))
     severity = F.when(F.col("severity").isin(*scoring.LEVELS[:4]), F.col("severity")).otherwise("medium")
     out = with_rule(findings, rules).withColumns(
         {
@@ -49,9 +64,27 @@ def classify(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
             "cra_reference": pick("rule_cra", F.lit(KNOWN_CRA), none),
             "iec_reference": pick("rule_iec", F.lit(KNOWN_IEC), none),
             "known_list": F.when(~ruled & known, F.array_join("cve_ids", "、")),
+            "weakness_reason": pick("rule_reason", around(KNOWN_REASON), none),
+            "recommendation": pick("rule_advice", around(KNOWN_ADVICE), none),
         }
     )
-    return out.drop("rule_service", "rule_risk", "rule_cra", "rule_iec")
+    return out.drop("rule_service", "rule_risk", "rule_cra", "rule_iec", "rule_reason", "rule_advice")
+
+
+def finalize(classified: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Adds recommendation_source and weakness_name; ``texts`` (finding_id, remediation, weakness_name) has what was generated.
+
+    A generated remediation takes the place of a matched finding's rule text. Findings to review keep
+    theirs empty.
+    """
+    matched = F.col("status") == "matched"
+    if texts is None:
+        rows = classified.withColumns({"remediation": F.lit(None).cast("string"), "weakness_name": F.lit(None).cast("string")})
+    else:
+        rows = classified.join(texts.select("finding_id", "remediation", "weakness_name"), "finding_id", "left")
+    made = matched & (F.coalesce("remediation", F.lit("")) != "")
+    source = F.when(made, "llm").when(matched, "rule")
+    return rows.withColumns({"recommendation_source": source, "recommendation": F.when(made, F.col("remediation")).otherwise(F.col("recommendation")), "weakness_name": F.when(matched, F.col("weakness_name"))}).drop("remediation")
 
 
 def retrieval_text(category: Column, service: Column, title: Column, product: Column, version: Column) -> Column:

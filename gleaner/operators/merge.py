@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions.scoring import level_rank
+from gleaner.storage import keep
 
 # What a scan category adds to the process query, and how many titles do.
 CATEGORY_PHRASES = {
@@ -15,9 +16,6 @@ CATEGORY_PHRASES = {
 PROCESS_TITLES = 15
 SCOPE_CATEGORIES = ("network", "firmware", "webapp")
 
-#: Cells in which rows of a level are counted for their numbers.
-RANK_CELLS = 1024
-
 
 def last_analysis(analysis: DataFrame, key: str = "finding_id", order: str = "seq") -> DataFrame:
     """Of several analyses of a finding, the last. An aggregate, so that hot keys combine before the shuffle."""
@@ -38,21 +36,17 @@ def by_risk(merged: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def numbered(rows: DataFrame, level: str, order: str, name: str) -> DataFrame:
-    """``rows`` numbered from 1 by level, then by a whole-number order, without one task seeing all.
+    """``rows`` numbered from 1 by level, then by order, without one task seeing all.
 
-    Rows are counted in cells of equal width; the cells' starts are sums over at most RANK_CELLS rows
-    a level, and rows are numbered within their cell.
+    Rows are dealt into ranges of about equal size, which are written once; the ranges' starts are
+    sums over a row a range, and rows are numbered within their range.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.withColumn(name, F.lit(0))
-    width = max(1, -(-(high - low + 1) // RANK_CELLS))
-    celled = rows.withColumn("cell", F.expr(f"(`{order}` - {low}) div {width}"))
-    counts = celled.groupBy(level, "cell").agg(F.count(F.lit(1)).alias("in_cell"))
-    before = F.sum("in_cell").over(Window.orderBy(level, "cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_cell")
-    starts = counts.select(level, "cell", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy(level, "cell").orderBy(order))
-    return celled.join(starts, [level, "cell"]).withColumn(name, (F.col("before") + within).cast("int")).drop("before", "cell")
+    dealt = keep(rows.repartitionByRange(level, order).withColumn("cell", F.spark_partition_id()))
+    counts = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell"))
+    before = F.sum("in_cell").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_cell")
+    starts = F.broadcast(counts.select("cell", before.alias("before")))  # a row a partition
+    within = F.row_number().over(Window.partitionBy("cell").orderBy(level, order))
+    return dealt.join(starts, "cell").withColumn(name, (F.col("before") + within).cast("int")).drop("before", "cell")
 
 
 def target_ranks(merged: DataFrame, order: str = "seq") -> DataFrame:
@@ -64,8 +58,16 @@ def target_ranks(merged: DataFrame, order: str = "seq") -> DataFrame:
     return merged.withColumn("item_rank", within).join(ranked, "target")
 
 
+def scope_rows(findings: DataFrame) -> DataFrame:
+    """(category, target): the distinct targets of the three categories, for scans of any size."""
+    return findings.filter(F.col("category").isin(*SCOPE_CATEGORIES)).select("category", "target").distinct()
+
+
 def scope(findings: DataFrame) -> DataFrame:
-    """The distinct targets of each category, sorted and joined; the three categories always there."""
+    """The distinct targets of each category, sorted and joined; the three categories always there.
+
+    It is a line of a report, so one row holds all targets; ``scope_rows`` has them as rows.
+    """
     columns = [F.coalesce(F.array_join(F.array_sort(F.collect_set(F.when(F.col("category") == c, F.col("target")))), ", "), F.lit("")).alias(c) for c in SCOPE_CATEGORIES]
     return findings.select("category", "target").distinct().agg(*columns)
 

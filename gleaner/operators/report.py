@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.scoring import level_rank
+from gleaner.functions.scoring import confidence_label, level_rank
 
 # The stages of a job and the badge of each risk word.
 STAGES = (("ports", "ip"), ("firmware", "firmware"), ("web", "url"), ("analysis", ""), ("report", "report"))
@@ -40,6 +40,77 @@ def metadata(spark: SparkSession, now: str, operator: str = "unknown", ip: str =
     return spark.createDataFrame([(now, operator, ip, firmware, url)], "scan_time string, operator string, ip string, firmware string, url string")
 
 
+#: Headings and notes of a report; this project's own wording.
+NOTHING, NO_REASON, NO_REMEDY, NO_CLAUSE = "No finding.", "No candidate was found, so the reason is unknown.", "No remediation was generated; please review.", "No candidate was found."
+PROCESS_NOTE = "These process requirements are a start for a self-assessment; the scan can neither prove nor disprove any of them."
+
+
+def header_block(meta: DataFrame, scope: DataFrame) -> DataFrame:
+    """The first block of a report: when, by whom, and what of a kind was scanned, blank kinds left out."""
+    row = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"| {label} | "), F.col(c), F.lit(" |")))
+    lines = [F.lit("# Security scan report"), F.lit(""), F.lit("| item | value |"), F.lit("|---|---|"), row("time", "scan_time"), row("IP", "network"), row("firmware", "firmware_scope"), row("URL", "webapp"), row("operator", "operator")]
+    # One row each, so the broadcast is a row.
+    both = meta.select(F.lit(1).alias("one"), "scan_time", "operator").join(F.broadcast(scope.withColumnRenamed("firmware", "firmware_scope").withColumn("one", F.lit(1))), "one")
+    return both.select(F.concat_ws("\n", *lines).alias("text"))
+
+
+def overview_blocks(merged: DataFrame) -> DataFrame:
+    """(target, section, ord, text): a table row a finding, in risk order within its target."""
+    text = F.concat(F.lit("| "), F.coalesce("title", F.lit("")), F.lit(" | "), F.coalesce("state", F.lit("-")), F.lit(" | "), F.upper("risk_level"), F.lit(" |"))
+    return merged.select("target", F.lit(0).alias("section"), _place().alias("ord"), text.alias("text"))
+
+
+def _place() -> Column:
+    return level_rank(F.col("risk_level")).cast("long") * F.lit(1 << 40) + F.col("seq")
+
+
+def matched_blocks(finished: DataFrame) -> DataFrame:
+    """Blocks of findings that break a rule: name, reason, clauses and remediation, and who wrote that."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    made = F.when(F.col("recommendation_source") == "llm", F.lit(" (generated from these clauses)")).otherwise(F.lit(""))
+    clauses = F.concat_ws("; ", blank("iec_reference"), blank("cra_reference"))
+    lines = [F.concat(F.lit("### ["), F.upper("risk_level"), F.lit("] "), F.coalesce(blank("weakness_name"), F.col("title"))), F.concat(F.lit("target: "), F.col("target")), F.concat(F.lit("reason: "), F.coalesce(blank("weakness_reason"), blank("recommendation"), F.lit(NO_REASON))), F.concat(F.lit("clauses: "), F.when(clauses == "", F.lit(NO_CLAUSE)).otherwise(clauses)), F.concat(F.lit("remediation"), made, F.lit(": "), F.coalesce("recommendation", F.lit("")))]
+    return finished.filter("status = 'matched'").select("target", F.lit(1).alias("section"), _place().alias("ord"), F.concat_ws("\n", *lines).alias("text"))
+
+
+def review_blocks(reviewed: DataFrame) -> DataFrame:
+    """Blocks of findings to review, from their summary, else from the first candidate of each knowledge base.
+
+    ``reviewed`` has summary (weakness_name, weakness_reason, remediation) and rag, a struct of the
+    arrays cwe, iec and cra of candidates (key, title, text_zh).
+    """
+    first = lambda kb: F.try_element_at(F.col(f"rag.{kb}"), F.lit(1))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    cwe, iec, cra = first("cwe"), first("iec"), first("cra")
+    reason = F.coalesce(blank(F.col("summary.weakness_reason")), blank(cwe["text_zh"]), blank(cwe["title"]), F.lit(NO_REASON))
+    remedy = F.coalesce(blank(F.col("summary.remediation")), blank(F.concat_ws("; ", blank(iec["text_zh"]), blank(cra["text_zh"]))), F.lit(NO_REMEDY))
+    clauses = F.coalesce(blank(F.concat_ws("; ", iec["key"], cra["key"])), F.lit(NO_CLAUSE))
+    lines = [F.concat(F.lit("### "), F.coalesce(blank(F.col("summary.weakness_name")), F.col("title"))), F.concat(F.lit("target: "), F.col("target")), F.concat(F.lit("reason: "), reason), F.concat(F.lit("clauses: "), clauses), F.concat(F.lit("remediation: "), remedy)]
+    return reviewed.filter("status = 'needs_review'").select("target", F.lit(2).alias("section"), _place().alias("ord"), F.concat_ws("\n", *lines).alias("text"))
+
+
+def process_blocks(candidates: DataFrame, run: str = "query_id") -> DataFrame:
+    """(run, text): each scan's process requirements (rank, key, title, grp, score); a scan without any has no row."""
+    grouped = F.when(F.coalesce("grp", F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(", "), F.col("grp")))
+    sure = F.coalesce(F.concat(F.lit(" ("), confidence_label(F.col("score")), F.lit(")")), F.lit(""))
+    line = F.concat(F.lit("- "), F.col("key"), F.lit(" "), F.col("title"), grouped, sure)
+    # A scan has at most a handful of these.
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n")
+    return candidates.groupBy(run).agg(lines.alias("lines")).select(run, F.concat(F.lit(PROCESS_NOTE + "\n\n"), F.col("lines")).alias("text"))
+
+
+def finding_lines(findings: DataFrame) -> DataFrame:
+    """(ord, line): what a console shows of each finding, in risk order."""
+    level = F.lpad(F.upper("severity"), 6, " ")
+    line = F.concat(F.lit("["), F.when(F.length("severity") > 6, F.upper("severity")).otherwise(level), F.lit("] ("), F.col("category"), F.lit("/"), F.col("source"), F.lit(") "), F.col("title"), F.lit("  — "), F.col("target"))
+    return findings.select((level_rank(F.col("severity")).cast("long") * F.lit(1 << 40) + F.col("seq")).alias("ord"), line.alias("line"))
+
+
+def findings_json(findings: DataFrame) -> DataFrame:
+    """Each finding as one JSON object, empty fields kept; ``write.text`` of it gives JSON lines."""
+    return findings.select(F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_markdown(blocks: DataFrame, path: str) -> None:
     """Report text, a folder a target, its lines in order; no report passes through the driver."""
     blocks.repartition("target").sortWithinPartitions("target", "section", "ord").select("target", "text").write.mode("overwrite").partitionBy("target").text(path)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleaner.functions.text import joined_lines
+
 # The line patterns of the two standards and their page furniture.
 CLAUSE = {
     "4-2": r"^(\d+(?:\.\d+)+)\s+((?:CR|EDR|HDR|NDR|SAR)\s+\d+\.\d+)\s*[–—-]\s*(.+)$",
@@ -122,10 +124,5 @@ def clause_records(found: DataFrame, part: Column | str = "4-2") -> DataFrame:
     text = F.array_join(F.array_compact(F.array(*[F.when(F.trim(name) != "", F.concat(F.lit(f"{label}:\n"), F.col(name))) for label, name in bodies])), "\n\n")
     key = F.concat(standard, F.lit(" "), "clause_id")
     # The levels are alike everywhere and would only drown what tells clauses apart.
-    embedded = joined_parts(F.concat(key, F.lit(" – "), "title"), "group", *[name for _, name in bodies])
+    embedded = joined_lines(F.concat(key, F.lit(" – "), "title"), "group", *[name for _, name in bodies])
     return found.select(key.alias("key"), "clause_id", "clause_no", standard.alias("standard"), "title", "group", text.alias("text"), "security_levels", embedded.alias("embedding_text"))
-
-
-def joined_parts(*parts: Column | str) -> Column:
-    """The parts that are not empty, a line each."""
-    return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), "\n")

@@ -65,3 +65,11 @@ def explode_targets(rows: DataFrame, targets: str) -> DataFrame:
 def valid_url(url: Column) -> Column:
     """http or https with a host."""
     return F.coalesce(url.rlike(r"^(?i:https?)://[^/?#]+"), F.lit(False))
+
+
+def single_target(target: Column) -> Column:
+    """The trimmed target if it is one host or one web address, else null: no lists, networks or paths."""
+    own = F.trim(F.coalesce(target, F.lit("")))
+    address = own.rlike(r"^(?i:https?):")
+    one = F.when(own.contains(",") | (own == ""), F.lit(False)).when(address, valid_url(own)).otherwise(~own.rlike("[/ ]"))
+    return F.when(one, own)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import scoring, text
-from gleaner.operators import cache, classify, context, merge, plan, quality, report, retrieval, segments, targets
+from gleaner.operators import cache, classify, context, findings, merge, plan, prompts, quality, report, retrieval, review, segments, targets
 from gleaner.plans import standins as s
 from gleaner.plans.standins import table
 from gleaner.sources import firmware, knowledge, portscan, web
@@ -46,9 +46,9 @@ def rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("finding_id", F.col("rule_risk").alias("risk"), F.coalesce("rule_cra", F.lit("")).alias("cra"), F.col("rule_service").isNotNull().alias("found"))
 
 
-@query(f"WITH {s.CLASSIFIED} SELECT finding_id, status, method, risk_level, cra_reference, iec_reference, known_list FROM classified")
+@query(f"WITH {s.CLASSIFIED} SELECT finding_id, status, method, risk_level, cra_reference, iec_reference, known_list, weakness_reason, recommendation FROM classified")
 def classify_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classify(s.findings(spark, sf_dir)).select("finding_id", "status", "method", "risk_level", "cra_reference", "iec_reference", "known_list")
+    return classify.classify(s.findings(spark, sf_dir)).select("finding_id", "status", "method", "risk_level", "cra_reference", "iec_reference", "known_list", "weakness_reason", "recommendation")
 
 
 @query(f"""WITH {s.FINDINGS} SELECT finding_id, CASE WHEN severity IN ('critical', 'high', 'medium', 'low') THEN severity WHEN alert_risk IN ('critical', 'high', 'medium', 'low', 'info') THEN alert_risk ELSE 'info' END AS risk FROM findings""")
@@ -170,6 +170,19 @@ def bm25_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_topk(empty, s.documents_as_kb(spark, sf_dir)).select("query_id", "kb", "pos", "sparse_rank")
 
 
+COMMON = bm25_sql("SELECT source AS kb, doc_id AS pos, 'a b' || repeat(' c', CAST(doc_id % 5 AS INTEGER)) || CASE WHEN doc_id % 7 = 0 THEN ' d' ELSE '' END AS text FROM documents", "SELECT unnest([1, 2, 3]) AS query_id, unnest(['a', 'c b c', 'd']) AS query")
+
+
+@query(f"WITH {COMMON} SELECT query_id, kb, pos, round(score, 6) AS score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse")
+def bm25_common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that most entries have weigh less than nothing, so entries without them come first."""
+    n = F.col("doc_id")
+    text = F.concat(F.lit("a b"), F.repeat(F.lit(" c"), (n % 5).cast("int")), F.when(n % 7 == 0, " d").otherwise(""))
+    entries = table(spark, sf_dir, "documents").select(F.col("source").alias("kb"), n.alias("pos"), text.alias("text"))
+    asked = spark.createDataFrame([(1, "a"), (2, "c b c"), (3, "d")], "query_id int, query string")
+    return retrieval.bm25_topk(asked, entries).select("query_id", "kb", "pos", F.round("score", 6).alias("score"), "sparse_rank")
+
+
 DENSE = """dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS pos, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, v.vec_id) AS dense_rank
   FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 10 = 0) WHERE dense_rank <= 10)"""
@@ -470,14 +483,38 @@ def web_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.alerts(rows).select("event_id", "target", "title", "severity", "description", "alert_risk")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR conv_id % 5 = 0 THEN 'inconclusive' WHEN turn % 2 = 0 THEN 'confirmed' ELSE 'not_confirmed' END AS outcome, CASE WHEN NOT (turn % 4 = 3 OR conv_id % 5 = 0) AND turn % 2 = 0 THEN 'high' ELSE 'info' END AS severity,
-  CASE WHEN turn % 4 = 3 THEN 'broken {"outcome": 1' ELSE 'sum ' || turn END AS summary FROM (SELECT conv_id, turn FROM conversations)""")
-def agent_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = F.col("turn")
+AGENT = f"""agent AS (SELECT conv_id, turn, coalesce(text, '') AS said, turn % 4 = 3 AS plain, conv_id % 7 = 0 AS silent, conv_id % 5 = 0 AS failed,
+    CASE WHEN turn % 4 = 3 THEN CASE WHEN conv_id % 7 = 0 THEN '' ELSE 'broken {{"outcome": 1 ' || coalesce(text, '') END
+      ELSE 'first ```json' || chr(10) || '{{"outcome": "confirmed", "severity": "low"}}' || chr(10) || '``` ' || coalesce(text, '') || ' ```json' || chr(10) || '{{"outcome":"' || CASE WHEN turn % 2 = 0 THEN 'confirmed' ELSE 'not_confirmed' END || '","severity":"high","summary":" sum ' || turn || '"}}' || chr(10) || '``` end' END AS result FROM conversations),
+  judged AS (SELECT *, CASE WHEN plain OR failed THEN 'inconclusive' WHEN turn % 2 = 0 THEN 'confirmed' ELSE 'not_confirmed' END AS outcome,
+    CASE WHEN NOT plain THEN 'sum ' || turn WHEN trim(result) = '' THEN {s.quoted(web.NO_SUMMARY)} ELSE left(trim(result), 500) END AS summary FROM agent)"""
+
+
+def agent_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of an agent around the texts of conversations: a block before the last one, a broken one, none at all."""
+    turn, said = F.col("turn"), F.coalesce("text", F.lit(""))
     block = F.to_json(F.struct(F.when(turn % 2 == 0, "confirmed").otherwise("not_confirmed").alias("outcome"), F.lit("high").alias("severity"), F.concat(F.lit(" sum "), turn.cast("string")).alias("summary")))
-    answer = F.when(turn % 4 == 3, 'broken {"outcome": 1').otherwise(F.concat(F.lit('first ```json\n{"outcome": "confirmed", "severity": "low"}\n``` then ```json\n'), block, F.lit("\n``` end")))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("result"), (F.col("conv_id") % 5 == 0).alias("is_error"))
-    return web.agent_findings(rows).select("conv_id", "turn", "outcome", "severity", "summary")
+    plain = F.when(F.col("conv_id") % 7 == 0, "").otherwise(F.concat(F.lit('broken {"outcome": 1 '), said))
+    answer = F.when(turn % 4 == 3, plain).otherwise(F.concat(F.lit('first ```json\n{"outcome": "confirmed", "severity": "low"}\n``` '), said, F.lit(" ```json\n"), block, F.lit("\n``` end")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("result"), (F.col("conv_id") % 5 == 0).alias("is_error"))
+
+
+@query(f"""WITH {AGENT} SELECT conv_id, turn, outcome, CASE WHEN outcome = 'confirmed' THEN 'high' ELSE 'info' END AS severity, summary, left(result, 4000) AS agent_result,
+  CASE outcome WHEN 'confirmed' THEN {s.quoted(web.OUTCOME_TITLES["confirmed"])} WHEN 'not_confirmed' THEN {s.quoted(web.OUTCOME_TITLES["not_confirmed"])} ELSE {s.quoted(web.OUTCOME_TITLES["inconclusive"])} END AS title FROM judged""")
+def agent_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.agent_findings(agent_results(spark, sf_dir)).select("conv_id", "turn", "outcome", "severity", "summary", "agent_result", "title")
+
+
+@query("""WITH printed AS (SELECT conv_id, turn, coalesce(text, '') AS t, (conv_id + turn) % 4 AS kind FROM conversations)
+  SELECT conv_id, turn, CASE kind WHEN 0 THEN turn % 3 = 0 WHEN 1 THEN false ELSE true END AS is_error, CASE kind WHEN 0 THEN t WHEN 1 THEN '' WHEN 2 THEN trim('claude: ' || t) ELSE '[1, 2]' END AS result,
+    CASE WHEN kind = 0 THEN round(turn / 8, 3) END AS cost_usd, CASE WHEN kind = 0 THEN CAST(turn AS INTEGER) END AS num_turns, CASE WHEN kind = 0 THEN 's' || conv_id END AS session_id FROM printed""".replace("claude: ", "error: "))
+def agent_stdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an agent printed: a full object, an empty one, plain text, and JSON that is no object."""
+    t, turn, kind = F.coalesce("text", F.lit("")), F.col("turn"), (F.col("conv_id") + F.col("turn")) % 4
+    whole = F.to_json(F.struct((turn % 3 == 0).alias("is_error"), t.alias("result"), (turn / 8).alias("total_cost_usd"), turn.alias("num_turns"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id")))
+    stdout = F.when(kind == 0, whole).when(kind == 1, "{}").when(kind == 2, F.concat(F.lit("error: "), t)).otherwise("[1, 2]")
+    rows = web.agent_stdout(table(spark, sf_dir, "conversations").select("conv_id", "turn", stdout.alias("stdout")))
+    return rows.select("conv_id", "turn", "is_error", "result", F.round("cost_usd", 3).alias("cost_usd"), "num_turns", "session_id")
 
 
 # Caches and generated texts
@@ -526,13 +563,13 @@ def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {s.CLASSIFIED}, p AS (SELECT *, CASE WHEN status = 'matched' THEN cra_reference WHEN finding_id % 2 = 0 THEN 'IEC 62443-4-2 CR 1.' || finding_id % 9 END AS requirement_id FROM classified WHERE category IN ('network', 'webapp')),
   o AS (SELECT *, 'With authorisation, verify whether ' || service || ' on ' || target || ' can be exploited' || CASE WHEN requirement_id IS NULL THEN '' ELSE ' (requirement ' || requirement_id || ')' END AS objective FROM p)
-  SELECT finding_id, CASE WHEN status = 'matched' THEN 'rule' WHEN requirement_id IS NOT NULL THEN 'iec' END AS requirement_source, requirement_id, objective, 'python3 -m live_check ' || target || ' --objective ''' || objective || ''' --i-am-authorized' AS command FROM o""")
+  SELECT finding_id, CASE WHEN status = 'matched' THEN 'rule' WHEN requirement_id IS NOT NULL THEN 'iec' END AS requirement_source, requirement_id, CASE WHEN status = 'matched' THEN recommendation WHEN requirement_id IS NOT NULL THEN 't' END AS requirement_text, objective, 'python3 -m live_check ' || target || ' --objective ''' || objective || ''' --i-am-authorized' AS command FROM o""")
 def test_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("finding_id")
     candidate = F.struct(F.concat(F.lit("IEC 62443-4-2 CR 1."), (n % 9).cast("string")).alias("key"), F.lit("t").alias("title"), F.lit("").alias("text"), F.lit(None).cast("string").alias("text_zh"))
     none = F.array().cast("array<struct<key:string,title:string,text:string,text_zh:string>>")
     merged = classify.classify(s.findings(spark, sf_dir)).withColumns({"clauses": F.when(n % 2 == 0, F.array(candidate)).otherwise(none), "articles": none})
-    return plan.test_plan(merged).select("finding_id", F.col("requirement.source").alias("requirement_source"), F.col("requirement.id").alias("requirement_id"), "objective", "command")
+    return plan.test_plan(merged).select("finding_id", F.col("requirement.source").alias("requirement_source"), F.col("requirement.id").alias("requirement_id"), F.col("requirement.text").alias("requirement_text"), "objective", "command")
 
 
 @query("""SELECT event_id, CAST(i AS INTEGER) AS item_no, CASE i WHEN 0 THEN '10.' || event_id % 300 || '.0.1' WHEN 1 THEN '192.168.' || event_id % 256 || '.77/' || event_id % 40 ELSE 'host' || event_id END AS item,
@@ -572,3 +609,214 @@ def report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = classify.classify(s.findings(spark, sf_dir))
     blocks = report.finding_blocks(rows)
     return blocks.withColumn("badge", report.badge(F.regexp_extract("text", r"- risk: (\w+)", 1)))
+
+
+# The review path: candidates of findings that no rule decides, and what is made of them
+
+KB_OF_LANG = "CASE lang WHEN 'en' THEN 'cwe' WHEN 'de' THEN 'iec' WHEN 'fr' THEN 'cra' END"
+VECTOR_OF_QUERY = "(length(query) * 37 + ascii(right(query, 1))) % 500"
+FINDING_TEXT = "CASE WHEN category = 'network' THEN service || ' service' ELSE title END"
+REVIEW = f"""{s.CLASSIFIED}, asked_texts AS (SELECT DISTINCT {FINDING_TEXT} AS query FROM classified WHERE status = 'needs_review'),
+  {bm25_sql(f"SELECT {KB_OF_LANG} AS kb, doc_id AS pos, text FROM documents WHERE lang IN ('en', 'de', 'fr')", "SELECT query AS query_id, query FROM asked_texts")},
+  dense AS (SELECT * FROM (SELECT query AS query_id, d.kb, d.pos, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score,
+    row_number() OVER (PARTITION BY query, d.kb ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, d.pos) AS dense_rank
+    FROM asked_texts JOIN embeddings q ON q.vec_id = {VECTOR_OF_QUERY} CROSS JOIN docs d JOIN embeddings v ON v.vec_id = d.pos) WHERE dense_rank <= 10),
+  fused AS (SELECT query_id, kb, pos, d.score AS dense_score, dense_rank, sparse_rank, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) AS rrf FROM dense d FULL JOIN sparse x USING (query_id, kb, pos)),
+  best AS (SELECT query_id, kb, 'K' || pos AS key, pos, round(dense_score, 6) AS score, CASE WHEN dense_rank IS NULL THEN 'sparse' WHEN sparse_rank IS NULL THEN 'dense' ELSE 'dense,sparse' END AS matched_by FROM fused QUALIFY row_number() OVER (PARTITION BY query_id, kb ORDER BY round(rrf, 12) DESC, coalesce(dense_rank, 1000000 + sparse_rank)) = 1),
+  reviewed AS (SELECT c.*, w.key AS cwe_key, w.score AS cwe_score, w.matched_by AS cwe_matched_by, w.pos AS cwe_pos, i.key AS iec_key, i.pos AS iec_pos, r.key AS cra_key FROM classified c
+    LEFT JOIN best w ON w.kb = 'cwe' AND w.query_id = {FINDING_TEXT} AND status = 'needs_review' LEFT JOIN best i ON i.kb = 'iec' AND i.query_id = {FINDING_TEXT} AND status = 'needs_review' LEFT JOIN best r ON r.kb = 'cra' AND r.query_id = {FINDING_TEXT} AND status = 'needs_review')"""
+
+
+def reviewed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings classified and finished; documents in three languages stand in for the knowledge bases."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+    kb = F.when(F.col("lang") == "en", "cwe").when(F.col("lang") == "de", "iec").when(F.col("lang") == "fr", "cra")
+    entries = table(spark, sf_dir, "documents").select(kb.alias("kb"), F.col("doc_id").alias("pos"), F.concat(F.lit("K"), F.col("doc_id").cast("string")).alias("key"), F.col("source").alias("title"), F.col("text").alias("body"), "text").filter("kb IS NOT NULL").join(vectors, "pos", "left")
+
+    def embed(asked: DataFrame) -> DataFrame:
+        place = (F.length("query") * 37 + F.ascii(F.right("query", F.lit(1)))) % 500
+        return asked.withColumn("pos", place.cast("long")).join(vectors, "pos")
+
+    none = F.lit("")
+    rows = classify.finalize(classify.classify(s.findings(spark, sf_dir)))
+    rows = rows.withColumn("query", classify.retrieval_text(F.col("category"), F.col("service"), F.col("title"), none, none))
+    return review.with_candidates(rows, entries, embed)
+
+
+@query(f"""WITH {REVIEW} SELECT finding_id, status, risk_level, weakness_reason, recommendation, CASE WHEN status = 'matched' THEN 'rule' END AS recommendation_source, cra_reference, iec_reference, cwe_key, cwe_score, cwe_matched_by, iec_key, cra_key,
+  CASE WHEN status = 'matched' THEN 'rule' WHEN iec_key IS NOT NULL THEN 'iec' WHEN cra_key IS NOT NULL THEN 'cra' END AS requirement_source, CASE WHEN status = 'matched' THEN cra_reference ELSE coalesce(iec_key, cra_key) END AS requirement_id FROM reviewed""")
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding with its verdict and texts, and the best candidate of each knowledge base for those to review."""
+    rows = reviewed_findings(spark, sf_dir)
+    first = lambda name: F.try_element_at(F.col(f"rag.{name}"), F.lit(1))
+    basis = plan.requirement(F.col("status"), F.col("cra_reference"), F.col("rag.iec"), F.col("rag.cra"), F.col("recommendation"))
+    rows = rows.withColumns({"basis": basis, "cwe": first("cwe")})
+    return rows.select(
+        "finding_id", "status", "risk_level", "weakness_reason", "recommendation", "recommendation_source", "cra_reference", "iec_reference",
+        F.col("cwe.key").alias("cwe_key"), F.round("cwe.score", 6).alias("cwe_score"), F.array_join("cwe.matched_by", ",").alias("cwe_matched_by"), first("iec")["key"].alias("iec_key"), first("cra")["key"].alias("cra_key"),
+        F.col("basis.source").alias("requirement_source"), F.col("basis.id").alias("requirement_id"),
+    )
+
+
+@query(f"""WITH {REVIEW}, named AS (SELECT v.*, d.source AS cwe_title FROM reviewed v LEFT JOIN documents d ON d.doc_id = cwe_pos), rows AS (SELECT *, ({s.RANK.format("risk_level")}) * 1099511627776 + seq AS ord FROM named)
+  SELECT target, CAST(0 AS INTEGER) AS section, ord, '| ' || title || ' | - | ' || upper(risk_level) || ' |' AS text FROM rows
+  UNION ALL SELECT target, 1, ord, '### [' || upper(risk_level) || '] ' || title || chr(10) || 'target: ' || target || chr(10) || 'reason: ' || weakness_reason || chr(10) || 'clauses: ' || iec_reference || '; ' || cra_reference || chr(10) || 'remediation: ' || recommendation FROM rows WHERE status = 'matched'
+  UNION ALL SELECT target, 2, ord, '### ' || title || chr(10) || 'target: ' || target || chr(10) || 'reason: ' || coalesce(cwe_title, {s.quoted(report.NO_REASON)}) || chr(10) || 'clauses: ' || coalesce(nullif(concat_ws('; ', iec_key, cra_key), ''), {s.quoted(report.NO_CLAUSE)}) || chr(10) || 'remediation: ' || {s.quoted(report.NO_REMEDY)} FROM rows WHERE status = 'needs_review'""")
+def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks of a report: the overview of each target, what breaks a rule, and what is to be reviewed."""
+    none = F.lit(None).cast("struct<weakness_name:string,weakness_reason:string,remediation:string>")
+    rows = reviewed_findings(spark, sf_dir).withColumns({"summary": none, "state": F.lit(None).cast("string")})
+    return report.overview_blocks(rows).unionByName(report.matched_blocks(rows)).unionByName(report.review_blocks(rows))
+
+
+@query(f"""WITH {PROCESS}, {PROCESS_SPARSE}
+  SELECT query_id, {s.quoted(report.PROCESS_NOTE)} || chr(10) || chr(10) || string_agg('- K' || pos || ' ' || source || ', ' || lang, chr(10) ORDER BY sparse_rank) AS text FROM sparse JOIN documents ON doc_id = pos WHERE sparse_rank <= 8 GROUP BY query_id""")
+def process_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The process requirements of every scan, as a block of its report; a target's findings are a scan here."""
+    asked = process_query(spark, sf_dir).select(F.col("target").cast("long").alias("query_id"), "query")
+    entries = table(spark, sf_dir, "documents").select(F.lit("process").alias("kb"), F.col("doc_id").alias("pos"), F.concat(F.lit("K"), F.col("doc_id").cast("string")).alias("key"), F.col("source").alias("title"), F.col("lang").alias("grp"), "text", F.lit(None).cast("array<float>").alias("embedding"))
+    return report.process_blocks(review.process_requirements(asked, entries).withColumnRenamed("dense_score", "score"))
+
+
+# Findings, prompts and what a console or a file gets
+
+
+@query("""SELECT event_id, left(sha256('["' || event_type || '","src","' || user_id || '",' || CASE WHEN event_id % 6 = 0 THEN 'null' ELSE '"t' || event_id % 9 || '"' END || ',"' || event_id || '"]'), 12) AS finding_id,
+  CASE WHEN event_id % 11 = 0 THEN 'unknown severity: severe' WHEN event_id % 13 = 0 THEN 'unknown severity: null' END AS error, CASE WHEN event_id % 4 = 0 THEN '{}' ELSE props END AS detail FROM events""")
+def make_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    severity = F.when(n % 11 == 0, "severe").when(n % 13 == 0, F.lit(None)).otherwise("info")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("run_id"), n.alias("seq"), F.lit("network").alias("category"), F.lit("src").alias("source"), F.col("user_id").cast("string").alias("target"), severity.alias("severity"), F.when(n % 6 != 0, F.concat(F.lit("t"), (n % 9).cast("string"))).alias("title"), F.when(n % 4 != 0, F.col("props")).alias("detail"))
+    made = findings.make_findings(rows)
+    both = findings.valid(made).withColumn("error", F.lit(None).cast("string")).unionByName(findings.quarantined(made))
+    return both.select("event_id", "finding_id", "error", "detail")
+
+
+DETAIL = """detailed AS (SELECT f.*, props->>'$.k' AS k FROM findings f JOIN events e ON e.event_id = f.finding_id), lined AS (SELECT *, concat_ws(chr(10), CASE WHEN service <> '' THEN '- service: ' || service END, CASE WHEN finding_id % 3 <> 0 THEN '- port: ' || finding_id % 1000 END, CASE WHEN cve IS NOT NULL THEN '- cve_ids: ["' || cve || '"]' END, CASE WHEN k IS NOT NULL THEN '- k: ' || k END) AS lines FROM detailed)"""
+
+
+def detailed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with an open detail object: empty texts, nulls and empty lists among its fields."""
+    n = F.col("finding_id")
+    props = table(spark, sf_dir, "events").select(F.col("event_id").alias("finding_id"), F.get_json_object("props", "$.k").alias("k"))
+    detail = F.to_json(F.struct("service", F.lit("").alias("product"), F.when(n % 3 != 0, (n % 1000).cast("string")).alias("port"), "cve_ids", F.col("k").try_cast("long").alias("k")), {"ignoreNullFields": "false"})
+    return s.findings(spark, sf_dir).join(props, "finding_id").withColumn("detail", detail)
+
+
+@query(f"WITH {s.FINDINGS}, {DETAIL} SELECT finding_id, lines FROM lined")
+def detail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detailed_findings(spark, sf_dir).select("finding_id", text.detail_lines(F.col("detail")).alias("lines"))
+
+
+_HEAD = "'# Finding' || chr(10) || '- title: ' || title || chr(10) || '- category: ' || category || ' (' || source || ')'"
+_NL, _TARGET = " || chr(10) || ", "'- target: ' || target"
+
+
+@query(f"""WITH {s.FINDINGS}, {DETAIL}, p AS (SELECT *, nullif(lines, '') AS own FROM lined)
+  SELECT finding_id, concat_ws(chr(10), {_HEAD}, {_TARGET}, '- severity: ' || coalesce(severity, ''), own) || chr(10) || chr(10) || '# Reference material; cite nothing else' || chr(10) || CASE WHEN finding_id % 4 = 0 THEN {s.quoted(prompts.NO_CONTEXT)} ELSE 'block ' || finding_id % 7 END AS advice,
+    concat_ws(chr(10), {_HEAD}, {_TARGET}, own) || chr(10) || chr(10) || 'ref ' || finding_id % 5 AS remediation,
+    concat_ws(chr(10), {_HEAD}, {_TARGET}, own) || chr(10) || chr(10) || '# Candidate weakness' || chr(10) || 'W' || finding_id % 9 || ' — N' || chr(10) || 'text' || chr(10) || chr(10) || '# Candidate clause' || chr(10) || CASE WHEN finding_id % 2 = 0 THEN {s.quoted(prompts.NO_CANDIDATE)} ELSE 'C1 — T' || chr(10) || left(repeat('long', 1200), 4000) END || chr(10) || chr(10) || '# Candidate article' || chr(10) || {s.quoted(prompts.NO_CANDIDATE)} AS summary,
+    concat_ws(chr(10), {_HEAD}, own) || chr(10) || chr(10) || '# Why it is a weakness' || chr(10) || CASE WHEN finding_id % 2 = 0 THEN 'why' ELSE {s.quoted(prompts.NO_REASON)} END || chr(10) || chr(10) || 'clause text' || chr(10) || chr(10) || '# The rule''s advice' || chr(10) || {s.quoted(prompts.NO_ADVICE)} AS rule,
+    concat_ws(chr(10), {_HEAD}, own) || chr(10) || chr(10) || '# What was found' || chr(10) || CASE WHEN finding_id % 2 = 0 THEN '- remediation: fix' || chr(10) || '- reference: CRA 1' ELSE {s.quoted(prompts.NO_BASIS)} END AS name,
+    concat_ws(chr(10), {_HEAD}, {_TARGET}, own) || CASE WHEN finding_id % 3 = 0 THEN chr(10) || chr(10) || '# Requirement to test' || chr(10) || '- CR 1: t' || finding_id % 8 ELSE '' END AS objective FROM p""")
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of each kind of generated text for every finding."""
+    n = F.col("finding_id")
+    s_ = lambda head, m: F.concat(F.lit(head), (n % m).cast("string"))
+    kind = "struct<key:string,title:string,text:string>"
+    weakness = F.struct(s_("W", 9).alias("key"), F.lit("N").alias("title"), F.lit("text").alias("text"))
+    clause = F.when(n % 2 != 0, F.struct(F.lit("C1").alias("key"), F.lit("T").alias("title"), F.repeat(F.lit("long"), 1200).alias("text")))
+    even = lambda value: F.when(n % 2 == 0, F.lit(value))
+    basis = F.when(n % 3 == 0, F.struct(F.lit("CR 1").alias("id"), s_("t", 8).alias("text")))
+    return detailed_findings(spark, sf_dir).select(
+        "finding_id",
+        prompts.advice_prompt(F.when(n % 4 != 0, s_("block ", 7)).otherwise(" ")).alias("advice"),
+        prompts.remediation_prompt(s_("ref ", 5)).alias("remediation"),
+        prompts.summary_prompt(weakness, clause, F.lit(None).cast(kind)).alias("summary"),
+        prompts.rule_prompt(even("why"), F.lit("clause text"), F.lit(""), F.lit(None).cast("string")).alias("rule"),
+        prompts.name_prompt(even("fix"), even("CRA 1")).alias("name"),
+        prompts.objective_prompt(basis).alias("objective"),
+    )
+
+
+@query(f"WITH {s.CLASSIFIED} SELECT finding_id, CAST(row_number() OVER (ORDER BY {s.RANK.format('risk_level')}, seq) AS INTEGER) AS place FROM classified")
+def risk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each finding in the order by risk, ties in input order."""
+    rows = classify.classify(s.findings(spark, sf_dir)).withColumn("level", scoring.level_rank(F.col("risk_level")))
+    return merge.numbered(rows, "level", "seq", "place").select("finding_id", "place")
+
+
+@query(f"WITH {s.CLASSIFIED} SELECT target, risk_level, status, count(*) AS n FROM classified GROUP BY ALL")
+def risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(s.findings(spark, sf_dir)).groupBy("target", "risk_level", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {s.FINDINGS} SELECT ({s.RANK.format("severity")}) * 1099511627776 + seq AS ord, '[' || CASE WHEN length(severity) > 6 THEN upper(severity) ELSE lpad(upper(severity), 6, ' ') END || '] (' || category || '/' || source || ') ' || title || '  — ' || target AS line FROM findings WHERE severity IS NOT NULL""")
+def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.finding_lines(s.findings(spark, sf_dir).filter("severity IS NOT NULL"))
+
+
+@query(f"""WITH {s.FINDINGS} SELECT '{{"finding_id":' || finding_id || ',"category":"' || category || '","target":"' || target || '","title":"' || title || '","severity":' || CASE WHEN severity IS NULL THEN 'null' ELSE '"' || severity || '"' END || ',"cve_ids":' || CASE WHEN cve IS NULL THEN '[]' ELSE '["' || cve || '"]' END || '}}' AS value FROM findings""")
+def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.findings_json(s.findings(spark, sf_dir).select("finding_id", "category", "target", "title", "severity", "cve_ids"))
+
+
+@query(f"""WITH {s.CLASSIFIED}, p AS (SELECT *, 'With authorisation, verify whether ' || service || ' on ' || target || ' can be exploited' || CASE WHEN cra_reference IS NULL THEN '' ELSE ' (requirement ' || cra_reference || ')' END AS objective FROM classified WHERE category IN ('network', 'webapp'))
+  SELECT target, seq AS ord, '## ' || title || chr(10) || chr(10) || '- target: `' || target || '`, status: ' || status || chr(10) || '- requirement: ' || CASE WHEN cra_reference IS NULL THEN 'none, a general aim' ELSE cra_reference || ' (rule)' END || chr(10) || '- aim (from a template): ' || objective || chr(10) || chr(10) || '```bash' || chr(10) || 'python3 -m live_check ' || target || ' --objective ' || chr(39) || objective || chr(39) || ' --i-am-authorized' || chr(10) || '```' AS text FROM p
+  UNION ALL SELECT '', -1, {s.quoted(plan.PLAN_TITLE)} || chr(10) || chr(10) || 'made at 2024-01-01, ' || count(*) || ' tests' || chr(10) || chr(10) || {s.quoted(plan.PLAN_WARNING)} FROM p""")
+def plan_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a test plan: its header and a block a test."""
+    none = F.array().cast("array<struct<key:string,title:string,text:string,text_zh:string>>")
+    merged = classify.classify(s.findings(spark, sf_dir)).withColumns({"clauses": none, "articles": none})
+    rows = plan.test_plan(merged).join(merged.select("finding_id", "seq"), "finding_id")
+    header = plan.plan_header(rows, "2024-01-01").select(F.lit("").alias("target"), F.lit(-1).cast("long").alias("ord"), "text")
+    return plan.plan_blocks(rows).unionByName(header)
+
+
+@query(f"""WITH scope AS ({ORACLES["infer_scope"]}) SELECT '# Security scan report' || chr(10) || chr(10) || '| item | value |' || chr(10) || '|---|---|' || chr(10) || '| time | 2024-01-01 |' || chr(10) || '| IP | ' || network || ' |' || chr(10) || '| firmware | ' || firmware || ' |' || chr(10) || '| operator | unknown |' AS text FROM scope""")
+def report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.header_block(report.metadata(spark, "2024-01-01"), infer_scope(spark, sf_dir))
+
+
+@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'host' || page_id WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN url WHEN 5 THEN '10.0.0.' || page_id % 256 ELSE NULL END AS target FROM pages""")
+def single_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One host or address; lists, networks, paths, blanks and addresses without a host are none."""
+    n = F.col("page_id")
+    s_ = n.cast("string")
+    own = F.when(n % 7 == 0, F.concat(F.lit(" host"), s_, F.lit(" "))).when(n % 7 == 1, F.concat(F.lit("a,"), s_)).when(n % 7 == 2, F.concat(F.lit("10.0.0.0/"), (n % 33).cast("string"))).when(n % 7 == 3, "  ").when(n % 7 == 4, F.col("url")).when(n % 7 == 5, F.concat(F.lit("10.0.0."), (n % 256).cast("string"))).otherwise("http:///path")
+    return table(spark, sf_dir, "pages").select("page_id", targets.single_target(own).alias("target"))
+
+
+@query("""SELECT doc_id, 'IEC 62443-4-' || CASE WHEN doc_id % 2 = 0 THEN '2 CR ' ELSE '1 SM-' END || doc_id % 90 AS key, CASE WHEN doc_id % 2 = 0 THEN 'IEC 62443-4-2' ELSE 'IEC 62443-4-1' END AS standard,
+    concat_ws(chr(10) || chr(10), CASE WHEN trim(coalesce(text, '')) <> '' THEN 'Requirement:' || chr(10) || text END, CASE WHEN doc_id % 3 = 0 THEN 'Rationale and supplemental guidance:' || chr(10) || 'why' END) AS text,
+    concat_ws(chr(10), 'IEC 62443-4-' || CASE WHEN doc_id % 2 = 0 THEN '2 CR ' ELSE '1 SM-' END || doc_id % 90 || ' – T' || doc_id % 4, CASE WHEN doc_id % 5 <> 0 THEN 'G' END, nullif(text, ''), CASE WHEN doc_id % 3 = 0 THEN 'why' END) AS embedding_text,
+    CASE doc_id % 4 WHEN 0 THEN '4-2' WHEN 1 THEN '4-1' END AS part FROM documents""")
+def clause_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of both standards as knowledge-base entries, and the part that a file's name tells."""
+    n = F.col("doc_id")
+    s_ = lambda m: (n % m).cast("string")
+    part = F.when(n % 2 == 0, "4-2").otherwise("4-1")
+    number = F.concat(F.when(n % 2 == 0, "CR ").otherwise("SM-"), s_(90))
+    rows = table(spark, sf_dir, "documents").select("doc_id", number.alias("clause_id"), F.concat(F.lit("5."), n.cast("string")).alias("clause_no"), F.concat(F.lit("T"), s_(4)).alias("title"), F.when(n % 5 != 0, "G").otherwise("").alias("group"), F.coalesce("text", F.lit("")).alias("requirement"), F.when(n % 3 == 0, "why").otherwise("").alias("rationale"), F.lit("").alias("enhancements"), F.lit("SL-C 1").alias("security_levels"))
+    name = F.when(n % 4 == 0, F.concat(F.lit("/a/IEC_62443_4_2_"), n.cast("string"), F.lit(".pdf"))).when(n % 4 == 1, "x/iec62443-4-1{ed1.0}b.pdf").when(n % 4 == 2, "iec62443-4-2/other.pdf").otherwise("iec62443-3-3.pdf")
+    made = segments.clause_records(rows.withColumn("part", part), F.col("part"))
+    # The records keep their clause's number, which is the document here.
+    return made.select(F.substring_index("clause_no", ".", -1).cast("long").alias("doc_id"), "key", "standard", "text", "embedding_text").join(table(spark, sf_dir, "documents").select("doc_id", segments.detect_part(name).alias("part")), "doc_id")
+
+
+@query(r"""SELECT doc_id, '[CWE-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' — ' || source END || ']' || CASE WHEN own = '' THEN '' ELSE chr(10) || CASE WHEN length(own) > 1500 THEN regexp_replace(left(own, 1500), '\s+$', '') || '%s' ELSE own END END || CASE WHEN doc_id %% 2 = 0 THEN chr(10) || '%s' || chr(10) || '- fix ' || doc_id %% 5 ELSE '' END AS block,
+    'CWE-' || doc_id || CASE WHEN doc_id %% 4 = 0 THEN '' ELSE ',Article ' || doc_id %% 9 END || ',CR 1' AS ids FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS own FROM documents)""".replace("doc_id % 3", "doc_id %% 3") % (text.TRUNCATION_MARK, context.MITIGATIONS))
+def weakness_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weaknesses as context blocks, and the numbers that a text about them may cite."""
+    n = F.col("doc_id")
+    key = F.concat(F.lit("CWE-"), n.cast("string"))
+    fixes = F.when(n % 2 == 0, F.array(F.concat(F.lit("fix "), (n % 5).cast("string"))))
+    ids = context.source_ids(F.array(key, F.lit(None)), F.array(F.when(n % 4 != 0, F.concat(F.lit("Article "), (n % 9).cast("string"))).otherwise("")), F.array(F.lit("CR 1")))
+    return table(spark, sf_dir, "documents").select("doc_id", context.weakness_entry(key, F.when(n % 3 != 0, F.col("source")), F.col("text"), fixes).alias("block"), F.array_join(ids, ",").alias("ids"))
+
+
+@query(f"WITH {SIGNED} SELECT finding_id, 'CR ' || finding_id % 4 || '::' || signature AS remediation_key, signature || '::' || CASE WHEN finding_id % 2 = 0 THEN 'CWE-1' ELSE '' END || '::CR ' || finding_id % 4 || '::' AS summary_key FROM keyed")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = s.findings(spark, sf_dir), F.col("finding_id")
+    own, clause = cache.signature(rows), F.concat(F.lit("CR "), (n % 4).cast("string"))
+    return rows.select("finding_id", cache.clause_key_of(clause, own).alias("remediation_key"), cache.summary_key(own, F.when(n % 2 == 0, "CWE-1"), clause, F.lit(None)).alias("summary_key"))

@@ -3,7 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import scoring
+from gleaner.functions import scoring, text
+from gleaner.operators import classify
+
+
+def quoted(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("'", "''") + "'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +44,7 @@ FINDINGS = """findings AS (SELECT event_id AS finding_id, event_id AS seq,
     CASE WHEN value >= 200 THEN 'CVE-2024-' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') END AS cve
   FROM events)"""
 
-RULES = """rules(rs, rr, rc, ri) AS (VALUES ('telnet', 'high', 'CRA Annex I Part I(2)(e)', 'IEC 62443-4-2 CR 4.1'),
-    ('ftp', 'high', 'CRA Annex I Part I(2)(e)', 'IEC 62443-4-2 CR 4.1'), ('http', 'medium', 'CRA Annex I Part I(2)(e)', 'IEC 62443-4-2 CR 4.1'),
-    ('snmp', 'medium', 'CRA Annex I Part I(2)(b)', 'IEC 62443-4-2 CR 1.5'), ('rtsp', 'medium', 'CRA Annex I Part I(2)(d)', 'IEC 62443-4-2 CR 1.1'),
-    ('upnp', 'low', 'CRA Annex I Part I(2)(j)', 'IEC 62443-4-2 CR 7.7'))"""
+RULES = "rules(rs, rr, rc, ri, rw, ra) AS (VALUES " + ", ".join("(" + ", ".join(map(quoted, (*rule, *classify.RULE_TEXTS[rule[0]]))) + ")" for rule in classify.RULES) + ")"
 
 CLASSIFIED = f"""{FINDINGS}, {RULES}, classified AS (SELECT f.*,
     CASE WHEN rs IS NOT NULL OR cve IS NOT NULL THEN 'matched' ELSE 'needs_review' END AS status,
@@ -52,7 +55,9 @@ CLASSIFIED = f"""{FINDINGS}, {RULES}, classified AS (SELECT f.*,
          WHEN alert_risk IN ('critical', 'high', 'medium', 'low', 'info') THEN alert_risk ELSE 'info' END AS risk_level,
     CASE WHEN rs IS NOT NULL THEN rc WHEN cve IS NOT NULL THEN 'CRA Annex I Part II(1)' END AS cra_reference,
     CASE WHEN rs IS NOT NULL THEN ri WHEN cve IS NOT NULL THEN 'IEC 62443-4-2 CR 3.10' END AS iec_reference,
-    CASE WHEN rs IS NULL THEN cve END AS known_list
+    CASE WHEN rs IS NULL THEN cve END AS known_list,
+    CASE WHEN rs IS NOT NULL THEN rw WHEN cve IS NOT NULL THEN {quoted(classify.KNOWN_REASON[0])} || cve || {quoted(classify.KNOWN_REASON[1])} END AS weakness_reason,
+    CASE WHEN rs IS NOT NULL THEN ra WHEN cve IS NOT NULL THEN {quoted(classify.KNOWN_ADVICE[0])} || cve || {quoted(classify.KNOWN_ADVICE[1])} END AS recommendation
   FROM findings f LEFT JOIN rules ON lower(trim(service)) = rs)"""
 
 RANK = "CASE {0} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 9 END"
@@ -78,10 +83,7 @@ def cited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 CITED = """cited AS (SELECT doc_id, 'see CWE-' || doc_id % 50 || ', article  ' || doc_id % 13 || ' and Annex I Part II (' || doc_id % 9 || ')(a). IEC 62443-4-2 CR ' || doc_id % 7 || '.' || doc_id % 15
     || ' RE(' || doc_id % 3 || '), CR 1.1; SVV-' || doc_id % 5 || '; cwe-' || doc_id % 50 || '.' AS answer,
     ['CWE-' || doc_id % 25, 'Article ' || doc_id % 11, 'Annex I Part II', 'IEC 62443-4-2 CR 1.11', 'IEC 62443-4-1 SVV-3'] AS allowed FROM documents)"""
-CITATION_LIST = r"""regexp_extract_all(answer, '(?i)CWE-\d+') || regexp_extract_all(answer, '(?i)Article\s+\d+')
-    || regexp_extract_all(answer, '(?i)Annex\s+[IVX]+(?:\s+(?:Part|Class)\s+[IVX]+)?(?:\s*(?:\([a-zA-Z0-9]+\)|\d+(?:\.\d+)*\.?))*')
-    || regexp_extract_all(answer, '(?i)(?:IEC\s*62443-\d-\d\s+)?(?:CR|EDR|HDR|NDR|SAR)\s*\d+\.\d+(?:\s*RE\s*\(\d+\))?')
-    || regexp_extract_all(answer, '(?i)(?:IEC\s*62443-\d-\d\s+)?(?:SM|SR|SD|SVV|SUM|SG|DM|SI)-\d+')"""
+CITATION_LIST = " || ".join(f"regexp_extract_all(answer, '(?i){pattern}')" for pattern in text.CITATIONS)
 
 
 def standard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,11 @@ def file_severity(name: Column, length: Column, content: Column) -> Column:
 
 
 def empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, content) of files without a byte, which Spark's file sources leave out."""
+    """(path, length, content) of files without a byte, which Spark's file sources leave out.
+
+    The folder's listing, which Spark's own reader makes on the driver as well, is walked once, and
+    only the paths of empty files are held.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     listed, paths = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
     while listed.hasNext():
@@ -61,14 +65,28 @@ def empty_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(paths, "path string, length long, content binary")
 
 
-def extracted_files(spark: SparkSession, root: str, most: int = MAX_FILES) -> DataFrame:
-    """Files under a folder that are worth a finding. At most ``most`` files are examined, by path."""
+def extracted_files(spark: SparkSession, root: str, most: int | None = MAX_FILES, target: str = "") -> DataFrame:
+    """Files under a folder that are worth a finding, with their path in it.
+
+    At most ``most`` files are examined, by path, and ``truncated`` tells whether there are more;
+    with None all are.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content").unionByName(empty_files(spark, root))
-    first = files.select("path").orderBy("path").limit(most)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(base).toString().rstrip("/") + "/"
     name = F.element_at(F.split("path", "/"), -1)
+    truncated = F.lit(False)
+    if most is not None:
+        paths = files.select("path").orderBy("path").limit(most + 1)
+        truncated = F.lit(paths.count() > most)
+        files = files.join(paths.orderBy("path").limit(most), "path", "left_semi")
     header = F.lit(False)
     for kind in KEY_HEADERS:
         header = header | F.contains("content", F.lit(f"-----BEGIN {kind}PRIVATE KEY-----".encode()))
     by_content = F.when((F.col("length") <= CONTENT_BYTES) & header, F.lit("high"))
-    rows = files.join(first, "path", "left_semi").withColumn("severity", F.coalesce(name_severity(name), by_content))
-    return rows.filter("severity IS NOT NULL").select("path", name.alias("name"), F.col("length").alias("size_bytes"), "severity")
+    rows = files.withColumn("severity", F.coalesce(name_severity(name), by_content))
+    # Without their schemes, as a store may write file:/ or file:///.
+    bare = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:/+", "/")
+    inner = F.expr("substring(own, length(base) + 1)")
+    rows = rows.withColumns({"own": bare(F.col("path")), "base": bare(F.lit(base))})
+    return rows.filter("severity IS NOT NULL").select("path", name.alias("name"), F.when(F.expr("startswith(own, base)"), inner).otherwise(F.col("path")).alias("extracted_path"), F.col("length").alias("size_bytes"), "severity", F.concat(F.lit("Extracted file: "), name).alias("title"), F.lit(target).alias("target"), truncated.alias("truncated"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleaner.functions.text import joined_lines
+
 # The regulation's paragraph classes, label patterns and annexes.
 PARAGRAPHS = ("oj-ti-art", "oj-sti-art", "oj-normal")
 PART_HEADING = "oj-ti-grseq-1"
@@ -19,8 +21,8 @@ ARTICLE = r"Article\s+(\d+)"
 
 
 def embedding_text(*parts: Column) -> Column:
-    """The parts that have text, a line each."""
-    return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), "\n")
+    """What of an entry is embedded: number, title and text, those that are not empty."""
+    return joined_lines(*parts)
 
 
 class Weaknesses:
@@ -32,7 +34,11 @@ class Weaknesses:
 
     def eval(self, xml: str) -> Iterator[tuple]:
         name = lambda e: e.tag.rpartition("}")[2]
-        for pos, e in enumerate(x for x in ElementTree.fromstring(xml).iter() if name(x) == "Weakness"):
+        try:
+            root = ElementTree.fromstring(xml or "")
+        except ElementTree.ParseError:
+            return
+        for pos, e in enumerate(x for x in root.iter() if name(x) == "Weakness"):
             child = {name(c): c for c in e}
             fixes = [self.text(next((d for d in m if name(d) == "Description"), None)) for m in child.get("Potential_Mitigations", ()) if name(m) == "Mitigation"]
             yield pos, f"CWE-{e.get('ID', '')}", e.get("Name", ""), e.get("Status", ""), self.text(child.get("Description")), self.text(child.get("Extended_Description")), [f for f in fixes if f]
@@ -42,7 +48,10 @@ WEAKNESS_SCHEMA = "pos INT, key STRING, title STRING, status STRING, text STRING
 
 
 def weaknesses(files: DataFrame, xml: str = "xml") -> DataFrame:
-    """Entries that are not deprecated and have text. Each row of ``files`` is one list, or one slice of it."""
+    """Entries that are not deprecated and have text. Each row of ``files`` is one list, or one slice of it.
+
+    ``read_weaknesses`` gives a slice an entry. A row that is null or no XML has no entries.
+    """
     spark = files.sparkSession
     spark.udtf.register("weakness_rows", F.udtf(Weaknesses, returnType=WEAKNESS_SCHEMA))
     files.createOrReplaceTempView("weakness_files")
@@ -51,6 +60,23 @@ def weaknesses(files: DataFrame, xml: str = "xml") -> DataFrame:
     return rows.filter("status <> 'Deprecated' AND embedding_text <> ''")
 
 
+def read_weaknesses(spark: SparkSession, path: str, tag: str = "Weakness") -> DataFrame:
+    """Weakness lists as one row an entry, so that a list of any size is read by many tasks.
+
+    The entry's text is put together again from lines; it goes to ``weaknesses`` as a slice.
+    """
+    rows = spark.read.format("text").option("lineSep", f"</{tag}>").load(path)
+    begin = F.locate(f"<{tag} ", "value")
+    return rows.filter(begin > 0).select(F.concat(F.expr(f"substring(value, locate('<{tag} ', value))"), F.lit(f"</{tag}>")).alias("xml"))
+
+
+def missing_annexes(items: DataFrame, doc: str) -> DataFrame:
+    """(doc, annex): annexes of which a document has no item."""
+    wanted = F.explode(F.array(*[F.lit(f"Annex {roman}") for roman in ANNEXES])).alias("annex")
+    found = items.select(doc, F.regexp_extract("article_no", r"^(Annex [IVX]+)", 1).alias("annex")).distinct()
+    return items.select(doc).distinct().select(doc, wanted).join(found, [doc, "annex"], "left_anti")
+
+
 class _Node:
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
