@@ -24,6 +24,8 @@ CANDIDATES = 10
 QUERY_BLOCK = 4096
 #: Scores that are held at once, of all queries of a block against some entries.
 SCORE_CELLS = 4_000_000
+#: A term is common to a block if more than this part of its queries have it; and entries multiplied at once.
+COMMON_SHARE, DENSE_ROWS = 16, 1024
 
 
 def postings(entries: DataFrame, kb: str = "kb", key: str = "pos", text: str = "text") -> DataFrame:
@@ -129,6 +131,14 @@ class SparseBlock:
         self.times = np.array([n for v in by_term.values() for _, n in v], float)
         self.idf: dict[object, np.ndarray] = {}  # by kb
         self.mean: dict[object, float] = {}
+        # Terms of many queries are multiplied as a dense matrix, the others entry by entry.
+        self.common = np.flatnonzero(COMMON_SHARE * np.diff(self.start) > len(queries))
+        self.place = np.full(len(self.terms), -1, np.int64)
+        self.place[self.common] = np.arange(len(self.common))
+        self.dense = np.zeros((len(self.common), len(queries)))
+        for k, t in enumerate(self.common):
+            own = slice(self.start[t], self.start[t + 1])
+            self.dense[k, self.query[own]] = self.times[own]
 
     def scores(self, texts: list[str], kb: object) -> np.ndarray:
         """BM25 of each text (lower-cased) for each query."""
@@ -145,10 +155,22 @@ class SparseBlock:
         if not len(row):
             return np.zeros((len(texts), len(self.ids)))
         part = self.idf[kb][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / self.mean[kb]))
+        column = self.place[term]
+        scores = np.zeros((len(texts), len(self.ids)))
+        if len(self.common):
+            bounds = np.searchsorted(row, np.arange(0, len(texts) + DENSE_ROWS, DENSE_ROWS))
+            for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                own = low + np.flatnonzero(column[low:high] >= 0)
+                first = k * DENSE_ROWS
+                weights = np.zeros((min(DENSE_ROWS, len(texts) - first), len(self.common)))
+                weights[row[own] - first, column[own]] = part[own]
+                scores[first : first + DENSE_ROWS] = weights @ self.dense
+        rare = np.flatnonzero(column < 0)
+        row, term, part = row[rare], term[rare], part[rare]
         count = self.start[term + 1] - self.start[term]
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.start[term], count)
         cell = np.repeat(row, count) * len(self.ids) + self.query[at]
-        return np.bincount(cell, np.repeat(part, count) * self.times[at], len(texts) * len(self.ids)).reshape(len(texts), -1)
+        return scores + np.bincount(cell, np.repeat(part, count) * self.times[at], scores.size).reshape(scores.shape)
 
 
 _TOKENS = re.compile("[a-z0-9]+")
