@@ -308,12 +308,23 @@ def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.cited_texts(spark, sf_dir).select("doc_id", F.array_join(text.unsupported_citations(F.col("answer"), F.col("allowed")), "|").alias("unsupported"))
 
 
-@query("""SELECT doc_id, 'annex i part i(' || doc_id % 9 || ')(a)' AS key, 'CRA  Annex I' || chr(160) || 'Part I (' || doc_id % 9 || ') (a)' AS id, 'n' || doc_id % 4 AS note, CASE WHEN doc_id % 3 = 0 THEN 'annex' WHEN doc_id % 3 = 1 THEN 'standard' ELSE 'article' END AS kind FROM documents""")
+#: References in ten forms: blanks of several kinds, cases, prefixes, notes.
+REFERENCES = ("CRA  Annex I Part I ({0}) (a) — n{1}", "Article {0}", " article  {0} — a — b{1}", "IEC 62443-4-2 CR {0}.{1}", "cra Annex II — ", "CRA Article {0}", "ANNEX I (2) ( b )", "iec 62443-4-1 SM-{0} — n", " — only a note {1}", "CRAB {0}\t({1})")
+_REFERENCE = "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN {s.quoted(form)}" for k, form in enumerate(REFERENCES)) + " END"
+_BLANK = r"[\s\x{a0}]"
+
+
+@query(rf"""WITH r AS (SELECT doc_id, replace(replace({_REFERENCE}, '{{0}}', CAST(doc_id % 9 AS VARCHAR)), '{{1}}', CAST(doc_id % 4 AS VARCHAR)) AS ref FROM documents),
+  p AS (SELECT *, regexp_replace(split_part(ref, ' — ', 1), '^{_BLANK}+|{_BLANK}+$', '', 'g') AS id FROM r)
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(id), '^cra{_BLANK}+', ''), '{_BLANK}*\(', '(', 'g'), '{_BLANK}+', ' ', 'g') AS key, id,
+    CASE WHEN contains(ref, ' — ') THEN regexp_replace(substr(ref, strpos(ref, ' — ') + 3), '^{_BLANK}+|{_BLANK}+$', '', 'g') ELSE '' END AS note,
+    CASE WHEN lower(id) LIKE 'iec %' THEN 'standard' WHEN lower(id) LIKE 'annex%' THEN 'annex' ELSE 'article' END AS kind FROM p""")
 def clause_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
-    ref = F.concat(F.lit("CRA  Annex I\u00a0Part I ("), (n % 9).cast("string"), F.lit(") (a) — n"), (n % 4).cast("string"))
-    kind = text.entry_kind(F.when(n % 3 == 0, " ANNEX I").when(n % 3 == 1, "IEC 62443-4-2 CR 1.1").otherwise("Article 1"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.clause_key(text.reference_id(ref)).alias("key"), text.reference_id(ref).alias("id"), text.reference_note(ref).alias("note"), kind.alias("kind"))
+    form = F.element_at(F.array(*[F.lit(x) for x in REFERENCES]), (n % 10 + 1).cast("int"))
+    ref = F.replace(F.replace(form, F.lit("{0}"), (n % 9).cast("string")), F.lit("{1}"), (n % 4).cast("string"))
+    number = text.reference_id(ref)
+    return table(spark, sf_dir, "documents").select("doc_id", text.clause_key(number).alias("key"), number.alias("id"), text.reference_note(ref).alias("note"), text.entry_kind(number).alias("kind"))
 
 
 @query(r"""WITH kb AS (SELECT 'article ' || doc_id % 50 AS k, arg_max(regexp_replace(text, '^\s+|\s+$', '', 'g'), doc_id) AS body FROM documents WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> '' GROUP BY 1)
@@ -326,11 +337,20 @@ def clause_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(index, "key", "left").select("event_id", text.truncate(F.col("body"), text.CLAUSE_CHARS, text.CLAUSE_MARK).alias("clause_text"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN 'n' || turn END AS weakness_name, CASE WHEN turn % 3 <> 0 THEN 'second' END AS weakness_reason, CASE WHEN turn % 3 <> 0 THEN 'fix it' END AS remediation FROM conversations""")
+#: Orders in which an answer has its labels; some repeat one, some lack one.
+LABEL_ORDERS = ("012", "210", "1021", "01", "0120", "", "2012", "120", "00112", "102")
+_ANSWER = "'x' || CASE (conv_id + turn) % 10 " + " ".join(f"WHEN {k} THEN {' || '.join(chr(39) + '【' + text.SUMMARY_LABELS[int(c)] + '】 ' + str(i) + ' ' + chr(39) + ' || t' for i, c in enumerate(order)) or chr(39) * 2}" for k, order in enumerate(LABEL_ORDERS)) + " END"
+_SECTION = "regexp_replace(substr(list_filter(pieces, lambda p: starts_with(p, '{0}】'))[-1], length('{0}】') + 1), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, string_split({_ANSWER}, '【') AS pieces FROM (SELECT *, replace(coalesce(text, ''), '【', '[') AS t FROM conversations)),
+  f AS (SELECT conv_id, turn, {", ".join(f"{_SECTION.format(label)} AS s{k}" for k, label in enumerate(text.SUMMARY_LABELS))} FROM a)
+  SELECT conv_id, turn, CASE WHEN ok THEN s0 END AS weakness_name, CASE WHEN ok THEN s1 END AS weakness_reason, CASE WHEN ok THEN s2 END AS remediation FROM (SELECT *, s0 IS NOT NULL AND s1 IS NOT NULL AND s2 IS NOT NULL AS ok FROM f)""")
 def summary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, reason, remedy = (f"【{label}】" for label in text.SUMMARY_LABELS)
-    answer = F.concat(F.lit(f"x {reason} first {remedy}\n fix it \n{name}n"), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.lit(f"{reason}second")))
-    answer = F.when(F.col("turn") % 3 == 0, F.replace(answer, F.lit(name), F.lit(""))).otherwise(answer)
+    """Answers with labels in ten orders around the texts of conversations."""
+    said = F.replace(F.coalesce("text", F.lit("")), F.lit("【"), F.lit("["))
+    kinds = [F.concat(F.lit("x"), *[x for i, c in enumerate(order) for x in (F.lit(f"【{text.SUMMARY_LABELS[int(c)]}】 {i} "), said)]) for order in LABEL_ORDERS]
+    answer = F.element_at(F.array(*kinds), ((F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int"))
     found = text.summary(answer)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("f")).select("conv_id", "turn", "f.*")
 
@@ -384,14 +404,20 @@ def text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_check(table(spark, sf_dir, "documents").select("lang", own.alias("text")), "lang")
 
 
-@query("""SELECT page_id, 'Article ' || page_id % 70 AS article_no, 'T' || page_id AS title, 'one' || chr(10) || 'two' || chr(10) || 'sub 2' AS text FROM pages
-  UNION ALL SELECT page_id, 'Article 99', '', 'tail ' || page_id FROM pages""")
+@query("""WITH a AS (SELECT page_id, url, j, (page_id + j) % 3 AS subs, (page_id * 7 + j) % 5 AS bodies FROM (SELECT page_id, url, unnest(range(page_id % 4)) AS j FROM pages))
+  SELECT page_id, 'Article ' || (page_id % 50 + j) AS article_no, CASE WHEN subs > 0 THEN 'T' || j ELSE '' END AS title,
+    array_to_string(list_concat(list_transform(range(bodies), lambda i: j || '-' || i || ' ' || url), CASE WHEN subs > 1 THEN ['late T' || j] ELSE [] END), chr(10)) AS text FROM a""")
 def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles of made-up regulation pages; text in an annex does not belong to the last article."""
-    n = F.col("page_id").cast("string")
-    page = F.concat(F.lit("<body><p class='oj-normal'>before</p><p class='oj-ti-art'>Article "), (F.col("page_id") % 70).cast("string"), F.lit("</p><p class='oj-sti-art'>T"), n, F.lit("</p><p class='oj-normal'>one</p><div><p class='oj-normal'> two </p></div><p class='oj-sti-art'>sub 2</p><p class='oj-ti-art'>no number</p><p class='oj-ti-art'>Article 99</p><p class=oj-normal>tail "), n, F.lit("</p><div id='anx_I'><p class='oj-normal'>annex</p></div></body>"))
-    pages = table(spark, sf_dir, "pages").select("page_id", page.alias("page"))
-    return knowledge.articles(pages, "page_id", "page")
+    """Articles of made-up regulation pages: none to three, with none to two subtitles and none to four paragraphs each.
+
+    Text before the first article and in an annex does not belong to any.
+    """
+    made = """concat('<body><p class="oj-normal">before</p>', array_join(transform(filter(sequence(0L, page_id % 4), j -> j < page_id % 4), j -> concat(
+      '<p class="oj-ti-art x">Article ', page_id % 50 + j, '</p>', if((page_id + j) % 3 > 0, concat('<p class="oj-sti-art">T<b>', j, '</b></p>'), ''), '<p class="oj-ti-art">no number</p>',
+      array_join(transform(filter(sequence(0L, 4L), i -> i < (page_id * 7 + j) % 5), i -> concat('<div><p class=oj-normal> ', j, '-', i, ' <i>', replace(replace(url, '&', '&amp;'), '<', '&lt;'), '</i></p></div>')), ''),
+      if((page_id + j) % 3 > 1, concat('<p class="oj-sti-art">late T', j, '</p>'), ''))), ''), '<div id="anx_I"><p class="oj-normal">annex</p></div></body>')"""
+    made = made.replace("T<b>', j, '</b></p>'", "T', j, '</p>'")
+    return knowledge.articles(table(spark, sf_dir, "pages").select("page_id", F.expr(made).alias("page")), "page_id", "page")
 
 
 @query("""SELECT page_id, 'Annex I Part I (1)' AS article_no, 'Part I Demands' AS title, 'A' || page_id AS text FROM pages UNION ALL SELECT page_id, 'Annex I Part I (1)(a)', 'Part I Demands', 'deep ' || page_id % 5 FROM pages
@@ -403,10 +429,14 @@ def annex_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.annexes(table(spark, sf_dir, "pages").select("page_id", page.alias("page")), "page_id", "page").select("page_id", "article_no", "title", "text")
 
 
-@query("""SELECT doc_id, CAST(i AS INTEGER) AS n, 'Article ' || (doc_id + i) AS article_no, 'Article ' || (doc_id + i) || ' says ' || i AS text FROM documents CROSS JOIN (SELECT unnest([1, 2, 3]) AS i)""")
+@query(r"""WITH b AS (SELECT doc_id, coalesce(text, '') || array_to_string(list_transform(range(doc_id % 10), lambda i: ' Article' || repeat(' ', CAST(i % 3 + 1 AS INTEGER)) || (doc_id + i) % 99 || CASE WHEN i % 2 = 0 THEN chr(10) ELSE ', ' END || source || ' and Article x ' || i), '') AS body FROM documents),
+  l AS (SELECT doc_id, regexp_split_to_array(body, 'Article\s+\d+') AS parts, regexp_extract_all(body, 'Article\s+\d+') AS heads, regexp_extract_all(body, 'Article\s+(\d+)', 1) AS numbers FROM b),
+  e AS (SELECT doc_id, unnest(range(1, len(heads) + 1)) AS n, parts, heads, numbers FROM l)
+  SELECT doc_id, CAST(n AS INTEGER) AS n, 'Article ' || numbers[n] AS article_no, regexp_replace(heads[n] || parts[n + 1], '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS text FROM e""")
 def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id")
-    body = F.concat(F.lit("preamble "), *[F.concat(F.lit("Article "), (n + i).cast("string"), F.lit(f" says {i}\n ")) for i in (1, 2, 3)])
+    """Whole texts, with none to nine articles behind each."""
+    added = "array_join(transform(filter(sequence(0L, 9L), i -> i < doc_id % 10), i -> concat(' Article', repeat(' ', cast(i % 3 + 1 AS int)), (doc_id + i) % 99, if(i % 2 = 0, '\\n', ', '), source, ' and Article x ', i)), '')"
+    body = F.concat(F.coalesce("text", F.lit("")), F.expr(added))
     return knowledge.split_articles(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), "doc_id", "body")
 
 

@@ -40,9 +40,14 @@ def test_hybrid_asks_with_whole_texts(spark, tmp_path):
 
 
 def test_every_page_gives_its_articles(spark, tmp_path):
-    path = write(spark, tmp_path, pages=([(n, "u", "h") for n in range(7)], "page_id long, url string, html string"))
+    path = write(spark, tmp_path, pages=([(n, f"u{n}?a&b<c", "h") for n in range(24)], "page_id long, url string, html string"))
     got = sorted((r.page_id, r.article_no, r.title, r.text) for r in catalogue.html_articles(spark, path).collect())
-    assert got == sorted(x for n in range(7) for x in [(n, f"Article {n}", f"T{n}", "one\ntwo\nsub 2"), (n, "Article 99", "", f"tail {n}")])
+    want = []
+    for n in range(24):
+        for j in range(n % 4):
+            subs, bodies = (n + j) % 3, [f"{j}-{i} u{n}?a&b<c" for i in range((n * 7 + j) % 5)]
+            want.append((n, f"Article {n % 50 + j}", f"T{j}" if subs else "", "\n".join(bodies + [f"late T{j}"] * (subs > 1))))
+    assert got == sorted(want)
 
 
 def test_segments_take_all_lines_of_a_text(spark, tmp_path):
