@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import strip, truncate
+from gleaner.functions.text import CLAUSE_CHARS, CLAUSE_MARK, clause_key, strip, truncate
 
 # Separator, budget and the note on what was left out.
 SEPARATOR = "\n\n---\n\n"
@@ -62,3 +62,16 @@ def pack_groups(entries: DataFrame, by: str, order: str, block: str, budget: int
     """One packed context a group. Groups are the candidates of one finding, a few blocks each."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, block))), lambda x: x[block])
     return entries.groupBy(by).agg(ordered.alias("blocks")).select(by, pack(F.col("blocks"), budget).alias("p")).select(by, "p.*")
+
+
+def clause_index(entries: DataFrame, number: Column, order: Column, text: Column) -> DataFrame:
+    """(clause, body): the text of each clause number, of several the last one that is not blank."""
+    rows = entries.select(clause_key(number).alias("clause"), order.alias("at"), strip(text).alias("body")).filter("body <> ''")
+    return rows.groupBy("clause").agg(F.max_by("body", "at").alias("body"))
+
+
+def with_clause_text(rows: DataFrame, index: DataFrame, reference: Column, name: str = "clause_text") -> DataFrame:
+    """``rows`` with the text of the clause that they refer to, cut to what a prompt takes; blank without one."""
+    keyed = rows.withColumn("_clause", clause_key(reference)).alias("r")
+    found = keyed.join(index.alias("i"), F.expr("r._clause = i.clause"), "left")
+    return found.select("r.*", truncate(F.col("i.body"), CLAUSE_CHARS, CLAUSE_MARK).alias(name)).drop("_clause")

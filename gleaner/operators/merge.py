@@ -36,17 +36,27 @@ def by_risk(merged: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def numbered(rows: DataFrame, level: str, order: str, name: str) -> DataFrame:
-    """``rows`` numbered from 1 by level, then by order, without one task seeing all.
+    """``rows`` numbered from 1 by level, then by order, without one task seeing all."""
+    return numbered_within(rows, [], [level, order], name)
 
-    Rows are dealt into ranges of about equal size, which are written once; the ranges' starts are
-    sums over a row a range, and rows are numbered within their range.
+
+def numbered_within(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` numbered from 1 in each group, without one task seeing all of a large group.
+
+    Rows are dealt into ranges of about equal size, which are written once. They are numbered within
+    their range; a group that goes on in further ranges adds what the earlier ones hold of it, which
+    is a sum over a row a range.
     """
-    dealt = keep(rows.repartitionByRange(level, order).withColumn("cell", F.spark_partition_id()))
-    counts = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell"))
-    before = F.sum("in_cell").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_cell")
-    starts = F.broadcast(counts.select("cell", before.alias("before")))  # a row a partition
-    within = F.row_number().over(Window.partitionBy("cell").orderBy(level, order))
-    return dealt.join(starts, "cell").withColumn(name, (F.col("before") + within).cast("int")).drop("before", "cell")
+    cell, here, before = "_cell", "_here", "_before"
+    dealt = keep(rows.repartitionByRange(*by, *order).withColumn(cell, F.spark_partition_id()))
+    counts = dealt.groupBy(*by, cell).agg(F.count(F.lit(1)).alias(here))
+    earlier = F.sum(here).over(Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn(before, F.coalesce(earlier, F.lit(0))).drop(here)
+    within = F.row_number().over(Window.partitionBy(cell, *by).orderBy(*order))
+    numbered = dealt.withColumn(name, within).alias("r")
+    same = " AND ".join(f"r.`{c}` <=> o.`{c}`" for c in (cell, *by))
+    kept = [F.col(f"r.`{c}`") for c in rows.columns]
+    return numbered.join(offsets.alias("o"), F.expr(same)).select(*kept, (F.col(f"r.`{name}`") + F.col(f"o.`{before}`")).cast("int").alias(name))
 
 
 def target_ranks(merged: DataFrame, order: str = "seq") -> DataFrame:
@@ -54,8 +64,8 @@ def target_ranks(merged: DataFrame, order: str = "seq") -> DataFrame:
     place = F.struct(level_rank(F.col("risk_level")).alias("level"), F.col(order).alias("at"))
     first = merged.groupBy("target").agg(F.min(place).alias("first")).select("target", "first.*")
     ranked = numbered(first, "level", "at", "group_rank").select("target", "group_rank")
-    within = F.row_number().over(Window.partitionBy("target").orderBy(level_rank(F.col("risk_level")), order))
-    return merged.withColumn("item_rank", within).join(ranked, "target")
+    placed = numbered_within(merged.withColumn("_level", level_rank(F.col("risk_level"))), ["target"], ["_level", order], "item_rank").drop("_level")
+    return placed.join(ranked, "target")
 
 
 def scope_rows(findings: DataFrame) -> DataFrame:

@@ -331,10 +331,9 @@ def clause_key(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT event_id, CASE WHEN length(body) > 4000 THEN regexp_replace(left(body, 4000), '\s+$', '') || '……' ELSE coalesce(body, '') END AS clause_text FROM events LEFT JOIN kb ON 'article ' || event_id % 60 = k""")
 def clause_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each finding's clause; a later entry of the same number wins."""
-    kb = table(spark, sf_dir, "documents").select(text.clause_key(F.concat(F.lit("CRA Article "), (F.col("doc_id") % 50).cast("string"))).alias("key"), F.col("doc_id").alias("ord"), text.strip(F.col("text")).alias("body")).filter("body <> ''")
-    index = kb.groupBy("key").agg(F.max_by("body", "ord").alias("body"))
-    rows = table(spark, sf_dir, "events").select("event_id", text.clause_key(F.concat(F.lit("Article  "), (F.col("event_id") % 60).cast("string"))).alias("key"))
-    return rows.join(index, "key", "left").select("event_id", text.truncate(F.col("body"), text.CLAUSE_CHARS, text.CLAUSE_MARK).alias("clause_text"))
+    index = context.clause_index(table(spark, sf_dir, "documents"), F.concat(F.lit("CRA Article "), (F.col("doc_id") % 50).cast("string")), F.col("doc_id"), F.col("text"))
+    rows = table(spark, sf_dir, "events").select("event_id")
+    return context.with_clause_text(rows, index, F.concat(F.lit("Article  "), (F.col("event_id") % 60).cast("string")))
 
 
 #: Orders in which an answer has its labels; some repeat one, some lack one.

@@ -67,6 +67,13 @@ def test_numbers_do_not_depend_on_cells(spark):
     assert merge.numbered(spark.createDataFrame([], "level int, at long"), "level", "at", "n").count() == 0
 
 
+def test_numbers_of_a_large_group_go_on_over_ranges(spark):
+    rows = [("hot", (k * 37) % 5003) for k in range(4000)] + [(None, 5), (None, 3), ("a", 1)]
+    got = {(r.target, r.at): r.n for r in merge.numbered_within(spark.createDataFrame(rows, "target string, at long"), ["target"], ["at"], "n").collect()}
+    hot = sorted(at for t, at in rows if t == "hot")
+    assert got == {("hot", at): k for k, at in enumerate(hot, 1)} | {(None, 3): 1, (None, 5): 2, ("a", 1): 1}
+
+
 def test_scope_has_all_categories_and_no_others(spark):
     df = spark.createDataFrame([("network", "b"), ("network", "a"), ("network", "a"), ("pentest", "z")], "category string, target string")
     assert tuple(merge.scope(df).first()) == ("a, b", "", "")
