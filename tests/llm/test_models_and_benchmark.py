@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontamination, language, quality, queries, textscan, toxicity
+from gleaner.llm.common import fold
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -316,6 +317,41 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r.expected_severity <= 2 and 0 <= r.score <= 1 and r.grade in (0, 1, 2) for r in rows)
 
 
+def plain_mix64(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_features(word):
+    """Hashes of a word and of its beginnings that are shorter than it, byte by byte."""
+    data, value, out = word.encode(), 0, []
+    for k, byte in enumerate(data[:32]):
+        value = (value * 0x5851F42D4C957F2D + plain_mix64((byte + 1) * 0x9E3779B97F4A7C15 % 2**64)) % 2**64
+        if k + 1 in toxicity.PREFIXES and len(data) > k + 1:
+            out.append(plain_mix64((value + k + 1) % 2**64))
+    whole = value if len(data) <= 32 else int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+    return [*out, plain_mix64(whole)]
+
+
+def test_toxicity_query_matches_plain_scoring(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF1}/labels.parquet").filter(fold("doc_id", 3) != 1))
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.op9_toxicity(spark).collect()
+    assert len(rows) == len(texts) and len(weights) > 5
+    for r in rows:
+        counts = Counter(h for word in item_words(texts[r.doc_id]) for h in plain_features(word) if h in weights)
+        s = sum(weights[h] * np.log1p(n) for h, n in counts.items())
+        upto = [1 / (1 + np.exp(-(t - s))) for t in model.thresholds]
+        each = np.diff([0.0, *upto, 1.0])
+        assert r.score == pytest.approx(1 - upto[0], abs=1e-9) and r.expected_severity == pytest.approx(float(each @ np.arange(len(each))), abs=1e-9)
+        assert r.grade == int(each.argmax()) and r.predicted == int(r.score >= 0.5)
+
+
 def test_toxicity_given_grades_are_ordered():
     texts = [f"fine words here {i}" for i in range(60)] + [f"bad words here {i}" for i in range(40)] + [f"bad awful words here {i}" for i in range(40)]
     given = np.array([0] * 60 + [1] * 40 + [2] * 40)

@@ -1,12 +1,14 @@
 import hashlib
+import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, namedtuple
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import mixing, queries, rules, sharding
 
+Sized = namedtuple("Sized", "doc_id source size draw")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -86,6 +88,46 @@ def test_mixing_comes_near_its_targets(spark, sf):
     assert sorted(rows) == sorted(queries.op4_mixing(spark, sf).collect())
 
 
+def plain_mix(rows):
+    """Words taken by id: whole copies, then the sample in Pareto order, then the closing document of each source."""
+    sources = sorted({r.source for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(r.size for r in rows if r.source == x) for x in sources]
+    out = {}
+    for source, size, target in zip(sources, sizes, level(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]), strict=True):
+        own = [r for r in rows if r.source == source]
+        whole = math.floor(target / size + 1e-9) if size else 0
+        chance = target / size - whole if size else 0
+        chance = chance if chance > 1e-9 else 0
+        for r in own:
+            out[r.doc_id] = whole * r.size
+        if not chance:
+            continue
+        u = {r.doc_id: (((r.draw % 2**64) >> 12) + 0.5) / 2**52 for r in own}
+        odds = {i: (x / (1 - x)) / (chance / (1 - chance)) for i, x in u.items()}
+        order, rest, taken = sorted(own, key=lambda r: (odds[r.doc_id], r.draw)), target - whole * size, 0
+        for k, r in enumerate(order):
+            if taken + r.size > rest:
+                left = order[k:]
+                break
+            taken += r.size
+            out[r.doc_id] += r.size
+        else:
+            continue
+        gap = rest - taken
+        near = [r for r in left if abs(r.size - gap) < gap]
+        if near:
+            r = min(near, key=lambda r: (abs(r.size - gap), odds[r.doc_id], r.draw))
+            out[r.doc_id] += r.size
+    return out
+
+
+def test_mixing_takes_the_documents_of_a_plain_sample(spark, sf):
+    rows = mixing.measured(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert len({r.draw for r in rows}) == len(rows)
+    got = {r.doc_id: r.taken for r in queries.op4_mixing(spark, sf).collect()}
+    assert got == plain_mix([Sized(r.doc_id, r.source, r["size"], r.draw) for r in rows])
+
+
 def test_mixing_odd_rows(spark):
     many = [(i, f"w{i} " * (i % 7), "en", None if i % 3 else "a", 1) for i in range(200)]
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "x", "b", 0), *many, many[5], many[5]], SCHEMA)
