@@ -535,8 +535,8 @@ def agent_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH printed AS (SELECT conv_id, turn, coalesce(text, '') AS t, (conv_id + turn) % 4 AS kind FROM conversations)
-  SELECT conv_id, turn, CASE kind WHEN 0 THEN turn % 3 = 0 WHEN 1 THEN false ELSE true END AS is_error, CASE kind WHEN 0 THEN t WHEN 1 THEN '' WHEN 2 THEN trim('claude: ' || t) ELSE '[1, 2]' END AS result,
-    CASE WHEN kind = 0 THEN round(turn / 8, 3) END AS cost_usd, CASE WHEN kind = 0 THEN CAST(turn AS INTEGER) END AS num_turns, CASE WHEN kind = 0 THEN 's' || conv_id END AS session_id FROM printed""".replace("claude: ", "error: "))
+  SELECT conv_id, turn, CASE kind WHEN 0 THEN turn % 3 = 0 WHEN 1 THEN false ELSE true END AS is_error, CASE kind WHEN 0 THEN t WHEN 1 THEN '' WHEN 2 THEN trim('error: ' || t) ELSE '[1, 2]' END AS result,
+    CASE WHEN kind = 0 THEN round(turn / 8, 3) END AS cost_usd, CASE WHEN kind = 0 THEN CAST(turn AS INTEGER) END AS num_turns, CASE WHEN kind = 0 THEN 's' || conv_id END AS session_id FROM printed""")
 def agent_stdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an agent printed: a full object, an empty one, plain text, and JSON that is no object."""
     t, turn, kind = F.coalesce("text", F.lit("")), F.col("turn"), (F.col("conv_id") + F.col("turn")) % 4
@@ -833,8 +833,8 @@ def clause_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.substring_index("clause_no", ".", -1).cast("long").alias("doc_id"), "key", "standard", "text", "embedding_text").join(table(spark, sf_dir, "documents").select("doc_id", segments.detect_part(name).alias("part")), "doc_id")
 
 
-@query(r"""SELECT doc_id, '[CWE-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' — ' || source END || ']' || CASE WHEN own = '' THEN '' ELSE chr(10) || CASE WHEN length(own) > 1500 THEN regexp_replace(left(own, 1500), '\s+$', '') || '%s' ELSE own END END || CASE WHEN doc_id %% 2 = 0 THEN chr(10) || '%s' || chr(10) || '- fix ' || doc_id %% 5 ELSE '' END AS block,
-    'CWE-' || doc_id || CASE WHEN doc_id %% 4 = 0 THEN '' ELSE ',Article ' || doc_id %% 9 END || ',CR 1' AS ids FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS own FROM documents)""".replace("doc_id % 3", "doc_id %% 3") % (text.TRUNCATION_MARK, context.MITIGATIONS))
+@query(rf"""SELECT doc_id, '[CWE-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' — ' || source END || ']' || CASE WHEN own = '' THEN '' ELSE chr(10) || {TRUNCATED} END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '{context.MITIGATIONS}' || chr(10) || '- fix ' || doc_id % 5 ELSE '' END AS block,
+    'CWE-' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '' ELSE ',Article ' || doc_id % 9 END || ',CR 1' AS ids FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS own FROM documents)""")
 def weakness_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weaknesses as context blocks, and the numbers that a text about them may cite."""
     n = F.col("doc_id")
