@@ -169,19 +169,24 @@ def split_articles(rows: DataFrame, doc: str, text: str) -> DataFrame:
     return parts.select(doc, "n", F.concat(F.lit("Article "), F.regexp_extract("part", ARTICLE, 1)).alias("article_no"), F.regexp_replace("part", r"(?U)^\s+|\s+$", "").alias("text"))
 
 
-def annex_items(table: _Node, prefix: str = "") -> list[tuple[str, str]]:
-    """Label and text of a table's first row, and of the tables in it, labels put together."""
-    row = next(table.find("tr"), None)
-    cells = list(row.find("td", deep=False)) if row else []
-    at = next((i for i, c in enumerate(cells) if LABEL.match(c.text(""))), None)
-    if at is None or at + 1 >= len(cells):
-        return []
-    label, content = prefix + cells[at].text(""), cells[at + 1]
-    own = [c.text() for c in content.children if isinstance(c, _Node) and (c.tag == "span" or (c.tag == "p" and c.has("oj-normal")))]
-    found = [(label, text)] if (text := " ".join(p for p in own if p)) else []
-    for nested in content.find("table", deep=False):
-        found += annex_items(nested, label)
-    return found
+def labelled_rows(table: _Node) -> Iterator[tuple[list[str], str]]:
+    """(labels, text) of a table's first row and of those of the tables in it, outermost label first.
+
+    A label is the first cell that looks like one, and what it labels is the cell behind it.
+    """
+    waiting: list[tuple[_Node, list[str]]] = [(table, [])]
+    while waiting:
+        inner, above = waiting.pop()
+        cells = [c for row in list(inner.find("tr"))[:1] for c in row.find("td", deep=False)]
+        labels = [c.text("") for c in cells]
+        place = next((k for k, label in enumerate(labels[:-1]) if LABEL.match(label)), None)
+        # A label in the last cell labels nothing, and no later one counts.
+        if place is None:
+            continue
+        path, body = [*above, labels[place]], cells[place + 1]
+        pieces = [c.text() for c in body.children if isinstance(c, _Node) and (c.tag == "span" or c.tag == "p" and c.has("oj-normal"))]
+        yield path, " ".join(filter(None, pieces))
+        waiting += [(t, path) for t in reversed(list(body.find("table", deep=False)))]
 
 
 class AnnexItems:
@@ -211,7 +216,7 @@ class AnnexItems:
             if child.tag == "p" and child.has(PART_HEADING):
                 part, plain = child.text(), 0
             elif child.tag == "table":
-                items = annex_items(child)
+                items = [("".join(path), text) for path, text in labelled_rows(child) if text]
                 if not items:
                     plain += 1
                     items = [(str(plain), child.text())] if child.text() else []

@@ -1,6 +1,5 @@
 """Port-scan XML: open ports, and vulnerabilities that scan scripts found."""
 
-import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -8,13 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import scoring
+from gleaner.functions.text import strip
 
 HOST_SCHEMA = """
     address ARRAY<STRUCT<_addr STRING>>,
     ports STRUCT<port ARRAY<STRUCT<_protocol STRING, _portid STRING, state STRUCT<_state STRING>, service STRUCT<_name STRING, _product STRING, _version STRING>>>>
 """
 # The pattern of vulnerability numbers and the map of risk factors.
-NUMBER = re.compile(r"CVE-\d{4}-\d{4,}", re.I)
+NUMBER = r"(?i:CVE-\d{4}-\d{4,})"
 RISK_FACTORS = ("critical", "high", "medium", "low")
 
 
@@ -43,27 +43,13 @@ def open_ports(hosts: DataFrame) -> DataFrame:
     return each.select(*more, "target", "port_no", text("p._protocol").alias("protocol"), text("p._portid").alias("port"), text("p.service._name").alias("service"), text("p.service._product").alias("product"), text("p.service._version").alias("version"), title.alias("title"))
 
 
-def _number(text: str | None) -> str | None:
-    found = NUMBER.search(text or "")
-    return found[0].upper() if found else None
-
-
-def _table(table: ElementTree.Element) -> tuple | None:
-    named = {e.get("key"): (e.text or "").strip() for e in table.findall("elem") if e.get("key")}
-    state = named.get("state", "")
-    if not state.startswith(scoring.VULNERABLE_STATES):
-        return None
-    key = table.get("key", "")
-    found = [key.upper()] if NUMBER.fullmatch(key) else []
-    found += [_number(e.text) for e in table.findall("elem") if e.get("key") is None]
-    sub = {t.get("key"): t for t in reversed(table.findall("table"))}
-    found += [_number(e.text) for e in (sub["ids"].findall("elem") if "ids" in sub else [])]
-    scores = [e.text or "" for e in (sub["scores"].findall("elem") if "scores" in sub else [])]
-    return named.get("title", ""), state, list(dict.fromkeys(x for x in found if x)), scores, named.get("risk_factor", "")
+class ScriptTables:
+    """Table function: every table of all scripts of a host's XML, in order, with its elements as a flat list.
 
+    An element's place is ``own``, or the key of the table in the table that it stands in.
+    """
 
-class ScriptTables:
-    """Table function: the vulnerable tables of all scripts of a host's XML, in order."""
+    PLACES = ("ids", "scores")
 
     def eval(self, xml: str) -> Iterator[tuple]:
         try:
@@ -73,17 +59,35 @@ class ScriptTables:
         address = host.find("address")
         if address is None:
             return
-        scripts = [(None, s) for block in host.findall("hostscript") for s in block.findall("script")]
-        scripts += [(f"{p.get('protocol', '')}/{p.get('portid', '')}", s) for p in host.findall("ports/port") for s in p.findall("script")]
-        n = 0
-        for port, script in scripts:
-            for table in script.iter("table"):
-                if (row := _table(table)) is not None:
-                    yield address.get("addr", ""), port, script.get("id", ""), n, *row
-                    n += 1
+        scripts = [(None, s) for s in host.iterfind("hostscript/script")]
+        scripts += [(f"{p.get('protocol', '')}/{p.get('portid', '')}", s) for p in host.iterfind("ports/port") for s in p.iterfind("script")]
+        everything = [(port, script, table) for port, script in scripts for table in script.iter("table")]
+        for n, (port, script, table) in enumerate(everything):
+            inner = [(place, table.find(f"table[@key='{place}']")) for place in self.PLACES]
+            items = [(place, e.get("key"), e.text) for place, part in [("own", table), *inner] if part is not None for e in part.iterfind("elem")]
+            yield address.get("addr", ""), port, script.get("id", ""), n, table.get("key"), items
+
+
+TABLES = "target STRING, port STRING, script_id STRING, n INT, table_key STRING, items ARRAY<STRUCT<place: STRING, key: STRING, value: STRING>>"
+
+
+def _named(key: str) -> Column:
+    """The trimmed value of a table's own element with a key; of several the last, and blank without one."""
+    found = F.filter("items", lambda x: (x["place"] == "own") & (x["key"] == key))
+    return F.coalesce(strip(F.try_element_at(found, F.lit(-1))["value"]), F.lit(""))
+
+
+def _values(place: str, bare: bool = False) -> Column:
+    """Values of the elements at a place; ``bare`` are those without a key."""
+    found = F.filter("items", lambda x: (x["place"] == place) & (x["key"].isNull() if bare else F.lit(True)))
+    return F.transform(found, lambda x: F.coalesce(x["value"], F.lit("")))
 
 
-TABLES = "target STRING, port STRING, script_id STRING, n INT, vuln_title STRING, state STRING, cve_ids ARRAY<STRING>, scores ARRAY<STRING>, risk_factor STRING"
+def numbers() -> Column:
+    """A table's vulnerability numbers, each once: its key, then its own elements without a key, then its list of numbers."""
+    key = F.coalesce(F.regexp_extract("table_key", f"^{NUMBER}$", 0), F.lit(""))
+    listed = F.transform(F.concat(_values("own", bare=True), _values("ids")), lambda v: F.regexp_extract(v, NUMBER, 0))
+    return F.array_distinct(F.transform(F.filter(F.concat(F.array(key), listed), lambda v: v != ""), F.upper))
 
 
 def script_findings(hosts: DataFrame, xml: str) -> DataFrame:
@@ -91,11 +95,11 @@ def script_findings(hosts: DataFrame, xml: str) -> DataFrame:
     spark = hosts.sparkSession
     spark.udtf.register("script_tables", F.udtf(ScriptTables, returnType=TABLES))
     hosts.createOrReplaceTempView("script_hosts")
-    rows = spark.sql(f"SELECT h.* EXCEPT (`{xml}`), t.* FROM script_hosts h, LATERAL script_tables(h.`{xml}`) t")
-    score = F.array_max(F.transform("scores", scoring.parse_score))
-    factor = F.lower(F.trim("risk_factor"))
-    rows = rows.withColumn("cvss_score", score)
-    return rows.withColumns({"severity": severity(F.col("cvss_score"), factor, F.col("state")), "title": title(F.col("vuln_title"), F.col("cve_ids"), F.col("script_id"), F.col("port"))})
+    tables = spark.sql(f"SELECT h.* EXCEPT (`{xml}`), t.* FROM script_hosts h, LATERAL script_tables(h.`{xml}`) t")
+    rows = tables.withColumn("state", _named("state")).filter(scoring.is_vulnerable_state(F.col("state")))
+    rows = rows.withColumns({"cve_ids": numbers(), "cvss_score": F.array_max(F.transform(_values("scores"), scoring.parse_score))})
+    level = severity(F.col("cvss_score"), F.lower(F.trim(_named("risk_factor"))), F.col("state"))
+    return rows.withColumns({"severity": level, "title": title(_named("title"), F.col("cve_ids"), F.col("script_id"), F.col("port"))}).drop("items", "table_key")
 
 
 def severity(score: Column, factor: Column, state: Column) -> Column:
