@@ -302,10 +302,12 @@ def product(docs: DataFrame, placed: DataFrame, words: int, threshold: int, bloc
     each = each.select("class", "row", F.struct(group.alias("block"), (F.least("own", "other") if pairs else F.col("other")).alias("part_a"), (F.greatest("own", "other") if pairs else F.col("other")).alias("part_b")).alias("at"))
     asked = keep(each.groupBy("class", F.col("row.text_key").alias("text_key"), F.col("row.id").alias("id")).agg(F.collect_set("at").alias("at")))
 
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    # One key of both columns, so that the join's partitioning also serves the removal of repeated rows.
+    # One key of both columns tells the wanted row from its copies. It is the join's only key, so that
+    # texts are dealt by it once, for the join and for the removal of repeated rows.
     pair = F.xxhash64("text_key", "id")
-    found = sifted(texts, asked, "text_key").withColumn("pair", pair).alias("t").join(asked.withColumn("pair", pair).alias("m"), F.expr("t.pair = m.pair AND t.text_key = m.text_key AND t.id <=> m.id"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).withColumn("pair", pair)
+    asked = asked.withColumn("pair", pair)
+    found = sifted(texts, asked, "pair").alias("t").join(asked.alias("m"), F.expr("t.pair = m.pair AND (t.text_key ^ m.text_key) = 0 AND CASE WHEN t.id IS NULL THEN m.id IS NULL ELSE coalesce(t.id = m.id, false) END"))
     found = found.select("t.pair", "m.class", "m.at", "t.text").dropDuplicates(["pair", "class"]).select("class", "text", F.explode("at").alias("at"))
 
     def multiply(table: pa.Table) -> pa.Table:
@@ -322,25 +324,26 @@ def product(docs: DataFrame, placed: DataFrame, words: int, threshold: int, bloc
 
 
 def prefix_entries(signed: DataFrame, chosen: DataFrame, threshold: int) -> DataFrame:
-    """(class, n, gram): the first n-grams of the chosen classes, as far as several classes have them."""
+    """(class, gram): the first n-grams of the chosen classes, as far as several classes have them."""
     prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    given = signed.filter(F.size("grams") > 0).select("class", "n", F.slice("grams", F.lit(1), prefix.cast("int")).alias("grams"))
+    given = signed.filter(F.size("grams") > 0).select("class", F.slice("grams", F.lit(1), prefix.cast("int")).alias("grams"))
     # Copies in several batches give a class's n-grams several times.
     once = sifted(given, chosen, "class").join(chosen.select("class"), "class").dropDuplicates(["class"])
-    entries = keep(once.select("class", "n", F.explode("grams").alias("gram")))
-    held = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    return keep(entries.join(held, "gram").select("class", "n", "gram"))
+    # Dealt by n-gram once: the counts read the same columns as the rows that they are joined with.
+    entries = keep(once.select("class", F.explode("grams").alias("gram"))).repartition("gram")
+    held = entries.groupBy("gram").agg(F.count("class").alias("classes")).filter("classes > 1")
+    return keep(entries.join(held, "gram").select("class", "gram"))
 
 
-def between(entries: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+def between(entries: DataFrame, roots: DataFrame, chosen: DataFrame, threshold: int) -> DataFrame:
     """(class, block): rows of different components that may have a link.
 
     ``entries`` are those of ``prefix_entries`` and ``roots`` the (node, root) of the links so far.
     """
     rooted = entries.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = keep(rooted)
-    mixed = rooted.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    rows = keep(rooted.join(mixed.select("gram", "classes"), "gram"))
+    rooted = keep(rooted).repartition("gram")
+    mixed = rooted.groupBy("gram").agg(F.count("class").alias("classes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    rows = keep(rooted.join(mixed.select("gram", "classes"), "gram").join(chosen.select("class", "n"), "class"))
     # At most PAIR_ROWS rows an n-gram come together here.
     few = rows.filter(F.col("classes") <= PAIR_ROWS).groupBy("gram").agg(F.collect_list(F.struct("class", "root", "n")).alias("own"))
     each = few.select(F.explode("own").alias("x"), "own").select("x", F.explode("own").alias("y"))
@@ -372,7 +375,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: int, block_
     homes = entries.groupBy("class").agg(F.min("gram").alias("block")).join(chosen, "class")
     first = keep(product(docs, keep(homes), words, threshold, block_entries, False))
     roots = keep(components(first))
-    left = keep(between(entries, roots, threshold))
+    left = keep(between(entries, roots, chosen, threshold))
     if left.isEmpty():
         return first, roots
     second = keep(product(docs, keep(left.join(chosen, "class")), words, threshold, block_entries, True))

@@ -74,8 +74,9 @@ def corpus(seed):
     return list(enumerate(rng.permutation(np.array(texts, object)).tolist()))
 
 
-@pytest.mark.parametrize(("seed", "block"), [(0, 2_000_000), (1, 700)])
-def test_components_match_brute_force(spark, seed, block):
+@pytest.mark.parametrize(("seed", "block", "pairs"), [(0, 2_000_000, 32), (1, 700, 32), (2, 2_000_000, 1)])
+def test_components_match_brute_force(spark, monkeypatch, seed, block, pairs):
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", pairs)
     rows = corpus(seed)
     assert result(ngram_join.join(frame(spark, rows), block_entries=block).collect()) == brute(rows)
 
@@ -135,3 +136,19 @@ def test_deduplicate_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, (r.text or "")[:9]) for r in kept.collect()), key=str) == sorted([(1, "w0 w1 w2 "), (None, ""), (2, ""), (2, ""), (None, "alone by "), (9, "word word")], key=str)
     assert ngram_join.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_second_product_finds_what_the_first_one_missed(spark):
+    """Rows that are linked but come to different blocks at first."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+    # Each text shares four fifths with the next one, so the least first n-gram changes along the way.
+    texts = {k: " ".join(words[7 * k : 7 * k + 110]) for k in range(40)}
+    docs = frame(spark, texts.items())
+    signed = ngram_join.signatures(docs, 5, 80)
+    chosen = ngram_join.candidates(signed, 80)
+    entries = ngram_join.prefix_entries(signed, chosen, 80)
+    alone = spark.createDataFrame([], "node long, root long")
+    left = ngram_join.between(entries, alone, chosen, 80).collect()
+    assert len({r["class"] for r in left}) == 40
+    assert result(ngram_join.join(docs).collect()) == brute(list(texts.items()))
