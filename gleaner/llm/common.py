@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.storage import keep, shared_dir, temporary
 
-__all__ = ["WORD_PATTERN", "fold", "free_name", "keep", "shared_dir", "table", "temporary"]
+__all__ = ["WORD_PATTERN", "fold", "free_name", "keep", "plain_names", "quoted", "shared_dir", "table", "temporary"]
 
 #: Word of the size, rule and shingle contracts: a run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -34,3 +34,14 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def quoted(column: str) -> F.Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the working names c0, c1, ... and the working name of each of its own; ``toDF`` puts those back."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))

@@ -51,3 +51,48 @@ CHAT = rf"""WITH rows AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FR
     sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(sum({len(_TEMPLATE.begin + _TEMPLATE.middle + _TEMPLATE.end)} + length(role) + length(replace(t, '\', '\\')) + 2 * len(regexp_extract_all(t, '{_CONTROL}'))) AS BIGINT) AS formatted_chars
   FROM rows GROUP BY conv_id"""
+
+
+def _centroids(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    kept = f"len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE {kept})""",
+        f"""x AS MATERIALIZED (SELECT r, unnest(range({dims})) AS i, unnest(e) AS x FROM v)""",
+        f"""c0 AS MATERIALIZED (SELECT c, i, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS c FROM v) JOIN x USING (r) WHERE c < {k})""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, sum((x.x - c{n}.x) * (x.x - c{n}.x)) AS d FROM x JOIN c{n} USING (i) GROUP BY r, c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if n < rounds:
+            steps.append(f"m{n} AS (SELECT c, i, sum(x.x) AS s, count(*) AS n FROM x JOIN a{n} USING (r) GROUP BY c, i)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x FROM c{n} LEFT JOIN m{n} USING (c, i))")
+    last = f"h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)"
+    return f"""WITH {", ".join([*steps, last])}
+  SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+  FROM a{rounds} JOIN v USING (r) JOIN h USING (c)"""
+
+
+CENTROIDS = _centroids()
+
+EXACT_DEDUP = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+  FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, bit: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
+
+def _leaf(text: str) -> str:
+    names = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({n}) || ':' || {n}, '-')" for n in names) + ")"
+
+
+MANIFEST = f"""WITH RECURSIVE t AS (SELECT *, CASE WHEN {_CRC} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS told FROM documents),
+  d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, {_leaf("text")} AS leaf, {_leaf("told")} AS seen FROM t),
+  l AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d),
+  up AS (SELECT tree, 0 AS level, idx, n, leaf AS node FROM l UNION ALL SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY tree, level, idx // 16, n),
+  top AS (SELECT 0 AS level, tree AS idx, (SELECT count(DISTINCT tree) FROM l) AS n, node FROM up WHERE n = 1 UNION ALL SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 16, n),
+  s AS (SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after FROM up a JOIN up b ON a.tree = b.tree AND a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY ALL),
+  ts AS (SELECT a.level, a.idx, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after FROM top a JOIN top b ON a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY ALL),
+  p AS (SELECT r, level, before, after FROM l JOIN s ON s.tree = l.tree AND s.idx = l.idx // CAST(16 ** level AS BIGINT) UNION ALL SELECT r, 1000 + level, before, after FROM l JOIN ts ON ts.idx = l.tree // CAST(16 ** level AS BIGINT)),
+  g AS (SELECT r, string_agg(before || after, '' ORDER BY level) AS proof, list(before || ':' || after ORDER BY level) AS steps FROM p GROUP BY r),
+  o AS (SELECT doc_id, leaf, b.node AS subroot, (SELECT node FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, list_reduce(list_prepend(seen, coalesce(steps, [])), lambda acc, x: sha256(split_part(x, ':', 1) || acc || split_part(x, ':', 2))) AS folded_root FROM l JOIN up b ON b.tree = l.tree AND b.n = 1 LEFT JOIN g USING (r))
+  SELECT *, folded_root = root AS verified FROM o"""

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontamination, html_text, language, mixing, ngram_join, oracles, quality, rules, sharding, toxicity
+from gleaner.llm import centroids, chat, decontamination, exact_dedup, html_text, language, manifest, mixing, ngram_join, oracles, quality, rules, sharding, toxicity
 from gleaner.llm.common import fold, keep, table
 
 SHARDS = 40
@@ -84,6 +84,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_dedup.classes(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, manifest.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    rows = manifest.manifest(docs, presented={"text": tampered})
+    proof = F.sha2(manifest.siblings_text(F.col("path")), 256)
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_html_text": op2_html_text,
@@ -95,6 +112,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_centroids": op11_centroids,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_manifest": op13_manifest,
 }
 #: DuckDB SQL of those that SQL can express in reasonable time.
-ORACLES = {"op3_chat": oracles.CHAT, "op5_rules": oracles.RULES, "op6_decontamination": oracles.DECONTAMINATION, "op7_ngram_join": oracles.NGRAM_JOIN}
+ORACLES = {"op3_chat": oracles.CHAT, "op5_rules": oracles.RULES, "op6_decontamination": oracles.DECONTAMINATION, "op7_ngram_join": oracles.NGRAM_JOIN, "op11_centroids": oracles.CENTROIDS, "op12_exact_dedup": oracles.EXACT_DEDUP, "op13_manifest": oracles.MANIFEST}
