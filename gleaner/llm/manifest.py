@@ -93,7 +93,8 @@ def with_siblings(nodes: DataFrame, others: DataFrame) -> DataFrame:
     """``nodes`` with ``step``: the digests left and right of the node in its run.
 
     Coordinates are (tree, run, idx). Nodes and those looked up move by (tree, run) only, so the
-    exploded coordinates are joined and gathered where they are made.
+    exploded coordinates are joined and gathered where they are made: the places are compared among
+    the 16 of a run, since a third key of the join would move what was exploded.
     """
     run = F.expr(f"idx div {FANOUT}").alias("run")
     own = [c for c in nodes.columns if c not in ("tree", "idx")]
@@ -101,7 +102,7 @@ def with_siblings(nodes: DataFrame, others: DataFrame) -> DataFrame:
     places = F.expr(f"filter(sequence(run * {FANOUT}, least(run * {FANOUT} + {FANOUT - 1}, own.n - 1)), x -> x != idx)")
     asked = dealt.withColumn("at", F.explode_outer(places))
     told = others.select("tree", run, F.col("idx").alias("at"), "node").repartition("tree", "run")
-    found = asked.join(told, ["tree", "run", "at"], "left")
+    found = asked.alias("a").join(told.alias("t"), F.expr("a.tree = t.tree AND a.run = t.run AND a.at - t.at = 0"), "left").select("a.*", "t.node")
     beside = F.when(F.col("node").isNotNull(), F.struct(F.col("at").alias("idx"), "node"))
     gathered = found.groupBy("tree", "run", "idx").agg(F.first("own").alias("own"), F.array_sort(F.collect_list(beside)).alias("run_of"))
     left = _hex_of(F.filter("run_of", lambda x: x["idx"] < F.col("idx")))
