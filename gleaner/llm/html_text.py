@@ -1,9 +1,12 @@
 """Main text of HTML pages from flat text blocks and a decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its words and link
-density, those of the blocks before and after it, and two marks from its surroundings: whether it is
-inside a container of boilerplate (menu, footer, form, comments and so on, by tag, role, class or
-id), and inside an article. A decision tree, trained on the labelled table below, keeps or drops it.
+density, those of the blocks before and after it, and what its surroundings tell: if it is inside a
+container that is marked as boilerplate (menu, footer, form, comments and so on, by tag, role, class or
+id), the share of the page's running words in there and their number; whether it is inside an article,
+a heading, or a legal line; and the running words of the page. A decision tree, trained on the labelled
+table below, keeps or drops it. So a mark is one feature among others: a form or a section named
+"cookies" around the whole article is no boilerplate. Only what is not shown is left out at once.
 
 Defined cases: a null or empty page, and one without text, gives the empty text; broken markup
 (unclosed or stray tags, a tag cut off at the end) is read as far as it goes: only an unclosed script,
@@ -19,95 +22,97 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import free_name
+from gleaner.llm.common import free_name, plain_names
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boilerplate", "article")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "share", "room", "article", "heading", "legal", "page")
 
-#: The labelled table: the features of a block, then 1 if it is main text.
+#: The labelled table: pages as rows of blocks, each a kind, its number of words, and + if it is main text.
+#: P is plain, S has some links, L is a link, H a first heading, h another one, C a legal line; A, B, E
+#: and D are plain, a link, mostly links and a heading in an article; X and Y are plain and a link in a
+#: marked container that holds few of the running words; O is plain and Q a heading in one that holds
+#: most of them, W is plain in a layout around an article; N is plain in a container that holds all there
+#: is, but little.
 LABELLED = """
-    60 0.00 45 0.00 70 0.00 0 1 1
-    85 0.02 60 0.00  2 0.00 0 1 1
-     2 0.00 85 0.02 40 0.00 0 1 1
-     1 0.00 12 0.00  1 0.00 0 1 1
-    12 0.00  8 0.00 60 0.00 0 1 1
-     9 0.00  0 0.00 50 0.00 0 1 1
-     5 0.00  6 1.00 33 0.00 0 1 1
-     1 0.00  0 0.00  0 0.00 0 1 1
-    30 0.20 20 0.10 25 0.00 0 1 1
-    18 0.40 40 0.00 35 0.00 0 1 1
-     4 0.50 30 0.00 28 0.00 0 1 1
-    14 0.60 50 0.00 45 0.05 0 1 1
-     3 1.00 40 0.00 38 0.00 0 1 1
-     1 1.00 25 0.00 30 0.00 0 1 1
-    16 0.00  1 0.00  1 0.00 0 1 1
-    16 0.00  0 0.00  1 0.00 0 1 1
-    40 0.00  3 0.00  6 1.00 0 1 1
-    25 0.00  1 1.00  3 1.00 0 1 1
-     3 0.00  2 1.00  2 0.00 0 1 1
-     8 0.00  1 1.00 12 0.00 0 1 1
-    14 0.00  9 0.00  3 1.00 0 1 1
-    70 0.00  5 0.00  1 1.00 0 1 1
-   200 0.01  4 0.00  0 0.00 0 1 1
-    10 0.00 20 0.00  0 0.00 0 1 1
-     2 0.00 16 0.00  1 1.00 0 1 1
-    33 0.10  6 1.00  5 0.00 0 1 1
-     7 0.25  3 0.00 30 0.00 0 1 1
-    11 0.40 14 0.00  8 0.00 0 1 1
-     6 1.00  5 1.00  7 1.00 0 1 0
-     4 1.00  4 1.00  3 1.00 0 1 0
-     9 1.00  8 1.00  2 0.00 0 1 0
-     8 0.00  1 1.00 12 0.00 1 0 0
-    40 0.00 30 0.00 55 0.00 1 0 0
-     1 1.00  1 1.00  1 1.00 1 0 0
-     2 1.00  0 0.00  2 1.00 1 0 0
-    14 0.00 90 0.00  0 0.00 1 0 0
-    25 0.10 70 0.00  3 0.00 1 0 0
-    90 0.00 20 0.00 10 0.00 1 0 0
-    35 0.00 60 0.00 50 0.00 1 1 0
-     7 0.00 80 0.00 65 0.00 1 1 0
-    15 0.00  3 0.00 20 0.00 1 0 0
-    60 0.00 50 0.00 45 0.00 1 0 0
-     3 0.00 18 0.00 30 0.00 1 0 0
-    20 0.00  1 1.00 60 0.00 1 0 0
-    33 0.00 16 0.00 16 0.00 1 0 0
-     9 0.00  2 0.00  7 0.00 1 1 0
-    16 0.00 16 0.00 50 0.00 1 1 0
-     5 0.00 14 0.00  3 0.00 1 0 0
-     2 1.00 45 0.00  2 1.00 1 1 0
-   120 0.00 15 0.00 80 0.00 1 1 0
-    50 0.00 10 0.00 40 0.00 0 0 1
-    22 0.00 35 0.00  8 0.00 0 0 1
-    75 0.05 30 0.00 90 0.00 0 0 1
-    20 0.20 25 0.00 24 0.00 0 0 1
-     9 0.00 40 0.00 45 0.00 0 0 1
-     4 0.00 30 0.00 50 0.00 0 0 1
-     1 0.00 35 0.00 28 0.00 0 0 1
-    11 0.00  2 1.00 60 0.00 0 0 1
-     7 0.00 22 0.00 41 0.00 0 0 1
-    18 0.00 19 0.00 17 0.00 0 0 1
-     5 0.00  3 1.00  2 1.00 0 0 0
-     3 0.00  2 0.00  4 0.00 0 0 0
-     6 0.00  5 0.00  0 0.00 0 0 0
-     2 0.00  1 1.00  1 1.00 0 0 0
-     4 0.00  4 1.00  5 0.00 0 0 0
-     1 1.00  1 1.00  1 1.00 0 0 0
-     2 1.00  3 1.00 40 0.00 0 0 0
-     5 1.00  0 0.00  4 1.00 0 0 0
-     1 1.00 18 0.00  1 1.00 0 0 0
-     1 1.00 30 0.00  2 1.00 0 0 0
-     3 1.00 50 0.00  2 1.00 0 0 0
-     2 1.00 22 0.00  0 0.00 0 0 0
-    12 0.90 10 1.00 11 0.80 0 0 0
-    25 0.85 20 0.90 22 0.90 0 0 0
-    40 0.70 35 0.80 30 0.90 0 0 0
-    16 0.75 50 0.00  6 1.00 0 0 0
+    L1- L1- L2- P60+ P85+ P1+ P40+ P12+ X8- Y2- X25-
+    L1- L3- D4+ A60+ A85+ A2+ A40+ B3+ A25+ A1+ A9+ X30- Y4- X14-
+    D2+ A5+ A2+ A1+ X90- X120- X12-
+    Y1- Y1- D7+ A12+ A4+ A3+ A33+ A6+ A10+ A200+ Y5- X8-
+    Y2- X35- D9+ A16+ A2+ A7+ A5+ A70+ A3+ A1+ X60- X20- X15- X4-
+    X40- D5+ A18+ S12+ A28+ S4+ A45+ A4+ X7- Y1-
+    A1+ A1+
+    X55- A3+ X9-
+    Y1- D3+ A30+ A5+ A7+ A9+ A2+ A3+ A2+ A4+ A50+ X16-
+    D6+ A400+ A1+ A350+ A8+ A6+ A1+ A2+ A500+ B2+ A60+ Y3- Y5-
+    L1- L2- H3+ P8+ P22+ P11+ P60+ P130+ C6-
+    L1- H2+ P26+ P25+ C4-
+    L2- L1- L1- H5+ P4+ P90+ P13+ P41+ P138+ P79+ P12+ L3- L6- C9-
+    H6+ P10+ P150+ P30+ P11+ P15+ P63+ P31+ P97+
+    P16+
+    P26+ P25+ P26+
+    L1- P12+ L1- L2-
+    L4- L5- P40+ L6- L7- L2-
+    H3+ P12+ P70+ h2+ P36+ P20+ h4+ P14+ P300+ S18+ P22+ L4- L9- L12-
+    L1- L1- H8+ P30+ h3+ P45+ h1+ P11+ P18+ P5+ P55+ h2- L3- L4- L5- C12-
+    h1- L2- L3- L1- H2+ P26+ P60+ h2- L4- L8-
+    h2- L5- L5- h3- L6- L2- H4+ P33+ P17+ P80+ C7-
+    L1- L1- H3+ P3- L2- P120+ P90+ P4+ C20-
+    L2- P5- L1- H5+ P50+ P44+ P70+ P3- L1- P2- L2-
+    L1- L1- P2- L1- P4- L3- P5- L1- H7+ P28+ P95+ P3+
+    P35+ P80+ P4+ L2- P6- L1- P3- L1-
+    h3- P5- P4- P2- P2- H3+ P44+ P61+ P35+
+    S40+ S30+ S11+ P20+ S60+
+    P1+ P2+
+    P2+
+    P5+
+    Y1- P3+ X9-
+    L1- L1- P4+ L2-
+    P9+ P6+
+    H2+ P7+
+    L1- L3- L2-
+    C7-
+    L2- C5-
+    C12- P18+ P41+
+    P30+ P55+ C3-
+    P260+ P17+ C18-
+    h1- L2- L2- H2+ P26+
+    D2+ A60+ B6- B5- B7- B4- B8-
+    A17+ E3- B9- B10-
+    D4+ A40+ A30+ E5- B4- B9- B6-
+    A25+ E14+ A45+ B3+ A38+ E11+ A8+
+    Y1- D3+ A22+ A90+ B5- B3- B2- Y4-
+    h1- L1- h2- L4- L2- L3- H3+ P33+ P140+ P40+ h2- L4-
+    D3+ A26+ A25+ A4+
+    Y1- D1+ A40+ A12+ A2+ A60+ A2+ A35+ A5+ A3+ X3-
+    A2+ A70+ A2+ A33+ A1+ A4+ A8+ A140+ A7+ Y2-
+    L1- A6+ A28+ A3+ A2+ A31+ A2+ L3- L2-
+    L2- Q3+ O40+ O12+ O60+ O22+ X14-
+    Q1+ O25+ O26+
+    L1- L1- Q5+ O17+ O16+ C6-
+    Y1- Y1- Q4+ O130+ O8+ O90+ O30+ O12+ O11+ X25- Y2-
+    O60+ O5+ O70+ X7- X3-
+    Y2- O48+ O31+ O2- P4- Y1-
+    Q2+ O97+ O60+ O298+ O11+ O13+ C5-
+    Y1- W16+ W17+ X4-
+    L1- W3+ W60+ W4+ W25+ X9-
+    W33+
+    N12-
+    Y1- N18- X4-
+    N4- N25- L1-
+    N13- N14-
+    Y1- Y1- N3- N22- C7-
+    L1- N16- X11-
+    X16- X30- P20+ P60+
+    X90- Y8- Y2- X8- H4+ P40+ X50- X7- P35+ X60- X45-
+    H5+ P80+ X2- P50+ h3+ P31+ Y12- Y20- Y30- P24+ P15+ C4-
+    L25- L11- L13- P40+ L16- L40-
+    L9- L9- L8- L14- L30-
 """
 
 #: Tags whose content is code, up to their closing tag or the end of the page.
@@ -137,6 +142,21 @@ TOPIC_LEAST = 12
 #: What quotes or shows something is part of its article, whatever it is called.
 QUOTES = frozenset(["blockquote", "figure", "pre", "table"])
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
+#: Names of readers, and of what they say: a container named after both is theirs.
+READER_WORDS = frozenset("community guest guests reader readers user users visitor visitors".split())
+SAID_WORDS = frozenset("feedback letters opinion opinions posts reaction reactions remarks response responses review reviews said says talk thoughts voices".split())
+#: Headings of reader comments, which mark what follows in their container.
+_COMMENTS = re.compile(r"(?:\d+ )?(?:(?:reader|user|visitor)s?'? (?:comments?|opinions?|reviews|responses|reactions|feedback)|comments?|leave a (?:reply|comment)|kommentare?|leserkommentare|commentaires?|comentarios?)(?: ?\(\d+\))?:?", re.I)
+#: Short blocks that begin or end so are no part of a text that is not in an article element.
+_LEGAL = re.compile(r"(?:©|\(c\) |copyright\b)|.*\b(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\W*\Z", re.I | re.S)
+LEGAL_MOST = 25
+HEADINGS = {"h1": 2, "h2": 1, "h3": 1, "h4": 1, "h5": 1, "h6": 1}
+#: Words from which on a block without links is running text.
+RUNNING = 10
+#: What running words outside of marks weigh against those in a marked container: few of them little, a paragraph or two much, and words of an article most.
+OUTSIDE, PARAGRAPH, OWN_ARTICLE = 5, 20, 1000
+#: The room of a block that no mark confines, and the most that is told to the tree.
+ROOM = 1000
 
 # Attributes; a quote that is never closed counts as none.
 _REST = r"""(?:"[^"]*"|'[^']*'|[^'">])*+(?=>|\Z)|[^>]*"""
@@ -146,7 +166,9 @@ _UNSEEN_TAG = re.compile(rf"<(?P<close>/?)(?P<tag>{'|'.join(UNSEEN)})(?=[\s/>])(
 _LINK_TAG = re.compile(rf"<(?P<close>/?)a(?=[\s/>])(?P<rest>{_REST})(?:>|\Z)", re.I | re.S)
 _HREF = re.compile(r"(?<![\w-])href(?![\w-])", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 #: What an element has around or beside it, or lacks, such as no-sidebar: it is not what the element is.
 _ABSENT = re.compile(r"(?<![a-z])(?:no|with|without|has)[-_]\S*")
 _SPACE = re.compile(r"\s+")
@@ -154,93 +176,126 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Block:
+    """A text block. ``share`` and ``room`` tell of the marked container around it (see ``_settle``), ``page`` of running words outside of standing marks."""
+
     text: str
     words: int
     links: float
-    boilerplate: bool
     article: bool
+    heading: int
+    share: float = 1.0
+    room: float = ROOM
+    page: float = 0.0
+
+    def running(self) -> int:
+        return self.words if self.words >= RUNNING and self.links < 0.5 else 0
 
 
 def _marks(tag: str, rest: str, article: bool, inner: bool) -> tuple[bool, str, bool]:
-    """Of an opening container: whether its tag, role or style marks boilerplate, what its class or id does ("named", "topic" or nothing), and whether anything marks an article."""
-    bad, words_of, good = tag in BOILERPLATE_TAGS or (tag == "header" and not article), set(), tag in ARTICLE_TAGS
+    """Of an opening container: whether it is not shown, the kind of mark it is ("plain", "topic" or none), and whether anything marks an article."""
+    unshown, bad, words_of, good = False, tag in BOILERPLATE_TAGS or (tag == "header" and not article), set(), tag in ARTICLE_TAGS
     for name, value in _ATTRIBUTE.findall(rest):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words_of |= set(re.split(r"[^a-z]+", _ABSENT.sub(" ", value)))
+            for names in (value, _CAMEL.sub(" ", value)):
+                words_of |= set(re.split(r"[^a-z]+", _ABSENT.sub(" ", names.lower())))
         elif name == "role":
-            bad, good = bad or value in BOILERPLATE_ROLES, good or value in ("main", "article")
-        else:
-            bad |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value) is not None)
-    found = words_of & BOILERPLATE_WORDS
-    if not found or tag in ARTICLE_TAGS or tag == "body" or (inner and tag in QUOTES):
-        named = ""
-    else:
-        named = "topic" if found <= TOPIC_WORDS else "named"
-    return bad, named, good or bool(words_of & ARTICLE_WORDS)
+            bad, good = bad or value.lower() in BOILERPLATE_ROLES, good or value.lower() in ("main", "article")
+        elif name == "hidden":
+            unshown |= value.lower() != "until-found"
+        elif name == "aria-hidden":
+            unshown |= value.lower() == "true"
+        elif name == "style":
+            unshown |= _UNSHOWN.search(value) is not None
+    found = {w for w in words_of if w in BOILERPLATE_WORDS or ("comment" in w and "commentar" not in w)}
+    if words_of & READER_WORDS and words_of & SAID_WORDS:
+        found |= words_of & SAID_WORDS
+    if tag in ARTICLE_TAGS or tag == "body" or (inner and tag in QUOTES):
+        found = set()
+    kind = "plain" if bad or found - TOPIC_WORDS else "topic" if found else ""
+    return unshown, kind, good or bool(words_of & ARTICLE_WORDS)
 
 
 @dataclass
 class Mark:
-    """A container marked by its class or id, or an article element in one; ``outer`` is the mark around it.
+    """A container that its tag, role, class or id marks as boilerplate; ``outer`` is the mark around it.
 
-    ``depth`` is the number of marks around the text, itself included, and ``words`` those inside.
+    ``running`` counts the running words inside, ``words`` and ``linked`` all and those in links.
+    ``confines`` is not set where the mark has also a word of articles or only topics, or holds an
+    article element: such a container may be small. A ``topic`` in an article is no mark if it holds text.
     """
 
     outer: Mark | None
-    kind: str  # "named", "mixed" (its class or id also has a word of articles, or only of topics), "topic" (in an article) or "article"
-    depth: int
+    topic: bool = False
+    confines: bool = True
+    running: int = 0
     words: int = 0
     linked: float = 0.0
-    undone: bool = False
-    marks: bool = False
+    share: float = 0.0
+
+    def void(self) -> bool:
+        return self.topic and self.words >= TOPIC_LEAST and 2 * self.linked < self.words
 
 
 @dataclass
 class Place:
-    """Surroundings of a text: boilerplate by tag, role or style; inside an article; inside an article that is no body element; the innermost mark."""
+    """Surroundings of a text: not shown; inside an article; inside an article that is no body element; the innermost mark."""
 
-    bad: bool = False
+    unshown: bool = False
     article: bool = False
     inner: bool = False
     mark: Mark | None = None
 
 
 def _settle(found: list[Block], places: list[Place], marks: list[Mark]) -> None:
-    """Decides which marks by class or id are only the layout around the page's own article.
+    """Gives each block the share of the page's running words that the marked container around it holds, and their number.
 
-    A mark is undone for article elements inside it if no article element has fewer marks, and on an
-    element that also has a word of articles if most words of the page are inside. In either case,
-    running text outside of marks lets them stand, if it is in an article or longer than the text inside.
-    A mark of a topic in an article is undone where it holds TOPIC_LEAST words, most of them no links.
+    No mark is final. Of the outermost marks, one may hold most of the running words, if there are few
+    outside: those outside of marks weigh more, and those of an article there outweigh any. What is
+    directly in it counts as outside for the marks within it, and so on inwards. The marks beside it
+    and those within them keep their small shares.
     """
-    if not marks:
-        return
-    total = sum(b.words for b, p in zip(found, places, strict=True) if not p.bad)
-    running = [(b, p) for b, p in zip(found, places, strict=True) if b.words >= 10 and b.links < 0.5 and not p.bad and (p.mark is None or p.mark.depth == 0)]
-    outside, own = sum(b.words for b, _ in running), any(p.inner for _, p in running)
     for block, place in zip(found, places, strict=True):
-        if not place.bad and place.mark:
+        if place.mark:
             place.mark.words += block.words
             place.mark.linked += block.words * block.links
+            place.mark.running += block.running()
     for mark in reversed(marks):  # inner marks come later
         if mark.outer:
             mark.outer.words += mark.words
             mark.outer.linked += mark.linked
-    articles = [m for m in marks if m.kind == "article" and m.words]
-    least = min((m.depth for m in articles), default=0)
-    if least and not own and sum(m.words for m in articles if m.depth == least) > outside:
-        for mark in articles:
-            mark.undone = mark.depth == least
+            mark.outer.running += mark.running
+    around: dict[int, Mark | None] = {}  # the innermost mark that is not void, by mark
+    within: dict[int | None, list[Mark]] = {}
     for mark in marks:
-        if mark.kind == "mixed":
-            mark.undone = not own and 2 * mark.words > total
-        elif mark.kind == "topic":
-            mark.undone = mark.words >= TOPIC_LEAST and 2 * mark.linked < mark.words
-        around = mark.outer is not None and mark.outer.marks
-        mark.marks = around and not mark.undone if mark.kind == "article" else around or not mark.undone
-    for block, place in zip(found, places, strict=True):
-        block.boilerplate = place.bad or (place.mark is not None and place.mark.marks)
+        outer = around[id(mark.outer)] if mark.outer else None
+        around[id(mark)] = outer if mark.void() else mark
+        if not mark.void():
+            within.setdefault(id(outer) if outer else None, []).append(mark)
+    standing = [around[id(p.mark)] if p.mark else None for p in places]
+    direct: dict[int | None, list[int]] = {}  # running words, and words of articles
+    for block, place, mark in zip(found, places, standing, strict=True):
+        words = direct.setdefault(id(mark) if mark else None, [0, 0])
+        words[0] += block.running()
+        words[1] += block.words if place.inner else 0
+    opened, (outside, own) = [None], direct.get(None, (0, 0))
+    while (level := within.get(opened[-1])) is not None:
+        total = sum(m.running for m in level) + OUTSIDE * outside * (1 + outside / PARAGRAPH) + OWN_ARTICLE * own
+        for mark in level:
+            mark.share = mark.running / total if total else 0.0
+        most = max(level, key=lambda m: m.share)
+        if most.share <= 0.5:
+            break
+        opened.append(id(most))
+        more = direct.get(id(most), (0, 0))
+        outside, own = outside + more[0], own + more[1]
+    open_marks = set(opened)
+    page = min(ROOM, sum(b.running() for b, m in zip(found, standing, strict=True) if (id(m) if m else None) in open_marks))
+    for block, mark in zip(found, standing, strict=True):
+        block.page = page
+        if mark:
+            block.share = mark.share
+            block.room = min(ROOM, mark.running) if mark.confines else ROOM
 
 
 def _unseen_ends(page: str) -> dict[int, int]:
@@ -278,31 +333,35 @@ def blocks(page: str) -> list[Block]:
     pieces: list[tuple[str, bool]] = []
     link = wide = False  # in a link; in one that is closed, which goes on over block tags
     place = Place()
-    own: Place | None = None  # a marked block that holds no blocks, such as <p class=ad>
+    own: Place | None = None  # a block that holds no blocks and has attributes, such as <p class=ad>
+    heading = 0
 
     def inside(tag: str, rest: str) -> Place:
-        bad, named, good = _marks(tag, rest, place.article, place.inner)
+        unshown, kind, good = _marks(tag, rest, place.article, place.inner)
         # A main element is never part of a menu; if it seems to be, the menu was left open.
-        outer = None if tag == "main" else place.mark
-        mark, depth = outer, outer.depth if outer else 0
-        if named:
-            kind = "topic" if named == "topic" and place.inner else "mixed" if good or named == "topic" else "named"
-            mark = Mark(outer, kind, depth + 1)
-        elif tag == "article" or (tag == "main" and not bad):
-            mark = Mark(outer, "article", depth)
-        if mark is not outer:
+        mark = None if tag == "main" else place.mark
+        if tag in ARTICLE_TAGS:
+            outer = mark
+            while outer and outer.confines:
+                outer.confines, outer = False, outer.outer
+        if kind:
+            mark = Mark(mark, kind == "topic" and place.inner, not good and kind == "plain")
             marks.append(mark)
-        return Place((place.bad and tag != "main") or bad, place.article or good, place.inner or (good and tag != "body"), mark)
+        return Place(place.unshown or unshown, place.article or good, place.inner or (good and tag != "body"), mark)
 
     def flush() -> None:
-        if pieces:
+        nonlocal place
+        if pieces and not (own or place).unshown:
             text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in pieces))).strip()
             if text:
+                if heading and _COMMENTS.fullmatch(text):
+                    place = replace(place, mark=Mark(place.mark))
+                    marks.append(place.mark)
                 linked = sum(len(html.unescape(p).split()) for p, is_link in pieces if is_link)
                 words = len(text.split(" "))
                 places.append(own or place)
-                found.append(Block(text, words, min(1.0, linked / words), places[-1].bad, places[-1].article))
-            pieces.clear()
+                found.append(Block(text, words, min(1.0, linked / words), places[-1].article, heading))
+        pieces.clear()
 
     at, ends, closed, head, title = 0, _unseen_ends(page), _closed_links(page), False, False
     while token := _TOKEN.search(page, at):
@@ -338,6 +397,7 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS:
             flush()
             own, link = None, link and wide
+            heading = 0 if token["close"] else HEADINGS.get(tag, 0)
             if tag in CONTAINERS:
                 if not token["close"]:
                     if not token["rest"].endswith("/"):
@@ -377,7 +437,7 @@ class Tree:
         return np.array(self.keeps)[node]
 
 
-def train(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> Tree:
+def train(rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> Tree:
     """Splits by Gini impurity until a node is pure or ``depth`` is reached; ties go to the first feature."""
     tree = Tree([], [], [], [], [])
 
@@ -404,16 +464,55 @@ def train(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> Tree:
     return tree
 
 
+#: By kind of a labelled block: links, article, heading, legal, share, room (0: the running words of the container).
+_KINDS = {
+    "P": (0.0, 0, 0, 0, 1.0, ROOM),
+    "S": (0.25, 0, 0, 0, 1.0, ROOM),
+    "L": (1.0, 0, 0, 0, 1.0, ROOM),
+    "H": (0.0, 0, 2, 0, 1.0, ROOM),
+    "h": (0.0, 0, 1, 0, 1.0, ROOM),
+    "C": (0.0, 0, 0, 1, 1.0, ROOM),
+    "A": (0.0, 1, 0, 0, 1.0, ROOM),
+    "B": (1.0, 1, 0, 0, 1.0, ROOM),
+    "E": (0.65, 1, 0, 0, 1.0, ROOM),
+    "D": (0.0, 1, 2, 0, 1.0, ROOM),
+    "X": (0.0, 0, 0, 0, 0.1, 0),
+    "Y": (1.0, 0, 0, 0, 0.0, 0),
+    "O": (0.0, 0, 0, 0, 0.9, 0),
+    "Q": (0.0, 0, 2, 0, 0.9, 0),
+    "W": (0.0, 0, 0, 0, 1.0, ROOM),
+    "N": (0.0, 0, 0, 0, 1.0, 0),
+}
+
+
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    table = np.array([[float(x) for x in line.split()] for line in LABELLED.strip().splitlines()])
-    return table[:, :-1], table[:, -1] > 0
+    """The features and labels of the labelled pages' blocks."""
+    rows, labels = [], []
+    for line in LABELLED.strip().splitlines():
+        found, groups = [], {}
+        for kind, words, label in re.findall(r"(\w)(\d+)([+-])", line):
+            links, article, heading, legal, share, room = _KINDS[kind]
+            text = "Copyright" if legal else ""
+            found.append(Block(text, int(words), links, bool(article), heading, share, room))
+            if not room:
+                groups.setdefault("XY" if share < 0.5 else "OQN", []).append(found[-1])
+            labels.append(label == "+")
+        for blocks_of in groups.values():
+            for block in blocks_of:
+                block.room = min(ROOM, sum(b.running() for b in blocks_of))
+        for block in found:
+            block.page = min(ROOM, sum(b.running() for b in found if b.share > 0.5))
+        rows.append(features(found))
+    return np.vstack(rows), np.array(labels)
 
 
 def features(found: list[Block]) -> np.ndarray:
-    own = np.array([(b.words, b.links) for b in found], float).reshape(-1, 2)
+    if not found:
+        return np.zeros((0, len(FEATURES)))
+    own = np.array([(b.words, b.links) for b in found], float)
     edge = np.zeros((1, 2))
-    marks = np.array([(b.boilerplate, b.article) for b in found], float).reshape(-1, 2)
-    return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), marks]) if found else np.zeros((0, len(FEATURES)))
+    rest = [(b.share, b.room, b.article, b.heading, not b.article and b.words < LEGAL_MOST and _LEGAL.match(b.text) is not None, b.page > 0) for b in found]
+    return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), np.array(rest, float)])
 
 
 def main_text(page: str | None, tree: Tree) -> str:
@@ -426,15 +525,17 @@ def main_text(page: str | None, tree: Tree) -> str:
 def extract(pages: DataFrame, html_column: str = "html", name: str = "text") -> DataFrame:
     """``pages`` with the main text in place of the page."""
     tree = train(*labelled_table())
-    inputs, outputs = pages.columns, [c for c in pages.columns if c != html_column]
-    (name,) = free_name(pages.select(*[f"`{c}`" for c in outputs]), name)
+    plain, named = plain_names(pages)
+    page, kept = plain.columns.index(named[html_column]), [c for c in pages.columns if c != html_column]
+    carried = plain.drop(named[html_column])
+    names = [*carried.columns, "found"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py(), tree) for page in batch.column(inputs.index(html_column))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(inputs.index(c)) for c in outputs], pa.array(texts, pa.string())], [*outputs, name])
+            texts = [main_text(x.as_py(), tree) for x in batch.column(page)]
+            yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(batch.columns) if k != page], pa.array(texts, pa.string())], names)
 
-    return pages.mapInArrow(run, pages.select(*[f"`{c}`" for c in outputs]).schema.add(name, "string"))
+    return plain.mapInArrow(run, carried.schema.add("found", "string")).toDF(*kept, *free_name(carried.toDF(*kept), name))
 
 
 def with_length(extracted: DataFrame, name: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import html
 import json
 import re
 import time
@@ -119,6 +120,69 @@ def test_topics_quotes_and_links(page, want):
     assert text(page) == want
 
 
+P = "The first paragraph has more than just a few words in it, so it is plainly text, and it has about twenty-five of them in all."
+Q = "Another paragraph follows it, and this one is long enough to be told from a menu by anybody who reads it to its very end."
+STORY, TOLD = f"<h1>Title</h1><p>{P}</p><p>{Q}</p>", f"Title\n{P}\n{Q}"
+MENU = "<nav><ul><li><a href=/>Home</a><li><a href=/b>News</a></ul></nav>"
+FOOT = "<footer>&copy; me, all rights reserved, and a long line of legal text that has very many words indeed.</footer>"
+PAGE_FORMS = [
+    (f'<body data-sidebar="hidden">{STORY}',TOLD),(f'<div data-hidden="false">{STORY}</div>',TOLD),(f'<div title="the hidden valley">{STORY}</div>',TOLD),
+    (f'<article data-state="not hidden">{STORY}</article>',TOLD),(f'<div data-id="menu">{STORY}</div>',TOLD),(f"<div title='class=ad hidden'>{STORY}</div>",TOLD),
+    (f'{MENU}<form id="aspnetForm" action=x>{STORY}</form>',TOLD),(f'<form id="aspnetForm">{MENU}<article>{STORY}</article>{FOOT}</form>',TOLD),
+    (f'<form id="aspnetForm">{MENU}<div>{STORY}</div><div id=comments><p>{P}</p><p>{P}</p></div>{FOOT}</form>',TOLD),
+    (f'{MENU}<section class="cookies">{STORY}</section>{FOOT}',TOLD),(f'<div class="login-guide">{STORY}</div>',TOLD),(f"{MENU}<section class='banner-history'>{STORY}</section>",TOLD),
+    ("<p>Closed today.</p>","Closed today."),(f"{MENU}<p>Closed today.</p>{FOOT}","Closed today."),("<body>Gone fishing</body>","Gone fishing"),
+    (f"<div><a href=/>Home</a> <a href=/b>News</a></div><div>{STORY}</div><div>Copyright 2024 Acme. All rights reserved.</div>",TOLD),
+    (f"<div><a href=/>Home</a></div><div><h1>A title</h1><div>{P}</div><div>{Q}</div></div><div>© 2024 Acme</div>",f"A title\n{P}\n{Q}"),
+    (f"<article><p>{P}</p><p style='visibility:hidden'>{Q}</p><p style='color:red; visibility: hidden'>{Q}</p></article>",P),
+    (f"<article><p>{P}</p></article><div id=reader-opinions><p>{Q}</p><p>{Q}</p></div>",P),
+    (f"<div class=content><p>{P}</p></div><div id=readerComments><p>{Q}</p><p>{Q}</p></div>",P),
+    (f"<div><p>{P}</p></div><div id=x><h3>3 Comments</h3><p>{Q}</p><p>{Q}</p><p>{Q}</p><p>{Q}</p></div>",P),
+    (f"<article><p>{P}</p><section><h2>Leserkommentare (2)</h2><p>{Q}</p></section><p>{Q}</p></article>",f"{P}\n{Q}"),
+    (f"<div class=usercomments><p>{Q}</p></div><p>{P}</p>",P),
+    (f"<article class=commentary><h1>On law</h1><p>{P}</p></article>",f"On law\n{P}"),
+    (f"<article><p>Closed today.</p></article><section id=comments><p>{P}</p><p>{Q}</p></section>","Closed today."),
+    (f"{MENU}<div class=cookie-notice>We use cookies. Please accept.</div>{FOOT}",""),
+    (f"{MENU}<div class=cookie-notice>We use cookies to make this page better for you, please accept them now or later.</div>{FOOT}",""),
+    (f"<div><p>{P}</p><p>{Q}</p></div><section class=comments>"+f"<p>{P}</p>"*30+"</section>",f"{P}\n{Q}"),
+    (f"<div id=menu-page><p>{P}</p><p>{Q}</p><p>{P}</p></div>",f"{P}\n{Q}\n{P}"),
+    (f"<nav>{MENU}<main><h1>T</h1><p>{P}</p></main>",f"T\n{P}"),
+    (f"<nav><a href=/>Home</a><a href=/b>News</a><div><h1>Title</h1><p>{P}</p><p>{Q}</p></div>",TOLD),
+    (f"<aside><p>{P}</p></aside><div><p>{Q}</p></div>",Q),
+    (f"<div><h2>Popular</h2><ul><li><a href=1>One thing</a><li><a href=2>Two things</a></ul></div><div><h1>Real title</h1><p>{P}</p></div>",f"Real title\n{P}"),
+    (f"<article>{STORY}<p>Copyright law is old.</p></article>",TOLD + "\nCopyright law is old."),
+    (f"<div hidden><article>{STORY}</article></div><p>{P}</p>",P),
+    (f"<dialog><p>{Q}</p></dialog><div>{STORY}</div>",TOLD),
+    (f'<div aria-hidden=true><p>{Q}</p></div><div aria-hidden="false">{STORY}</div>',TOLD),
+    (f"<div class='sidebar'><p>{Q}</p></div><div class='main-col'>{STORY}</div><div class='newsletter'><p>{Q}</p></div>",TOLD),
+]
+
+@pytest.mark.parametrize(("page", "want"), PAGE_FORMS)
+def test_no_mark_is_final(page, want):
+    assert text(page) == want
+
+
+TEMPLATES = [
+    lambda title, ps: f"<body data-nav='hidden'><form id=aspnetForm><div class=top><a href=/>Home</a> <a href=/n>News</a></div><div class=col><h1>{title}</h1>{ps}</div><div id=reader-opinions><p>{P}</p><p>{Q}</p></div></form><div>Copyright 2024 Acme. All rights reserved.</div></body>",
+    lambda title, ps: f"<div class='layout with-sidebar'><div class='sidebar'><h3>More</h3><p>{P}</p></div><div class='story'><h1>{title}</h1>{ps}<div class=share>Share this</div></div></div><footer><p>{Q}</p></footer>",
+    lambda title, ps: f"<header><a href=/>Logo</a></header><main><h1>{title}</h1>{ps}<aside><p>{Q}</p></aside></main><section><h2>4 comments</h2><p>{P}</p><p>{Q}</p><p>{P}</p></section>",
+]
+
+
+def test_pages_query_on_other_templates(spark, sf, tmp_path):
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 300 AND length(text) < 4000").limit(40).collect()]
+    rows, want = [], {}
+    for i, doc in enumerate(docs):
+        lines = [" ".join(x.split()) for x in doc.split("\n") if len(x.split()) >= 10]
+        if lines:
+            title = f"Story number {i}"
+            rows.append((i, f"u{i}", TEMPLATES[i % 3](title, "".join(f"<p>{html.escape(x)}</p>" for x in lines))))
+            want[i] = "\n".join([title, *lines])
+    assert len(rows) > 20
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.text for r in queries.op2_html_text(spark, str(tmp_path)).collect()} == want
+
+
 class Article(HTMLParser):
     """The blocks of a page's article by a parser of the standard library, for pages whose article has no boilerplate."""
 
