@@ -3,6 +3,8 @@
 A record is JSON text in one of several layouts. The hash of its nested field paths (array items are
 one path) selects a declarative mapping, which turns the record into canonical turns: id, turn, role,
 text. Layouts that are alike but for optional fields are listed under each of their fingerprints.
+Fields that say something about a record or a turn, such as metadata or a name, are left out of the
+hash, and a content in parts ({"type": "text", "text": ...}) counts as a content.
 
 Turns are formatted one by one with a template that marks them; control strings inside a text or
 role are broken by an escape that can be undone. A conversation's formatted text is that of its turns
@@ -10,8 +12,8 @@ in order, so one of any length is read and checked as a stream.
 
 Defined cases: a record that is no JSON object, is nested too deeply to be read, has no known
 fingerprint (a list of bare values where turns should be has another than a list of turns), or has a
-turn number that is none or a text that is no Unicode gives one row with the layout null and no role
-or text, so that nothing is lost silently; null roles and texts are empty; equal turns of a
+turn number that is none or a text that is no Unicode gives one row with the layout null, no role, and
+the record as it is for a text, so that nothing is lost; null roles and texts are empty; equal turns of a
 conversation are kept and come in order of turn and formatted turn; rows with a null id are one
 conversation; very long texts and conversations are taken whole; an empty table gives no rows; input
 columns named segment or learned are kept, and the added ones get underscores before their names.
@@ -67,6 +69,42 @@ LAYOUTS = (
 )
 
 
+#: Fields that no mapping reads, with all that is below them: of a record, and of the turns of a list.
+SIDE_FIELDS = frozenset("category conversation_id created dataset lang language license meta metadata model quality rating score source split tags task timestamp tokens url version".split())
+SIDE_OF_TURN = frozenset("created id index lang language meta metadata model name rank rating score timestamp token_count tokens weight".split())
+
+
+def core(value: dict) -> dict:
+    """A record without its side fields, its contents of parts as texts.
+
+    A turn of two fields has no side fields, and parts are taken if all of them are texts: an image or
+    a call of a tool is no side field, so that record has no layout.
+    """
+    found = {}
+    for name, item in value.items():
+        if name in SIDE_FIELDS:
+            continue
+        if isinstance(item, list) and item and all(isinstance(x, dict) for x in item):
+            item = [{k: _joined(v) for k, v in x.items() if k not in SIDE_OF_TURN or len(x) <= 2} for x in item]
+        found[name] = item
+    return found
+
+
+def _joined(content: object) -> object:
+    """The texts of a content in parts, one after the other; any other content as it is."""
+    if not isinstance(content, list) or not content:
+        return content
+    texts = []
+    for part in content:
+        if isinstance(part, str):
+            texts.append(part)
+        elif isinstance(part, dict) and isinstance(part.get("text"), str):
+            texts.append(part["text"])
+        else:
+            return content
+    return "".join(texts)
+
+
 def paths(value: object) -> set[str]:
     """Paths of all fields that hold no further fields.
 
@@ -111,6 +149,9 @@ def turns_of(record: str | None, known: dict[str, Layout]) -> list[tuple[int | N
     try:
         value = json.loads(record or "")
         layout = known.get(fingerprint(paths(value))) if isinstance(value, dict) else None
+        if layout is None and isinstance(value, dict):
+            value = core(value)
+            layout = known.get(fingerprint(paths(value)))
         found = None if layout is None else _mapped(value, layout)
         for turn, role, text, _ in found or []:
             if not (turn is None or (type(turn) is int and -(1 << 63) <= turn < 1 << 63)):
@@ -143,7 +184,7 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id", record_colum
             row, out = [], []
             for k, record in enumerate(batch.column(1)):
                 found = turns_of(record.as_py(), known)
-                own = [(None, None, None, None)] if found is None else found
+                own = [(None, None, record.as_py(), None)] if found is None else found
                 row += [k] * len(own)
                 out += own
             columns = [pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]

@@ -307,6 +307,25 @@ def test_chat_odd_rows(spark):
     assert chat.canonical_turns(clash).count() == len(got)
 
 
+@pytest.mark.parametrize(
+    ("record", "layout"),
+    [
+        ({"messages": [{"role": "user", "content": "q", "name": "bob"}, {"role": "assistant", "content": "a"}]}, "messages"),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": ["a"]}], "metadata": {"x": {"y": [1]}}}, "messages"),
+        ({"messages": [{"role": "user", "content": "q", "metadata": {"a": 1}}, {"role": "assistant", "content": "a", "timestamp": 3}], "model": "m", "id": 4}, "messages"),
+        ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "weight": 1}], "source": "web", "tags": []}, "conversations"),
+        ({"prompt": "q", "completion": "a", "meta": {"k": None}}, "completion"),
+        ({"instruction": "q", "input": "", "output": "a", "category": "open", "score": 1.5}, "instruction"),
+        # What is neither known nor a side field may be part of a turn, so the record is kept as it is.
+        ({"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}, {"type": "text", "text": "q"}]}]}, None),
+        ({"messages": [{"role": "assistant", "content": None, "tool_calls": [{"id": 1}]}]}, None),
+    ],
+)
+def test_families_of_layouts(record, layout):
+    found = chat.turns_of(json.dumps(record), chat.registry())
+    assert found is None if layout is None else [t[1:] for t in found] == [("user", "q", layout), ("assistant", "a", layout)]
+
+
 @pytest.mark.parametrize(
     "record",
     [
@@ -336,4 +355,4 @@ def test_malformed_and_clashing_rows(spark):
     assert formatted.columns == [*turns.columns, "_segment", "_learned"] and formatted.filter("segment = 'own' AND learned = 1").count() == 3
     got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(formatted, segment_column="_segment").collect()}
     # Roles of rows that are turns already stay as they are.
-    assert got == {1: digest([("", "")]), 2: digest([("bot", long)] * 2)}
+    assert got == {1: digest([("", '{"messages": ["abc"]}')]), 2: digest([("bot", long)] * 2)}
