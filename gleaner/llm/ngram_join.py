@@ -46,10 +46,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleaner.llm import textscan
-from gleaner.llm.common import free_name, keep, temporary
+from gleaner.llm.common import free_name, keep, on_plain_names, temporary
 
 WORDS = 5
 #: The similarity, in hundredths.
@@ -65,6 +64,8 @@ BLOCK_ENTRIES = 2_000_000
 PAIR_ROWS = 32
 #: Keys under which a component of several documents is looked up.
 SALTS = 8
+#: An n-gram has many rows if they are more than this share of a shuffle partition's.
+HOT_PARTS = 4
 #: A sieve's bitmap has 2 to the power of these bits, least and most, by the number of wanted keys.
 SIEVE_BITS = (16, 27)
 
@@ -197,12 +198,16 @@ def candidates(signed: DataFrame, threshold: int) -> DataFrame:
     """(class, n, row) of the classes that may have a partner; row is one document of each.
 
     A class counts its sampled n-grams that other classes have too. Where copies of it in several
-    batches gave them several times, the count is that many times too high. A sampled n-gram is rare:
-    no batch has it REPEATS times, so what meets in one window grows with the batches only.
+    batches gave them several times, the count is that many times too high.
     """
     entries = signed.filter("sampled > 0").select("class", F.explode(F.slice("grams", F.lit(1), F.col("sampled").cast("int"))).alias("gram"))
-    of_gram = Window.partitionBy("gram")
-    shared = entries.withColumn("other", F.min("class").over(of_gram) != F.max("class").over(of_gram)).filter("other").groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
+    # Combined before they move, so an n-gram of many rows is no large group.
+    grams = keep(entries.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high").select("gram", "rows"))
+    # N-grams with more than a share of a partition's rows; there are at most so many of them, and their rows need no join.
+    parts = HOT_PARTS * int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = F.broadcast(keep(grams.filter(F.col("rows") > F.lit((grams.agg(F.sum("rows")).first()[0] or 0) // parts)).select("gram")))
+    rest = entries.join(often, "gram", "left_anti").join(grams.join(often, "gram", "left_anti").select("gram"), "gram", "left_semi")
+    shared = rest.unionByName(entries.join(often, "gram", "left_semi")).groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
     given = F.count_if(F.col("sampled") > 0)
     classes = signed.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("sampled").alias("sampled"), given.alias("times"), F.min(F.struct("text_key", "id")).alias("row"))
     alone = F.col("sampled") - F.coalesce(F.col("shared") / F.col("times"), F.lit(0))
@@ -409,6 +414,10 @@ def deduplicate(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     Documents that go, and those that the table repeats, are few: only rows that may be of them are
     shuffled, and all others pass. Of a repeated document that stays, one row does.
     """
+    return on_plain_names(docs, lambda plain: _deduplicate(plain, words, threshold), "doc_id", "text")
+
+
+def _deduplicate(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     key, ident, first = free_name(docs, "text_key", "id", "first")
     states = join(docs, words, threshold).filter("n > 0").groupBy("id", "text_key").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("rows"))
     special = keep(states.filter("NOT first OR rows > 1").select(F.col("id").alias(ident), F.col("text_key").alias(key), F.col("first").alias(first)))
