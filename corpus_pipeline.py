@@ -16,7 +16,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleaner.llm import decontamination, mixing, ngram_join, quality, queries, sharding
 from gleaner.llm.common import shared_dir, table
@@ -25,8 +24,7 @@ from gleaner.storage import remove, remove_at_end, temporary
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the byte-level classifier rejects."""
-    scored = quality.score(docs, queries.quality_model(spark, docs, sf_dir))
-    return scored.filter(F.col(scored.columns[-1]) >= 0.5).select(*docs.columns)
+    return quality.accept(docs, queries.quality_model(spark, docs, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm import textscan
-from gleaner.llm.common import free_name, keep
+from gleaner.llm.common import free_name, keep, on_plain_names
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
@@ -314,6 +314,10 @@ ADDED = ("n_words", "n_hit", "longest", "spans", "items")
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_column: str = "text", block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with its number of words, of words hit, of words of the longest match that is a window at least, the hit word ranges and the occurring items."""
+    return on_plain_names(docs, lambda plain: _scan(plain, benchmark, window, text_column, block_words, keep_text), text_column)
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, text_column: str, block_words: int, keep_text: bool) -> DataFrame:
     context = docs.sparkSession.sparkContext
     names = free_name(docs, *ADDED)
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())]
@@ -395,5 +399,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents in which no benchmark window occurs."""
-    hit = free_name(docs, *ADDED)[1]
-    return scan(docs, benchmark, window, block_words=block_words).filter(F.col(hit) == 0).select(*docs.columns)
+
+    def clean(plain: DataFrame) -> DataFrame:
+        found = scan(plain, benchmark, window, block_words=block_words)
+        return found.filter(F.col(free_name(plain, *ADDED)[1]) == 0).select(*plain.columns)
+
+    return on_plain_names(docs, clean, "text")

@@ -11,8 +11,8 @@ The border is found without sorting a source: words are summed in fixed cells of
 of the border is found on those sums, and only that cell is sorted.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, last
-in order; rows alike in id, text and source share one draw and are taken together; ties in the order
-go by the draw; a very long text counts whole, and a target that it would overshoot ends with the
+in order; rows alike in every column are counted and numbered, and each number has a draw of its own;
+ties in the order go by the draw; a very long text counts whole, and a target that it would overshoot ends with the
 nearest closing document; an empty table gives no rows; other columns, whatever their names, pass.
 """
 
@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import WORD_PATTERN, keep
+from gleaner.llm.common import WORD_PATTERN, free_name, keep, on_plain_names, without_maps
+from gleaner.llm.ngram_join import sifted
 
 #: Cells of the Pareto order in which words are summed, for each source.
 CELLS = 65536
 GROUP = 256
+#: Copies of a row that are made again by one row of the plan.
+COPIES = 4096
 
 
 def word_count(column: str = "text") -> F.Column:
@@ -132,8 +135,20 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size and draw of each document."""
-    return docs.select("doc_id", "source", word_count().alias("size"), draw("doc_id", "text", "source", seed=seed).alias("draw"))
+    """doc_id, source, size and draw of each document; the draw is that of the whole row."""
+    return docs.select("doc_id", "source", word_count().alias("size"), draw(*docs.columns, seed=seed).alias("draw"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number``, in which the second, third, ... of equal rows have a ``draw`` of their own.
+
+    Equal rows combine before they move, and are made again from their count in runs of COPIES.
+    """
+    at, copies = free_name(rows, "at", "copies")
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(copies))
+    runs = counted.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(COPIES).cast("long"))))
+    each = runs.withColumn("number", F.explode(F.sequence(F.col(at), F.least(F.col(at) + COPIES, F.col(copies)) - 1)))
+    return each.select(*[c for c in rows.columns if c != "draw"], F.when(F.col("number") == 0, F.col("draw")).otherwise(F.xxhash64("draw", "number")).alias("draw"), "number")
 
 
 def mix_plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -143,7 +158,22 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 0) -> DataFrame:
     """The mixed corpus: each document as often as its copies say, with its own columns."""
-    rows = keep(measured(docs, seed))
+
+    def mixed(plain: DataFrame) -> DataFrame:
+        flat, back = without_maps(plain)
+        return back(_mix(flat, weights, share, most, seed))
+
+    return on_plain_names(docs, mixed, "doc_id", "text", "source")
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+    first = measured(docs, seed)
+    rows = keep(numbered(first.withColumn("base", F.col("draw"))))
     plan = mix_plan(rows, weights, share, most)
-    full = docs.select(F.struct(*docs.columns).alias("row"), "source", draw("doc_id", "text", "source", seed=seed).alias("draw"))
-    return with_copies(full, plan).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    again = keep(rows.filter("number = 1").select(F.col("base").alias("draw")))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "source", draw(*docs.columns, seed=seed).alias("draw"))
+    if not again.isEmpty():
+        # Only rows that may be repeated are dealt and numbered; all others pass where they are.
+        once, more = sifted(whole, again, "draw", among=False), numbered(sifted(whole, again, "draw"))
+        whole = once.unionByName(more.select(*once.columns))
+    return with_copies(whole, plan).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

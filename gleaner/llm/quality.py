@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import textscan
-from gleaner.llm.common import free_name
+from gleaner.llm.common import free_name, on_plain_names
 
 FILTERS, WIDTH = 8, 6
 #: Bytes of a block; a chunk is CHUNK blocks and the next one starts STRIDE blocks later.
@@ -196,6 +196,10 @@ def _long(data: np.ndarray, tables: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", name: str = "score", keep_text: bool = True) -> DataFrame:
     """``docs`` with each text's probability of being good in a last column."""
+    return on_plain_names(docs, lambda plain: _score(plain, model, text_column, name, keep_text), text_column)
+
+
+def _score(docs: DataFrame, model: Model, text_column: str, name: str, keep_text: bool) -> DataFrame:
     (name,) = free_name(docs, name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     outputs = [c for c in docs.columns if keep_text or c != text_column]
@@ -209,3 +213,13 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", name: str =
             yield pa.RecordBatch.from_arrays([*[batch.column(inputs.index(c)) for c in outputs], scores], [*outputs, name])
 
     return docs.mapInArrow(run, docs.select(*[f"`{c}`" for c in outputs]).schema.add(name, "double"))
+
+
+def accept(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The documents whose score is at least ``least``."""
+
+    def good(plain: DataFrame) -> DataFrame:
+        scored = _score(plain, model, text_column, "score", True)
+        return scored.filter(F.col(scored.columns[-1]) >= least).drop(scored.columns[-1])
+
+    return on_plain_names(docs, good, text_column)

@@ -41,7 +41,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = keep(mixing.measured(table(spark, sf_dir, "documents")))
+    rows = keep(mixing.numbered(mixing.measured(table(spark, sf_dir, "documents"))))
     mixed = mixing.with_copies(rows, mixing.mix_plan(rows))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

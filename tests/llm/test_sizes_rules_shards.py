@@ -139,6 +139,22 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(clash).columns == clash.columns
 
 
+def test_copies_of_a_row_are_mixed_one_by_one(spark, tmp_path):
+    same = [(7, "one two three four five six seven eight nine ten", "en", "a", 1)] * 100
+    other = [(1000 + i, f"w{i} " * 10, "en", "b", 1) for i in range(100)]
+    docs = spark.createDataFrame(same + other, SCHEMA).repartition(6)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_mixing(spark, str(tmp_path)).collect()
+    assert len(rows) == 200
+    for ids, target in ((lambda i: i == 7, 2000 * 5 / 7), (lambda i: i != 7, 2000 * 2 / 7)):
+        own = [r for r in rows if ids(r.doc_id)]
+        assert own[0].target == pytest.approx(target) and abs(sum(r.taken for r in own) - target) <= 5
+        assert all(r.taken % 10 == 0 and r.taken <= 30 for r in own)
+    mixed = [r.doc_id for r in mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()]
+    assert Counter(mixed)[7] == sum(r.taken for r in rows if r.doc_id == 7) // 10
+    assert Counter(i for i in mixed if i != 7) == {r.doc_id: r.taken // 10 for r in rows if r.doc_id != 7 and r.taken}
+
+
 def test_shards_are_even_and_gapless(spark, sf):
     rows = queries.op8_sharding(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
