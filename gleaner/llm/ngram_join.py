@@ -64,8 +64,6 @@ BLOCK_ENTRIES = 2_000_000
 PAIR_ROWS = 32
 #: Keys under which a component of several documents is looked up.
 SALTS = 8
-#: An n-gram has many rows if they are more than this share of a shuffle partition's.
-HOT_PARTS = 4
 #: A sieve's bitmap has 2 to the power of these bits, least and most, by the number of wanted keys.
 SIEVE_BITS = (16, 27)
 
@@ -197,22 +195,16 @@ def components(edges: DataFrame) -> DataFrame:
 def candidates(signed: DataFrame, threshold: int) -> DataFrame:
     """(class, n, row) of the classes that may have a partner; row is one document of each.
 
-    A class counts its sampled n-grams that other classes have too. Where copies of it in several
-    batches gave them several times, the count is that many times too high.
+    A class counts its sampled n-grams that no other class has; if there are more of them than a
+    partner may lack, it has none. An n-gram's least and largest class are combined before they move,
+    so one of many rows is no large group.
     """
     entries = signed.filter("sampled > 0").select("class", F.explode(F.slice("grams", F.lit(1), F.col("sampled").cast("int"))).alias("gram"))
-    # Combined before they move, so an n-gram of many rows is no large group.
-    grams = keep(entries.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high").select("gram", "rows"))
-    # N-grams with more than a share of a partition's rows; there are at most so many of them, and their rows need no join.
-    parts = HOT_PARTS * int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = F.broadcast(keep(grams.filter(F.col("rows") > F.lit((grams.agg(F.sum("rows")).first()[0] or 0) // parts)).select("gram")))
-    rest = entries.join(often, "gram", "left_anti").join(grams.join(often, "gram", "left_anti").select("gram"), "gram", "left_semi")
-    shared = rest.unionByName(entries.join(often, "gram", "left_semi")).groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
-    given = F.count_if(F.col("sampled") > 0)
-    classes = signed.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("sampled").alias("sampled"), given.alias("times"), F.min(F.struct("text_key", "id")).alias("row"))
-    alone = F.col("sampled") - F.coalesce(F.col("shared") / F.col("times"), F.lit(0))
+    grams = entries.groupBy("gram").agg(F.min("class").alias("class"), F.max("class").alias("high")).filter(F.col("class") == F.col("high"))
+    alone = grams.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+    classes = signed.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.min(F.struct("text_key", "id")).alias("row"))
     allowed = F.col("n") - F.ceil(F.col("n") * threshold / 100)
-    return classes.join(shared, "class", "left").filter(alone <= allowed).select("class", "n", "row")
+    return classes.join(alone, "class", "left").filter(F.coalesce("alone", F.lit(0)) <= allowed).select("class", "n", "row")
 
 
 def spanning_links(sizes: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
