@@ -1,31 +1,23 @@
-"""Hybrid retrieval: BM25 over postings, cosine over vectors, and reciprocal rank fusion."""
+"""Hybrid retrieval: BM25 and cosine over stored indexes, and reciprocal rank fusion."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from gleaner.functions.text import tokenize
+from gleaner.operators import index as ix
+from gleaner.operators import vectors
+from gleaner.operators.index import QUERY_BLOCK, Index, corpus_stats, entry_counts, term_weights
+from gleaner.operators.vectors import VectorIndex
 from gleaner.storage import keep
 
-# Ranking constants and how many candidates go into the fusion.
-K1, B, EPSILON = 1.5, 0.75, 0.25
+__all__ = ["bm25_topk", "corpus_stats", "dense_topk", "entry_counts", "fuse", "hybrid", "nearest_topk", "postings", "rrf", "search_topk", "term_weights", "top"]
+
+# Constant of the fusion and how many candidates go into it.
 FUSION_K = 60
 CANDIDATES = 10
-#: Queries that are held in memory at once.
-QUERY_BLOCK = 4096
-#: Scores that are held at once, of all queries of a block against some entries.
-SCORE_CELLS = 4_000_000
-#: A term is common to a block if more than this part of its queries have it; and entries multiplied at once.
-COMMON_SHARE, DENSE_ROWS = 16, 1024
 
 
 def postings(entries: DataFrame, kb: str = "kb", key: str = "pos", text: str = "text") -> DataFrame:
@@ -35,252 +27,41 @@ def postings(entries: DataFrame, kb: str = "kb", key: str = "pos", text: str = "
     return each.groupBy(kb, "term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(entries: DataFrame, kb: str = "kb", text: str = "text") -> DataFrame:
-    """(kb, n, avgdl): entries and their mean length, empty ones counted."""
-    length = F.coalesce(F.size(tokenize(F.coalesce(text, F.lit("")))), F.lit(0))
-    return entries.groupBy(kb).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl"))
-
-
-def entry_counts(entries: DataFrame, kb: str = "kb", text: str = "text") -> DataFrame:
-    """(kb, term, df): entries with a term. Each counts once, so terms combine before the shuffle."""
-    terms = entries.select(kb, F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
-    return terms.groupBy(kb, "term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def term_weights(counts: DataFrame, stats: DataFrame, kb: str = "kb", epsilon: float = EPSILON) -> DataFrame:
-    """(kb, term, df, idf): a negative idf is replaced by epsilon times the mean idf."""
-    raw = counts.join(stats, kb).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.groupBy(kb).agg(F.avg("raw").alias("mean"))
-    return raw.join(mean, kb).select(kb, "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
-
-
 def top(scored: DataFrame, by: list[str], score: str, key: str, k: int, rank: str) -> DataFrame:
     """The k best of each group. Spark limits each partition's groups before it shuffles them."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.round(score, 9).desc(), key))
     return scored.withColumn(rank, place).filter(F.col(rank) <= k)
 
 
-def query_blocks(queries: DataFrame, size: int) -> Iterator[list]:
-    """Rows of ``queries`` in lists of at most ``size``, read partition by partition."""
-    rows = []
-    for row in queries.toLocalIterator():
-        rows.append(row)
-        if len(rows) == size:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
-def over_blocks(blocks: Iterator, search) -> DataFrame | None:
-    """The union of ``search(block)`` over all blocks.
-
-    ``search`` gives the rows and the broadcast. A single block's search stays lazy. Of several, each is written to the shared folder before the
-    next one is broadcast, so one block at a time is held, whatever the number of queries.
-    """
-    parts, block = None, next(blocks, None)
-    while block is not None:
-        following = next(blocks, None)
-        part, held = search(block)
-        if parts is not None or following is not None:
-            part = keep(part)
-            held.destroy()
-        parts, block = part if parts is None else parts.unionByName(part), following
-    return parts
-
-
-def best_of(scores: np.ndarray, k: int) -> np.ndarray:
-    """For each column the rows of its k largest scores to nine digits, of equal ones the first."""
-    n = len(scores)
-    if n <= k:
-        return np.broadcast_to(np.arange(n)[:, None], scores.shape)
-    order = np.rint(scores * 1e9).astype(np.int64) * n + (n - 1 - np.arange(n))[:, None]
-    return np.argpartition(-order, k - 1, axis=0)[:k]
-
-
-class Best:
-    """The k best (score, key) of each query, brought up to date batch by batch."""
-
-    def __init__(self, k: int):
-        self.k, self.scores, self.keys = k, None, None
-
-    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
-        """``scores`` has a row for each of the ascending ``keys`` and a column for each query."""
-        chosen = best_of(scores, self.k)
-        scores, keys = np.take_along_axis(scores, chosen, 0), keys[chosen]
-        if self.scores is not None:
-            scores, keys = np.vstack([self.scores, scores]), np.vstack([self.keys, keys])
-            place = np.unique(keys, return_inverse=True)[1].reshape(keys.shape)
-            order = np.lexsort((place, -np.rint(scores * 1e9)), axis=0)[: self.k]
-            scores, keys = np.take_along_axis(scores, order, 0), np.take_along_axis(keys, order, 0)
-        self.scores, self.keys = scores, keys
-
-
-class SparseBlock:
-    """Queries by term: for each term the queries that have it and how often."""
-
-    def __init__(self, queries: list[tuple[object, list[str]]]):
-        self.ids = [q for q, _ in queries]
-        by_term = defaultdict(list)
-        for i, (_, terms) in enumerate(queries):
-            for term, times in Counter(terms).items():
-                by_term[term].append((i, times))
-        self.terms = {t: i for i, t in enumerate(by_term)}
-        self.start = np.concatenate([[0], np.cumsum([len(v) for v in by_term.values()])]).astype(np.int64)
-        self.query = np.array([i for v in by_term.values() for i, _ in v], np.int64)
-        self.times = np.array([n for v in by_term.values() for _, n in v], float)
-        self.idf: dict[object, np.ndarray] = {}  # by kb
-        self.mean: dict[object, float] = {}
-        # Terms of many queries are multiplied as a dense matrix, the others entry by entry.
-        self.common = np.flatnonzero(COMMON_SHARE * np.diff(self.start) > len(queries))
-        self.place = np.full(len(self.terms), -1, np.int64)
-        self.place[self.common] = np.arange(len(self.common))
-        self.dense = np.zeros((len(self.common), len(queries)))
-        for k, t in enumerate(self.common):
-            own = slice(self.start[t], self.start[t + 1])
-            self.dense[k, self.query[own]] = self.times[own]
-
-    def scores(self, texts: list[str], kb: object) -> np.ndarray:
-        """BM25 of each text (lower-cased) for each query."""
-        row, term, tf, length = [], [], [], []
-        for i, text in enumerate(texts):
-            tokens = _TOKENS.findall(text)
-            length.append(len(tokens))
-            for t, n in Counter(tokens).items():
-                if t in self.terms:
-                    row.append(i)
-                    term.append(self.terms[t])
-                    tf.append(n)
-        row, term, tf, length = np.array(row, np.int64), np.array(term, np.int64), np.array(tf, float), np.array(length, float)
-        if not len(row):
-            return np.zeros((len(texts), len(self.ids)))
-        part = self.idf[kb][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / self.mean[kb]))
-        column = self.place[term]
-        scores = np.zeros((len(texts), len(self.ids)))
-        if len(self.common):
-            bounds = np.searchsorted(row, np.arange(0, len(texts) + DENSE_ROWS, DENSE_ROWS))
-            for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                own = low + np.flatnonzero(column[low:high] >= 0)
-                first = k * DENSE_ROWS
-                weights = np.zeros((min(DENSE_ROWS, len(texts) - first), len(self.common)))
-                weights[row[own] - first, column[own]] = part[own]
-                scores[first : first + DENSE_ROWS] = weights @ self.dense
-        rare = np.flatnonzero(column < 0)
-        row, term, part = row[rare], term[rare], part[rare]
-        count = self.start[term + 1] - self.start[term]
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.start[term], count)
-        cell = np.repeat(row, count) * len(self.ids) + self.query[at]
-        return scores + np.bincount(cell, np.repeat(part, count) * self.times[at], scores.size).reshape(scores.shape)
-
-
-_TOKENS = re.compile("[a-z0-9]+")
-
-
-def bm25_topk(queries: DataFrame, entries: DataFrame, k: int = CANDIDATES, kb: str = "kb", key: str = "pos", query: str = "query_id", text: str = "text", block: int = QUERY_BLOCK) -> DataFrame:
-    """(query, kb, pos, score, sparse_rank): k entries a query and kb, whether or not they share a term.
+def search_topk(queries: DataFrame, index: Index, k: int = CANDIDATES, kb: str = "kb", key: str = "pos", query: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, kb, pos, score, sparse_rank): k entries of the index a query and kb, whether or not they share a term.
 
     A term that a query repeats counts again. Entries without a common term score 0, so they come
-    before those with a negative score; ties go by ``pos``. Queries come in blocks of bounded size;
-    a block passes over the entries, of which each partition gives the k best a query and kb, so no
-    pair of a query and an entry is shuffled. ``key`` is not null and sorts in a kb.
+    before those with a negative score; ties go by ``pos``.
     """
-    spark = entries.sparkSession
-    queries_type = queries.schema[query].dataType
-    query_type, kb_type, key_type = (f.schema[c].dataType.simpleString() for f, c in ((queries, query), (entries, kb), (entries, key)))
-    stats = keep(corpus_stats(entries, kb, text))
-    weights = keep(term_weights(entry_counts(entries, kb, text), stats, kb))
-    asked = queries.select(query, tokenize(F.coalesce("query", F.lit(""))).alias("terms")).dropDuplicates([query])
-    rows = entries.select(F.col(kb).alias("kb"), F.col(key).alias("pos"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
-    schema = f"query_id {query_type}, kb {kb_type}, pos {key_type}, score double"
-    # As many rows as there are kbs.
-    means = {r[kb]: r["avgdl"] or 1.0 for r in stats.collect()}
-
-    def search(found: list):
-        own = SparseBlock([(r[query], r["terms"]) for r in found])
-        own.mean = means
-        own.idf = {name: np.zeros(len(own.terms)) for name in means}
-        wanted = spark.createDataFrame([(t,) for t in own.terms], "term string")
-        # At most the block's terms a kb.
-        for r in weights.join(F.broadcast(wanted), "term").select(kb, "term", "idf").collect():
-            own.idf[r[kb]][own.terms[r["term"]]] = r["idf"]
-        held = spark.sparkContext.broadcast(own)
+    found = ix.search(queries, index, k, query, block).withColumnsRenamed({"kb": kb, "pos": key})
+    return top(found, [query, kb], "score", key, k, "sparse_rank")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, kinds, best = held.value, None, defaultdict(lambda: Best(k))
-            step = max(k, SCORE_CELLS // len(own.ids))
-            for batch in batches:
-                kinds = batch.schema
-                names, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-                by_kb = defaultdict(list)
-                for i, name in enumerate(names):
-                    by_kb[name].append(i)
-                for name, index in by_kb.items():
-                    index = np.array(index)[np.argsort(keys[index], kind="stable")]
-                    for at in range(0, len(index), step):
-                        some = index[at : at + step]
-                        best[name].add(own.scores(texts.take(pa.array(some)).to_pylist(), name), keys[some])
-            for name, own_best in best.items():
-                n = len(own_best.scores)
-                ids = pa.array([i for _ in range(n) for i in own.ids], to_arrow_type(queries_type))
-                columns = [ids, pa.array([name] * len(ids), kinds.field(0).type), pa.array(own_best.keys.reshape(-1), kinds.field(1).type), pa.array(own_best.scores.reshape(-1))]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "kb", "pos", "score"])
 
-        return rows.mapInArrow(run, schema), held
-
-    parts = over_blocks(query_blocks(asked, block), search)
-    if parts is None:
-        parts = spark.createDataFrame([], schema)
-    return top(parts.withColumnsRenamed({"query_id": query, "kb": kb, "pos": key}), [query, kb], "score", key, k, "sparse_rank")
+def bm25_topk(queries: DataFrame, entries: DataFrame, k: int = CANDIDATES, kb: str = "kb", key: str = "pos", query: str = "query_id", text: str = "text", block: int = QUERY_BLOCK) -> DataFrame:
+    """``search_topk`` over entries without an index, which is built and kept for this search."""
+    index = ix.build(entries, kb, key, text)
+    return search_topk(queries, Index(keep(index.ranges), keep(index.terms), index.kbs), k, kb, key, query, block)
 
 
-def dense_topk(queries: DataFrame, entries: DataFrame, k: int = CANDIDATES, key: str = "pos", query: str = "query_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """(query, pos, score, dense_rank): the k entries nearest by cosine.
+def nearest_topk(queries: DataFrame, index: VectorIndex, k: int = CANDIDATES, key: str = "pos", query: str = "query_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, pos, score, dense_rank): the k entries of a vector index nearest by cosine.
 
-    The queries come in blocks of bounded size; each block passes over the entries, of which each
-    partition gives the k best a query. Entries without a vector, with one of zeros, or with one of
-    another length than the query's are left out.
+    Entries without a vector, with one of zeros, or with one of another length than the query's are
+    left out; ties go by ``pos``.
     """
-    context, key_type = entries.sparkSession.sparkContext, entries.schema[key].dataType.simpleString()
-    queries_type = queries.schema[query].dataType
-    query_type = queries_type.simpleString()
-    rows = entries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("pos"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = queries.filter(F.col(vector).isNotNull()).select(query, F.col(vector).cast("array<double>").alias("vector"))
-
-    def search(found: list):
-        groups = defaultdict(list)
-        for r in found:
-            groups[len(r["vector"])].append(r)
-        matrices = {}
-        for size, own in groups.items():
-            matrix = np.array([r["vector"] for r in own], float).reshape(len(own), size)
-            matrices[size] = [r[query] for r in own], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        held = context.broadcast(matrices)
+    found = vectors.search(queries, index, k, query, vector, block).withColumnRenamed("pos", key)
+    return top(found, [query], "score", key, k, "dense_rank")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind, best = None, {size: Best(k) for size in held.value}
-            for batch in batches:
-                kind, keys, vectors = batch.schema.field(0).type, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                sizes = np.diff(vectors.offsets.to_numpy())
-                for size, (ids, matrix) in held.value.items():
-                    index = np.flatnonzero(sizes == size)
-                    index = index[np.argsort(keys[index], kind="stable")]
-                    own = vectors.take(pa.array(index)).flatten().to_numpy(zero_copy_only=False).reshape(len(index), size)
-                    length = np.linalg.norm(own, axis=1)
-                    index, own = index[length > 0], own[length > 0] / np.maximum(length[length > 0, None], 1e-300)
-                    step = max(k, SCORE_CELLS // len(ids))
-                    for at in range(0, len(index), step):
-                        best[size].add(own[at : at + step] @ matrix.T, keys[index[at : at + step]])
-            for size, own_best in best.items():
-                if own_best.scores is not None:
-                    ids = pa.array([i for _ in range(len(own_best.scores)) for i in held.value[size][0]], to_arrow_type(queries_type))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(own_best.keys.reshape(-1), kind), pa.array(own_best.scores.reshape(-1))], ["query_id", "pos", "score"])
 
-        return rows.mapInArrow(run, f"query_id {query_type}, pos {key_type}, score double"), held
-
-    parts = over_blocks(query_blocks(asked, block), search)
-    if parts is None:
-        parts = entries.sparkSession.createDataFrame([], f"query_id {query_type}, pos {key_type}, score double")
-    return top(parts.withColumnsRenamed({"query_id": query, "pos": key}), [query], "score", key, k, "dense_rank")
+def dense_topk(queries: DataFrame, entries: DataFrame, k: int = CANDIDATES, key: str = "pos", query: str = "query_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """``nearest_topk`` over entries without an index, which is built for this search."""
+    return nearest_topk(queries, vectors.build(entries, key, vector), k, key, query, vector, block)
 
 
 def rrf(rank: Column, k: int = FUSION_K) -> Column:

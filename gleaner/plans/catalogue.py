@@ -160,14 +160,14 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SPARSE} SELECT query_id, kb, pos, round(score, 6) AS score, CAST(sparse_rank AS INTEGER) AS sparse_rank FROM sparse")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = retrieval.bm25_topk(s.benchmark_queries(spark, sf_dir), s.documents_as_kb(spark, sf_dir))
+    rows = retrieval.search_topk(s.benchmark_queries(spark, sf_dir), s.stored_documents(spark, sf_dir, "lang"))
     return rows.select("query_id", "kb", "pos", F.round("score", 6).alias("score"), "sparse_rank")
 
 
 @query("SELECT * FROM (SELECT CAST(query_id AS BIGINT) AS query_id, lang AS kb, doc_id AS pos, CAST(row_number() OVER (PARTITION BY query_id, lang ORDER BY doc_id) AS INTEGER) AS sparse_rank FROM documents CROSS JOIN (SELECT unnest([1, 2]) AS query_id)) WHERE sparse_rank <= 10")
 def bm25_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = spark.createDataFrame([(1, ""), (2, "?!")], "query_id long, query string")
-    return retrieval.bm25_topk(empty, s.documents_as_kb(spark, sf_dir)).select("query_id", "kb", "pos", "sparse_rank")
+    return retrieval.search_topk(empty, s.stored_documents(spark, sf_dir, "lang")).select("query_id", "kb", "pos", "sparse_rank")
 
 
 COMMON = bm25_sql("SELECT source AS kb, doc_id AS pos, 'a b' || repeat(' c', CAST(doc_id % 5 AS INTEGER)) || CASE WHEN doc_id % 7 = 0 THEN ' d' ELSE '' END AS text FROM documents", "SELECT unnest([1, 2, 3]) AS query_id, unnest(['a', 'c b c', 'd']) AS query")
@@ -191,7 +191,7 @@ DENSE = """dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS pos
 def dense_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.dense_topk(asked, vectors.select(F.col("vec_id").alias("pos"), "embedding"))
+    return retrieval.nearest_topk(asked, s.stored_vectors(spark, sf_dir))
 
 
 @query(f"WITH {DENSE} SELECT query_id, pos, round(score, 6) AS score, CAST(dense_rank AS INTEGER) AS dense_rank FROM dense")
@@ -225,9 +225,11 @@ def hybrid_sql(mode: str) -> str:
 
 
 def hybrid(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    docs = s.documents_as_kb(spark, sf_dir).withColumn("kb", F.lit("all"))
-    asked = docs.filter("pos % 10 = 0").select(F.col("pos").alias("query_id"), F.col("text").alias("query"))
-    rows = retrieval.hybrid(dense_candidates(spark, sf_dir), retrieval.bm25_topk(asked, docs), ["query_id"], 5, mode=mode)
+    """Documents as queries over the stored index, vectors as queries over all vectors; only the side that the mode takes is searched."""
+    asked = s.documents_as_kb(spark, sf_dir).filter("pos % 10 = 0").select(F.col("pos").alias("query_id"), F.col("text").alias("query"))
+    sparse = retrieval.search_topk(asked, s.stored_documents(spark, sf_dir, "all")) if mode != "dense" else spark.createDataFrame([], "query_id long, pos long, sparse_rank int")
+    dense = dense_candidates(spark, sf_dir) if mode != "sparse" else spark.createDataFrame([], "query_id long, pos long, score double, dense_rank int")
+    rows = retrieval.hybrid(dense, sparse, ["query_id"], 5)
     return rows.select("query_id", "pos", F.round("dense_score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), F.array_join("matched_by", ",").alias("matched_by"), "rank")
 
 
@@ -249,7 +251,7 @@ def hybrid_sparse_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SPARSE} SELECT query_id, max(pos) FILTER (kb = 'de') AS de, max(pos) FILTER (kb = 'en') AS en, max(pos) FILTER (kb = 'es') AS es, max(pos) FILTER (kb = 'fr') AS fr FROM sparse WHERE sparse_rank = 1 GROUP BY query_id")
 def candidates_per_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best entry of each knowledge base for each query."""
-    rows = retrieval.bm25_topk(s.benchmark_queries(spark, sf_dir), s.documents_as_kb(spark, sf_dir), k=1)
+    rows = retrieval.search_topk(s.benchmark_queries(spark, sf_dir), s.stored_documents(spark, sf_dir, "lang"), k=1)
     return rows.groupBy("query_id").pivot("kb", ["de", "en", "es", "fr"]).agg(F.max("pos"))
 
 
@@ -260,7 +262,7 @@ PROCESS_SPARSE = bm25_sql("SELECT 'process' AS kb, doc_id AS pos, text FROM docu
 def process_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best process entries for every target's query text."""
     asked = process_query(spark, sf_dir).select(F.col("target").cast("long").alias("query_id"), "query")
-    rows = retrieval.bm25_topk(asked, s.documents_as_kb(spark, sf_dir).withColumn("kb", F.lit("process")), k=8)
+    rows = retrieval.search_topk(asked, s.stored_documents(spark, sf_dir, "all"), k=8)
     return rows.select("query_id", "pos", F.round("score", 6).alias("score"), "sparse_rank")
 
 

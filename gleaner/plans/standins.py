@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import scoring, text
-from gleaner.operators import classify
+from gleaner.operators import classify, index, vectors
 
 
 def quoted(value: str) -> str:
@@ -67,6 +67,18 @@ def documents_as_kb(spark: SparkSession, sf_dir: str, kb: str = "lang") -> DataF
     return table(spark, sf_dir, "documents").select(F.col(kb).alias("kb"), F.col("doc_id").alias("pos"), "text")
 
 
+def stored_documents(spark: SparkSession, sf_dir: str, kb: str) -> index.Index:
+    """The stored index of all documents, by language or ("all") as one knowledge base."""
+    docs = documents_as_kb(spark, sf_dir)
+    return index.stored(docs if kb == "lang" else docs.withColumn("kb", F.lit(kb)), kb, [f"{sf_dir}/documents.parquet"])
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The stored index of all embeddings."""
+    entries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+    return vectors.stored(entries, "embeddings", [f"{sf_dir}/embeddings.parquet"])
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,25 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(folder, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Put a folder in another place in one step, unless something is there."""
+    folder, store = _folder(spark, path)
+    target = _folder(spark, to)[0]
+    return not store.exists(target) and store.rename(folder, target)
+
+
+def stamp(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of names, lengths and times of the files below some paths, so that a change of them is seen."""
+    told = []
+    for path in paths:
+        folder, store = _folder(spark, path)
+        listed = store.listFiles(folder, True)
+        while listed.hasNext():
+            status = listed.next()
+            told.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()[:16]
+
+
 def remove_at_end(spark: SparkSession, path: str) -> None:
     """Remove a folder when the session ends."""
     folder, store = _folder(spark, path)
@@ -74,3 +94,21 @@ def keep(df: DataFrame, outlive: bool = False) -> DataFrame:
     else:
         remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(spark: SparkSession, name: str, write: Callable[[str], object]) -> str:
+    """The folder ``name`` in the shared folder, written when it is first asked for.
+
+    What ``write`` puts into a draft is named in one step, so nobody reads it unfinished; of two
+    writers one puts its own there, and both must write the same. It goes when the session ends.
+    """
+    path = f"{shared_dir(spark)}/{name}"
+    folder, store = _folder(spark, path)
+    if not store.exists(folder):
+        draft = f"{path}-{uuid.uuid4().hex}"
+        write(draft)
+        if rename(spark, draft, path):
+            remove_at_end(spark, path)
+        else:
+            remove(spark, draft)
+    return path
