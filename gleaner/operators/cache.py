@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import finding_signature, unsupported_citations
+from gleaner.operators.store import KeyedStore
 from gleaner.storage import keep
 
 
@@ -55,20 +54,24 @@ def fill(rows: DataFrame, cache: DataFrame, ask: Callable[[str], str | None], ke
     return cache.select(key, "answer").unionByName(good.select(key, "answer"))
 
 
-def load(spark: SparkSession, path: str, key: str = "cache_key") -> DataFrame:
-    """A cache from its folder; one that is missing or cannot be read is empty."""
-    try:
-        found = spark.read.parquet(path).select(F.col(key).cast("string"), F.col("answer").cast("string"))
-        found.limit(1).collect()
-    except (AnalysisException, Py4JJavaError):
-        return spark.createDataFrame([], f"{key} string, answer string")
-    return found
+#: A kept cache: the text that a producer made for a key.
+SCHEMA = "producer string, cache_key string, answer string"
 
 
-def save(cache: DataFrame, path: str, key: str = "cache_key") -> None:
-    """Write a cache, one answer a key, also where the rows were read from the same folder."""
-    once = keep(cache.groupBy(key).agg(F.min("answer").alias("answer")))
-    once.write.mode("overwrite").parquet(path)
+def open_store(spark: SparkSession, path: str, buckets: int = 16) -> KeyedStore:
+    """The caches of all producers in one versioned table; a folder without one is an empty table."""
+    return KeyedStore(spark, path, SCHEMA, ["producer", "cache_key"], buckets)
+
+
+def load(store: KeyedStore, producer: str, key: str = "cache_key") -> DataFrame:
+    """A producer's cache as of the last version; a version that cannot be read is an error, not an empty cache."""
+    return store.snapshot().filter(F.col("producer") == producer).select(F.col("cache_key").alias(key), "answer")
+
+
+def save(store: KeyedStore, producer: str, cache: DataFrame, key: str = "cache_key") -> int:
+    """Put answers into a producer's cache, the least of several of a key, in one step; the new version."""
+    once = cache.groupBy(key).agg(F.min("answer").alias("answer"))
+    return store.upsert(once.select(F.lit(producer).alias("producer"), F.col(key).alias("cache_key"), "answer"))
 
 
 def signature(rows: DataFrame) -> Column:

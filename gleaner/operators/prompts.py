@@ -3,8 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import CLAUSE_CHARS, detail_lines
+from gleaner.functions.text import CLAUSE_CHARS, detail_lines, reference_id, reference_note
 
+NO_CLAUSE, NO_CLAUSE_TEXT = "(none is listed)", "(its text is not at hand; go by the number and the note)"
 NO_CONTEXT, NO_CANDIDATE, NO_REASON, NO_ADVICE, NO_BASIS = "(nothing was found)", "(no candidate)", "(not given)", "(none)", "(none given)"
 
 
@@ -47,6 +48,14 @@ def summary_prompt(weakness: Column, clause: Column, article: Column) -> Column:
     return F.concat_ws("\n\n", finding_part(), *parts)
 
 
+def clause_block(heading: str, reference: Column, text: Column) -> Column:
+    """What a prompt says of a clause that a finding refers to: its number, the report's note on it, and its text or that there is none."""
+    number, note = reference_id(reference), reference_note(reference)
+    told = F.when(note != "", F.concat(F.lit("(the report says: "), note, F.lit(")")))
+    body = F.coalesce(F.concat(F.lit("Text:\n"), F.nullif(text, F.lit(""))), F.lit(NO_CLAUSE_TEXT))
+    return _block(F.lit(f"# {heading}"), F.when(number == "", F.lit(NO_CLAUSE)).otherwise(_block(number, told, F.lit(""), body)))
+
+
 def rule_prompt(reason: Column, clause_text: Column, article_text: Column, advice: Column) -> Column:
     """Asks to rewrite a rule's advice against its clauses; the target has no part in it."""
     filled = lambda c, instead: F.coalesce(F.nullif(c, F.lit("")), F.lit(instead))

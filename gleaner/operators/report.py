@@ -54,31 +54,23 @@ def header_block(meta: DataFrame, scope: DataFrame) -> DataFrame:
     return both.select(F.concat_ws("\n", *lines).alias("text"))
 
 
-def overview_blocks(merged: DataFrame) -> DataFrame:
-    """(target, section, ord, text): a table row a finding, in risk order within its target."""
-    text = F.concat(F.lit("| "), F.coalesce("title", F.lit("")), F.lit(" | "), F.coalesce("state", F.lit("-")), F.lit(" | "), F.upper("risk_level"), F.lit(" |"))
-    return merged.select("target", F.lit(0).alias("section"), _place().alias("ord"), text.alias("text"))
-
-
 def _place() -> Column:
     return level_rank(F.col("risk_level")).cast("long") * F.lit(1 << 40) + F.col("seq")
 
 
-def matched_blocks(finished: DataFrame) -> DataFrame:
-    """Blocks of findings that break a rule: name, reason, clauses and remediation, and who wrote that."""
+def _overview_text() -> Column:
+    return F.concat(F.lit("| "), F.coalesce("title", F.lit("")), F.lit(" | "), F.coalesce("state", F.lit("-")), F.lit(" | "), F.upper("risk_level"), F.lit(" |"))
+
+
+def _matched_text() -> Column:
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     made = F.when(F.col("recommendation_source") == "llm", F.lit(" (generated from these clauses)")).otherwise(F.lit(""))
     clauses = F.concat_ws("; ", blank("iec_reference"), blank("cra_reference"))
     lines = [F.concat(F.lit("### ["), F.upper("risk_level"), F.lit("] "), F.coalesce(blank("weakness_name"), F.col("title"))), F.concat(F.lit("target: "), F.col("target")), F.concat(F.lit("reason: "), F.coalesce(blank("weakness_reason"), blank("recommendation"), F.lit(NO_REASON))), F.concat(F.lit("clauses: "), F.when(clauses == "", F.lit(NO_CLAUSE)).otherwise(clauses)), F.concat(F.lit("remediation"), made, F.lit(": "), F.coalesce("recommendation", F.lit("")))]
-    return finished.filter("status = 'matched'").select("target", F.lit(1).alias("section"), _place().alias("ord"), F.concat_ws("\n", *lines).alias("text"))
-
+    return F.concat_ws("\n", *lines)
 
-def review_blocks(reviewed: DataFrame) -> DataFrame:
-    """Blocks of findings to review, from their summary, else from the first candidate of each knowledge base.
 
-    ``reviewed`` has summary (weakness_name, weakness_reason, remediation) and rag, a struct of the
-    arrays cwe, iec and cra of candidates (key, title, text_zh).
-    """
+def _review_text() -> Column:
     first = lambda kb: F.try_element_at(F.col(f"rag.{kb}"), F.lit(1))
     blank = lambda c: F.nullif(c, F.lit(""))
     cwe, iec, cra = first("cwe"), first("iec"), first("cra")
@@ -86,7 +78,22 @@ def review_blocks(reviewed: DataFrame) -> DataFrame:
     remedy = F.coalesce(blank(F.col("summary.remediation")), blank(F.concat_ws("; ", blank(iec["text_zh"]), blank(cra["text_zh"]))), F.lit(NO_REMEDY))
     clauses = F.coalesce(blank(F.concat_ws("; ", iec["key"], cra["key"])), F.lit(NO_CLAUSE))
     lines = [F.concat(F.lit("### "), F.coalesce(blank(F.col("summary.weakness_name")), F.col("title"))), F.concat(F.lit("target: "), F.col("target")), F.concat(F.lit("reason: "), reason), F.concat(F.lit("clauses: "), clauses), F.concat(F.lit("remediation: "), remedy)]
-    return reviewed.filter("status = 'needs_review'").select("target", F.lit(2).alias("section"), _place().alias("ord"), F.concat_ws("\n", *lines).alias("text"))
+    return F.concat_ws("\n", *lines)
+
+
+def sections(merged: DataFrame) -> DataFrame:
+    """(target, section, ord, text): all blocks of a report, from one reading of its findings.
+
+    Section 0 has a table row a finding, section 1 the findings that break a rule (name, reason,
+    clauses and remediation, and who wrote that), section 2 those to review, from their summary, else
+    from the first candidate of each knowledge base. ``merged`` has summary (weakness_name,
+    weakness_reason, remediation) and rag, a struct of the arrays cwe, iec and cra of candidates (key,
+    title, text_zh). Order within a section and target is by risk.
+    """
+    block = lambda number, text: F.struct(F.lit(number).alias("section"), text.alias("text"))
+    own = F.when(F.col("status") == "matched", block(1, _matched_text())).when(F.col("status") == "needs_review", block(2, _review_text()))
+    blocks = F.explode(F.array_compact(F.array(block(0, _overview_text()), own))).alias("b")
+    return merged.select("target", _place().alias("ord"), blocks).select("target", "b.section", "ord", "b.text")
 
 
 def process_blocks(candidates: DataFrame, run: str = "query_id") -> DataFrame:

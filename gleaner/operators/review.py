@@ -21,6 +21,10 @@ def hybrid_candidates(asked: DataFrame, entries: DataFrame, k: int, embed: Calla
     ``embed`` adds the vector ``embedding`` to the queries; without it only words count.
     """
     sparse = retrieval.bm25_topk(asked, entries)
+    return _fused(sparse, asked, entries, k, embed)
+
+
+def _fused(sparse: DataFrame, asked: DataFrame, entries: DataFrame, k: int, embed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     if embed is None:
         dense = sparse.select("query_id", "pos", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("dense_rank")).limit(0)
     else:
@@ -38,8 +42,10 @@ def with_candidates(findings: DataFrame, kb: DataFrame, embed: Callable[[DataFra
     review = findings.filter("status = 'needs_review'").select(F.col(text).alias("query")).distinct()
     asked = keep(review.withColumn("query_id", F.xxhash64("query")))
     found = asked.select("query_id", "query")
+    # One search over the words of all knowledge bases, which have statistics of their own.
+    words = keep(retrieval.bm25_topk(asked, kb.filter(F.col("kb").isin(*KBS))))
     for name in KBS:
-        best = hybrid_candidates(asked, kb.filter(F.col("kb") == name), k, embed)
+        best = _fused(words.filter(F.col("kb") == name), asked, kb.filter(F.col("kb") == name), k, embed)
         one = F.struct("key", "title", F.col("body").alias("text"), F.col("dense_score").alias("score"), "matched_by", F.lit(None).cast("string").alias("text_zh"))
         # At most k candidates a text.
         listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("one")))), lambda x: x["one"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions.text import joined_lines
+from gleaner.storage import keep
 
 # The line patterns of the two standards and their page furniture.
 CLAUSE = {
@@ -24,6 +25,8 @@ NOISE = (r"^(–\s*\d+\s*–\s*)?IEC\s+62443-\d-\d:\d{4}.*?(–\s*\d+\s*–)?$",
 BODY_START = r"^1\s+Scope\s*$"
 LANGUAGE_BOUNDARY = r"^(SOMMAIRE|AVANT-PROPOS)$"
 BLOCK_START = r"^(\(\d+\)|[a-z]\)|\d+\)|[•●▪◦‣]|NOTE\b|EXAMPLE\b|SL-C\b)"
+#: Ranges of documents whose states are broadcast: some hundred bytes each.
+BROADCAST_RANGES = 200_000
 LICENCE_LEAK = r"(?i)licence agreement|copyright of IEC|Customer:\s|Order No\.:"
 
 
@@ -74,8 +77,12 @@ def clause_lines(lines: DataFrame, doc: str = "doc_id", n: str = "n", line: str
 
     A group header names the group of later clauses and does not end the one it stands in. Lines
     before the first clause, and headers, are dropped.
+
+    Lines are dealt by ranges of (document, line), so a document of any length goes to many tasks. Each
+    range is summed up by the state it ends in (group, clauses, the last clause's head, field), as far
+    as the range tells it; these are composed over a document's ranges, a row a range, and complete
+    the state within the next ones.
     """
-    in_order = Window.partitionBy(doc).orderBy(n)
     own = F.col(line)
     part = F.lit(part) if isinstance(part, str) else part
     found = lambda patterns: F.coalesce(of_part(part, lambda k: own.rlike(patterns[k])), F.lit(False))
@@ -85,13 +92,31 @@ def clause_lines(lines: DataFrame, doc: str = "doc_id", n: str = "n", line: str
     is_section = ~is_group & ~is_clause & own.rlike(SECTION)
     squash = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     field = F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTION_FIELDS.items() for x in kv]), F.lower(F.regexp_extract(own, SECTION, 1)))
-    marked = lines.withColumns({"is_group": is_group, "is_clause": is_clause, "is_section": is_section})
-    marked = marked.withColumn("group", F.last(F.when(is_group, squash(piece(GROUP, 1))), ignorenulls=True).over(in_order))
-    marked = marked.withColumn("clause", F.sum(F.col("is_clause").cast("int")).over(in_order)).filter("clause > 0 AND NOT is_group")
-    within = Window.partitionBy(doc, "clause").orderBy(n)
-    head = F.when(F.col("is_clause"), F.struct(piece(CLAUSE, 1).alias("clause_no"), squash(piece(CLAUSE, 2)).alias("clause_id"), F.trim(piece(CLAUSE, 3)).alias("title"), F.coalesce("group", F.lit("")).alias("group")))
-    marked = marked.withColumn("head", F.first(head, ignorenulls=True).over(within)).withColumn("field", F.coalesce(F.last(F.when(F.col("is_section"), field), ignorenulls=True).over(within), F.lit("requirement")))
-    return marked.filter("NOT is_clause AND NOT is_section").select(doc, "clause", "head.clause_no", "head.clause_id", "head.title", "head.group", "field", n, line)
+    head = F.when(is_clause, F.struct(piece(CLAUSE, 1).alias("clause_no"), squash(piece(CLAUSE, 2)).alias("clause_id"), F.trim(piece(CLAUSE, 3)).alias("title")))
+    marked = lines.select(F.col(doc).alias("doc"), F.col(n).alias("n"), own.alias("line"), F.when(is_group, squash(piece(GROUP, 1))).alias("group"), head.alias("head"), F.when(is_section, F.struct(field.alias("name"))).alias("section"))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(marked.repartitionByRange(parts, "doc", "n").withColumn("range", F.spark_partition_id()))
+    within = Window.partitionBy("doc", "range").orderBy("n")
+    so_far = lambda c: F.last(c, ignorenulls=True).over(within)
+    local = ranged.withColumns({"clauses": F.sum(F.col("head").isNotNull().cast("long")).over(within), "is_header": F.coalesce(F.col("group"), F.col("head.clause_no"), F.when(F.col("section").isNotNull(), "")).isNotNull(), "group": so_far(F.col("group"))})
+    # A clause begins without a field of its own, and has the group so far.
+    state = F.when(F.col("head").isNotNull(), F.struct(F.lit(None).cast("string").alias("name"))).otherwise(F.col("section"))
+    local = local.withColumns({"head": so_far(F.when(F.col("head").isNotNull(), F.struct("head.*", F.col("group").alias("group")))), "section": so_far(state)})
+    ends = local.groupBy("doc", "range").agg(F.max_by(F.struct("group", "clauses", "head", "section"), "n").alias("end")).select("doc", "range", "end.*")
+    earlier = Window.partitionBy("doc").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("group_in", F.last("group", ignorenulls=True).over(earlier))
+    ends = ends.withColumn("head", F.when(F.col("head").isNotNull(), _grouped(F.col("head"), F.col("group_in"))))
+    carried = keep(ends.select("doc", F.col("range").alias("at"), "group_in", F.coalesce(F.sum("clauses").over(earlier), F.lit(0).cast("long")).alias("clauses_in"), F.last("head", ignorenulls=True).over(earlier).alias("head_in"), F.last("section", ignorenulls=True).over(earlier).alias("section_in")))
+    told = F.broadcast(carried) if carried.count() <= BROADCAST_RANGES else carried
+    rows = local.alias("l").join(told.alias("c"), F.expr("l.doc <=> c.doc AND l.range = c.at")).select("l.*", "c.group_in", "c.clauses_in", "c.head_in", "c.section_in")
+    rows = rows.withColumns({"clause": (F.col("clauses_in") + F.col("clauses")).cast("long"), "head": F.coalesce(F.when(F.col("head").isNotNull(), _grouped(F.col("head"), F.col("group_in"))), F.col("head_in"))})
+    rows = rows.filter("clause > 0 AND NOT is_header")
+    return rows.select(F.col("doc").alias(doc), "clause", "head.clause_no", "head.clause_id", "head.title", F.coalesce("head.group", F.lit("")).alias("group"), F.coalesce(F.coalesce("section", "section_in")["name"], F.lit("requirement")).alias("field"), F.col("n").alias(n), F.col("line").alias(line))
+
+
+def _grouped(head: Column, group: Column) -> Column:
+    """A head whose group its range tells, or else the ranges before it."""
+    return F.struct(head["clause_no"].alias("clause_no"), head["clause_id"].alias("clause_id"), head["title"].alias("title"), F.coalesce(head["group"], group).alias("group"))
 
 
 def dewrap(lines: Column) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import scoring, text
-from gleaner.operators import cache, classify, context, findings, merge, plan, prompts, quality, report, retrieval, review, segments, targets
+from gleaner.operators import cache, classify, context, findings, merge, plan, producers, prompts, quality, report, retrieval, review, segments, targets
 from gleaner.plans import standins as s
 from gleaner.plans.standins import table
 from gleaner.sources import firmware, knowledge, portscan, web
+from gleaner.storage import keep, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -697,7 +701,36 @@ def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All blocks of a report: the overview of each target, what breaks a rule, and what is to be reviewed."""
     none = F.lit(None).cast("struct<weakness_name:string,weakness_reason:string,remediation:string>")
     rows = reviewed_findings(spark, sf_dir).withColumns({"summary": none, "state": F.lit(None).cast("string")})
-    return report.overview_blocks(rows).unionByName(report.matched_blocks(rows)).unionByName(report.review_blocks(rows))
+    return report.sections(rows)
+
+
+#: What the stand-in for a language model writes of a finding's title; some titles have no answer, some a text without sections, and some cite what they were not given.
+_WRITTEN = """CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN 'plain ' || title ELSE '【弱點名稱】N ' || title || '【弱點原因】R ' || title || '【修補建議】F ' || title || CASE WHEN k % 5 = 0 THEN ' IEC 62443-4-2 CR 9.9' ELSE '' END END"""
+
+
+def _write_text(prompt: str) -> str | None:
+    title = re.search(r"^- title: (.*)$", prompt, re.M)[1]
+    k = int(title.rpartition(" ")[2])
+    if k % 7 == 0:
+        return None
+    if k % 11 == 0:
+        return f"plain {title}"
+    return f"【弱點名稱】N {title}【弱點原因】R {title}【修補建議】F {title}" + (" IEC 62443-4-2 CR 9.9" if k % 5 == 0 else "")
+
+
+@query(f"""WITH {REVIEW}, told AS (SELECT *, {_WRITTEN} AS t, k % 7 <> 0 AND k % 11 <> 0 AS whole FROM (SELECT *, CAST(split_part(title, ' ', -1) AS BIGINT) AS k FROM reviewed))
+  SELECT finding_id, status, CASE WHEN cwe_key IS NOT NULL THEN t END AS cwe_text, CASE WHEN iec_key IS NOT NULL THEN t END AS iec_text, CASE WHEN cra_key IS NOT NULL THEN t END AS cra_text,
+    CASE WHEN status = 'needs_review' AND whole THEN 'N ' || title END AS summary_name, CASE WHEN status = 'needs_review' AND whole THEN 'F ' || title || CASE WHEN k % 5 = 0 THEN ' IEC 62443-4-2 CR 9.9' ELSE '' END END AS summary_fix,
+    CASE WHEN status = 'matched' THEN t END AS weakness_name,
+    CASE WHEN status = 'matched' AND t IS NOT NULL AND (k % 5 <> 0 OR k % 11 = 0) THEN t ELSE recommendation END AS recommendation,
+    CASE WHEN status = 'matched' THEN CASE WHEN t IS NOT NULL AND (k % 5 <> 0 OR k % 11 = 0) THEN 'llm' ELSE 'rule' END END AS recommendation_source FROM told""")
+def generated_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding with the texts that were generated for it: of candidates, summaries, names and advice."""
+    stores = producers.open_stores(spark, f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}", 4)
+    found = reviewed_findings(spark, sf_dir).withColumn("detail", F.lit(None).cast("string"))
+    rows = producers.first_wave(keep(found), stores, _write_text)
+    first = lambda name: F.try_element_at(F.col(f"rag.{name}"), F.lit(1))["text_zh"].alias(f"{name}_text")
+    return rows.select("finding_id", "status", first("cwe"), first("iec"), first("cra"), F.col("summary.weakness_name").alias("summary_name"), F.col("summary.remediation").alias("summary_fix"), "weakness_name", "recommendation", "recommendation_source")
 
 
 @query(f"""WITH {PROCESS}, {PROCESS_SPARSE}

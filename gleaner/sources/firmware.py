@@ -65,11 +65,11 @@ def empty_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(paths, "path string, length long, content binary")
 
 
-def extracted_files(spark: SparkSession, root: str, most: int | None = MAX_FILES, target: str = "") -> DataFrame:
+def extracted_files(spark: SparkSession, root: str, most: int | None = None, target: str = "") -> DataFrame:
     """Files under a folder that are worth a finding, with their path in it.
 
-    At most ``most`` files are examined, by path, and ``truncated`` tells whether there are more;
-    with None all are.
+    All files are, or with ``most`` the first so many by path, and ``truncated`` tells whether there are
+    more; MAX_FILES is the limit of a scan that has one.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content").unionByName(empty_files(spark, root))
     base = spark._jvm.org.apache.hadoop.fs.Path(root)

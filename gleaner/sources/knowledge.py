@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions.text import joined_lines
+from gleaner.sources.xml_records import read_elements
 
 # The regulation's paragraph classes, label patterns and annexes.
 PARAGRAPHS = ("oj-ti-art", "oj-sti-art", "oj-normal")
@@ -25,18 +26,32 @@ def embedding_text(*parts: Column) -> Column:
     return joined_lines(*parts)
 
 
+#: Prefixes of elements and attributes.
+_PREFIX = re.compile(r"""(?:</?|\s)([A-Za-z_][\w.-]*):[A-Za-z_]""")
+
+
 class Weaknesses:
     """Table function: the entries of a weakness list in XML, whatever their namespace and depth."""
 
+    @staticmethod
+    def parsed(xml: str) -> ElementTree.Element | None:
+        """A document, or a slice of one whose prefixes are declared around it; None if it is neither."""
+        try:
+            return ElementTree.fromstring(xml)
+        except ElementTree.ParseError:
+            declared = "".join(f' xmlns:{p}="{p}"' for p in sorted(set(_PREFIX.findall(xml)) - {"xml", "xmlns"}))
+        try:
+            return ElementTree.fromstring(f"<slice{declared}>{xml}</slice>")
+        except ElementTree.ParseError:
+            return None
+
     @staticmethod
     def text(element: ElementTree.Element | None) -> str:
         return "" if element is None else " ".join(t.strip() for t in element.itertext() if t.strip())
 
     def eval(self, xml: str) -> Iterator[tuple]:
         name = lambda e: e.tag.rpartition("}")[2]
-        try:
-            root = ElementTree.fromstring(xml or "")
-        except ElementTree.ParseError:
+        if (root := self.parsed(xml or "")) is None:
             return
         for pos, e in enumerate(x for x in root.iter() if name(x) == "Weakness"):
             child = {name(c): c for c in e}
@@ -54,20 +69,23 @@ def weaknesses(files: DataFrame, xml: str = "xml") -> DataFrame:
     """
     spark = files.sparkSession
     spark.udtf.register("weakness_rows", F.udtf(Weaknesses, returnType=WEAKNESS_SCHEMA))
-    files.createOrReplaceTempView("weakness_files")
-    rows = spark.sql(f"SELECT t.* FROM weakness_files f, LATERAL weakness_rows(f.`{xml}`) t")
+    rows = spark.sql(f"SELECT t.* FROM {{files}} f, LATERAL weakness_rows(f.`{xml}`) t", files=files)
     rows = rows.withColumn("embedding_text", F.array_join(F.filter(F.concat(F.array("title", "text", "extended"), "mitigations"), lambda p: p != ""), "\n"))
     return rows.filter("status <> 'Deprecated' AND embedding_text <> ''")
 
 
 def read_weaknesses(spark: SparkSession, path: str, tag: str = "Weakness") -> DataFrame:
-    """Weakness lists as one row an entry, so that a list of any size is read by many tasks.
+    """(file, record, xml): weakness lists as one row an entry, so that a list of any size is read by many tasks.
 
-    The entry's text is put together again from lines; it goes to ``weaknesses`` as a slice.
+    An entry goes to ``weaknesses`` as a slice; ``unread`` gives those that are no XML.
     """
-    rows = spark.read.format("text").option("lineSep", f"</{tag}>").load(path)
-    begin = F.locate(f"<{tag} ", "value")
-    return rows.filter(begin > 0).select(F.concat(F.expr(f"substring(value, locate('<{tag} ', value))"), F.lit(f"</{tag}>")).alias("xml"))
+    return read_elements(spark, path, tag)
+
+
+def unread(entries: DataFrame, xml: str = "xml") -> DataFrame:
+    """Rows of ``entries`` that cannot be parsed, so that none is lost unseen."""
+    broken = F.udf(lambda text: text is None or Weaknesses.parsed(text) is None, "boolean")
+    return entries.filter(broken(F.col(xml)))
 
 
 def missing_annexes(items: DataFrame, doc: str) -> DataFrame:
@@ -145,8 +163,7 @@ def articles(pages: DataFrame, doc: str, page: str) -> DataFrame:
     """(doc, article_no, title, text): a title paragraph opens an article; its first subtitle names it."""
     spark = pages.sparkSession
     spark.udtf.register("article_paragraphs", F.udtf(Paragraphs, returnType="n INT, kind STRING, text STRING"))
-    pages.createOrReplaceTempView("article_pages")
-    rows = spark.sql(f"SELECT p.`{doc}`, t.* FROM article_pages p, LATERAL article_paragraphs(p.`{page}`) t")
+    rows = spark.sql(f"SELECT p.`{doc}`, t.* FROM {{pages}} p, LATERAL article_paragraphs(p.`{page}`) t", pages=pages)
     return article_rows(rows, doc)
 
 
@@ -237,8 +254,7 @@ class AnnexItems:
 def annexes(pages: DataFrame, doc: str, page: str) -> DataFrame:
     spark = pages.sparkSession
     spark.udtf.register("annex_rows", F.udtf(AnnexItems, returnType="n INT, article_no STRING, title STRING, text STRING"))
-    pages.createOrReplaceTempView("annex_pages")
-    return spark.sql(f"SELECT p.`{doc}`, t.* FROM annex_pages p, LATERAL annex_rows(p.`{page}`) t")
+    return spark.sql(f"SELECT p.`{doc}`, t.* FROM {{pages}} p, LATERAL annex_rows(p.`{page}`) t", pages=pages)
 
 
 def regulation(pages: DataFrame, doc: str, page: str, plain: str) -> DataFrame:

@@ -94,8 +94,7 @@ def script_findings(hosts: DataFrame, xml: str) -> DataFrame:
     """One row a vulnerability, with its severity and title."""
     spark = hosts.sparkSession
     spark.udtf.register("script_tables", F.udtf(ScriptTables, returnType=TABLES))
-    hosts.createOrReplaceTempView("script_hosts")
-    tables = spark.sql(f"SELECT h.* EXCEPT (`{xml}`), t.* FROM script_hosts h, LATERAL script_tables(h.`{xml}`) t")
+    tables = spark.sql(f"SELECT h.* EXCEPT (`{xml}`), t.* FROM {{hosts}} h, LATERAL script_tables(h.`{xml}`) t", hosts=hosts)
     rows = tables.withColumn("state", _named("state")).filter(scoring.is_vulnerable_state(F.col("state")))
     rows = rows.withColumns({"cve_ids": numbers(), "cvss_score": F.array_max(F.transform(_values("scores"), scoring.parse_score))})
     level = severity(F.col("cvss_score"), F.lower(F.trim(_named("risk_factor"))), F.col("state"))

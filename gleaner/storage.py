@@ -9,6 +9,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _open = threading.local()
@@ -59,6 +60,49 @@ def stamp(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()[:16]
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    folder, store = _folder(spark, path)
+    source = store.open(folder)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    folder, store = _folder(spark, path)
+    target = store.create(folder, True)
+    try:
+        target.write(text.encode())
+    finally:
+        target.close()
+
+
+def names(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names of the files and folders in a folder and when each was changed (ms); none if there is no such folder."""
+    folder, store = _folder(spark, path)
+    if not store.exists(folder):
+        return {}
+    return {status.getPath().getName(): status.getModificationTime() for status in store.listStatus(folder)}
+
+
+def rename_new(spark: SparkSession, path: str, to: str) -> bool:
+    """Put a file in its place in one step; False if something is there."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    source, target = jvm.Path(path), jvm.Path(to)
+    context = jvm.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    none[0] = jvm.Options.Rename.NONE
+    try:
+        context.rename(source, target, none)
+    except Py4JJavaError as lost:
+        if "FileAlreadyExists" in lost.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def remove_at_end(spark: SparkSession, path: str) -> None:
     """Remove a folder when the session ends."""
     folder, store = _folder(spark, path)

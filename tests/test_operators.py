@@ -264,16 +264,13 @@ def test_cache_answers_are_asked_for_once_and_kept(spark, tmp_path):
             f.write(f"{prompt}\n")
         return "see CWE-1"
 
-    empty = cache.load(spark, str(tmp_path / "none"))
+    store = cache.open_store(spark, str(tmp_path / "cache"))
+    empty = cache.load(store, "name")
     filled = cache.fill(rows, empty, ask)
     assert [filled.count(), filled.first().answer] == [1, "see CWE-1"] and mark.read_text() == "p1\n"
-    path = str(tmp_path / "cache")
-    cache.save(filled, path)
-    cache.save(cache.load(spark, path).union(spark.createDataFrame([("k2", "x")], "cache_key string, answer string")), path)
-    assert sorted(tuple(r) for r in cache.load(spark, path).collect()) == [("k1", "see CWE-1"), ("k2", "x")]
-    (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "a.parquet").write_bytes(b"no parquet")
-    assert cache.load(spark, str(tmp_path / "bad")).count() == 0
+    cache.save(store, "name", filled)
+    cache.save(store, "name", cache.load(store, "name").union(spark.createDataFrame([("k2", "x")], "cache_key string, answer string")))
+    assert sorted(tuple(r) for r in cache.load(store, "name").collect()) == [("k1", "see CWE-1"), ("k2", "x")]
 
 
 def test_generated_texts_take_the_place_of_rules(spark):
