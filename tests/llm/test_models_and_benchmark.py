@@ -1,6 +1,7 @@
 import hashlib
 import re
 import time
+import zlib
 import tracemalloc
 from collections import Counter
 
@@ -183,6 +184,31 @@ def test_quality_on_held_out_labels(spark):
     assert rate(rows, truth, "predicted")[0] > 0.93 and all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_score(text, model):
+    """Every filter at every byte, every chunk, one after the other."""
+    data = (text or "").encode()
+    n = -(-(len(data) + quality.WIDTH) // quality.BLOCK)
+    data = np.frombuffer(data.ljust(n * quality.BLOCK + quality.WIDTH, b"\0"), np.uint8)
+    out = sum(model.filters[j][data[j : j + n * quality.BLOCK]] for j in range(quality.WIDTH))
+    tops = out.reshape(n, quality.BLOCK, -1).max(1)
+    begins = [0]
+    while begins[-1] + quality.CHUNK < n:
+        begins.append(begins[-1] + quality.STRIDE)
+    chunks = np.array([np.maximum(tops[b : b + quality.CHUNK].max(0) + model.bias, 0) for b in begins])
+    return 1 / (1 + np.exp(-(np.concatenate([chunks.mean(0), chunks.max(0)]) @ model.weights + model.offset)))
+
+
+def test_quality_query_matches_a_plain_network(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries.quality_model(spark, docs.select("doc_id", "text"), sf)
+    rows = {r.doc_id: r for r in queries.op1_quality(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    for i, r in rows.items():
+        assert r.score == pytest.approx(plain_score(texts[i], model), abs=1e-4)
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and r.predicted == (r.score >= 0.5)
+
+
 def test_quality_covers_all_bytes_at_any_slicing(monkeypatch):
     rng = np.random.default_rng(1)
     model = quality.Model(rng.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(size=quality.FILTERS).astype(np.float32), rng.normal(size=2 * quality.FILTERS), 0.1)
@@ -281,6 +307,24 @@ def test_language_query_matches_a_plain_model(spark, sf):
     assert brute_language(f"{long}x", model)[0] == "xx"
 
 
+def test_language_query_over_whole_texts(spark, sf):
+    """The query against a plain model that is fitted on the same documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 for r in docs}
+    model = brute_model([(r.text, r.lang) for r in docs if fold[r.doc_id] and r.text is not None and r.lang is not None])
+    rows = {r.doc_id: r for r in queries.op10_language(spark, sf).collect()}
+    assert len(rows) == len(docs)
+    for r in docs:
+        own = rows[r.doc_id]
+        assert own.held_out == (fold[r.doc_id] == 0)
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert own.lang_pred == "und"
+            continue
+        best, total = brute_language(r.text, model)
+        share = np.exp(total - total.max())
+        assert own.lang_pred == best and own.score == pytest.approx(1 / share.sum(), abs=1e-6)
+
+
 def test_language_odd_texts(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", "en", None, 1), (2, "le chat et le chien", "fr", None, 1), (3, "the the and", "en", None, 1)], SCHEMA)
     model = language.fit(docs)

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict, namedtuple
 
 import pytest
@@ -167,6 +168,28 @@ def test_shards_are_even_and_gapless(spark, sf):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, queries.op8_sharding(spark, sf).collect()), key=str)
 
 
+def test_shard_query_matches_plain_buckets(spark, sf):
+    """Buckets from each row's hash, laid one behind the other; shards are equal ranges of that order."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    slim = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc")).withColumn("size", F.col("size") + 16)
+    hashed = slim.withColumn("scatter", F.xxhash64(F.lit(0), F.xxhash64(F.lit(0), "doc_id", "size", "crc"))).collect()
+    total, n = sum(r["size"] for r in hashed), len(hashed)
+    buckets = max(1, queries.SHARDS, -(-total // sharding.BUCKET_BYTES))
+    own = {r.doc_id: r.scatter % buckets for r in hashed}
+    before, at = {}, 0
+    for b in range(buckets):
+        before[b], at = at, at + sum(x == b for x in own.values())
+    rows = queries.op8_sharding(spark, sf).collect()
+    first = [-(-s * n // queries.SHARDS) for s in range(queries.SHARDS + 1)]
+    places = {r.doc_id: first[r.shard] + r.slot for r in rows}
+    assert sorted(places.values()) == list(range(n))
+    for b in range(buckets):
+        inside = sorted(places[i] for i, x in own.items() if x == b)
+        assert inside == list(range(before[b], before[b] + len(inside)))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]), "rows", None) for r in rows)
+
+
 def test_shuffle_keeps_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, "", None, "a", 2)] + [(7, "same", "en", "a", 4)] * 9 + [(i, "t" * i, "en", "b", i) for i in range(50)], SCHEMA)
     got = sharding.external_shuffle(docs, 4, bucket_bytes=200)
