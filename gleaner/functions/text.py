@@ -99,6 +99,27 @@ def matches(citation: Column, allowed: Column) -> Column:
     return _covers(citation, allowed) | _covers(allowed, citation) | _covers(*bare) | _covers(*bare[::-1])
 
 
+def boundary_prefixes(number: Column) -> Column:
+    """The beginnings of a normalised number that end where no letter or digit follows, itself included."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(number), F.lit(1)))
+    ends = F.filter(places, lambda i: (i >= F.length(number)) | ~F.substring(number, i + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}]"))
+    return F.transform(ends, lambda i: F.left(number, i))
+
+
+def cover_keys(number: Column, cited: bool) -> Column:
+    """Keys of which a citation and an allowed number have one in common if, and only if, ``matches`` holds.
+
+    One number covers another if that is one of its boundary prefixes. So one side gives its prefixes and
+    the other itself, each both ways, and the same without a standard's name.
+    """
+    bare = F.regexp_replace(number, f"(?U){STANDARD_PREFIX}", "")
+
+    def keys(kind: str, own: Column, prefixes: bool) -> Column:
+        return F.transform(boundary_prefixes(own) if prefixes else F.array(own), lambda k: F.concat(F.lit(kind), k))
+
+    return F.concat(keys("a:", number, cited), keys("b:", number, not cited), keys("c:", bare, cited), keys("d:", bare, not cited))
+
+
 def unsupported_citations(text: Column, allowed: Column) -> Column:
     """Citations in a text, each once, that no allowed number covers."""
     known = F.transform(F.filter(allowed, lambda a: F.coalesce(a, F.lit("")) != ""), normalize)

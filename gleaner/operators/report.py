@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.scoring import confidence_label, level_rank
+from gleaner.operators import document
 
 # The stages of a job and the badge of each risk word.
 STAGES = (("ports", "ip"), ("firmware", "firmware"), ("web", "url"), ("analysis", ""), ("report", "report"))
@@ -114,10 +115,30 @@ def finding_lines(findings: DataFrame) -> DataFrame:
 
 
 def findings_json(findings: DataFrame) -> DataFrame:
-    """Each finding as one JSON object, empty fields kept; ``write.text`` of it gives JSON lines."""
+    """Each finding as one JSON object, empty fields kept."""
     return findings.select(F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_findings(findings: DataFrame, path: str, order: str = "seq") -> None:
+    """All findings as one JSON array in their order."""
+    document.write_array(findings.select(order, F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"}).alias("value")), path, [order])
+
+
+def analysis_lines(merged: DataFrame) -> DataFrame:
+    """(ord, line): what a console shows of each verdict: risk, finding, status, and the clauses or that it is to be reviewed."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    clauses = F.concat_ws("; ", blank("iec_reference"), blank("cra_reference"))
+    told = F.when(F.col("status") == "matched", F.concat(F.lit("breaks "), F.coalesce(F.nullif(clauses, F.lit("")), F.lit("a rule")))).when(F.col("status") == "needs_review", F.lit("to be reviewed")).otherwise(F.lit("no verdict"))
+    line = F.concat(F.lit("["), F.upper("risk_level"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" — "), F.coalesce("target", F.lit("")), F.lit(": "), told)
+    return merged.select(_place().alias("ord"), line.alias("line"))
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """(path, line): what a console shows of each extracted file, and whether the list was cut short."""
+    line = F.concat(F.lit("["), F.upper(F.coalesce("severity", F.lit("info"))), F.lit("] "), F.col("extracted_path"), F.lit(" ("), F.col("size_bytes").cast("string"), F.lit(" bytes)"), F.when(F.col("truncated"), F.lit(" (more files were not looked at)")).otherwise(F.lit("")))
+    return files.select("path", line.alias("line"))
+
+
 def write_markdown(blocks: DataFrame, path: str) -> None:
-    """Report text, a folder a target, its lines in order; no report passes through the driver."""
-    blocks.repartition("target").sortWithinPartitions("target", "section", "ord").select("target", "text").write.mode("overwrite").partitionBy("target").text(path)
+    """Report text, a folder a target, its lines in order; a target of any size is written by many tasks."""
+    document.write_texts(blocks, path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import scoring, text
-from gleaner.operators import cache, classify, context, findings, merge, plan, producers, prompts, quality, report, retrieval, review, segments, targets
+from gleaner.operators import cache, citations, classify, context, findings, merge, plan, producers, prompts, quality, report, retrieval, review, segments, targets
 from gleaner.plans import standins as s
 from gleaner.plans.standins import table
 from gleaner.sources import firmware, knowledge, portscan, web
@@ -311,7 +311,10 @@ _BARE = ("regexp_replace(c, '^iec\\s*62443-\\d-\\d\\s+', '')", "regexp_replace(a
   firsts AS (SELECT doc_id, cite, min(i) AS i FROM hits WHERE NOT ok GROUP BY ALL)
   SELECT d.doc_id, coalesce(string_agg(cite, '|' ORDER BY i), '') AS unsupported FROM documents d LEFT JOIN firsts f ON d.doc_id = f.doc_id GROUP BY d.doc_id""")
 def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.cited_texts(spark, sf_dir).select("doc_id", F.array_join(text.unsupported_citations(F.col("answer"), F.col("allowed")), "|").alias("unsupported"))
+    rows = s.cited_texts(spark, sf_dir)
+    found = citations.unsupported(citations.cited(rows, "doc_id", "answer"), rows.select("doc_id", F.explode("allowed").alias("number")), ["doc_id"])
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "cite"))), lambda x: x["cite"]), "|").alias("unsupported")
+    return rows.select("doc_id").join(found.groupBy("doc_id").agg(listed), "doc_id", "left").select("doc_id", F.coalesce("unsupported", F.lit("")).alias("unsupported"))
 
 
 #: References in ten forms: blanks of several kinds, cases, prefixes, notes.

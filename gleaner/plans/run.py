@@ -70,9 +70,9 @@ def run(
 
 
 def write(made: Run, path: str) -> dict[str, str]:
-    """The run's tables below ``path``: findings as JSON, the report and the plan as Markdown by target."""
+    """The run's tables below ``path``: findings as one JSON array, the report and the plan as Markdown by target."""
     places = {name: f"{path}/{name}" for name in ("findings", "report", "plan")}
-    report.findings_json(made.merged).write.mode("overwrite").text(places["findings"])
+    report.write_findings(made.merged, places["findings"])
     report.write_markdown(made.blocks, places["report"])
     tests = plan.plan_blocks(made.plan).withColumn("section", F.lit(0))
     report.write_markdown(tests, places["plan"])

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 
 _open = threading.local()
@@ -87,6 +88,35 @@ def names(spark: SparkSession, path: str) -> dict[str, int]:
     return {status.getPath().getName(): status.getModificationTime() for status in store.listStatus(folder)}
 
 
+def join_files(spark: SparkSession, paths: list[str], to: str) -> None:
+    """One file of several, in their order: joined by the store if it can, else copied by the driver's JVM in pieces."""
+    jvm = spark._jvm.org.apache.hadoop
+    target, store = _folder(spark, to)
+    sources = [jvm.fs.Path(p) for p in paths]
+    if len(sources) > 1:
+        array = spark.sparkContext._gateway.new_array(jvm.fs.Path, len(sources) - 1)
+        for k, source in enumerate(sources[1:]):
+            array[k] = source
+        try:
+            store.concat(sources[0], array)
+            sources = sources[:1]
+        except UnsupportedOperationException:
+            pass
+    if len(sources) == 1:
+        store.rename(sources[0], target)
+        return
+    out = store.create(target, True)
+    try:
+        for source in sources:
+            read = store.open(source)
+            try:
+                jvm.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+            finally:
+                read.close()
+    finally:
+        out.close()
+
+
 def rename_new(spark: SparkSession, path: str, to: str) -> bool:
     """Put a file in its place in one step; False if something is there."""
     jvm = spark._jvm.org.apache.hadoop.fs

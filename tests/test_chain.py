@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import producers, prompts, report, segments
+from gleaner.operators import document, producers, prompts, report, segments
 from gleaner.plans import run as whole
 
 CANDIDATE = "struct<key:string,title:string,text:string,score:double,matched_by:array<string>,text_zh:string>"
@@ -136,7 +136,8 @@ def test_a_run_from_findings_to_report(spark, tmp_path):
     assert sorted((r.target, r.section) for r in made.blocks.collect()) == [("10.0.0.1", 0), ("10.0.0.1", 1), ("f.bin", 0), ("f.bin", 1), ("http://a", 0), ("http://a", 2)]
     assert "iec-0 t0, practice" in made.process.first().text
     places = whole.write(made, str(tmp_path / "out"))
-    assert {json.loads(r.value)["finding_id"] for r in spark.read.text(places["findings"]).collect()} == {"a", "b", "c"}
+    document.assemble(spark, places["findings"], str(tmp_path / "findings.json"))
+    assert [f["finding_id"] for f in json.loads((tmp_path / "findings.json").read_text())] == ["a", "b", "c"]
     assert spark.read.text(f"{places['report']}/target=10.0.0.1").count() > 2
     nothing = whole.run(findings.limit(0), entries, stores, good)
     assert nothing.merged.count() == nothing.plan.count() == nothing.blocks.count() == nothing.process.count() == 0 and nothing.stages == {"analysis": "skipped", "report": "skipped"}
