@@ -15,6 +15,7 @@ from gleaner.plans import standins as s
 from gleaner.plans.standins import table
 from gleaner.sources import firmware, knowledge, portscan, web
 from gleaner.storage import keep, shared_dir
+from gleaner.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -887,3 +888,32 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, n = s.findings(spark, sf_dir), F.col("finding_id")
     own, clause = cache.signature(rows), F.concat(F.lit("CR "), (n % 4).cast("string"))
     return rows.select("finding_id", cache.clause_key_of(clause, own).alias("remediation_key"), cache.summary_key(own, F.when(n % 2 == 0, "CWE-1"), clause, F.lit(None)).alias("summary_key"))
+
+
+# Job states, console lines and scope of scans of any size
+
+JOB_RANK = "CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN 2 WHEN event_type = 'purchase' THEN 3 WHEN event_type = 'error' AND event_id % 4 <> 0 THEN 4 END"
+
+
+@query(f"""WITH e AS (SELECT *, user_id * 20 + event_id % 20 AS j FROM events), jobs AS (SELECT j, j // 20 AS u, bool_or(event_type = 'error' AND event_id % 4 = 0) AS failed FROM e GROUP BY j HAVING bool_or(event_type = 'signup')),
+  told AS (SELECT j, event_id % 5 AS ord, max({JOB_RANK}) AS rank FROM e GROUP BY ALL),
+  rows AS (SELECT jobs.*, s.ord, ['ports', 'firmware', 'web', 'analysis', 'report'][s.ord + 1] AS stage, rank, CASE s.ord WHEN 0 THEN u % 2 = 0 WHEN 1 THEN u % 3 = 0 WHEN 2 THEN u % 4 = 0 WHEN 3 THEN true ELSE u % 5 = 0 END AS given FROM jobs CROSS JOIN (SELECT unnest(range(5)) AS ord) s LEFT JOIN told ON told.j = jobs.j AND told.ord = s.ord)
+  SELECT CAST(j AS VARCHAR) AS job_id, CAST(ord AS INTEGER) AS ord, stage, CASE WHEN NOT given THEN 'skipped' WHEN rank = 3 THEN 'done' WHEN rank = 4 OR failed THEN 'error' WHEN rank = 2 THEN 'running' ELSE 'pending' END AS status FROM rows""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of jobs from their events, which come in any order and more than once."""
+    n, u = F.col("event_id"), F.col("user_id")
+    kind = F.when(F.col("event_type") == "signup", jobs.SUBMITTED).when((F.col("event_type") == "error") & (n % 4 == 0), jobs.FAILED).otherwise(jobs.TOLD)
+    status = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "done").otherwise("error")
+    given = lambda m, value: F.when(u % m == 0, value)
+    rows = table(spark, sf_dir, "events").select((u * 20 + n % 20).cast("string").alias("job_id"), kind.alias("kind"), F.element_at(F.array(*[F.lit(x) for x in jobs.NAMES]), (n % 5 + 1).cast("int")).alias("stage"), status.alias("status"), F.col("ts").alias("at"), given(2, "10.0.0.1").alias("ip"), given(3, "f.bin").alias("firmware"), given(4, "http://a").alias("url"), (u % 5 == 0).alias("report"))
+    return jobs.states(rows)
+
+
+@query(f"""WITH {s.CLASSIFIED} SELECT ({s.RANK.format("risk_level")}) * 1099511627776 + seq AS ord, '[' || upper(risk_level) || '] ' || title || ' — ' || target || ': ' || CASE status WHEN 'matched' THEN 'breaks ' || iec_reference || '; ' || cra_reference ELSE 'to be reviewed' END AS line FROM classified""")
+def analysis_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.analysis_lines(classify.classify(s.findings(spark, sf_dir)))
+
+
+@query(f"WITH {s.FINDINGS} SELECT DISTINCT category, target FROM findings")
+def scope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.scope_rows(s.findings(spark, sf_dir))
