@@ -60,12 +60,28 @@ def numbered_within(rows: DataFrame, by: list[str], order: list[str], name: str)
 
 
 def target_ranks(merged: DataFrame, order: str = "seq") -> DataFrame:
-    """Adds the place of each target, by its first row in risk order, and of each row in its target."""
-    place = F.struct(level_rank(F.col("risk_level")).alias("level"), F.col(order).alias("at"))
-    first = merged.groupBy("target").agg(F.min(place).alias("first")).select("target", "first.*")
-    ranked = numbered(first, "level", "at", "group_rank").select("target", "group_rank")
-    placed = numbered_within(merged.withColumn("_level", level_rank(F.col("risk_level"))), ["target"], ["_level", order], "item_rank").drop("_level")
-    return placed.join(ranked, "target")
+    """Adds the place of each target, by its first row in risk order, and of each row in its target.
+
+    Rows are dealt once into ranges of risk order, which serve both ranks. A row's place in its target is
+    its place there within the range and the target's rows in earlier ranges; a target's place is that of
+    its first row among the first rows of its range, and the targets that begin in earlier ones.
+    """
+    level, cell, here, before, first = "_level", "_cell", "_here", "_before", "_first"
+    leveled = merged.withColumn(level, level_rank(F.col("risk_level")))
+    dealt = keep(leveled.repartitionByRange(level, order).withColumn(cell, F.spark_partition_id()))
+    counts = dealt.groupBy("target", cell).agg(F.count(F.lit(1)).alias(here), F.min(F.struct(F.col(level), F.col(order).alias("at"))).alias(first))
+    of_target = Window.partitionBy("target").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    counts = keep(counts.withColumn(before, F.coalesce(F.sum(here).over(of_target), F.lit(0))))
+    # A target begins in the range before which it has no rows.
+    begun = counts.filter(F.col(before) == 0).select("target", cell, first)
+    per_cell = begun.groupBy(cell).agg(F.count(F.lit(1)).alias(here))
+    earlier = per_cell.select(F.col(cell).alias("at"), (F.sum(here).over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)) - F.col(here)).alias("_targets"))
+    place = F.row_number().over(Window.partitionBy(cell).orderBy(first))
+    ranked = begun.withColumn("_place", place).join(earlier, F.col(cell) == F.col("at")).select("target", (F.col("_place") + F.col("_targets")).cast("int").alias("group_rank"))
+    told = counts.alias("c").join(ranked.alias("k"), F.expr("c.target <=> k.target")).select("c.target", F.col(f"c.{cell}").alias("_at"), F.col(f"c.{before}").alias(before), "k.group_rank")
+    within = F.row_number().over(Window.partitionBy("target", cell).orderBy(level, order))
+    rows = dealt.withColumn("item_rank", within).alias("r").join(told.alias("t"), F.expr(f"r.target <=> t.target AND r.{cell} = t._at"))
+    return rows.select(*[F.col(f"r.`{c}`") for c in merged.columns], "t.group_rank", (F.col("r.item_rank") + F.col(f"t.{before}")).cast("int").alias("item_rank"))
 
 
 def scope_rows(findings: DataFrame) -> DataFrame:
