@@ -429,13 +429,23 @@ def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.articles(table(spark, sf_dir, "pages").select("page_id", F.expr(made).alias("page")), "page_id", "page")
 
 
-@query("""SELECT page_id, 'Annex I Part I (1)' AS article_no, 'Part I Demands' AS title, 'A' || page_id AS text FROM pages UNION ALL SELECT page_id, 'Annex I Part I (1)(a)', 'Part I Demands', 'deep ' || page_id % 5 FROM pages
-  UNION ALL SELECT page_id, 'Annex I Part II 1', 'Part II Process', 'plain text' FROM pages UNION ALL SELECT page_id, 'Annex IV (3)', '', 'item ' || page_id FROM pages""")
+@query("""WITH t AS (SELECT page_id, unnest(range(page_id % 4)) AS i FROM pages), p AS (SELECT page_id, unnest(range(page_id % 3)) AS j FROM pages), l AS (SELECT page_id, unnest(range((page_id + 1) % 3)) AS k FROM pages)
+  SELECT page_id, 'Annex I Part I (' || i + 1 || ')' AS article_no, 'Part I Demands' AS title, 'A' || page_id || '-' || i AS text FROM t
+  UNION ALL SELECT page_id, 'Annex I Part I (' || i + 1 || ')(a)', 'Part I Demands', 'deep ' || i || CASE WHEN page_id % 2 = 0 THEN ' more' ELSE '' END FROM t WHERE (page_id + i) % 3 = 0
+  UNION ALL SELECT page_id, 'Annex I Part I (' || i + 1 || ')(a)(ii)', 'Part I Demands', 'deeper' FROM t WHERE (page_id + i) % 3 = 0 AND page_id % 2 = 0
+  UNION ALL SELECT page_id, 'Annex I Part II ' || j + 1, 'Part II Process', 'plain text ' || j FROM p
+  UNION ALL SELECT page_id, 'Annex III ' || 1, 'No part', 'x ' || page_id FROM pages WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id, 'Annex IV (' || k + 1 || ')', '', 'item ' || page_id || ' ' || k FROM l""")
 def annex_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, m = F.col("page_id").cast("string"), (F.col("page_id") % 5).cast("string")
-    nested = F.concat(F.lit("<table><tr><td>(a)</td><td><p class='oj-normal'>deep "), m, F.lit("</p></td></tr></table>"))
-    page = F.concat(F.lit("<div id='anx_I'><p class='oj-ti-grseq-1'>Part I Demands</p><table><tr><td></td><td><p>(1)</p></td><td><span>A"), n, F.lit("</span>"), nested, F.lit("</td></tr><tr><td>(9)</td><td><span>second row</span></td></tr></table><p class='oj-ti-grseq-1'>Part II Process</p><table><tr><td>plain</td><td>text</td></tr></table></div><div id='anx_IV'><div class='oj-enumeration-spacing'><p>3.</p><p><span>item "), n, F.lit("</span></p></div></div>"))
-    return knowledge.annexes(table(spark, sf_dir, "pages").select("page_id", page.alias("page")), "page_id", "page").select("page_id", "article_no", "title", "text")
+    """Pages with none to three items, two levels of items in some of them, items without labels, a part without a number, and a list."""
+    page = """concat('<div id="anx_I"><p class="oj-ti-grseq-1">Part I Demands</p>', array_join(transform(filter(sequence(0L, 3L), i -> i < page_id % 4), i -> concat(
+      '<table><tr><td></td><td><p>(', i + 1, ')</p></td><td><span>A', page_id, '-', i, '</span>',
+      if((page_id + i) % 3 = 0, concat('<table class=x><tbody><tr><td>(a)</td><td><p class="oj-normal">deep ', i, '</p>', if(page_id % 2 = 0, '<span>more</span><table><tr><td>(ii)</td><td><p class="oj-normal">deeper</p></td></tr></table>', '<p>not this</p>'), '</td></tr></tbody></table>'), ''),
+      '</td></tr><tr><td>(9)</td><td><span>second row</span></td></tr></table>')), ''),
+      '<p class="oj-ti-grseq-1">Part II Process</p>', array_join(transform(filter(sequence(0L, 2L), j -> j < page_id % 3), j -> concat('<table><tr><td>plain</td><td>text ', j, '</td></tr></table>')), ''), '<table></table></div>',
+      if(page_id % 5 = 0, concat('<div id="anx_III"><p class="oj-ti-grseq-1">No part</p><table><tr><td>x</td><td>', page_id, '</td></tr></table></div>'), ''),
+      '<div id="anx_IV">', array_join(transform(filter(sequence(0L, 2L), k -> k < (page_id + 1) % 3), k -> concat('<div class="oj-enumeration-spacing"><p>', k + 1, '.</p><p><span>item ', page_id, '</span></p><p>', k, '</p></div>')), ''), '<div><p>1.</p><p>no item</p></div></div>')"""
+    return knowledge.annexes(table(spark, sf_dir, "pages").select("page_id", F.expr(page).alias("page")), "page_id", "page").select("page_id", "article_no", "title", "text")
 
 
 @query(r"""WITH b AS (SELECT doc_id, coalesce(text, '') || array_to_string(list_transform(range(doc_id % 10), lambda i: ' Article' || repeat(' ', CAST(i % 3 + 1 AS INTEGER)) || (doc_id + i) % 99 || CASE WHEN i % 2 = 0 THEN chr(10) ELSE ', ' END || source || ' and Article x ' || i), '') AS body FROM documents),
@@ -449,13 +459,20 @@ def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.split_articles(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), "doc_id", "body")
 
 
-@query("SELECT event_id, 'CWE-' || event_id AS key, 'N' || event_type AS title, 'a b' AS text, CASE WHEN event_id % 2 = 0 THEN 'm1' ELSE '' END AS mitigations, 'N' || event_type || chr(10) || 'a b' || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'm1' ELSE '' END AS embedding_text FROM events WHERE event_id % 5 <> 0")
+@query("""WITH e AS (SELECT event_id, event_id AS id, 'N' || event_type AS title, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'a b' END AS text, '' AS extended, CASE WHEN event_id % 2 = 0 THEN 'm1' ELSE '' END AS mitigations FROM events WHERE event_id % 5 <> 0
+  UNION ALL SELECT event_id, event_id + 1000000, '', event_type, 'more of it', 'x|y' FROM events WHERE event_id % 4 = 3)
+  SELECT id AS event_id, 'CWE-' || id AS key, title, text, mitigations, array_to_string(list_filter([title, text, extended, replace(mitigations, '|', chr(10))], lambda p: p <> ''), chr(10)) AS embedding_text FROM e""")
 def weakness_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in four forms: with a prefix, with a default namespace, a slice whose prefix is declared elsewhere, and one of two entries with a comment."""
     n = F.col("event_id")
-    fix = F.when(n % 2 == 0, "<w:Potential_Mitigations><w:Mitigation><w:Phase>x</w:Phase><w:Description>m1</w:Description></w:Mitigation></w:Potential_Mitigations>").otherwise("")
-    xml = F.concat(F.lit("<w:List xmlns:w='urn:w'><w:Weaknesses><w:Weakness ID='"), n.cast("string"), F.lit("' Name='N"), F.col("event_type"), F.lit("' Status='"), F.when(n % 5 == 0, "Deprecated").otherwise("Draft"), F.lit("'><w:Description>a <w:p> b </w:p></w:Description>"), fix, F.lit("</w:Weakness></w:Weaknesses></w:List>"))
-    rows = knowledge.weaknesses(table(spark, sf_dir, "events").select(xml.alias("xml")))
-    return rows.select(F.substring_index("key", "-", -1).cast("long").alias("event_id"), "key", "title", "text", F.array_join("mitigations", "|").alias("mitigations"), "embedding_text")
+    made = """concat('<', p, 'Weakness\n ID="', event_id, '" Name="N', event_type, '" Status="', if(event_id % 5 = 0, 'Deprecated', 'Draft'), '">', if(event_id % 9 = 0, '', concat('<', p, 'Description>a <', p, 'b> b </', p, 'b></', p, 'Description>')),
+      if(event_id % 2 = 0, concat('<', p, 'Potential_Mitigations><', p, 'Mitigation><', p, 'Phase>x</', p, 'Phase><', p, 'Description>m1</', p, 'Description></', p, 'Mitigation></', p, 'Potential_Mitigations>'), ''), '</', p, 'Weakness>')"""
+    second = """concat('<!-- <Weakness ID="0" Name="no"/> --><Weakness ID="', event_id + 1000000, '"><Extended_Description><p>more</p> of it</Extended_Description><Description>', event_type, '</Description><Potential_Mitigations><Mitigation><Description>x</Description></Mitigation><Mitigation/><Mitigation><Description>y</Description></Mitigation></Potential_Mitigations></Weakness>')"""
+    rows = table(spark, sf_dir, "events").withColumn("p", F.when(n % 4 == 0, "w:").when(n % 4 == 2, "cwe:").otherwise("")).withColumn("own", F.expr(made))
+    xml = F.when(n % 4 == 0, F.concat(F.lit("<w:List xmlns:w='urn:w'><w:Weaknesses>"), "own", F.lit("</w:Weaknesses></w:List>"))).when(n % 4 == 1, F.concat(F.lit("<List xmlns='urn:w'><Weaknesses>"), "own", F.lit("</Weaknesses></List>"))).when(n % 4 == 2, F.col("own"))
+    xml = F.coalesce(xml, F.concat(F.lit("<List>"), F.expr(second), F.col("own"), F.lit("</List>")))
+    found = knowledge.weaknesses(rows.select(xml.alias("xml")))
+    return found.select(F.substring_index("key", "-", -1).cast("long").alias("event_id"), "key", "title", "text", F.array_join("mitigations", "|").alias("mitigations"), "embedding_text")
 
 
 # Scan outputs
