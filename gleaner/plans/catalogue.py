@@ -669,11 +669,11 @@ def report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The review path: candidates of findings that no rule decides, and what is made of them
 
-KB_OF_LANG = "CASE lang WHEN 'en' THEN 'cwe' WHEN 'de' THEN 'iec' WHEN 'fr' THEN 'cra' END"
-VECTOR_OF_QUERY = "(length(query) * 37 + ascii(right(query, 1))) % 500"
+KB_OF_LANG = "CASE lang WHEN 'de' THEN 'iec' WHEN 'fr' THEN 'cra' ELSE 'cwe' END"
+VECTOR_OF_QUERY = "(length(query) * 37 + ascii(right(query, 1))) % (SELECT count(*) FROM embeddings)"
 FINDING_TEXT = "CASE WHEN category = 'network' THEN service || ' service' ELSE title END"
 REVIEW = f"""{s.CLASSIFIED}, asked_texts AS (SELECT DISTINCT {FINDING_TEXT} AS query FROM classified WHERE status = 'needs_review'),
-  {bm25_sql(f"SELECT {KB_OF_LANG} AS kb, doc_id AS pos, text FROM documents WHERE lang IN ('en', 'de', 'fr')", "SELECT query AS query_id, query FROM asked_texts")},
+  {bm25_sql(f"SELECT {KB_OF_LANG} AS kb, doc_id AS pos, text FROM documents", "SELECT query AS query_id, query FROM asked_texts")},
   dense AS (SELECT * FROM (SELECT query AS query_id, d.kb, d.pos, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score,
     row_number() OVER (PARTITION BY query, d.kb ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, d.pos) AS dense_rank
     FROM asked_texts JOIN embeddings q ON q.vec_id = {VECTOR_OF_QUERY} CROSS JOIN docs d JOIN embeddings v ON v.vec_id = d.pos) WHERE dense_rank <= 10),
@@ -684,13 +684,14 @@ REVIEW = f"""{s.CLASSIFIED}, asked_texts AS (SELECT DISTINCT {FINDING_TEXT} AS q
 
 
 def reviewed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All findings classified and finished; documents in three languages stand in for the knowledge bases."""
+    """All findings classified and finished; all documents stand in for the knowledge bases, by language."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    kb = F.when(F.col("lang") == "en", "cwe").when(F.col("lang") == "de", "iec").when(F.col("lang") == "fr", "cra")
-    entries = table(spark, sf_dir, "documents").select(kb.alias("kb"), F.col("doc_id").alias("pos"), F.concat(F.lit("K"), F.col("doc_id").cast("string")).alias("key"), F.col("source").alias("title"), F.col("text").alias("body"), "text").filter("kb IS NOT NULL").join(vectors, "pos", "left")
+    kb = F.when(F.col("lang") == "de", "iec").when(F.col("lang") == "fr", "cra").otherwise("cwe")
+    n = vectors.count()
+    entries = table(spark, sf_dir, "documents").select(kb.alias("kb"), F.col("doc_id").alias("pos"), F.concat(F.lit("K"), F.col("doc_id").cast("string")).alias("key"), F.col("source").alias("title"), F.col("text").alias("body"), "text").join(vectors, "pos", "left")
 
     def embed(asked: DataFrame) -> DataFrame:
-        place = (F.length("query") * 37 + F.ascii(F.right("query", F.lit(1)))) % 500
+        place = (F.length("query") * 37 + F.ascii(F.right("query", F.lit(1)))) % n
         return asked.withColumn("pos", place.cast("long")).join(vectors, "pos")
 
     none = F.lit("")
