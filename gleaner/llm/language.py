@@ -49,9 +49,8 @@ class Model:
     gram_scores: list[np.ndarray]
 
 
-def _tally(counted: DataFrame, key: str, languages: list[str]) -> tuple[list[str], np.ndarray]:
+def _tally(found: pd.DataFrame, key: str, languages: list[str]) -> tuple[list[str], np.ndarray]:
     """The keys of (lang, key, n) rows and the log share that each has in each language, smoothed."""
-    found = counted.toPandas()
     row, keys = pd.factorize(found[key], sort=True)
     place = found["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy(np.int64)
     table = np.zeros((len(keys), len(languages)))
@@ -79,14 +78,16 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 0) -> Mod
     tally = keep(each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     # A word seen once says little about whole words; its n-grams still count.
     often = tally.groupBy("word").agg(F.max("n").alias("most")).filter("most > 1")
-    known, scores = _tally(tally.join(often, "word").select("lang", "word", "n"), "word", languages)
+    known, scores = _tally(tally.join(often, "word").select("lang", "word", "n").toPandas(), "word", languages)
     hashes = _word_hashes(known)
     order = np.argsort(hashes)
     grams, gram_scores = [], []
+    pieces = ", ".join(f"CASE WHEN length(word) + 3 > {n} THEN transform(sequence(1, length(word) + 3 - {n}), i -> substring(concat(' ', word, ' '), i, {n})) ELSE array() END" for n in range(1, LONGEST + 1))
+    each = tally.select("lang", "n", F.explode(F.expr(f"flatten(array({pieces}))")).alias("gram")).filter("gram <> ' '")
+    sums = each.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    size = sums["gram"].str.len()
     for n in range(1, LONGEST + 1):
-        starts = f"sequence(1, length(word) + 3 - {n})"
-        pieces = tally.filter(F.length("word") + 3 > n).select("lang", "n", F.explode(F.expr(f"transform({starts}, i -> substring(concat(' ', word, ' '), i, {n}))")).alias("gram"))
-        keys, shares = _tally(pieces.filter("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", languages)
+        keys, shares = _tally(sums[size == n], "gram", languages)
         chars = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)
         codes = _gram_hashes(chars, n)[::n] if keys else np.zeros(0, np.uint64)
         place = np.argsort(codes)
