@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,36 @@ def test_block_maxima_spare_scores(small_ranges, backwards):
     assert found.scored < 0.7 * found.passed
 
 
+def test_row_groups_of_an_index_hold_few_ranges(spark, tmp_path):
+    """Readers and writers of Parquet hold a row group, and a range is some megabytes large."""
+    docs = spark.range(300).select(F.col("id").cast("string").alias("kb"), F.col("id").alias("pos"), F.lit("a b").alias("text")).coalesce(1)
+    index.build(docs).write(str(tmp_path / "index"))
+    (ranges,) = (tmp_path / "index" / "ranges").glob("*.parquet")
+    told = pq.ParquetFile(ranges).metadata
+    assert told.num_rows == 300 and max(told.row_group(i).num_rows for i in range(told.num_row_groups)) <= 8
+    parts = vectors.build(spark.range(20_000).select(F.col("id").alias("pos"), F.array(F.sin("id"), F.cos("id")).alias("embedding")).coalesce(1)).write(str(tmp_path / "vectors")).cells
+    (cells,) = (tmp_path / "vectors" / "cells").glob("*.parquet")
+    told = pq.ParquetFile(cells).metadata
+    assert told.num_rows == parts.count() > 64 >= max(told.row_group(i).num_rows for i in range(told.num_row_groups))
+
+
+def test_stored_rows_come_in_small_batches(spark, tmp_path):
+    """While a search runs, not before or after it, Arrow batches are bounded by a few megabytes."""
+    before, seen = spark.conf.get(storage.BATCH_BYTES), []
+
+    def search(block):
+        return spark.range(3).mapInArrow(lambda batches: batches, "id long"), spark.sparkContext.broadcast(block)
+
+    def kept(df, *args, **options):
+        seen.append(df.sparkSession.conf.get(storage.BATCH_BYTES))
+        return storage.keep(df, *args, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(index, "keep", kept)
+        assert index.over_blocks(iter([[1]]), search).count() == 3
+    assert seen == [storage.BATCH] and spark.conf.get(storage.BATCH_BYTES) == before
+
+
 def test_best_keeps_order_at_large_scores():
     scores = np.zeros((10_000, 2))
     scores[5000, 0], scores[17, 0], scores[3:9, 1] = 2e6, 1e6, 5e6
