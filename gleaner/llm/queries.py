@@ -67,9 +67,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", sharding.text_bytes().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    placed = sharding.external_shuffle(rows, SHARDS, F.col("size"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    digests = [sharding.text_bytes().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")]
+    # Whole rows are placed; size and checksum are taken of the texts that come out.
+    placed = sharding.external_shuffle(docs, SHARDS, by=[F.col("doc_id"), *digests])
+    return placed.select("doc_id", *digests, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

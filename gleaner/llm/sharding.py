@@ -42,26 +42,30 @@ def text_bytes(column: str = "text") -> F.Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + F.lit(ROW_BYTES)
 
 
-def external_shuffle(df: DataFrame, shards: int, size: F.Column | None = None, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def external_shuffle(df: DataFrame, shards: int, size: F.Column | None = None, seed: int = 0, bucket_bytes: int = BUCKET_BYTES, by: list[F.Column] | None = None) -> DataFrame:
     """The rows of ``df`` in a seeded random order, with ``shard`` (0 to ``shards`` - 1) and ``slot``.
 
     The shards' row counts are at most one apart, and the slots of each run from 0 without a gap.
-    ``size`` measures a row; the sum of it decides how many buckets there are. The rows come out
-    bucket by bucket, so each output file holds a contiguous range of few shards.
+    ``size`` measures a row; the sum of it decides how many buckets there are. ``by`` is what a row's
+    hash is taken of, all columns if it is not given. The rows come out bucket by bucket, so each output
+    file holds a contiguous range of few shards.
     """
-    (measured,) = free_name(df, "measured")
+    measured, hashed = free_name(df, "measured", "hashed")
+    added = {measured: text_bytes() if size is None else size}
+    if by is not None:
+        added[hashed] = F.xxhash64(F.lit(seed), *by)
 
     def shuffled(plain: DataFrame) -> DataFrame:
         flat, back = without_maps(plain)
-        return back(_shuffle(flat, shards, measured, seed, bucket_bytes))
+        return back(_shuffle(flat, shards, measured, hashed, seed, bucket_bytes))
 
-    return on_plain_names(df.withColumn(measured, text_bytes() if size is None else size), shuffled, measured)
+    return on_plain_names(df.withColumns(added), shuffled, *added)
 
 
-def _shuffle(df: DataFrame, shards: int, size: str, seed: int, bucket_bytes: int) -> DataFrame:
-    columns = [c for c in df.columns if c != size]
+def _shuffle(df: DataFrame, shards: int, size: str, hashed: str, seed: int, bucket_bytes: int) -> DataFrame:
+    columns = [c for c in df.columns if c not in (size, hashed)]
     bucket, key, held, rows, cell, at, before, total, copy, shard, slot = free_name(df, "bucket", "key", "bytes", "rows", "cell", "at", "before", "total", "copy", "shard", "slot")
-    keyed = df.withColumn(key, F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]))
+    keyed = df.withColumnRenamed(hashed, key) if hashed in df.columns else df.withColumn(key, F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]))
     # Eight bytes a row and two counts, combined before they move; all later counts come from here.
     tally = keep(keyed.groupBy(key).agg(F.sum(size).alias(held), F.count(F.lit(1)).alias(rows)))
     every = tally.agg(F.sum(held).alias("bytes"), F.sum(rows).alias("rows")).first()

@@ -190,6 +190,22 @@ def test_shard_query_matches_plain_buckets(spark, sf):
     assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]), "rows", None) for r in rows)
 
 
+def test_shard_query_places_whole_rows(spark, sf, monkeypatch):
+    """The operator gets every column, and the query reads size and checksum off the texts that it gives back."""
+    placed = []
+    own = sharding.external_shuffle
+
+    def changed(df, *args, **options):
+        placed.append(df.columns)
+        return own(df, *args, **options).withColumn("text", F.lit("xyz"))
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sharding, "external_shuffle", changed)
+        rows = queries.op8_sharding(spark, sf).select("size", "text_crc32").distinct().collect()
+    assert [tuple(r) for r in rows] == [(19, zlib.crc32(b"xyz"))]
+    assert set(spark.read.parquet(f"{sf}/documents.parquet").columns) <= set(placed[0])
+
+
 def test_shuffle_keeps_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, "", None, "a", 2)] + [(7, "same", "en", "a", 4)] * 9 + [(i, "t" * i, "en", "b", i) for i in range(50)], SCHEMA)
     got = sharding.external_shuffle(docs, 4, bucket_bytes=200)
