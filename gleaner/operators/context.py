@@ -71,7 +71,11 @@ def clause_index(entries: DataFrame, number: Column, order: Column, text: Column
 
 
 def with_clause_text(rows: DataFrame, index: DataFrame, reference: Column, name: str = "clause_text") -> DataFrame:
-    """``rows`` with the text of the clause that they refer to, cut to what a prompt takes; blank without one."""
+    """``rows`` with the text of the clause that they refer to, cut to what a prompt takes; blank without one.
+
+    Texts are cut once a clause, before they are joined, not once a row.
+    """
+    cut = index.select("clause", truncate(F.col("body"), CLAUSE_CHARS, CLAUSE_MARK).alias("body"))
     keyed = rows.withColumn("_clause", clause_key(reference)).alias("r")
-    found = keyed.join(index.alias("i"), F.expr("r._clause = i.clause"), "left")
-    return found.select("r.*", truncate(F.col("i.body"), CLAUSE_CHARS, CLAUSE_MARK).alias(name)).drop("_clause")
+    found = keyed.join(cut.alias("i"), F.expr("r._clause = i.clause"), "left")
+    return found.select("r.*", F.coalesce("i.body", F.lit("")).alias(name)).drop("_clause")

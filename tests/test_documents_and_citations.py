@@ -70,3 +70,17 @@ def test_one_whitelist_for_all_texts(spark):
     allowed = spark.createDataFrame([(f"CWE-{i}",) for i in range(500)] + [("Article 9(1)",), ("IEC 62443-4-2 CR 1.1",), (None,), ("",)], "number string")
     found = citations.unsupported(citations.cited(texts, "id", "answer"), allowed, [])
     assert [(r.id, r.cite) for r in found.collect()] == [(1, "Article 3")]
+
+
+def test_clause_texts_are_cut_before_they_are_joined(spark):
+    """A long text is cut once a clause, not once for each of the rows that refer to it."""
+    from gleaner.operators import context
+
+    index = spark.createDataFrame([("article 1", " x" * 5000), ("article 2", "short")], "clause string, body string")
+    rows = spark.createDataFrame([(1, "Article 1"), (2, "Article  2"), (3, "Article 3"), (4, None)], "id int, ref string")
+    found = context.with_clause_text(rows, index, F.col("ref"))
+    want = {1: (" x" * 5000).strip()[:4000].rstrip() + "……", 2: "short", 3: "", 4: ""}
+    assert {r.id: r.clause_text for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[: plan.index("Join")]
+    assert "4000" not in joined and "4000" in plan
