@@ -98,6 +98,22 @@ def test_block_maxima_spare_scores(small_ranges, backwards):
     assert found.scored < 0.7 * found.passed
 
 
+def test_scores_are_held_in_bounded_parts(small_ranges, monkeypatch):
+    """Neither the scores of a range nor the pairs of its terms with queries grow with the queries of a block."""
+    rng = random.Random(5)
+    entries = [(i, zipf_text(rng, 300, 30)) for i in range(400)]
+    queries = [zipf_text(rng, 300, 20) for _ in range(200)]
+    monkeypatch.setattr(index, "SCORE_CELLS", 1000)
+    monkeypatch.setattr(index, "PAIRS", 500)
+    sizes, pairs, add, add_pairs = [], [], index.Best.add, index.Block._add_pairs
+    monkeypatch.setattr(index.Best, "add", lambda self, scores, *args: (sizes.append(scores.size), add(self, scores, *args))[1])
+    monkeypatch.setattr(index.Block, "_add_pairs", lambda self, scores, row, term, value, count, to: (pairs.append(count.sum()), add_pairs(self, scores, row, term, value, count, to))[1])
+    found, want = searcher_over(entries, queries, 4, list(range(0, 400, 40)))
+    best = found.best["k"]
+    assert {i: best.keys[:, i].tolist() for i in want} == want
+    assert max(sizes) <= 1000 and max(pairs) <= 500 + 200
+
+
 def test_row_groups_of_an_index_hold_few_ranges(spark, tmp_path):
     """Readers and writers of Parquet hold a row group, and a range is some megabytes large."""
     docs = spark.range(300).select(F.col("id").cast("string").alias("kb"), F.col("id").alias("pos"), F.lit("a b").alias("text")).coalesce(1)
