@@ -127,6 +127,18 @@ def test_row_groups_of_an_index_hold_few_ranges(spark, tmp_path):
     assert told.num_rows == parts.count() > 64 >= max(told.row_group(i).num_rows for i in range(told.num_row_groups))
 
 
+def test_a_range_is_a_row_of_few_megabytes():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(400)) for _ in range(1000)]
+    rows = pa.RecordBatch.from_arrays([pa.array(["k"] * 1000), pa.array(range(1000), pa.int64()), pa.array(texts)], ["kb", "pos", "text"])
+    made = list(index._ranges(rows, 400.0))
+    assert max(r.nbytes for r in made) <= 3 << 20
+    assert [k for r in made for k in r.column(1)[0].as_py()] == list(range(1000))
+    assert sum(len(r.column(4)[0]) for r in made) == sum(len(set(t.split())) for t in texts)
+
+
 def test_stored_rows_come_in_small_batches(spark, tmp_path):
     """While a search runs, not before or after it, Arrow batches are bounded by a few megabytes."""
     before, seen = spark.conf.get(storage.BATCH_BYTES), []
