@@ -24,20 +24,24 @@ def hybrid_candidates(asked: DataFrame, entries: DataFrame, k: int, embed: Calla
     return _fused(sparse, asked, entries, k, embed)
 
 
-def _fused(sparse: DataFrame, asked: DataFrame, entries: DataFrame, k: int, embed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+def _fused(sparse: DataFrame, asked: DataFrame, entries: DataFrame, k: int, embed: Callable[[DataFrame], DataFrame] | None, vectors: DataFrame | None = None) -> DataFrame:
     if embed is None:
         dense = sparse.select("query_id", "pos", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("dense_rank")).limit(0)
     else:
-        dense = retrieval.dense_topk(embed(asked).select("query_id", "embedding"), entries.select("pos", "embedding"))
+        own = entries.select("pos", "embedding") if vectors is None else entries.select("pos").join(vectors.select("pos", "embedding"), "pos")
+        dense = retrieval.dense_topk(embed(asked).select("query_id", "embedding"), own)
     fused = retrieval.hybrid(dense, sparse, ["query_id"], k, mode="sparse" if embed is None else "both")
-    return fused.select("query_id", "pos", "rank", "dense_score", "matched_by").join(entries.drop("embedding", "kb"), "pos")
+    # Kept, so its size is known: few rows are broadcast to the entries, whose texts then stay where they are read.
+    best = keep(fused.select("query_id", "pos", "rank", "dense_score", "matched_by"))
+    return best.join(entries.drop("embedding", "kb"), "pos")
 
 
-def with_candidates(findings: DataFrame, kb: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, k: int = PER_FINDING, text: str = "query") -> DataFrame:
+def with_candidates(findings: DataFrame, kb: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, k: int = PER_FINDING, text: str = "query", vectors: DataFrame | None = None) -> DataFrame:
     """``findings`` with ``rag``, a struct of an array of candidates for each knowledge base.
 
     Only findings that need review are looked up, and each of their texts once, whatever the number of
-    findings that have it. ``kb`` has kb, pos, key, title, body (text), text to search and embedding.
+    findings that have it. ``kb`` has kb, pos, key, title, body (text), text to search and embedding; with
+    ``vectors`` (pos, embedding) it has no embedding, so texts are not moved to be joined with theirs.
     """
     review = findings.filter("status = 'needs_review'").select(F.col(text).alias("query")).distinct()
     asked = keep(review.withColumn("query_id", F.xxhash64("query")))
@@ -45,13 +49,14 @@ def with_candidates(findings: DataFrame, kb: DataFrame, embed: Callable[[DataFra
     # One search over the words of all knowledge bases, which have statistics of their own.
     words = keep(retrieval.bm25_topk(asked, kb.filter(F.col("kb").isin(*KBS))))
     for name in KBS:
-        best = _fused(words.filter(F.col("kb") == name), asked, kb.filter(F.col("kb") == name), k, embed)
+        best = _fused(words.filter(F.col("kb") == name), asked, kb.filter(F.col("kb") == name), k, embed, vectors)
         one = F.struct("key", "title", F.col("body").alias("text"), F.col("dense_score").alias("score"), "matched_by", F.lit(None).cast("string").alias("text_zh"))
         # At most k candidates a text.
         listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("one")))), lambda x: x["one"])
         found = found.join(best.groupBy("query_id").agg(listed.cast(CANDIDATE).alias(name)), "query_id", "left")
     none = F.array().cast(CANDIDATE)
-    rag = found.select(F.col("query").alias(text), F.struct(*[F.coalesce(name, none).alias(name) for name in KBS]).alias("rag"))
+    # A row a text, kept: however often the findings are read, nothing is searched again.
+    rag = keep(found.select(F.col("query").alias(text), F.struct(*[F.coalesce(name, none).alias(name) for name in KBS]).alias("rag")))
     looked_up = findings.withColumn("asked", F.when(F.col("status") == "needs_review", F.col(text)))
     return looked_up.join(rag.withColumnRenamed(text, "asked"), "asked", "left").drop("asked")
 
