@@ -139,6 +139,36 @@ def test_a_range_is_a_row_of_few_megabytes():
     assert sum(len(r.column(4)[0]) for r in made) == sum(len(set(t.split())) for t in texts)
 
 
+def full_ranges(spark, path):
+    """The stored index of texts that fill some ranges."""
+    word = lambda i: F.concat(F.lit("w"), F.pmod(F.hash("id", i), F.lit(20_000)).cast("string"))
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), word))
+    docs = spark.range(2500).select(F.lit("k").alias("kb"), F.col("id").alias("pos"), text.alias("text")).coalesce(1)
+    return index.build(docs).write(str(path))
+
+
+def test_a_row_group_of_full_ranges_is_a_few_megabytes(spark, tmp_path):
+    """Each of its columns is one page, whose codec takes buffers of that size outside of the heap."""
+    stored = full_ranges(spark, tmp_path / "index")
+    (ranges,) = (tmp_path / "index" / "ranges").glob("*.parquet")
+    told = pq.ParquetFile(ranges).metadata
+    groups = [told.row_group(i) for i in range(told.num_row_groups)]
+    assert told.num_rows >= 8 and max(g.num_rows for g in groups) <= 2 and max(g.total_byte_size for g in groups) <= 6 << 20
+    assert stored.ranges.select(F.sum(F.size("pos"))).first()[0] == 2500
+
+
+def test_terms_of_a_block_come_to_spark_as_arrow(spark, monkeypatch):
+    """Rows of Python objects would start Python workers of a second kind beside those of the search."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([("k", 1, "a b"), ("k", 2, "b c")], "kb string, pos long, text string")
+    asked = spark.createDataFrame([(1, "c a")], "query_id long, query string")
+    kept, given, create = index.build(docs).keep(), [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *args, **named: (given.append(type(data)), create(self, data, *args, **named))[1])
+    assert [r.pos for r in retrieval.search_topk(asked, kept, k=1).collect()] == [1]
+    assert given and set(given) == {pa.Table}
+
+
 def test_stored_rows_come_in_small_batches(spark, tmp_path):
     """While a search runs, not before or after it, Arrow batches are bounded by a few megabytes."""
     before, seen = spark.conf.get(storage.BATCH_BYTES), []
