@@ -169,6 +169,18 @@ def test_terms_of_a_block_come_to_spark_as_arrow(spark, monkeypatch):
     assert given and set(given) == {pa.Table}
 
 
+def test_full_ranges_come_to_a_search_one_at_a_time(spark, tmp_path):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    stored = full_ranges(spark, tmp_path / "index")
+    with storage.small_batches(spark):
+        assert max(r.n for r in stored.ranges.mapInArrow(sizes, "n long").collect()) <= 4 << 20
+
+
 def test_stored_rows_come_in_small_batches(spark, tmp_path):
     """While a search runs, not before or after it, Arrow batches are bounded by a few megabytes."""
     before, seen = spark.conf.get(storage.BATCH_BYTES), []
