@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -181,6 +182,24 @@ def test_full_ranges_come_to_a_search_one_at_a_time(spark, tmp_path):
         assert max(r.n for r in stored.ranges.mapInArrow(sizes, "n long").collect()) <= 4 << 20
 
 
+def test_a_search_holds_few_arrays_of_scores_and_pairs():
+    """What a range of some hundred long entries takes for a block of some thousand long queries."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [(i, zipf_text(rng, 20_000, 400)) for i in range(500)]
+    block = index.Block([(i, [f"w{min(int(rng.paretovariate(0.7)), 20_000)}" for _ in range(150)]) for i in range(3000)])
+    block.idf["k"] = np.ones(len(block.names))
+    one = index._range(pa.RecordBatch.from_arrays([pa.array(["k"] * 500), pa.array(range(500), pa.int64()), pa.array([t for _, t in texts])], ["kb", "pos", "text"]), [Counter(t.split()) for _, t in texts], 400.0)
+    keys, terms, begin, of, worth, maxima = (one.column(c)[0].values for c in range(1, 7))
+    found = index.Searcher(block, 10)
+    tracemalloc.start()
+    found.add("k", keys.to_numpy(), terms, *[x.to_numpy() for x in (begin, of, worth, maxima)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 32 << 20 and found.best["k"].full()
+
+
 def test_stored_rows_come_in_small_batches(spark, tmp_path):
     """While a search runs, not before or after it, Arrow batches are bounded by a few megabytes."""
     before, seen = spark.conf.get(storage.BATCH_BYTES), []
