@@ -1,6 +1,7 @@
 """The stored inverted index and the pruned vector search against plain Python."""
 
 import math
+import pickle
 import random
 import re
 import tracemalloc
@@ -200,6 +201,43 @@ def test_a_search_holds_few_arrays_of_scores_and_pairs():
     assert peak <= 32 << 20 and found.best["k"].full()
 
 
+def test_a_task_holds_few_copies_of_a_block_and_of_scores():
+    """Each Python worker holds a block, and beside the scores of a part little else once the k best are held."""
+    rng = random.Random(7)
+    block = index.Block([(i, [f"w{min(int(rng.paretovariate(0.5)), 50_000)}" for _ in range(150)]) for i in range(1000)])
+    pairs = len(block.query)
+    held = pickle.loads(pickle.dumps(block))
+    assert len(pickle.dumps(block)) <= 8 * pairs + block.dense.nbytes + 8 * len(block.start) + 20 * len(block.names)
+    assert [str(x) for x in held.names] == block.names and held.times.sum() == 150 * 1000
+    best, scores = index.Best(10), np.random.default_rng(7).random((500, 1000))
+    want = [sorted(range(500), key=lambda i: (-round(scores[i, q], 9), i))[:10] for q in range(1000)]
+    best.add(scores[:250], np.arange(250))
+    tracemalloc.start()
+    for at in range(250, 500, 50):
+        best.add(scores[at : at + 50], np.arange(at, at + 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best.keys.T.tolist() == want
+    # A part of 50 rows has 0.4 MB of scores.
+    assert peak <= 1_600_000
+
+
+def test_ties_and_late_columns_enter_the_best():
+    """Equal scores go by key whichever part comes first, and only the named columns change."""
+    rng = np.random.default_rng(8)
+    scores = np.round(rng.random((400, 30)) * 4) / 4 - 0.5
+    keys = np.array([f"k{i:03d}" for i in range(400)], object)
+    best, want = index.Best(5), [sorted(range(400), key=lambda i: (-scores[i, q], i))[:5] for q in range(30)]
+    for at in (200, 300, 0, 100):
+        some = slice(at, at + 100)
+        if at == 200:
+            best.add(scores[some], keys[some])
+        else:
+            for columns in (np.arange(0, 30, 2), np.arange(1, 30, 2)):
+                best.add(scores[some][:, columns], keys[some], columns)
+    assert best.keys.T.tolist() == [[f"k{i:03d}" for i in own] for own in want]
+
+
 def test_stored_rows_come_in_small_batches(spark, tmp_path):
     """While a search runs, not before or after it, Arrow batches are bounded by a few megabytes."""
     before, seen = spark.conf.get(storage.BATCH_BYTES), []
@@ -288,6 +326,18 @@ def test_vectors_equal_comparing_every_pair(spark, tmp_path):
     assert retrieval.dense_topk(asked, docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("n", [0, 30])
+def test_a_sample_of_vectors_comes_to_spark_as_arrow(spark, tmp_path, monkeypatch, n):
+    import pyarrow as pa
+
+    entries = spark.range(n).select(F.col("id").alias("pos"), F.array(F.sin("id"), F.cos("id") + 1).alias("embedding"))
+    built, given, create = vectors.build(entries), [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *args, **named: (given.append(type(data)), create(self, data, *args, **named))[1])
+    stored = built.write(str(tmp_path / "vectors"))
+    assert given == [pa.Table]
+    assert {size: matrix.tolist() for size, matrix in stored.sample.items()} == {size: matrix.tolist() for size, matrix in built.sample.items()}
+
+
 def test_vectors_of_a_length_outside_of_the_sample(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SAMPLE", 3)
     entries = [(i, v) for i, v in enumerate(clustered(200, 3, dims=4))] + [(300, [1.0, 2.0]), (301, [2.0, 1.0])]
