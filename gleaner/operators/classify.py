@@ -1,5 +1,6 @@
 """Classification of findings: rule table, then known vulnerabilities, then review."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ KNOWN_ADVICE = ("Update to a version without ", ", or apply the vendor's mitigat
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(*rule, *RULE_TEXTS[rule[0]]) for rule in RULES]
-    return spark.createDataFrame(rows, "rule_service string, rule_risk string, rule_cra string, rule_iec string, rule_reason string, rule_advice string")
+    columns = zip(*[(*rule, *RULE_TEXTS[rule[0]]) for rule in RULES], strict=True)
+    names = ["rule_service", "rule_risk", "rule_cra", "rule_iec", "rule_reason", "rule_advice"]
+    # From Arrow, so that no executor starts Python workers to unpickle rows, beside those of a search.
+    return spark.createDataFrame(pa.table([pa.array(c, pa.string()) for c in columns], names))
 
 
 def with_rule(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:

@@ -36,12 +36,13 @@ def _fused(sparse: DataFrame, asked: DataFrame, entries: DataFrame, k: int, embe
     return best.join(entries.drop("embedding", "kb"), "pos")
 
 
-def with_candidates(findings: DataFrame, kb: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, k: int = PER_FINDING, text: str = "query", vectors: DataFrame | None = None) -> DataFrame:
+def with_candidates(findings: DataFrame, kb: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, k: int = PER_FINDING, text: str = "query", vectors: DataFrame | None = None, texts: bool = True) -> DataFrame:
     """``findings`` with ``rag``, a struct of an array of candidates for each knowledge base.
 
     Only findings that need review are looked up, and each of their texts once, whatever the number of
     findings that have it. ``kb`` has kb, pos, key, title, body (text), text to search and embedding; with
     ``vectors`` (pos, embedding) it has no embedding, so texts are not moved to be joined with theirs.
+    Without ``texts`` candidates have none, and no finding's row carries those of its candidates.
     """
     review = findings.filter("status = 'needs_review'").select(F.col(text).alias("query")).distinct()
     asked = keep(review.withColumn("query_id", F.xxhash64("query")))
@@ -50,7 +51,7 @@ def with_candidates(findings: DataFrame, kb: DataFrame, embed: Callable[[DataFra
     words = keep(retrieval.bm25_topk(asked, kb.filter(F.col("kb").isin(*KBS))))
     for name in KBS:
         best = _fused(words.filter(F.col("kb") == name), asked, kb.filter(F.col("kb") == name), k, embed, vectors)
-        one = F.struct("key", "title", F.col("body").alias("text"), F.col("dense_score").alias("score"), "matched_by", F.lit(None).cast("string").alias("text_zh"))
+        one = F.struct("key", "title", (F.col("body") if texts else F.lit(None).cast("string")).alias("text"), F.col("dense_score").alias("score"), "matched_by", F.lit(None).cast("string").alias("text_zh"))
         # At most k candidates a text.
         listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("one")))), lambda x: x["one"])
         found = found.join(best.groupBy("query_id").agg(listed.cast(CANDIDATE).alias(name)), "query_id", "left")

@@ -326,6 +326,16 @@ def test_vectors_equal_comparing_every_pair(spark, tmp_path):
     assert retrieval.dense_topk(asked, docs.limit(0)).isEmpty()
 
 
+def test_a_search_of_vectors_has_one_python_worker_a_task(spark):
+    """Cells that are built for a search are stored before it reads them."""
+    entries = spark.range(30).select(F.col("id").alias("pos"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    built = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vectors, "search", lambda queries, index, k, query, *args: (built.append(index.cells), spark.createDataFrame([], f"{query} long, pos long, score double"))[1])
+        retrieval.dense_topk(entries.withColumnRenamed("pos", "query_id"), entries)
+    assert "MapInArrow" not in built[0]._jdf.queryExecution().toString() and built[0].select(F.sum(F.size("pos"))).first()[0] == 30
+
+
 @pytest.mark.parametrize("n", [0, 30])
 def test_a_sample_of_vectors_comes_to_spark_as_arrow(spark, tmp_path, monkeypatch, n):
     import pyarrow as pa
