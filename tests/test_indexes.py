@@ -373,3 +373,74 @@ def test_cells_spare_comparisons():
         want = np.lexsort((np.arange(len(own)), -exact[q]))[:3].tolist()
         assert [int(k) for i, k in zip(ids, keys, strict=True) if i == q] == want
     assert searcher.scored < 0.3 * searcher.passed
+
+
+def test_an_index_reads_its_texts_once(spark, tmp_path):
+    """Statistics and weights are sums over the stored ranges."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    entries, _ = corpus(4, 200)
+    docs = spark.createDataFrame(entries, "kb string, pos long, text string")
+    made = index.build(docs.mapInArrow(counted, docs.schema)).write(str(tmp_path / "index"))
+    assert seen.value == 200
+    want = retrieval.term_weights(retrieval.entry_counts(docs), retrieval.corpus_stats(docs))
+    rounded = lambda rows: sorted((str(r.kb), r.term, r.df, round(r.idf, 9)) for r in rows.collect())
+    assert rounded(made.terms) == rounded(want)
+    assert sorted(map(str, made.kbs.select("kb", "n", "avgdl").collect())) == sorted(map(str, retrieval.corpus_stats(docs).collect()))
+
+
+def test_tokens_of_texts_end_with_the_text():
+    import pyarrow as pa
+
+    texts = ["ab c1", "", "d", "é-x", "--", "9 9", "tail"]
+    tokens, counts = index.tokens_of(pa.array(["skipped", *texts])[1:])
+    assert tokens.to_pylist() == [t for x in texts for t in re.findall("[a-z0-9]+", x)] and counts.tolist() == [2, 0, 1, 1, 0, 2, 1]
+
+
+def test_blocks_of_queries_with_few_terms_read_few_terms(spark, tmp_path, monkeypatch):
+    """Many queries of a small vocabulary do not read a large index again for each block."""
+    entries, queries = corpus(3)
+    queries = [(q, text if q % 3 else "w1 w2 w2 w5") for q, text in queries]
+    stored = index.build(spark.createDataFrame(entries, "kb string, pos long, text string").repartition(3)).write(str(tmp_path / "index"))
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    terms = {t for _, text in queries for t in re.findall("[a-z0-9]+", text or "")}
+    few = index.narrowed(stored.ranges, asked.select(F.col("query").alias("text")))
+    assert {t for r in few.select("terms").collect() for t in r.terms} <= terms and few.select(F.sum(F.size("pos"))).first()[0] == len(entries)
+    monkeypatch.setattr(index, "QUERY_BLOCK", 16)
+    got = retrieval.search_topk(asked, stored, k=4, block=16).collect()
+    assert sorted(((r.query_id, r.kb, r.pos, r.sparse_rank) for r in got), key=str) == plain_bm25(entries, queries, 4)
+    monkeypatch.setattr(index, "FEW_TERMS", 3)
+    assert index.narrowed(stored.ranges, asked.select(F.col("query").alias("text"))) is stored.ranges
+
+
+def test_groups_of_queries_score_as_one_block(monkeypatch):
+    """Rows that share few terms with a group of queries are not multiplied by its matrix, and scores are the same."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join(f"{lang}{min(int(rng.paretovariate(0.8)), 300)}" for _ in range(40)) for lang in ("x", "y") for _ in range(400)]
+    rng.shuffle(texts)
+    lists = [t.split() for t in texts]
+    monkeypatch.setattr(index, "LIKE", 4)
+    plain, own = index.Block(list(enumerate(lists))), index.Block(given=(pa.array(range(800)), pa.array([t for x in lists for t in x]), np.array([len(x) for x in lists])))
+    assert len(own.edges) > 2 and sorted(own.ids.to_pylist()) == list(range(800))
+    assert own.dense.size < 0.7 * plain.dense.size
+    docs = [Counter(x) for x in lists[:50]]
+    pairs = [(i, plain.names.index(t), own.names.index(t), n / 7) for i, c in enumerate(docs) for t, n in c.items()]
+    row, a, b, value = (np.array(x) for x in zip(*pairs, strict=True))
+    want, got = plain.product(row, a, value, 50, np.arange(800)), own.product(row, b, value, 50, np.arange(800))
+    assert np.allclose(got, want[:, own.ids.to_pylist()], atol=1e-9)
+    some = np.arange(0, 800, 7)
+    assert np.allclose(own.product(row, b, value, 50, some), got[:, some], atol=1e-9)
+
+
+def test_entries_that_no_query_can_take_are_not_scored(small_ranges):
+    rng = random.Random(4)
+    entries = [(i, "w1 w2 w2" if i < 40 else "w1" + " other" * rng.randrange(1, 20)) for i in range(800)]
+    found, want = searcher_over(entries, [f"w2 w1 q{i}" for i in range(50)], 3, list(range(0, 800, 40)))
+    assert {i: found.best["k"].keys[:, i].tolist() for i in want} == want and found.scored <= found.passed / 20
