@@ -444,3 +444,21 @@ def test_entries_that_no_query_can_take_are_not_scored(small_ranges):
     entries = [(i, "w1 w2 w2" if i < 40 else "w1" + " other" * rng.randrange(1, 20)) for i in range(800)]
     found, want = searcher_over(entries, [f"w2 w1 q{i}" for i in range(50)], 3, list(range(0, 800, 40)))
     assert {i: found.best["k"].keys[:, i].tolist() for i in want} == want and found.scored <= found.passed / 20
+
+
+@pytest.mark.parametrize("shape", [(3, 5), (8, 8), (1, 7), (40, 33)])
+def test_places_of_few_true_cells(shape):
+    """Scores that may enter the best are found eight cells at a time, the last ones too."""
+    mask = np.random.default_rng(2).random(shape) < 0.1
+    mask[-1, -1] = True
+    assert index.true_places(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+def test_long_queries_hold_few_pairs_at_once(monkeypatch):
+    """Pairs of a part are some that a core's cache holds."""
+    pairs, add = [], index.Block._add_pairs
+    monkeypatch.setattr(index.Block, "_add_pairs", lambda self, scores, row, begin, value, count, to: (pairs.append(count.sum()), add(self, scores, row, begin, value, count, to))[1])
+    rng = random.Random(2)
+    entries = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(200))) for i in range(40)]
+    found, want = searcher_over(entries, [" ".join(f"w{rng.randrange(3000)}" for _ in range(200)) for _ in range(300)], 4, [0])
+    assert {i: found.best["k"].keys[:, i].tolist() for i in want} == want and sum(pairs) > 40_000 and max(pairs) <= 33_000
