@@ -462,3 +462,13 @@ def test_long_queries_hold_few_pairs_at_once(monkeypatch):
     entries = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(200))) for i in range(40)]
     found, want = searcher_over(entries, [" ".join(f"w{rng.randrange(3000)}" for _ in range(200)) for _ in range(300)], 4, [0])
     assert {i: found.best["k"].keys[:, i].tolist() for i in want} == want and sum(pairs) > 40_000 and max(pairs) <= 33_000
+
+
+def test_search_of_nothing_and_for_nothing(spark):
+    """Blocks without a query, without a token, and an index without entries."""
+    none = spark.createDataFrame([], "kb string, pos long, text string")
+    one = spark.createDataFrame([("k", 1, "a"), ("k", 2, None)], none.schema)
+    asked = spark.createDataFrame([(1, None), (2, "?!")], "query_id long, query string")
+    assert retrieval.bm25_topk(asked, none).count() == 0
+    assert retrieval.bm25_topk(asked.limit(0), one).count() == 0
+    assert sorted((r.query_id, r.pos) for r in retrieval.bm25_topk(asked, one).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
